@@ -101,10 +101,13 @@ def last_json_object(text: Column) -> Column:
 
 
 def strip_thinking(text: Column) -> Column:
-    """Text after the last closed thinking block; an unclosed block is cut off."""
-    tail = F.regexp_extract_all(text, F.lit(r"(?is)</think(?:ing)?>\s*((?:(?!</?think(?:ing)?>).)*)"), 1)
-    last = strip(F.element_at(tail, -1))
-    body = F.when((F.size(tail) > 0) & (last != ""), last).otherwise(text)
+    """Text that follows a thinking block, by the first pattern that finds any; an opening tag
+    that is left over cuts the rest."""
+    def tail(p: str) -> Column:
+        t = strip(F.element_at(extract_all(text, p, 1), -1))
+        return F.when(t != "", t)
+
+    body = F.coalesce(*[tail(p) for p in R.THINKING_PATTERNS], text)
     return strip(F.regexp_replace(body, r"(?is)<think(?:ing)?>.*", ""))
 
 

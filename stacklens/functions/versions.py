@@ -60,34 +60,54 @@ def version_digits(v: Column) -> Column:
     return F.when(v.rlike(RELEASE_ONLY), F.array_join(parts, "").try_cast("double"))
 
 
+def _weighted(parts: Column, other: Column) -> Column:
+    """Sum of part differences weighted by 100^(2 - position)."""
+    gaps = F.zip_with(_padded(parts, other), _padded(other, parts),
+                      lambda x, y: F.abs(x - y).cast("double"))
+    weighted = F.transform(gaps, lambda d, i: d * F.pow(F.lit(100.0), F.lit(2.0) - i))
+    return F.aggregate(weighted, F.lit(0.0), lambda acc, x: acc + x)
+
+
 def weighted_distance(a: Column, b: Column) -> Column:
-    """Sum of part differences weighted by 100^(2 - position); null if ``a`` has a bad part."""
+    """Position-weighted distance; null if either version has a part that is not an integer."""
     pa, pb = version_parts(a), version_parts(b)
-    xa, xb = _padded(pa, pb), _padded(pb, pa)
-    diffs = F.transform(
-        F.zip_with(xa, xb, lambda x, y: F.abs(x - y).cast("double")),
-        lambda d, i: d * F.pow(F.lit(100.0), F.lit(2.0) - i))
-    return F.aggregate(diffs, F.lit(0.0), lambda acc, x: acc + x)
+    return F.when(pa.isNotNull() & pb.isNotNull(), _weighted(pa, pb))
+
 
+def digits_distance(a: Column, b: Column) -> Column:
+    return F.abs(version_digits(a) - version_digits(b))
 
-def closest(v: Column, candidates: Column, metric: str) -> Column:
-    """Closest entry of ``candidates``, an array of structs with ``rule_ord`` and ``version``.
 
-    Evaluated per row over a short literal list, so there is no join fan-out and no shuffle.
-    The first entry in ``rule_ord`` order wins a tie. Null when the metric gives no match.
+def closest(v: Column, entries: list[dict], metric: str) -> Column:
+    """The entry whose ``version`` is closest to ``v``; the first in list order wins a tie.
+
+    ``entries`` is a short rule table, so it becomes a literal array and the search is local to
+    the row: no join fan-out, no shuffle. Null when the metric gives no match. With ``digits``,
+    text that does not parse as a version takes the first entry.
     """
+    def key(i: int, e: dict) -> Column:
+        parts = [int(p) for p in e["version"].split(".")]
+        near = F.array(*[F.lit(p).cast("bigint") for p in parts]) if metric == "weighted" else \
+            F.lit(float("".join(map(str, parts))))
+        fields = [F.array(*[F.lit(x) for x in val]).alias(k) if isinstance(val, list)
+                  else F.lit(val).alias(k) for k, val in e.items()]
+        return F.struct(F.lit(i).alias("rule_ord"), near.alias("near"), F.struct(*fields).alias("entry"))
+
+    table = F.array(*[key(i, e) for i, e in enumerate(entries)])
     if metric == "weighted":
-        dist = lambda c: weighted_distance(v, c["version"])
+        target, dist = version_parts(v), lambda t, c: _weighted(t, c["near"])
     elif metric == "digits":
-        dist = lambda c: F.abs(version_digits(v) - version_digits(c["version"]))
+        target, dist = version_digits(v), lambda t, c: F.abs(t - c["near"])
     else:
         raise ValueError(f"unknown metric {metric!r}; use 'digits' or 'weighted'")
-    scored = F.transform(candidates, lambda c: F.struct(
-        dist(c).alias("distance"), c["rule_ord"].alias("rule_ord"), c.alias("entry")))
-    ranked = F.filter(scored, lambda s: s["distance"].isNotNull())
-    best = F.array_min(F.transform(ranked, lambda s: F.struct(s["distance"], s["rule_ord"])))
-    hit = F.get(F.filter(ranked, lambda s: s["rule_ord"] == best["rule_ord"]), 0)["entry"]
+
+    def nearest(t: Column) -> Column:
+        return F.array_min(F.transform(table, lambda c: F.struct(
+            dist(t, c).alias("distance"), c["rule_ord"].alias("rule_ord"))))
+
+    # one-element array: the target is parsed once per row, not once per table entry
+    best = F.get(F.transform(F.array(target), nearest), 0)
+    hit = F.when(target.isNotNull(), F.get(table, best["rule_ord"])["entry"])
     if metric == "weighted":
         return hit
-    first = F.get(candidates, 0)
-    return F.when(~v.rlike(VERSION_GRAMMAR), first).otherwise(hit)
+    return F.when(v.isNotNull() & ~v.rlike(VERSION_GRAMMAR), F.get(table, 0)["entry"]).otherwise(hit)

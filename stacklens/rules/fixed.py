@@ -232,6 +232,13 @@ PIP_RESOLUTION_TIPS = {
 PIP_ML_TIP = "Consider using conda for ML packages with complex dependencies"
 PIP_PIN_TIP = "Create a requirements.txt with exact versions that work together"
 
+# Thinking-block patterns in model responses (fixed values), in match order
+THINKING_PATTERNS = [
+    r"(?is)</think>\s*(.*?)(?=<think>|$)",
+    r"(?is)</thinking>\s*(.*?)(?=<thinking>|$)",
+    r"(?is)</?think(?:ing)?>.*?</think(?:ing)?>\s*(.*)",
+]
+
 # ---------------------------------------------------------------------------
 # Strategies (fixed values): (name, priority, setup seconds, size MB, can use a GPU)
 STRATEGIES = [
