@@ -129,4 +129,4 @@ def system_fallbacks(systems: DataFrame, error: str = "error") -> DataFrame:
 def needs_analysis(repos: DataFrame, analyses: DataFrame, now: Column, max_age_days: int = 7) -> DataFrame:
     """Repositories without an analysis that is at most ``max_age_days`` old (age test inclusive)."""
     fresh = analyses.where(F.col("ts") >= now - F.expr(f"interval {int(max_age_days)} days"))
-    return repos.join(fresh.select("repo_id"), "repo_id", "left_anti")
+    return repos.join(fresh.select("repo_id").distinct(), "repo_id", "left_anti")
