@@ -116,10 +116,10 @@ def failure_rollup(outcomes: DataFrame) -> DataFrame:
 def running_setup_time(outcomes: DataFrame) -> DataFrame:
     """Running count and mean of setup time per strategy over time.
 
-    A running value over few, long groups must not put a group into one task. Days are totalled
-    first; offsets of earlier days come from those totals, and only a day's rows share a window.
+    A running value over few, long groups must not put a group into one task. Hours are totalled
+    first; offsets of earlier hours come from those totals, and only an hour's rows share a window.
     """
-    ok = outcomes.where("success").withColumn("day", F.to_date("ts"))
+    ok = outcomes.where("success").withColumn("day", F.date_trunc("hour", "ts"))
     days = ok.groupBy("strategy", "day").agg(F.count("*").alias("n"), F.sum("setup_time").alias("t"))
     before = Window.partitionBy("strategy").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     days = days.select("strategy", "day", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"),
@@ -162,8 +162,8 @@ def learning_metrics(outcomes: DataFrame, patterns: DataFrame, model_accuracy: f
         F.max("last").alias("last_update"))
     pats = patterns.agg(F.count("*").alias("pattern_count"),
                         F.least(F.lit(1.0), F.coalesce(F.avg("confidence"), F.lit(0.0))).alias("insight_quality"))
-    one = F.lit(1).alias("j")
-    out = base.select("*", one).join(pats.select("*", one), "j").drop("j")
+    pat = pats.select(F.struct("*")).scalar()  # one row, as a scalar subquery
+    out = base.select("*", pat.alias("p")).select("*", "p.*")
     n = F.col("total_analyses")
     return out.withColumn("model_accuracy", F.lit(float(model_accuracy))).select(
         "total_analyses", "success_rate", "model_accuracy", "pattern_count", "learning_velocity",

@@ -214,27 +214,21 @@ def association_rules(records: DataFrame, min_support: float = 0.1,
 def match_patterns(features: DataFrame, patterns: DataFrame, min_confidence: float = 0.7) -> DataFrame:
     """Insights: patterns above the confidence bound whose range conditions a repository meets.
 
-    Conditions become rows and meet the unpivoted repository features on the feature name; a
-    repository matches when it meets as many conditions as the pattern has.
+    Discovered patterns are a report of bounded size (one per strategy, bucket or error type), so
+    they reach the repositories as one scalar-subquery value and the check is a projection.
     """
     names = ["ml_dependencies", "gpu_dependencies", "total_dependencies"]
-    cond = patterns.where(F.col("confidence") > min_confidence) \
-        .select("pattern_id", "description", "confidence", F.explode("conditions").alias("key", "text")) \
-        .where(F.col("key").isin([f"{n}_range" for n in names])) \
-        .withColumn("lo", F.substring_index("text", "-", 1).try_cast("double")) \
-        .withColumn("hi", F.substring_index("text", "-", -1).try_cast("double"))
-    per = features.select("repo_id", *[F.col(n).cast("double").alias(f"{n}_range") for n in names])
-    wide = cond.groupBy("pattern_id", "description", "confidence").pivot(
-        "key", [f"{n}_range" for n in names]).agg(F.struct(F.first("lo").alias("lo"), F.first("hi").alias("hi")))
-    # patterns are a bounded report (one per strategy or bucket): fold them into one row's array
-    table = wide.groupBy().agg(F.collect_list(F.struct("*")).alias("patterns"))
-    one = F.lit(1)
-    ok = lambda p: F.expr("true")
-    hits = per.withColumn("j", one).join(table.withColumn("j", one), "j")
+    bound = lambda n, i: F.substring_index(F.col("conditions")[f"{n}_range"], "-", i).try_cast("double")
+    sure = patterns.where(F.col("confidence") > min_confidence).select(F.struct(
+        "pattern_id", "description", "confidence",
+        *[bound(n, 1).alias(f"{n}_lo") for n in names],
+        *[bound(n, -1).alias(f"{n}_hi") for n in names]).alias("p"))
+    table = sure.where(" AND ".join(f"p.{n}_lo IS NOT NULL" for n in names)) \
+        .agg(F.collect_list("p").alias("ps")).scalar()
     def holds(p):
-        cs = [F.coalesce(F.col(f"{n}_range").between(p[f"{n}_range"]["lo"], p[f"{n}_range"]["hi"]), F.lit(False))
-              for n in names]
-        return cs[0] & cs[1] & cs[2]
-    return hits.select("repo_id", F.explode(F.filter("patterns", holds)).alias("p")) \
+        a, b, c = [F.col(n).between(p[f"{n}_lo"], p[f"{n}_hi"]) for n in names]
+        return F.coalesce(a & b & c, F.lit(False))
+    return features.select("repo_id", *names, table.alias("ps")) \
+        .select("repo_id", F.explode(F.filter("ps", holds)).alias("p")) \
         .select("repo_id", F.col("p.pattern_id").alias("pattern_id"),
                 F.col("p.description").alias("description"), F.col("p.confidence").alias("confidence"))
