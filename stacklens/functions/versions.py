@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,36 +80,39 @@ def digits_distance(a: Column, b: Column) -> Column:
     return F.abs(version_digits(a) - version_digits(b))
 
 
-def closest(v: Column, entries: list[dict], metric: str) -> Column:
-    """The entry whose ``version`` is closest to ``v``; the first in list order wins a tie.
+def version_tables(tables: dict[str, list[dict]]) -> Column:
+    """Rule tables as one literal: map of package to entries. The optimizer folds it to a constant."""
+    rows = {package: [{"rule_ord": i, "parts": [int(p) for p in e["version"].split(".")],
+                       "digits": float(e["version"].replace(".", "")), "entry": e}
+                      for i, e in enumerate(entries)] for package, entries in tables.items()}
+    first = next(iter(tables.values()))[0]
+    fields = ",".join(f"{k}:{'array<string>' if isinstance(v, list) else 'string'}"
+                      for k, v in first.items())
+    return F.from_json(F.lit(json.dumps(rows)), "map<string,array<struct<rule_ord:int,"
+                       f"parts:array<bigint>,digits:double,entry:struct<{fields}>>>>")
+
+
+def closest(v: Column, entries: Column, metric: str) -> Column:
+    """The entry whose version is closest to ``v``; the first in table order wins a tie.
 
-    ``entries`` is a short rule table, so it becomes a literal array and the search is local to
-    the row: no join fan-out, no shuffle. Null when the metric gives no match. With ``digits``,
-    text that does not parse as a version takes the first entry.
+    ``entries`` is one value of ``version_tables``. The search is local to the row: no join
+    fan-out, no shuffle. Null when the metric gives no match or the package has no table. With
+    ``digits``, text that does not parse as a version takes the first entry.
     """
-    def key(i: int, e: dict) -> Column:
-        parts = [int(p) for p in e["version"].split(".")]
-        near = F.array(*[F.lit(p).cast("bigint") for p in parts]) if metric == "weighted" else \
-            F.lit(float("".join(map(str, parts))))
-        fields = [F.array(*[F.lit(x) for x in val]).alias(k) if isinstance(val, list)
-                  else F.lit(val).alias(k) for k, val in e.items()]
-        return F.struct(F.lit(i).alias("rule_ord"), near.alias("near"), F.struct(*fields).alias("entry"))
-
-    table = F.array(*[key(i, e) for i, e in enumerate(entries)])
     if metric == "weighted":
-        target, dist = version_parts(v), lambda t, c: _weighted(t, c["near"])
+        target, dist = version_parts(v), lambda t, c: _weighted(t, c["parts"])
     elif metric == "digits":
-        target, dist = version_digits(v), lambda t, c: F.abs(t - c["near"])
+        target, dist = version_digits(v), lambda t, c: F.abs(t - c["digits"])
     else:
         raise ValueError(f"unknown metric {metric!r}; use 'digits' or 'weighted'")
 
     def nearest(t: Column) -> Column:
-        return F.array_min(F.transform(table, lambda c: F.struct(
+        return F.array_min(F.transform(entries, lambda c: F.struct(
             dist(t, c).alias("distance"), c["rule_ord"].alias("rule_ord"))))
 
     # one-element array: the target is parsed once per row, not once per table entry
     best = F.get(F.transform(F.array(target), nearest), 0)
-    hit = F.when(target.isNotNull(), F.get(table, best["rule_ord"])["entry"])
+    hit = F.when(target.isNotNull(), F.get(entries, best["rule_ord"])["entry"])
     if metric == "weighted":
         return hit
-    return F.when(v.isNotNull() & ~v.rlike(VERSION_GRAMMAR), F.get(table, 0)["entry"]).otherwise(hit)
+    return F.when(v.isNotNull() & ~v.rlike(VERSION_GRAMMAR), F.get(entries, 0)["entry"]).otherwise(hit)

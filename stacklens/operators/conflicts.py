@@ -26,13 +26,29 @@ def versioned_packages(deps: DataFrame, tracked: list[str] = TRACKED) -> DataFra
             .agg(F.max_by("version", "ord").alias("version"), F.min("ord").alias("ord")))
 
 
-def repo_packages(deps: DataFrame, tracked: list[str] = TRACKED) -> DataFrame:
-    """One row per repository: its rule-relevant packages in order, and as a map.
+def nearest_entry(name: Column, version: Column, table: dict[str, list[dict]], metric: str) -> Column:
+    """The closest entry of the row's own package; null for packages the table does not know."""
+    return V.closest(version, V.version_tables(table)[name], metric)
 
-    The list holds one entry per tracked name, so its length is bounded by the rule tables.
+
+def repo_packages(deps: DataFrame, tracked: list[str] = TRACKED, ranges=RANGES,
+                  support=SUPPORT) -> DataFrame:
+    """One row per repository: its rule-relevant packages in order, and as a name -> version map.
+
+    The list holds one entry per tracked name, so its length is bounded by the rule tables. Closest
+    table entries are found on the rows before they are grouped: the aggregation is a barrier, so
+    that search runs once per row however often later projections use its result.
     """
-    return (versioned_packages(deps, tracked).groupBy("repo_id")
-            .agg(F.array_sort(F.collect_list(F.struct("ord", "name", "version"))).alias("pkgs"))
+    name, version = F.col("name"), F.col("version")
+    fields = ["ord", "name", "version"]
+    rows = versioned_packages(deps, tracked)
+    if ranges:
+        rows = rows.withColumn("range", nearest_entry(name, version, ranges, "weighted"))
+        fields.append("range")
+    if support:
+        rows = rows.withColumn("support", nearest_entry(name, V.clean_version(version), support, "digits"))
+        fields.append("support")
+    return (rows.groupBy("repo_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("pkgs"))
             .withColumn("pkg", F.map_from_entries(F.transform(
                 "pkgs", lambda p: F.struct(p["name"], p["version"])))))
 
@@ -63,28 +79,25 @@ def problem_hits(pkg: Column, rules=R.PROBLEM_VERSIONS) -> Column:
     return F.array_compact(F.array(*[hit(*r) for r in rules]))
 
 
-def support_hits(pkg: Column, cuda: Column, table=SUPPORT, metric: str = "digits") -> Column:
+def support_hits(pkgs: Column, cuda: Column) -> Column:
     """Packages whose closest known version does not list the system's runtime."""
-    def hit(p, entries):
-        clean = V.clean_version(pkg[p])
-        near = V.closest(clean, entries, metric)
-        return F.when(near.isNotNull() & ~F.array_contains(near["cuda"], V.major_minor(cuda)), F.struct(
-            F.lit(p).alias("package1"), F.lit("CUDA").alias("package2"), pkg[p].alias("version1"),
-            cuda.alias("version2"), F.lit("critical").alias("severity"),
-            F.concat(F.lit(p + " "), clean, F.lit(" is not compatible with CUDA "), cuda)
-            .alias("description"),
-            F.concat(F.lit("Use CUDA "), F.array_join(near["cuda"], ", "),
-                     F.lit(f" or adjust {p} version")).alias("resolution"),
-            F.lit("cuda").alias("conflict_type")))
-
-    return F.when(cuda.isNotNull(), F.array_compact(F.array(*[hit(*r) for r in table.items()])))
-
-
-def all_conflicts(pkg: Column, cuda: Column | None = None) -> Column:
+    mm = V.major_minor(cuda)
+    bad = F.filter(pkgs, lambda p: p["support"].isNotNull() & ~F.array_contains(p["support"]["cuda"], mm))
+    return F.when(cuda.isNotNull(), F.transform(bad, lambda p: F.struct(
+        p["name"].alias("package1"), F.lit("CUDA").alias("package2"), p["version"].alias("version1"),
+        cuda.alias("version2"), F.lit("critical").alias("severity"),
+        F.concat(p["name"], F.lit(" "), V.clean_version(p["version"]),
+                 F.lit(" is not compatible with CUDA "), cuda).alias("description"),
+        F.concat(F.lit("Use CUDA "), F.array_join(p["support"]["cuda"], ", "), F.lit(" or adjust "),
+                 p["name"], F.lit(" version")).alias("resolution"),
+        F.lit("cuda").alias("conflict_type"))))
+
+
+def all_conflicts(pkgs: Column, pkg: Column, cuda: Column | None = None) -> Column:
     """Pairwise, runtime and known-bad-version conflicts, most urgent first."""
     parts = [pairwise_hits(pkg), problem_hits(pkg)]
     if cuda is not None:
-        parts.append(F.coalesce(support_hits(pkg, cuda), F.array()))
+        parts.append(F.coalesce(support_hits(pkgs, cuda), F.array()))
     return prioritize(F.concat(*parts))
 
 
@@ -105,22 +118,24 @@ def conflict_rows(repos: DataFrame, hits: Column) -> DataFrame:
 
 def pairwise_conflicts(deps: DataFrame, rules=R.CONFLICT_RULES) -> DataFrame:
     names = sorted({p for r in rules for p in r[:2]})
-    return conflict_rows(repo_packages(deps, names), pairwise_hits(F.col("pkg"), rules))
+    return conflict_rows(repo_packages(deps, names, None, None), pairwise_hits(F.col("pkg"), rules))
 
 
 def problem_versions(deps: DataFrame, rules=R.PROBLEM_VERSIONS) -> DataFrame:
-    return conflict_rows(repo_packages(deps, [r[0] for r in rules]), problem_hits(F.col("pkg"), rules))
+    repos = repo_packages(deps, [r[0] for r in rules], None, None)
+    return conflict_rows(repos, problem_hits(F.col("pkg"), rules))
 
 
 def cuda_support_conflicts(deps: DataFrame, systems: DataFrame) -> DataFrame:
-    repos = repo_packages(deps, list(SUPPORT)).join(systems.select("repo_id", "cuda_version"), "repo_id")
-    return conflict_rows(repos, support_hits(F.col("pkg"), F.col("cuda_version")))
+    repos = repo_packages(deps, list(SUPPORT), None).join(systems.select("repo_id", "cuda_version"), "repo_id")
+    return conflict_rows(repos, support_hits(F.col("pkgs"), F.col("cuda_version")))
 
 
 def prioritized_conflicts(deps: DataFrame, systems: DataFrame) -> DataFrame:
-    repos = repo_packages(deps).join(systems.select("repo_id", "cuda_version"), "repo_id", "left")
+    repos = repo_packages(deps, ranges=None).join(
+        systems.select("repo_id", "cuda_version"), "repo_id", "left")
     ranked = repos.select("repo_id", F.posexplode(
-        all_conflicts(F.col("pkg"), F.col("cuda_version"))).alias("pos", "h"))
+        all_conflicts(F.col("pkgs"), F.col("pkg"), F.col("cuda_version"))).alias("pos", "h"))
     return ranked.select("repo_id", (F.col("pos") + 1).cast("bigint").alias("priority"), "h.*")
 
 
@@ -128,13 +143,8 @@ def prioritized_conflicts(deps: DataFrame, systems: DataFrame) -> DataFrame:
 def closest_version(deps: DataFrame, table: dict[str, list[dict]], metric: str) -> DataFrame:
     """Adds ``nearest``: the table entry closest to each row's version. A narrow projection."""
     version = V.clean_version(F.col("version")) if metric == "digits" else F.col("version")
-    near = None
-    for package, entries in table.items():
-        hit = V.closest(version, entries, metric)
-        near = F.when(F.col("name") == package, hit) if near is None else \
-            near.when(F.col("name") == package, hit)
     return (deps.where(F.col("name").isin(list(table)) & S.has_version(F.col("version")))
-            .withColumn("nearest", near))
+            .withColumn("nearest", nearest_entry(F.col("name"), version, table, metric)))
 
 
 def range_check(name: Column, version: Column, near: Column, cuda: Column) -> Column:
@@ -161,21 +171,10 @@ def cuda_range_check(deps: DataFrame, systems: DataFrame, table=RANGES) -> DataF
                           "c.compatible", "c.message")
 
 
-def ranged_packages(pkgs: Column, pkg: Column, table=RANGES) -> Column:
-    """Packages with a known runtime range, in order of appearance, with that range."""
-    near = F.array(*[F.struct(F.lit(p).alias("name"), pkg[p].alias("version"),
-                              V.closest(pkg[p], e, "weighted").alias("range"))
-                     for p, e in table.items()])
-    known = F.filter(near, lambda n: n["range"].isNotNull())
-    ordered = F.array_sort(F.transform(known, lambda n: F.struct(
-        F.get(F.filter(pkgs, lambda p: p["name"] == n["name"]), 0)["ord"].alias("ord"),
-        n["name"].alias("name"), n["version"].alias("version"), n["range"].alias("range"))))
-    return ordered
-
-
 def with_ranges(deps: DataFrame, table=RANGES) -> DataFrame:
-    return (repo_packages(deps, list(table))
-            .withColumn("ranged", ranged_packages(F.col("pkgs"), F.col("pkg"), table)))
+    """Repositories with their packages of known runtime range, in order of appearance."""
+    return (repo_packages(deps, list(table), table, None)
+            .withColumn("ranged", F.filter("pkgs", lambda p: p["range"].isNotNull())))
 
 
 def common_recommended(ranged: Column) -> Column:
@@ -268,9 +267,9 @@ def detect_issues(deps: DataFrame, raw_deps: DataFrame, systems: DataFrame,
              .join(systems.select("repo_id", "cuda_version"), "repo_id", "left")
              .join(docs.select("repo_id", "cuda_mentioned"), "repo_id", "left")
              .withColumn("pkg", F.coalesce("pkg", F.expr("cast(map() as map<string,string>)")))
-             .withColumn("ranged", F.coalesce(ranged_packages(F.col("pkgs"), F.col("pkg")), F.array())))
+             .withColumn("ranged", F.filter("pkgs", lambda p: p["range"].isNotNull())))
     pkg, cuda, ranged = F.col("pkg"), F.col("cuda_version"), F.col("ranged")
-    conflicts = F.transform(all_conflicts(pkg, cuda), lambda c: _issue(
+    conflicts = F.transform(all_conflicts(F.col("pkgs"), pkg, cuda), lambda c: _issue(
         c["conflict_type"], c["severity"], c["description"],
         F.concat_ws("-", c["package1"], c["package2"]), c["resolution"]))
     checked = F.filter(ranged, lambda r: r["name"].isin(R.RANGE_CHECKED_FRAMEWORKS))
@@ -281,7 +280,7 @@ def detect_issues(deps: DataFrame, raw_deps: DataFrame, systems: DataFrame,
     range_issues = F.transform(F.coalesce(ranges, F.array()), lambda x: _issue(
         "cuda_incompatibility", "critical", x["c"]["message"], x["name"],
         F.concat(F.lit("Install compatible CUDA version for "), x["name"])))
-    multi = F.transform(multi_cuda_pairs(ranged), lambda p: _issue(
+    multi = F.transform(F.coalesce(multi_cuda_pairs(ranged), F.array()), lambda p: _issue(
         "cuda_version_conflict", "critical", p["description"],
         F.concat_ws("-", p["package1"], p["package2"]),
         "Use a single ML framework or ensure CUDA compatibility"))

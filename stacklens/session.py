@@ -17,7 +17,8 @@ def local_session(cores: str = "*", app: str = "stacklens") -> SparkSession:
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.driver.memory", os.environ.get("STACKLENS_DRIVER_MEMORY", "8g"))
              .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-             .config("spark.ui.enabled", "false")
+             .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+             .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
