@@ -104,7 +104,7 @@ def strip_thinking(text: Column) -> Column:
     """Text that follows a thinking block, by the first pattern that finds any; an opening tag
     that is left over cuts the rest."""
     def tail(p: str) -> Column:
-        t = strip(F.element_at(extract_all(text, p, 1), -1))
+        t = strip(F.try_element_at(extract_all(text, p, 1), F.lit(-1)))
         return F.when(t != "", t)
 
     body = F.coalesce(*[tail(p) for p in R.THINKING_PATTERNS], text)

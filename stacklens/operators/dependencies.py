@@ -25,7 +25,7 @@ def _rows(files: DataFrame, specs, kind: str, source) -> DataFrame:
     base = files.select("repo_id", "path", F.posexplode(specs).alias("pos", "spec"))
     return (base.where(F.col("spec").isNotNull())
             .select("repo_id",
-                    (F.lit(SOURCE_RANK[kind] * _RANK_STEP) + F.col("pos")).alias("ord"),
+                    (F.lit(SOURCE_RANK[kind] * _RANK_STEP) + F.col("pos").cast("bigint")).alias("ord"),
                     F.col("spec.name").alias("name"), F.col("spec.version").alias("version"),
                     F.col("spec.op").alias("op"), F.lit("python").alias("dep_type"),
                     source(F.col("pos"), F.col("path")).alias("source"),

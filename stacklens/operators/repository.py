@@ -18,7 +18,7 @@ def pick_files(files: DataFrame, candidates: list[str], mode: str = "first") ->
         return found
     if mode != "first":
         raise ValueError("mode is 'first' or 'all'")
-    cols = [c for c in files.columns if c != "repo_id"]
+    cols = [c for c in found.columns if c != "repo_id"]
     return (found.groupBy("repo_id").agg(F.min_by(F.struct(*cols), "rank").alias("f"))
             .select("repo_id", "f.*"))
 

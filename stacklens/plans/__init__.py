@@ -1 +1,14 @@
+"""Named queries over the given tables."""
 
+
+def _load():
+    from stacklens.plans import compat_queries, learning_queries, registry  # noqa: F401
+    return registry
+
+
+def all_queries():
+    return dict(_load().QUERIES)
+
+
+def all_sql():
+    return dict(_load().SQL)
