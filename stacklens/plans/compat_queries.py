@@ -205,7 +205,7 @@ FROM v_ci_files""")(
 query("q_pick_files", """
 WITH f AS (SELECT repo_id, path, content FROM v_readmes UNION ALL SELECT repo_id, path, content FROM v_ci_files UNION ALL SELECT repo_id, path, content FROM v_setup_files),
 k AS (SELECT f.*, CASE path WHEN 'setup.py' THEN 1 WHEN '.travis.yml' THEN 2 WHEN 'README.md' THEN 3 END AS rank FROM f)
-SELECT repo_id, arg_min(path, rank) AS path, min(rank) AS rank, length(arg_min(content, rank)) AS chars FROM k WHERE rank IS NOT NULL GROUP BY 1""")(
+SELECT repo_id, arg_min(path, rank) AS path, min(rank)::BIGINT AS rank, length(arg_min(content, rank)) AS chars FROM k WHERE rank IS NOT NULL GROUP BY 1""")(
     lambda c: RP.pick_files(c.v_readmes.unionByName(c.v_ci_files).unionByName(c.v_setup_files),
                             ["setup.py", ".travis.yml", "README.md"])
     .select("repo_id", "path", F.col("rank").cast("bigint").alias("rank"), F.length("content").cast("bigint").alias("chars")))

@@ -12,6 +12,7 @@ from stacklens.operators import dependencies as D
 from stacklens.operators import features as FE
 from stacklens.operators import strategies as ST
 from stacklens.plans.bindings import Bound
+from stacklens.session import materialize
 
 
 class Context(Bound):
@@ -54,6 +55,11 @@ class Context(Bound):
     def records(self) -> DataFrame:
         return FE.training_records(self.v_outcomes, self.core_features, self.system_features)
 
+    @cached_property
+    def stored_records(self) -> DataFrame:
+        """The records as a written table, for work that reads them more than once."""
+        return materialize(self.records)
+
     @cached_property
     def facts(self) -> DataFrame:
         return ST.strategy_facts(self.deps)

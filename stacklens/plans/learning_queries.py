@@ -27,7 +27,7 @@ WITH i AS (SELECT repo_id, count(*) FILTER (severity = 'critical') AS c, count(*
   count(*) FILTER ({contains_any('lower(message)', ['gpu', 'cuda', 'nvidia', 'amd', 'rocm', 'opencl'])}) AS g,
   count(*) FILTER ({contains_any('lower(message)', ['cuda', 'nvidia'])} AND contains(lower(message), 'version')) AS k,
   count(*) FILTER ({contains_any('lower(message)', ['python', 'py'])} AND contains(lower(message), 'version')) AS p FROM v_issues GROUP BY 1)
-SELECT f.repo_id, 0 AS repo_size, f.language, f.has_dockerfile, false AS has_conda_env, f.stars AS star_count, 0 AS fork_count, f.topics_count,
+SELECT f.repo_id, 0::BIGINT AS repo_size, f.language, f.has_dockerfile, false AS has_conda_env, f.stars AS star_count, 0::BIGINT AS fork_count, f.topics_count::BIGINT AS topics_count,
   f.total_dependencies, f.gpu_dependencies, f.ml_dependencies, round(f.dependency_diversity, 6) AS dependency_diversity, f.version_constraints, f.pinned_versions,
   coalesce(i.c, 0) AS critical_issues, coalesce(i.w, 0) AS warning_issues, coalesce(i.g, 0) AS gpu_issues, coalesce(i.k, 0) AS cuda_version_conflicts,
   coalesce(i.p, 0) AS python_version_conflicts, f.python_version_required, f.cuda_version_required, 0.0::DOUBLE AS min_memory_gb, f.min_gpu_memory_gb,
@@ -52,8 +52,8 @@ def _resolutions(c):
 
 
 query("q_resolution_features", f"""
-SELECT f.outcome_id, f.strategy AS strategy_type, 1 + CASE WHEN outcome_id % 5 = 0 THEN 1 ELSE 0 END AS files_generated, 2 AS setup_commands,
-  s.size_mb AS estimated_size_mb, s.setup_seconds AS estimated_setup_time, f.strategy <> 'venv' AS gpu_capable,
+SELECT f.outcome_id, f.strategy AS strategy_type, (1 + CASE WHEN outcome_id % 5 = 0 THEN 1 ELSE 0 END)::BIGINT AS files_generated, 2::BIGINT AS setup_commands,
+  s.size_mb::BIGINT AS estimated_size_mb, s.setup_seconds::BIGINT AS estimated_setup_time, f.strategy <> 'venv' AS gpu_capable,
   CASE WHEN contains(content, 'nvidia/cuda') THEN 'nvidia_cuda' WHEN contains(content, 'python') THEN 'python' WHEN contains(content, 'ubuntu') THEN 'ubuntu_debian' ELSE 'unknown' END AS docker_base_image,
   outcome_id % 5 = 0 AS has_gpu_support FROM ({_FILES}) f JOIN v_strategies s ON f.strategy = s.strategy""")(
     lambda c: FE.resolution_features(_resolutions(c)))
@@ -88,7 +88,7 @@ FROM v_outcomes o JOIN v_repos r ON o.repo_id = r.repo_id LEFT JOIN i ON o.repo_
     lambda c: FE.knowledge_context(c.v_outcomes, c.v_repos, c.v_repos.select("repo_id", F.lit(0.5).alias("confidence_score")), c.issues)
     .drop("analysis_confidence"))
 query("q_latest_vectors", """
-SELECT repo_id, arg_max(ml_dependencies, (ts, record_id)) AS ml_dependencies, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS at, 26 AS feature_count FROM v_records GROUP BY 1""")(
+SELECT repo_id, arg_max(ml_dependencies, (ts, record_id)) AS ml_dependencies, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS at, 26::BIGINT AS feature_count FROM v_records GROUP BY 1""")(
     lambda c: TB.latest_feature_vectors(c.records).select("repo_id", "features.ml_dependencies",
                                                           F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "feature_count"))
 query("q_newest_records", "SELECT record_id, repo_id FROM v_records ORDER BY ts DESC, record_id DESC LIMIT 100")(
@@ -266,14 +266,14 @@ def _flat(df):
 
 query("q_strategy_patterns", f"""WITH {_group_sql('strategy', 'success')}
 SELECT 'strategy_' || grp || '_success' AS pattern_id, 'strategy_success' AS pattern_type, 'Successful ' || grp || ' strategy patterns' AS description, support, confidence, conditions,
-  'Consider ' || grp || ' strategy for similar cases' AS recommendations FROM pat""")(lambda c: _flat(P.strategy_patterns(c.records)))
+  'Consider ' || grp || ' strategy for similar cases' AS recommendations FROM pat""")(lambda c: _flat(P.strategy_patterns(c.stored_records)))
 _tipsql = "CASE grp " + " ".join(f"WHEN {q(k)} THEN {q('|'.join(v))}" for k, v in R.ERROR_TIPS.items()) + f" ELSE {q(R.ERROR_TIP_DEFAULT)} END"
 query("q_error_patterns", f"""WITH {_group_sql('error_type', 'NOT success')}
 SELECT 'error_' || grp AS pattern_id, 'error_pattern' AS pattern_type, 'Common characteristics of ' || grp || ' failures' AS description, support, confidence, conditions, {_tipsql} AS recommendations FROM pat""")(
-    lambda c: _flat(P.error_patterns(c.records)))
+    lambda c: _flat(P.error_patterns(c.stored_records)))
 _cap = "upper(s[1]) || s[2:]"
 _bucket = lambda kind, pre, key, a, b, u, v, mc: f"""SELECT '{pre}_' || grp || '_' || s AS pattern_id, '{kind}' AS pattern_type, {_cap} || '{a}' || replace(grp, '_', ' ') || '{b}' AS description,
-  CAST(support AS BIGINT) AS support, round(n / support, 6) AS confidence, '{key}=' || grp || ';strategy=' || s AS conditions, 'Use ' || s || '{u}' || replace(grp, '_', ' ') || '{v}' AS recommendations FROM top WHERE n / support >= {mc}"""
+  CAST(support AS BIGINT) AS support, round(n / support, 6) AS confidence, array_to_string(list_sort(['{key}=' || grp, 'strategy=' || s]), ';') AS conditions, 'Use ' || s || '{u}' || replace(grp, '_', ' ') || '{v}' AS recommendations FROM top WHERE n / support >= {mc}"""
 # four strategies of similar size: with the usual 0.7 no bucket has a dominant one, so 0.2 shows rows
 query("q_dep_patterns", f"WITH {_bucket_sql(_DEP)} {_bucket('dependency_strategy', 'deps', 'dependency_type', ' strategy works well for ', ' repositories', ' strategy for ', ' repositories', 0.2)}")(
     lambda c: _flat(P.dependency_patterns(c.records, 0.2)))
@@ -286,15 +286,15 @@ SELECT 'type' AS section, 'strategy_success' AS key, CAST(count(*) AS DOUBLE) AS
 UNION ALL SELECT 'confidence', 'total', count(*) FROM pat UNION ALL SELECT 'confidence', 'mean', round(avg(confidence), 6) FROM pat
 UNION ALL SELECT 'confidence', 'min', min(confidence) FROM pat UNION ALL SELECT 'confidence', 'max', max(confidence) FROM pat
 UNION ALL (SELECT 'top', 'strategy_' || grp || '_success', support FROM pat ORDER BY support DESC, confidence DESC, grp LIMIT 5)""")(
-    lambda c: P.pattern_summary(P.strategy_patterns(c.records)).withColumns(r6("value")))
+    lambda c: P.pattern_summary(P.strategy_patterns(c.stored_records)).withColumns(r6("value")))
 query("q_top_patterns", f"""WITH {_group_sql('strategy', 'success')}
 SELECT 'strategy_' || grp || '_success' AS pattern_id, support, confidence FROM pat ORDER BY support DESC, confidence DESC, grp LIMIT 3""")(
-    lambda c: P.top_patterns(P.strategy_patterns(c.records), 3).select("pattern_id", "support", F.round("confidence", 6).alias("confidence")))
+    lambda c: P.top_patterns(P.strategy_patterns(c.stored_records), 3).select("pattern_id", "support", F.round("confidence", 6).alias("confidence")))
 query("q_pattern_matches", f"""WITH {_group_sql('strategy', 'success')},
 lim AS (SELECT grp, min(ml_dependencies) a, max(ml_dependencies) b, min(gpu_dependencies) c, max(gpu_dependencies) d, min(total_dependencies) e, max(total_dependencies) f FROM base GROUP BY 1)
 SELECT v_features.repo_id, 'strategy_' || lim.grp || '_success' AS pattern_id, pat.confidence FROM v_features JOIN lim ON ml_dependencies BETWEEN a AND b AND gpu_dependencies BETWEEN c AND d AND total_dependencies BETWEEN e AND f
 JOIN pat ON pat.grp = lim.grp WHERE pat.confidence > 0.7""")(
-    lambda c: P.match_patterns(c.core_features, P.strategy_patterns(c.records)).select("repo_id", "pattern_id", F.round("confidence", 6).alias("confidence")))
+    lambda c: P.match_patterns(c.core_features, P.strategy_patterns(c.stored_records)).select("repo_id", "pattern_id", F.round("confidence", 6).alias("confidence")))
 _ITEMS = """i AS (SELECT record_id, unnest(list_filter(['strategy:' || strategy, CASE WHEN is_ml_repo THEN 'repo_type:ml' END, CASE WHEN gpu_dependencies > 0 THEN 'repo:gpu_required' END,
   CASE WHEN gpu_count > 0 THEN 'system:has_gpu' END, CASE WHEN memory_gb >= 16 THEN 'system:high_memory' END], lambda x: x IS NOT NULL)) AS item FROM v_records WHERE success),
 t AS (SELECT count(*) AS total FROM v_records WHERE success)"""
@@ -375,7 +375,7 @@ _METRICS = f"""{_group_sql('strategy', 'success')},
 dayr AS (SELECT CAST(ts AS DATE) AS day, avg(CAST(success AS INT)) AS r FROM v_outcomes GROUP BY 1),
 met AS (SELECT (SELECT count(*) FROM v_outcomes) AS total_analyses, (SELECT avg(CAST(success AS INT)) FROM v_outcomes) AS success_rate, 0.0 AS model_accuracy,
   (SELECT count(*) FROM pat) AS pattern_count, (SELECT greatest(0.0, arg_max(r, day) - arg_min(r, day)) FROM dayr) AS learning_velocity, (SELECT least(1.0, avg(confidence)) FROM pat) AS insight_quality)"""
-_metrics = lambda c: O.learning_metrics(c.v_outcomes, P.strategy_patterns(c.records))
+_metrics = lambda c: O.learning_metrics(c.v_outcomes, P.strategy_patterns(c.stored_records))
 query("q_metrics", f"""WITH {_METRICS}
 SELECT total_analyses, round(success_rate, 6) AS success_rate, model_accuracy::DOUBLE AS model_accuracy, pattern_count, round(learning_velocity, 6) AS learning_velocity, round(insight_quality, 6) AS insight_quality,
   round(least(1.0, success_rate * 0.4 + insight_quality * 0.2), 6) AS learning_confidence, least(1.0, total_analyses / 100.0)::DOUBLE AS pattern_discovery_rate,
@@ -384,7 +384,7 @@ SELECT total_analyses, round(success_rate, 6) AS success_rate, model_accuracy::D
 query("q_health", f"""WITH {_METRICS}, s AS (SELECT *, CAST(success_rate > 0.7 AS INT) + CAST(pattern_count > 5 AS INT) + CAST(learning_velocity > 0.05 AS INT) + 1 AS score FROM met)
 SELECT CAST(score AS BIGINT) AS health_score, CASE WHEN score >= 4 THEN 'excellent' WHEN score >= 3 THEN 'good' ELSE 'needs_attention' END AS health_status, total_analyses, round(success_rate, 6) AS success_rate, pattern_count FROM s""")(
     lambda c: O.health_status(_metrics(c)).withColumns(r6("success_rate")))
-_adv = " UNION ALL ".join(f"SELECT {i} AS rule, {q(t)} AS recommendation FROM met WHERE {m} {op} {b}" for i, (m, op, b, t) in enumerate(R.LEARNING_ADVICE, 1)
+_adv = " UNION ALL ".join(f"SELECT {i}::BIGINT AS rule, {q(t)} AS recommendation FROM met WHERE {m} {op} {b}" for i, (m, op, b, t) in enumerate(R.LEARNING_ADVICE, 1)
                           if m not in ("storage_size_mb", "seconds_since_update"))
 query("q_recommendations", f"WITH {_METRICS} {_adv}")(lambda c: O.learning_advice(_metrics(c)))
 query("q_trends", """
@@ -396,7 +396,7 @@ SELECT 'metrics' AS section, 'total_analyses' AS key, CAST(total_analyses AS DOU
 UNION ALL SELECT 'metrics', 'model_accuracy', 0.0 UNION ALL SELECT 'metrics', 'pattern_count', pattern_count FROM met UNION ALL SELECT 'metrics', 'learning_velocity', round(learning_velocity, 6) FROM met
 UNION ALL SELECT 'metrics', 'insight_quality', round(insight_quality, 6) FROM met UNION ALL SELECT 'patterns', 'strategy_' || grp || '_success', confidence FROM pat
 UNION ALL SELECT 'trends', CAST(day AS VARCHAR), round(r, 6) FROM dayr UNION ALL SELECT 'recommendations', recommendation, rule FROM ({_adv})""")(
-    lambda c: O.learning_report(_metrics(c), P.strategy_patterns(c.records), O.daily_trends(c.v_outcomes), O.learning_advice(_metrics(c)))
+    lambda c: O.learning_report(_metrics(c), P.strategy_patterns(c.stored_records), O.daily_trends(c.v_outcomes), O.learning_advice(_metrics(c)))
     .withColumns(r6("value")))
 
 # -- caches and runs ------------------------------------------------------------------------------------------------------
