@@ -65,6 +65,5 @@ WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUT
 s AS (SELECT *, sum(start) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS session_end, count(*) AS n FROM s
 GROUP BY user_id, sid HAVING epoch_us(max(ts)) + 1800000000 <= (SELECT (max(epoch_us(ts)) // 1000 - 3600000) * 1000 FROM events)""")(
-    lambda c: J.stream_sessions(_view(c, "v_runs").select("ts", "run_id").join(
-        c.table("events").select(F.col("event_id").alias("run_id"), "user_id"), "run_id"), "user_id").select(
+    lambda c: J.stream_sessions(J.read_events(c.spark, c.sf_dir), "user_id").select(
         "user_id", stamp("session_start").alias("session_start"), stamp("session_end").alias("session_end"), "n"))
