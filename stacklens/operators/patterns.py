@@ -232,3 +232,11 @@ def match_patterns(features: DataFrame, patterns: DataFrame, min_confidence: flo
         .select("repo_id", F.explode(F.filter("ps", holds)).alias("p")) \
         .select("repo_id", F.col("p.pattern_id").alias("pattern_id"),
                 F.col("p.description").alias("description"), F.col("p.confidence").alias("confidence"))
+
+
+def recent_insights(records: DataFrame, patterns: DataFrame, limit: int = 10) -> DataFrame:
+    """Newest strategy patterns first, by the last run that supports them."""
+    seen = successes(records).groupBy(F.concat(F.lit("strategy_"), "resolution_features.strategy_type", F.lit("_success"))
+                                      .alias("pattern_id")).agg(F.max(F.struct("ts", "record_id")).alias("at"))
+    return (patterns.join(seen, "pattern_id").orderBy(F.desc("at"), "pattern_id").limit(limit)
+            .select("pattern_id", "support", "confidence", F.col("at.record_id").alias("last_record")))

@@ -120,7 +120,7 @@ def _rarest_first(sigs: DataFrame, col: str) -> DataFrame:
 
 
 def similar_repos(repos: DataFrame, k: int = 5, min_similarity: float = 0.1,
-                  block_size: int = 64) -> DataFrame:
+                  block_size: int = 24) -> DataFrame:
     """For each repository the ``k`` most similar others: mean of topic and dependency Jaccard.
 
     ``repos`` has repo_id, topics and deps (arrays of distinct names). Ties go to the smaller id.

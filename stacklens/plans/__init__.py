@@ -2,7 +2,7 @@
 
 
 def _load():
-    from stacklens.plans import compat_queries, learning_queries, model_queries, registry, stream_queries  # noqa: F401
+    from stacklens.plans import compat_queries, learning_queries, model_queries, registry, source_queries, stream_queries  # noqa: F401
     return registry
 
 

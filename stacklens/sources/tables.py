@@ -55,6 +55,11 @@ def write_outcomes(outcomes: DataFrame, path: str) -> None:
     with_solution_id(outcomes).write.mode("append").partitionBy("success").parquet(path)
 
 
+def read_outcomes(spark: SparkSession, path: str) -> DataFrame:
+    """Stored outcomes; partition values come back as text, so the flag is cast."""
+    return spark.read.parquet(path).withColumn("success", F.col("success").cast("boolean"))
+
+
 def current_outcomes(outcomes: DataFrame) -> DataFrame:
     """Latest row per (repository, result, solution): a later outcome overwrites an earlier one."""
     key = ["repo_id", "success", "solution_id"]
@@ -138,12 +143,10 @@ def storage_size_mb(df: DataFrame) -> DataFrame:
 def read_json_tolerant(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(good records, one-row count of corrupt ones). Corrupt lines are counted, not fatal."""
     full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    raw = spark.read.schema(full).option("mode", "PERMISSIVE").json(path)
-    good = raw.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    # the count names a data column too: Spark does not read the corrupt column alone
-    bad = raw.select(F.struct(*schema.names).alias("r"), "_corrupt_record").agg(
-        F.count_if(F.col("_corrupt_record").isNotNull()).alias("corrupt"), F.count("r").alias("lines"))
-    return good, bad
+    parsed = spark.read.text(path).where(F.trim("value") != "").select(F.from_json(
+        "value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")).select("r.*")
+    good = parsed.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    return good, parsed.agg(F.count_if(F.col("_corrupt_record").isNotNull()).alias("corrupt"))
 
 
 def read_run_logs(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
