@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from stacklens.functions.scalars import contains_any
 from stacklens.rules import fixed as R
 
-REQUIREMENT = r"^([a-zA-Z0-9_-]+)\s*([><=!~]+)\s*([0-9.]+.*?)$"
-BARE_NAME = r"^([a-zA-Z0-9_-]+)\s*$"
+# one pattern for "name", and "name op version"
+REQUIREMENT = r"^([a-zA-Z0-9_-]+)\s*(?:([><=!~]+)\s*([0-9.]+.*?))?$"
+WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 QUOTED = r"""["']([^"']+)["']"""
 JSON_OBJECT = r"(?s)\{(?:[^{}]|(?:\{[^{}]*\}))*\}"
 
 
 def strip(c: Column) -> Column:
     """Trim blanks, tabs and line ends on both sides."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def lines(text: Column) -> Column:
@@ -27,18 +28,17 @@ def extract_all(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), group)
 
 
+def requirement_parts(line: Column) -> tuple[Column, Column, Column]:
+    """(name, op, version) of a requirement line without its comment; the name is empty if the
+    line is not a requirement."""
+    part = lambda g: F.regexp_extract(line, REQUIREMENT, g)
+    return F.lower(part(1)), F.nullif(part(2), F.lit("")), F.nullif(part(3), F.lit(""))
+
+
 def requirement(line: Column) -> Column:
     """struct(name, op, version) of one requirement line; null if the line is not one."""
-    body = strip(F.substring_index(line, "#", 1))
-    name = F.regexp_extract(body, REQUIREMENT, 1)
-    return (F.when(name != "", F.struct(
-                F.lower(name).alias("name"),
-                F.regexp_extract(body, REQUIREMENT, 2).alias("op"),
-                F.regexp_extract(body, REQUIREMENT, 3).alias("version")))
-            .when(body.rlike(BARE_NAME), F.struct(
-                F.lower(F.regexp_extract(body, BARE_NAME, 1)).alias("name"),
-                F.lit(None).cast("string").alias("op"),
-                F.lit(None).cast("string").alias("version"))))
+    name, op, version = requirement_parts(strip(F.substring_index(line, "#", 1)))
+    return F.when(name != "", F.struct(name.alias("name"), op.alias("op"), version.alias("version")))
 
 
 def first_match(text: Column, patterns: list[tuple[str, int]]) -> Column:

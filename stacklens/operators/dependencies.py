@@ -34,11 +34,22 @@ def _rows(files: DataFrame, specs, kind: str, source) -> DataFrame:
 
 
 def parse_requirements(files: DataFrame) -> DataFrame:
-    """Requirement files to dependency rows; the source carries the 1-based line number."""
-    line = lambda raw: F.transform(F.array(X.strip(raw)), lambda t: F.when(
-        (t != "") & ~t.startswith("#") & ~t.startswith("-r "), X.requirement(t)))[0]
-    return _rows(files, F.transform(X.lines(F.col("content")), line), "requirements",
-                 lambda pos, path: F.concat(F.lit("requirements.txt:L"), (pos + 1).cast("string")))
+    """Requirement files to dependency rows; the source carries the 1-based line number.
+
+    Lines are exploded and filtered before any pattern runs, so that the patterns are plain
+    generated code on one short line each.
+    """
+    line = files.select("repo_id", F.posexplode(X.lines(F.col("content"))).alias("pos", "raw")) \
+        .select("repo_id", "pos", X.strip(F.col("raw")).alias("line")) \
+        .where((F.col("line") != "") & ~F.col("line").startswith("#") & ~F.col("line").startswith("-r "))
+    body = line.select("repo_id", "pos", X.strip(F.substring_index("line", "#", 1)).alias("body")) \
+        .where(F.col("body").rlike(X.REQUIREMENT))
+    name, op, version = X.requirement_parts(F.col("body"))
+    return body.select(
+        "repo_id", (F.lit(SOURCE_RANK["requirements"] * _RANK_STEP) + F.col("pos").cast("bigint")).alias("ord"),
+        name.alias("name"), version.alias("version"), op.alias("op"), F.lit("python").alias("dep_type"),
+        F.concat(F.lit("requirements.txt:L"), (F.col("pos") + 1).cast("string")).alias("source"),
+        S.flag_gpu(name).alias("gpu_required"))
 
 
 def parse_setup_py(files: DataFrame, mode: str = "native") -> DataFrame:
@@ -108,12 +119,8 @@ def _exact(files: DataFrame, parser, kind: str, source) -> DataFrame:
 
 
 def _spec(line: str):
-    body = line.split("#")[0].strip()
-    m = re.match(X.REQUIREMENT, body)
-    if m:
-        return {"name": m[1].lower(), "op": m[2], "version": m[3]}
-    m = re.match(X.BARE_NAME, body)
-    return {"name": m[1].lower(), "op": None, "version": None} if m else None
+    m = re.match(X.REQUIREMENT, line.split("#")[0].strip())
+    return {"name": m[1].lower(), "op": m[2], "version": m[3]} if m else None
 
 
 def _setup_specs(content: str) -> list:
@@ -174,20 +181,20 @@ def dedup_dependencies(deps: DataFrame) -> DataFrame:
     """
     key = ["repo_id", "dep_key"]
     v, g, o = S.has_version(F.col("version")), F.col("gpu_required"), F.col("ord")
-    kind = F.when(v & g, "both").when(v, "version").when(g, "gpu").otherwise("none")
+    # kinds: 0 nothing, 1 version only, 2 GPU only, 3 both
+    kind = F.when(v, 1).otherwise(0) + F.when(g, 2).otherwise(0)
     rows = deps.withColumn("dep_key", F.lower("name")).withColumn("kind", kind)
-    marks = rows.groupBy(*key).agg(
-        F.min("ord").alias("first_ord"),
-        F.min(F.when(F.col("kind") == "both", o)).alias("both_ord"),
-        F.max(F.when(F.col("kind") == "version", o)).alias("version_ord"),
-        F.max(F.when(F.col("kind") == "gpu", o)).alias("gpu_ord"))
+    at = lambda k: F.when(F.col("kind") == k, o)
+    marks = rows.groupBy(*key).agg(F.min("ord").alias("first_ord"), F.min(at(3)).alias("both_ord"),
+                                   F.max(at(1)).alias("version_ord"), F.max(at(2)).alias("gpu_ord"))
     ver, gpu = F.coalesce("version_ord", F.lit(-1)), F.coalesce("gpu_ord", F.lit(-1))
-    last = (F.when(F.col("both_ord").isNotNull(), "both")
-            .when((ver < 0) & (gpu < 0), "none").when(ver > gpu, "version").otherwise("gpu"))
-    marks = marks.select(*key, "first_ord", last.alias("want"),
-                         F.when(last.isin("version", "gpu"), F.least(ver, gpu))
-                         .otherwise(F.lit(-1)).alias("after_ord"))
-    kept = rows.join(marks, key).where((F.col("kind") == F.col("want")) & (o > F.col("after_ord")))
+    want = (F.when(F.col("both_ord").isNotNull(), 3).when((ver < 0) & (gpu < 0), 0)
+            .when(ver > gpu, 1).otherwise(2))
+    marks = marks.select(*key, "first_ord", want.alias("want"),
+                         F.when(want.isin(1, 2), F.least(ver, gpu)).otherwise(F.lit(-1)).alias("after_ord"))
+    # a difference, not an equality: an equality would become a join key and cost two more shuffles,
+    # while on the group key the join and the last aggregation keep one partitioning
+    kept = rows.join(marks, key).where((F.col("kind") - F.col("want") == 0) & (o > F.col("after_ord")))
     cols = [c for c in deps.columns if c != "repo_id"]
     best = kept.groupBy(*key).agg(F.min_by(F.struct(*cols), "ord").alias("r"),
                                   F.min("first_ord").alias("first_ord"))

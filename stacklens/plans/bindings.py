@@ -197,6 +197,10 @@ SELECT conv_id, turn, role,
 FROM conversations
 """
 
+# views whose rows carry text that is costly to read through
+TEXT_VIEWS = {"v_manifests", "v_readmes", "v_dockerfiles", "v_ci_files", "v_setup_files", "v_pyproject_files",
+              "v_source_files", "v_logs", "v_responses"}
+
 _REF = re.compile(r"\b(vocab|v_[a-z_]+)\b")
 
 
@@ -247,7 +251,16 @@ class Bound:
                 self.table(t).createOrReplaceTempView(t)
         return self.spark.sql(full)
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        """Spread text over all cores when a small input scans with fewer tasks than there are.
+
+        Large tables have more splits than cores, and are left alone.
+        """
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
-            return self.sql(f"SELECT * FROM {name}")
+            df = self.sql(f"SELECT * FROM {name}")
+            return self.spread(df) if name in TEXT_VIEWS else df
         raise AttributeError(name)
