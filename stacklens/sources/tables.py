@@ -24,15 +24,13 @@ def read_repo_files(spark: SparkSession, path: str, fmt: str = "parquet") -> Dat
     """Files of many repositories: a table of them, or a folder tree ``<owner>/<name>/<file>``."""
     if fmt == "parquet":
         return spark.read.parquet(path)
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
-    full, size = F.col("_metadata.file_path"), F.col("_metadata.file_size")
-    root = F.lit(path.rstrip("/") + "/")
-    rel = F.element_at(F.split(full, F.concat(F.lit(r"\Q"), root, F.lit(r"\E"))), -1)
-    parts = F.split(rel, "/")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    root = F.concat(F.lit(r"\Q"), F.lit(path.rstrip("/") + "/"), F.lit(r"\E"))
+    parts = F.split(F.element_at(F.split("path", root), -1), "/")
     return raw.select(F.concat_ws("/", parts[0], parts[1]).alias("repo_id"),
                       F.array_join(F.slice(parts, 3, F.size(parts)), "/").alias("path"),
-                      size.alias("size"), F.col("value").alias("content"),
-                      F.col("_metadata.file_modification_time").alias("fetched_at"))
+                      F.col("length").alias("size"), F.col("content").cast("string").alias("content"),
+                      F.col("modificationTime").alias("fetched_at"))
 
 
 def with_content_hash(analyses: DataFrame) -> DataFrame:
