@@ -44,7 +44,12 @@ class Context(Bound):
     @cached_property
     def core_features(self) -> DataFrame:
         """Repository features without issue counts."""
-        return FE.repository_features(self.repos, self.deps, None, C.recommended_cuda(self.deps))
+        return FE.repository_features(self.repos, self.deps, None,
+                                      C.recommended_cuda(self.deps))
+
+    @cached_property
+    def stored_features(self) -> DataFrame:
+        return materialize(self.core_features)
 
     @cached_property
     def system_features(self) -> DataFrame:

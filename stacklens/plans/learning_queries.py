@@ -15,6 +15,7 @@ from stacklens.operators import strategies as ST
 from stacklens.plans.oracle_views import ERR6, ERR8, contains_any, q
 from stacklens.plans.registry import query
 from stacklens.rules import fixed as R
+from stacklens.session import materialize
 from stacklens.sources import tables as TB
 
 NOW = "timestamp_ntz'2024-01-31 00:00:00'"
@@ -320,15 +321,16 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY {', '.join(_cols)} ORDER BY sim
 cases AS (SELECT fq.query_id, rk.record_id, rk.similarity, rk.rank, fr.strategy, fr.success FROM fq JOIN rk USING ({', '.join(_cols)}) JOIN fr USING (record_id))"""
 
 
-def _records_flat(c, ok: bool):
-    r = P.successes(c.records) if ok else c.records
+def _records_flat(records, ok: bool):
+    r = P.successes(records) if ok else records
     return r.select("record_id", F.col("resolution_features.strategy_type").alias("strategy"), "outcome.success",
                     *[F.col(f"repository_features.{f}").alias(f) for f in _cols])
 
 
 def _cases(c, ok: bool = True, k: int = 10, bound: float = 0.3):
-    rec = _records_flat(c, ok)
-    cases = SIM.similar_cases(c.core_features.withColumnRenamed("repo_id", "query_id"), rec, k, bound)
+    records = FE.training_records(c.v_outcomes, c.stored_features, c.system_features)
+    rec = materialize(_records_flat(records, ok))
+    cases = SIM.similar_cases(c.stored_features.withColumnRenamed("repo_id", "query_id"), rec, k, bound)
     return cases.join(rec.select("record_id", "strategy", "success"), "record_id")
 
 
