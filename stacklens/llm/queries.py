@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stacklens.llm import bpe, chat, licenses, pii, toxicity
+from stacklens.llm import ann, bpe, chat, licenses, pii, topk, toxicity
 from stacklens.llm.common import table
 
 
@@ -17,11 +17,14 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": lambda spark, sf_dir: toxicity.op1_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op3_bpe": _over("documents", bpe.op3_bpe),
+    "op4_ann": _over("embeddings", ann.op4_ann),
+    "op5_topk": _over("embeddings", topk.op5_topk),
     "op8_pii": _over("documents", pii.op8_pii),
     "op9_chat_formatting": _over("conversations", chat.op9_chat_formatting),
     "op10_license_scan": _over("documents", licenses.op10_license_scan),
 }
 SQL: dict[str, str] = {
+    "op5_topk": topk.OP5_SQL,
     "op9_chat_formatting": chat.OP9_SQL,
     "op10_license_scan": licenses.OP10_SQL,
 }
