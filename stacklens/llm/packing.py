@@ -116,7 +116,7 @@ def exact_patterns(lengths: np.ndarray, size: int, docs: int) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, docs)
 
 
-def fit(histogram: np.ndarray, patterns: np.ndarray, steps: int = 1500) -> np.ndarray:
+def fit(histogram: np.ndarray, patterns: np.ndarray, steps: int = 400) -> np.ndarray:
     """Non-negative repeat counts x with A x close to the histogram, by accelerated projected gradients."""
     size = len(histogram) - 1
     weight = np.sqrt(np.arange(size + 1) / size)

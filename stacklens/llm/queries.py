@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stacklens.llm import ann, bpe, chat, licenses, packing, pii, topk, toxicity
+from stacklens.llm import ann, bpe, chat, licenses, line_dedup, packing, pii, topk, toxicity
 from stacklens.llm.common import table
 
 
@@ -16,6 +16,7 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": lambda spark, sf_dir: toxicity.op1_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op2_line_dedup": _over("documents", line_dedup.op2_line_dedup),
     "op3_bpe": _over("documents", bpe.op3_bpe),
     "op4_ann": _over("embeddings", ann.op4_ann),
     "op5_topk": _over("embeddings", topk.op5_topk),
