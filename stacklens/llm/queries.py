@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stacklens.llm import ann, bpe, chat, licenses, line_dedup, packing, pii, topk, toxicity
+from stacklens.llm import ann, bpe, chat, licenses, line_dedup, near_dedup, packing, pii, topk, toxicity
 from stacklens.llm.common import table
 
 
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": _over("documents", bpe.op3_bpe),
     "op4_ann": _over("embeddings", ann.op4_ann),
     "op5_topk": _over("embeddings", topk.op5_topk),
+    "op6_near_dedup": _over("documents", near_dedup.op6_near_dedup),
     "op7_packing": _over("documents", packing.op7_packing),
     "op8_pii": _over("documents", pii.op8_pii),
     "op9_chat_formatting": _over("conversations", chat.op9_chat_formatting),
