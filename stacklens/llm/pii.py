@@ -27,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stacklens.llm.common import MARK, materialize, texts, unmarked
+from stacklens.llm.common import MARK, materialize, texts, unmarked, unused
 
 KINDS = ("email", "ip", "card", "phone")
 #: The given patterns; possessive, and starting only where a run starts or where the last match ended.
@@ -183,6 +183,23 @@ def sanitised(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(whole)
 
 
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` with their texts sanitised; texts without a span stay as they are, nulls too.
+
+    Spans come back by a digest of the text, of which equal texts have the same, and for texts with spans only.
+    """
+    found = find(docs, id_col, text_col, **options).where(F.size("spans") > 0)
+    digest, clean = unused(docs, "digest", "clean")
+    new = materialize(found.select(F.md5("text").alias(digest), sanitised(F.col("text"), F.col("spans")).alias(clean))
+                      .dropDuplicates([digest]))
+    keyed = docs.withColumn(digest, F.md5(text_col))
+    # only rows that may hold a span take part in the join
+    clear = unmarked(F.coalesce(text_col, F.lit("")))
+    held = F.size(F.concat(*(_spans(clear, k) for k in KINDS))) > 0
+    some = keyed.where(held).join(new, digest, "left").withColumn(text_col, F.coalesce(clean, text_col))
+    return keyed.where(~held).select(*docs.columns).unionByName(some.select(*docs.columns))
+
+
 def op8_pii(docs: DataFrame) -> DataFrame:
     found = find(docs)
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stacklens.llm.common import texts
 
@@ -191,22 +192,32 @@ def _fit(rows, ridge: float = 1.0) -> list[float]:
     return [float(theta[0]), *(max(0.0, float(t)) for t in theta[1:])]
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """doc_id, text, ``score`` of every row, and its features by class."""
-    d = texts(docs, id_col, text_col)
-    weights, theta = learn(d, labels, **options)
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+          taught_by: DataFrame | None = None, **options) -> DataFrame:
+    """``row`` (all columns of the input as they are), ``score``, and the features by class.
+
+    Labels belong to the documents of ``taught_by``, or else of ``docs``."""
+    weights, theta = learn(texts(docs if taught_by is None else taught_by, id_col, text_col), labels, **options)
     grammar = Grammar(weights)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(text_col, F.lit("")).alias("text"))
 
     def apply(batches):
         for b in batches:
             x = np.array([grammar.features(t) for t in b.column(1).to_pylist()]).reshape(-1, len(CLASSES))
             s = 1 / (1 + np.exp(-np.clip(theta[0] + x @ np.array(theta[1:]), -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), *(pa.array(x[:, k]) for k in range(len(CLASSES)))],
-                                             ["doc_id", "text", "score", *CLASSES])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), *(pa.array(x[:, k]) for k in range(len(CLASSES)))],
+                                             ["row", "score", *CLASSES])
+
+    schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType()), *(T.StructField(c, T.DoubleType()) for c in CLASSES)])
+    return rows.mapInArrow(apply, schema)
+
 
-    return d.mapInArrow(apply, "doc_id long, text string, score double, " + ", ".join(f"{c} double" for c in CLASSES))
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold."""
+    return score(docs, labels, **options).where(F.col("score") < threshold).select("row.*")
 
 
 def op1_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score(docs, labels).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return score(few, labels).select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score",
                                       (F.col("score") >= 0.5).cast("int").alias("predicted"), *CLASSES)
