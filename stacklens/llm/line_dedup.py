@@ -22,15 +22,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stacklens.llm.common import materialize, unused
-from stacklens.llm.words import chunks, hashed_counts, mix, words
+from stacklens.llm.words import chunks, count_of, hashed_counts, mix, words
 
 #: Jaccard threshold as a fraction.
 NUM, DEN = 4, 5
-RARITY_SLOTS, MET_SLOTS = 1 << 21, 1 << 22
+RARITY_SLOTS, RARITY_ROWS, MET_SLOTS = 1 << 22, 2, 1 << 22
 BITS = 50
 LINES_AT_ONCE = 1 << (64 - BITS)
 
@@ -75,7 +75,7 @@ def _entries(docs: DataFrame, rarity) -> DataFrame:
         for b in batches:
             for row, number, n, local, tokens in _lines(b.column(2)):
                 hi, lo = _keys(n, tokens)
-                count = rarity.value[(mix(tokens) % np.uint64(RARITY_SLOTS)).astype(np.int64)].astype(np.uint64)
+                count = count_of(rarity.value, tokens).astype(np.uint64)
                 # line, then rarity, then the token, which the place in the sorted tokens stands for
                 order = np.sort((local.astype(np.uint64) << np.uint64(50)) | (count << np.uint64(34)) | np.arange(len(tokens), dtype=np.uint64))
                 where = (order & np.uint64((1 << 34) - 1)).astype(np.int64)
@@ -95,32 +95,35 @@ def _entries(docs: DataFrame, rarity) -> DataFrame:
         run, "doc long, tie long, line int, hi long, lo long, n int, tokens array<long>, places array<int>")
 
 
+def _place_hash(doc: np.ndarray, tie: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return mix(mix(doc.astype(np.uint64), 1) ^ tie.astype(np.uint64), 2) ^ line.astype(np.uint64)
+
+
 def _sets(docs: DataFrame, met) -> DataFrame:
-    """(hi, lo, tokens) of lines whose key may be among those that met."""
+    """(doc, tie, line, tokens) of lines whose place may be among those that met."""
 
     def run(batches):
         for b in batches:
-            for _, _, n, local, tokens in _lines(b.column(0)):
-                hi, lo = _keys(n, tokens)
-                keep = met.value[(hi.astype(np.uint64) % np.uint64(MET_SLOTS)).astype(np.int64)] > 0
+            doc, tie = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for row, number, n, local, tokens in _lines(b.column(2)):
+                keep = count_of(met.value, _place_hash(doc[row], tie[row], number)) > 0
                 if keep.any():
                     ends = np.concatenate([[0], np.cumsum(n[keep])]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(hi[keep]), pa.array(lo[keep]),
-                         pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens[keep[local]].astype(np.int64)))], ["hi", "lo", "tokens"])
+                        [pa.array(doc[row][keep]), pa.array(tie[row][keep]), pa.array(number[keep], pa.int32()),
+                         pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens[keep[local]].astype(np.int64)))], ["doc", "tie", "line", "tokens"])
 
-    return docs.select("text").mapInArrow(run, "hi long, lo long, tokens array<long>")
+    return docs.select("doc", "tie", "text").mapInArrow(run, "doc long, tie long, line int, tokens array<long>")
 
 
-def _allowed(a: str, b: str) -> Column:
-    """Length and positional filters for a token that two entries share."""
-    n, m = F.col(f"{a}_n"), F.col(f"{b}_n")
-    most = F.least(n - F.col(f"{a}_place"), m - F.col(f"{b}_place"))
-    return ((n * DEN >= m * NUM) & (m * DEN >= n * NUM) & (most * (NUM + DEN) >= (n + m) * NUM))
+def _allowed() -> Column:
+    """Length and positional filters for a token that entries x and y share."""
+    n, m = F.col("n"), F.col("y.n")
+    most = F.least(n - F.col("place"), m - F.col("y.place"))
+    return (n * DEN >= m * NUM) & (m * DEN >= n * NUM) & (most * (NUM + DEN) >= (n + m) * NUM)
 
 
-def _renamed(df: DataFrame, name: str, keep: str = "token") -> DataFrame:
-    return df.select(keep, *(F.col(c).alias(f"{name}_{c}") for c in ("hi", "lo", "n", "place", "order")))
+PLACE = ("doc", "tie", "line")
 
 
 def find_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,47 +134,44 @@ def find_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def all_words(b):
         for _, _, data, starts in chunks(b.column(0)):
-            h = words(data, starts)[1] >> np.uint64(64 - BITS)
-            yield mix(h)
+            yield words(data, starts)[1] >> np.uint64(64 - BITS)
 
-    rarity = spark.sparkContext.broadcast(hashed_counts(d.select("text"), all_words, RARITY_SLOTS))  # of fixed size
+    rarity = spark.sparkContext.broadcast(hashed_counts(d.select("text"), all_words, RARITY_SLOTS, RARITY_ROWS))  # of fixed size
     lines = materialize(_entries(d, rarity))
-    order = F.struct("doc", "tie", "line")
-    first = materialize(lines.groupBy("hi", "lo").agg(F.min(F.struct("doc", "tie", "line", "n", "tokens", "places")).alias("f"))
-                        .select("hi", "lo", F.struct("f.doc", "f.tie", "f.line").alias("order"), "f.n", "f.tokens", "f.places"))
-    pre = (first.select("hi", "lo", "n", "order", F.explode(F.arrays_zip("tokens", "places")).alias("t"))
-           .select(F.col("t.tokens").alias("token"), F.col("t.places").alias("place"), "hi", "lo", "n", "order"))
-    lead = (pre.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("order", "hi", "lo", "n", "place")).alias("l"))
-            .where("c > 1").select("token", *(F.col(f"l.{c}").alias(f"y_{c}") for c in ("hi", "lo", "n", "place", "order"))))
-    key = ["x_hi", "x_lo", "y_hi", "y_lo"]
-    earlier = F.col("y_order") < F.col("x_order")
-    shared = materialize(_renamed(pre, "x").join(lead.select("token"), "token", "left_semi"))
-    met = materialize(shared.join(lead, "token").where(earlier & _allowed("x", "y")).select(*key).distinct())
-    settled = materialize(_verified(d, met).select("x_hi", "x_lo").distinct())
-    rest = shared.join(settled, ["x_hi", "x_lo"], "left_anti")
-    others = shared.select("token", *(F.col(f"x_{c}").alias(f"y_{c}") for c in ("hi", "lo", "n", "place", "order")))
-    more = materialize(rest.join(others, "token").where(earlier & _allowed("x", "y")).select(*key).distinct()
-                       .join(met, key, "left_anti"))
-    late = settled.unionByName(_verified(d, more).select("x_hi", "x_lo").distinct())
-    late = late.select(F.col("x_hi").alias("hi"), F.col("x_lo").alias("lo"), F.lit(True).alias("late"))
-    marks = first.select("hi", "lo", F.col("order").alias("first")).join(late, ["hi", "lo"], "left")
-    return (lines.select("hi", "lo", "doc", "tie", "line").join(marks, ["hi", "lo"]).where(F.col("late") | (order > F.col("first")))
+    place = F.struct(*PLACE)
+    # equal sets are one entry; each of its prefix tokens is a row, and the rows of a token are brought together once
+    entry = lines.groupBy("hi", "lo").agg(F.min(F.struct(*PLACE, "n", "tokens", "places")).alias("f")).select("f.*")
+    pre = (entry.select(*PLACE, "n", F.explode(F.arrays_zip("tokens", "places")).alias("t"))
+           .select(F.col("t.tokens").alias("token"), F.col("t.places").alias("place"), "n", *PLACE))
+    of_token = Window.partitionBy("token")
+    shared = materialize(pre.withColumn("c", F.count("*").over(of_token))
+                         .withColumn("y", F.min(F.struct(*PLACE, "n", "place")).over(of_token)).where("c > 1").drop("c"))
+    x, y = F.struct(*PLACE).alias("x"), F.struct(*(F.col(f"y.{c}") for c in PLACE)).alias("y")
+    met = materialize(shared.where((F.struct(*(F.col(f"y.{c}") for c in PLACE)) < place) & _allowed()).select(x, y).distinct())
+    settled = materialize(_verified(d, met).select("x").distinct())
+    rest = shared.drop("y").join(settled.select("x.*"), list(PLACE), "left_anti")
+    others = shared.select("token", F.struct(*PLACE, "n", "place").alias("y"))
+    more = materialize(rest.join(others, "token").where((F.struct(*(F.col(f"y.{c}") for c in PLACE)) < place) & _allowed())
+                       .select(x, y).distinct())
+    late = settled.unionByName(_verified(d, more).select("x").distinct()).select("x.*", F.lit(True).alias("late"))
+    first = lines.groupBy("hi", "lo").agg(F.min(place).alias("first"))
+    marks = first.select("hi", "lo", "first", "first.*").join(late, list(PLACE), "left").select("hi", "lo", "first", "late")
+    return (lines.select("hi", "lo", *PLACE).join(marks, ["hi", "lo"]).where(F.col("late") | (place > F.col("first")))
             .groupBy("doc", "tie").agg(F.sort_array(F.collect_set("line")).alias("removed")))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs of keys whose token sets reach the threshold."""
+    """Those of the pairs of places (x, y) whose token sets reach the threshold."""
     if pairs.isEmpty():
         return pairs
-    keys = materialize(pairs.select(F.col("x_hi").alias("hi"), F.col("x_lo").alias("lo"))
-                       .unionByName(pairs.select(F.col("y_hi").alias("hi"), F.col("y_lo").alias("lo"))).distinct())
-    met = docs.sparkSession.sparkContext.broadcast(  # of fixed size
-        hashed_counts(keys.select("hi"), lambda b: [b.column(0).to_numpy().astype(np.uint64)], MET_SLOTS))
-    sets = materialize(_sets(docs, met).join(keys, ["hi", "lo"], "left_semi").dropDuplicates(["hi", "lo"]))
-    side = lambda s: sets.select(F.col("hi").alias(f"{s}_hi"), F.col("lo").alias(f"{s}_lo"), F.col("tokens").alias(f"{s}_tokens"))
-    both = pairs.join(side("x"), ["x_hi", "x_lo"]).join(side("y"), ["y_hi", "y_lo"])
+    keys = materialize(pairs.select("x.*").unionByName(pairs.select("y.*")).distinct())
+    met = docs.sparkSession.sparkContext.broadcast(hashed_counts(  # of fixed size
+        keys, lambda b: [_place_hash(*(c.to_numpy() for c in b.columns))], MET_SLOTS))
+    sets = materialize(_sets(docs, met).join(keys, list(PLACE), "left_semi").dropDuplicates(PLACE))
+    side = lambda s: sets.select(F.struct(*PLACE).alias(s), F.col("tokens").alias(f"{s}_tokens"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
     same = F.size(F.array_intersect("x_tokens", "y_tokens"))
-    return both.where(same * (NUM + DEN) >= (F.size("x_tokens") + F.size("y_tokens")) * NUM).select(*pairs.columns)
+    return both.where(same * (NUM + DEN) >= (F.size("x_tokens") + F.size("y_tokens")) * NUM).select("x", "y")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

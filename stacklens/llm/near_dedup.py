@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stacklens.llm.common import materialize, texts, unused
-from stacklens.llm.words import chunks, hashed_counts, mix, words
+from stacklens.llm.words import chunks, count_of, hashed_counts, mix, words
 
 K, SKETCHES, PICKED, SIMILAR = 5, 16, 3, (4, 5)
 LEADERS = (1, 4, 16)
@@ -144,7 +144,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def some(batches):
         for b in batches:
-            keep = slots.value[(b.column(2).to_numpy().astype(np.uint64) % np.uint64(SLOTS)).astype(np.int64)] > 0
+            keep = count_of(slots.value, b.column(2).to_numpy().astype(np.uint64)) > 0
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in b.columns[:2]], ["copy", "text"])
 
     held = materialize(docs.select("copy", "text", number).mapInArrow(some, "copy binary, text string")

@@ -68,21 +68,22 @@ def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return first, mix((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64))
 
 
-def hashed_counts(df: DataFrame, hashes, slots: int) -> np.ndarray:
-    """How often hashes fall into each of ``slots`` slots, up to 65535: a table of fixed size on the driver.
+def hashed_counts(df: DataFrame, hashes, slots: int, rows: int = 1) -> np.ndarray:
+    """How often hashes fall into each slot of ``rows`` tables of ``slots``, up to 65535; of fixed size on the driver.
 
-    ``hashes`` gives arrays of 64-bit hashes for a batch of ``df``. Each task sends its counts in 4096-slot pieces.
+    ``hashes`` gives arrays of 64-bit hashes for a batch of ``df``. Each task sends its counts in pieces that hold any.
     """
-    size = 4096
+    size = min(slots, 1 << 16)
 
     def run(batches):
-        n = np.zeros(slots, np.int64)
+        n = np.zeros((rows, slots), np.uint32)
         for b in batches:
             for h in hashes(b):
-                n += np.bincount((h % np.uint64(slots)).astype(np.int64), minlength=slots)
+                for r in range(rows):
+                    n[r] += np.bincount(slot_of(h, slots, r), minlength=slots).astype(np.uint32)
         parts = np.minimum(n, 65535).astype("<u2").reshape(-1, size)
-        used = np.flatnonzero(parts.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([parts[i].tobytes() for i in used], pa.binary())], ["part", "n"])
+        for i in np.flatnonzero(parts.any(axis=1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([parts[i].tobytes()], pa.binary())], ["part", "n"])
 
     def add(key, table):
         total = np.zeros(size, np.int64)
@@ -91,8 +92,19 @@ def hashed_counts(df: DataFrame, hashes, slots: int) -> np.ndarray:
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()),
                          "n": pa.array([np.minimum(total, 65535).astype("<u2").tobytes()], pa.binary())})
 
-    rows = df.mapInArrow(run, "part int, n binary").groupBy("part").applyInArrow(add, "part int, n binary").collect()
-    out = np.zeros((slots // size, size), "<u2")
-    for r in rows:
+    out = np.zeros((rows * slots // size, size), "<u2")
+    for r in df.mapInArrow(run, "part int, n binary").groupBy("part").applyInArrow(add, "part int, n binary").collect():
         out[r["part"]] = np.frombuffer(r["n"], "<u2")
-    return out.ravel()
+    return out.reshape(rows, slots)
+
+
+def slot_of(h: np.ndarray, slots: int, row: int = 0) -> np.ndarray:
+    return (mix(h, 90 + row) % np.uint64(slots)).astype(np.int64)
+
+
+def count_of(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The least of a hash's counts in the rows of a table: never less than how often it was counted."""
+    out = table[0][slot_of(h, table.shape[1])]
+    for r in range(1, len(table)):
+        out = np.minimum(out, table[r][slot_of(h, table.shape[1], r)])
+    return out
