@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stacklens.session import materialize, shared_dir
+from stacklens.session import materialize, shared_dir, ship
 
 __all__ = ["materialize", "shared_dir", "table", "texts", "unused"]
 
@@ -14,6 +14,7 @@ MARK = "\u0001"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -8,9 +8,10 @@ one id by a hash of the text) has a Jaccard similarity of ``4 / 5`` or more with
 2. Each line gives a 128-bit key of its token set, and the part of its rarest tokens that any match must
    share one of (prefix filter). Tokens that occur once in all texts cannot be shared and are left out.
 3. Equal sets are one entry, at its first line. Entries with a prefix token in common meet if their sizes
-   (length filter) and the places of that token (positional filter) still allow the threshold. First all meet
-   the earliest entry of each token: that settles groups of near copies without pairs among them. Only
-   entries not yet settled then meet the earlier ones of their tokens.
+   (length filter) and the number and the places of the tokens shared (positional filter) still allow the
+   threshold. Entries of a token with few of them meet at once. Where a token has many, all meet its earliest
+   entry first, which settles groups of near copies without pairs among them, and only entries that are not
+   settled then meet the earlier ones. Both ways are exact.
 4. Token sets of the lines that met are read again from the texts, and Jaccard is computed exactly.
 
 Tokens are compared by 50-bit hashes. Defined results: null, empty and blank lines have no tokens and stay;
@@ -92,7 +93,7 @@ def _entries(docs: DataFrame, rarity) -> DataFrame:
                     ["doc", "tie", "line", "hi", "lo", "n", "tokens", "places"])
 
     return docs.select("doc", "tie", "text").mapInArrow(
-        run, "doc long, tie long, line int, hi long, lo long, n int, tokens array<long>, places array<int>")
+        run, "doc long, tie int, line int, hi long, lo long, n int, tokens array<long>, places array<int>")
 
 
 def _place_hash(doc: np.ndarray, tie: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -113,24 +114,46 @@ def _sets(docs: DataFrame, met) -> DataFrame:
                         [pa.array(doc[row][keep]), pa.array(tie[row][keep]), pa.array(number[keep], pa.int32()),
                          pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens[keep[local]].astype(np.int64)))], ["doc", "tie", "line", "tokens"])
 
-    return docs.select("doc", "tie", "text").mapInArrow(run, "doc long, tie long, line int, tokens array<long>")
+    return docs.select("doc", "tie", "text").mapInArrow(run, "doc long, tie int, line int, tokens array<long>")
 
 
-def _allowed() -> Column:
-    """Length and positional filters for a token that entries x and y share."""
-    n, m = F.col("n"), F.col("y.n")
-    most = F.least(n - F.col("place"), m - F.col("y.place"))
-    return (n * DEN >= m * NUM) & (m * DEN >= n * NUM) & (most * (NUM + DEN) >= (n + m) * NUM)
+def _prefix(n: Column) -> Column:
+    """How many of n tokens a match must share one of: n - ceil(n * NUM / DEN) + 1."""
+    return F.floor((n * (DEN - NUM)) / DEN).cast("int") + 1
 
 
+def _candidates(rows: DataFrame) -> DataFrame:
+    """Pairs (x, y) that may reach the threshold, from a row (x, n, place, y, m, y_place) per shared prefix token.
+
+    What is shared up to the last shared prefix token is counted. Later tokens in common lie beyond the prefix
+    of one of the two, so there are at most as many as either has left, or one has beyond its prefix.
+    """
+    pairs = rows.groupBy("x", "n", "y", "m").agg(F.count("*").alias("c"), F.max("place").alias("p"), F.max("y_place").alias("q"))
+    n, m = F.col("n"), F.col("m")
+    rest = F.least(n - F.col("p") - 1, m - F.col("q") - 1, F.greatest(n - _prefix(n), m - _prefix(m)))
+    return pairs.where((F.col("c") + rest) * (NUM + DEN) >= (n + m) * NUM).select("x", "y")
+
+
+def _fits() -> Column:
+    """Length filter."""
+    return (F.col("n") * DEN >= F.col("m") * NUM) & (F.col("m") * DEN >= F.col("n") * NUM)
+
+
+#: Entries of a token that meet each other at once; those of more frequent tokens meet its first entry before.
+FEW = 48
 PLACE = ("doc", "tie", "line")
 
 
+def _tie(text_col: str) -> Column:
+    """Tells apart different texts of one id."""
+    return F.shiftright(F.xxhash64(F.coalesce(text_col, F.lit(""))), 32).cast("int")
+
+
 def find_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc (null ids: the least number), tie, ``removed`` (numbers of the lines that go, in order)."""
     spark = docs.sparkSession
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-2 ** 63)).alias("doc"),
-                    F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("tie"), F.coalesce(text_col, F.lit("")).alias("text"))
+                    _tie(text_col).alias("tie"), F.coalesce(text_col, F.lit("")).alias("text"))
 
     def all_words(b):
         for _, _, data, starts in chunks(b.column(0)):
@@ -141,18 +164,24 @@ def find_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     place = F.struct(*PLACE)
     # equal sets are one entry; each of its prefix tokens is a row, and the rows of a token are brought together once
     entry = lines.groupBy("hi", "lo").agg(F.min(F.struct(*PLACE, "n", "tokens", "places")).alias("f")).select("f.*")
-    pre = (entry.select(*PLACE, "n", F.explode(F.arrays_zip("tokens", "places")).alias("t"))
-           .select(F.col("t.tokens").alias("token"), F.col("t.places").alias("place"), "n", *PLACE))
-    of_token = Window.partitionBy("token")
-    shared = materialize(pre.withColumn("c", F.count("*").over(of_token))
-                         .withColumn("y", F.min(F.struct(*PLACE, "n", "place")).over(of_token)).where("c > 1").drop("c"))
-    x, y = F.struct(*PLACE).alias("x"), F.struct(*(F.col(f"y.{c}") for c in PLACE)).alias("y")
-    met = materialize(shared.where((F.struct(*(F.col(f"y.{c}") for c in PLACE)) < place) & _allowed()).select(x, y).distinct())
+    pre = (entry.select(F.struct(*PLACE).alias("x"), "n", F.explode(F.arrays_zip("tokens", "places")).alias("t"))
+           .select(F.col("t.tokens").alias("token"), "x", "n", F.col("t.places").alias("place")))
+    shared = pre.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1")
+    rows = F.sort_array(F.collect_list(F.struct("x", "n", "place")))
+    few = (shared.where(F.col("c") <= FEW).groupBy("token").agg(rows.alias("all"))
+           .select("token", "all", F.posexplode("all").alias("at", "a")).where("at > 0")
+           .select("token", "a.*", F.explode(F.slice("all", 1, F.col("at"))).alias("b"))
+           .select("token", "x", "n", "place", F.col("b.x").alias("y"), F.col("b.n").alias("m"), F.col("b.place").alias("y_place")).where(_fits()))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("y", "struct<doc:long,tie:int,line:int>"), ("m", "int"), ("y_place", "int"))]
+    both = materialize(few.unionByName(shared.where(F.col("c") > FEW).select("token", "x", "n", "place", *none)))
+    few, many = both.where("y IS NOT NULL").drop("token"), both.where("y IS NULL").select("token", "x", "n", "place")
+    other = many.select("token", F.col("x").alias("y"), F.col("n").alias("m"), F.col("place").alias("y_place"))
+    lead = many.groupBy("token").agg(F.min(F.struct("x", "n", "place")).alias("l")).select(
+        "token", F.col("l.x").alias("y"), F.col("l.n").alias("m"), F.col("l.place").alias("y_place"))
+    met = materialize(_candidates(many.join(lead, "token").where((F.col("y") < F.col("x")) & _fits())))
     settled = materialize(_verified(d, met).select("x").distinct())
-    rest = shared.drop("y").join(settled.select("x.*"), list(PLACE), "left_anti")
-    others = shared.select("token", F.struct(*PLACE, "n", "place").alias("y"))
-    more = materialize(rest.join(others, "token").where((F.struct(*(F.col(f"y.{c}") for c in PLACE)) < place) & _allowed())
-                       .select(x, y).distinct())
+    rest = many.join(settled, "x", "left_anti").join(other, "token").where((F.col("y") < F.col("x")) & _fits())
+    more = materialize(_candidates(few.unionByName(rest.select(*few.columns))))
     late = settled.unionByName(_verified(d, more).select("x").distinct()).select("x.*", F.lit(True).alias("late"))
     first = lines.groupBy("hi", "lo").agg(F.min(place).alias("first"))
     marks = first.select("hi", "lo", "first", "first.*").join(late, list(PLACE), "left").select("hi", "lo", "first", "late")
@@ -179,7 +208,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     before and ``removed_lines`` (underscores are added to names that are taken)."""
     doc, tie, removed, n_lines = unused(docs, "doc", "tie", "removed_lines", "n_lines")
     found = find_lines(docs, id_col, text_col).select(F.col("doc").alias(doc), F.col("tie").alias(tie), F.col("removed").alias(removed))
-    keyed = docs.withColumns({doc: F.coalesce(F.col(id_col).cast("long"), F.lit(-2 ** 63)), tie: F.xxhash64(F.coalesce(text_col, F.lit("")))})
+    keyed = docs.withColumns({doc: F.coalesce(F.col(id_col).cast("long"), F.lit(-2 ** 63)), tie: _tie(text_col)})
     parts = F.split(text_col, "\n", -1)
     kept = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains(removed, i)), "\n")
     return (keyed.join(found, [doc, tie], "left")
@@ -191,7 +220,7 @@ def op2_line_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: how many lines it has and which of them go (each has a link to an earlier line)."""
     found = find_lines(docs)
     d = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-2 ** 63)).alias("doc"),
-                    F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n_lines"))
+                    _tie("text").alias("tie"), F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n_lines"))
     n = F.coalesce(F.size("removed"), F.lit(0))
     return d.join(found, ["doc", "tie"], "left").select(
         "doc_id", F.col("n_lines").cast("long").alias("n_lines"), n.cast("long").alias("n_removed"),

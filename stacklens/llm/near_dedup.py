@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from stacklens.llm.common import materialize, texts, unused
 from stacklens.llm.words import chunks, count_of, hashed_counts, mix, words
 
-K, SKETCHES, PICKED, SIMILAR = 5, 16, 3, (4, 5)
+K, SKETCHES, PICKED, SIMILAR = 5, 24, 4, (4, 5)
 LEADERS = (1, 4, 16)
 SLOTS = 1 << 22
 
@@ -135,9 +135,9 @@ def aligned(a: list, b: list) -> bool:
     return len(a) - row.bit_count() >= rest
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the (copy, leader) pairs whose texts align; reads texts that are in a pair only."""
-    need = materialize(pairs.select("copy").unionByName(pairs.select(F.col("leader").alias("copy"))).distinct())
+def _held(docs: DataFrame, need: DataFrame) -> DataFrame:
+    """The texts (copy, text) of the entries that share a bucket, once each."""
+    need = materialize(need)
     number = F.xxhash64("copy").alias("h")
     slots = docs.sparkSession.sparkContext.broadcast(  # of fixed size
         hashed_counts(need.select(number), lambda b: [b.column(0).to_numpy().astype(np.uint64)], SLOTS))
@@ -147,9 +147,13 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             keep = count_of(slots.value, b.column(2).to_numpy().astype(np.uint64)) > 0
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in b.columns[:2]], ["copy", "text"])
 
-    held = materialize(docs.select("copy", "text", number).mapInArrow(some, "copy binary, text string")
+    return materialize(docs.select("copy", "text", number).mapInArrow(some, "copy binary, text string")
                        .join(need, "copy", "left_semi").dropDuplicates(["copy"]))
 
+
+def _verified(held: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the (copy, leader) pairs whose texts align."""
+
     def check(batches):
         for b in batches:
             keep = [aligned(x.encode().split(), y.encode().split()) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
@@ -176,6 +180,7 @@ def matches(docs: DataFrame) -> DataFrame:
     rows = entries.select("copy", "n", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     left, found, turn = materialize(rows.join(shared, "key", "left_semi")), None, 0
+    held = _held(docs, left.select("copy").distinct())
     while not left.isEmpty():
         picked = [F.min(F.struct(F.xxhash64("key", "copy", F.lit(turn * 100 + j)).alias("h"), "copy", "n")).alias(f"l{j}")
                   for j in range(LEADERS[min(turn, len(LEADERS) - 1)])]
@@ -187,7 +192,7 @@ def matches(docs: DataFrame) -> DataFrame:
         num, den = SIMILAR
         close = (F.col("n") * den >= F.col("m") * num) & (F.col("m") * den >= F.col("n") * num)
         pairs = met.where(~F.col("own") & close).select("copy", "leader").distinct()
-        ok = materialize(_verified(docs, materialize(pairs)))
+        ok = materialize(_verified(held, pairs))
         found = ok if found is None else found.unionByName(ok)
         done = met.where("own").select("key", "copy").unionByName(met.join(ok, ["copy", "leader"]).select("key", "copy")).distinct()
         # a bucket without leaders had one entry left; its rows are done as well
