@@ -18,6 +18,8 @@ from stacklens.rules import fixed as R
 # Position of a file kind in a repository's dependency order.
 SOURCE_RANK = {"requirements": 0, "setup": 1, "pyproject": 2, "imports": 3}
 _RANK_STEP = 10**12
+# The body of a list up to its closing bracket; brackets within quoted strings, such as extras, do not close it.
+LIST_BODY = r"""((?:[^\]"'#]|"[^"]*+"|'[^']*+'|#[^\n]*+)*+)\]"""
 
 
 def _rows(files: DataFrame, specs, kind: str, source) -> DataFrame:
@@ -54,21 +56,19 @@ def parse_requirements(files: DataFrame) -> DataFrame:
 
 def parse_setup_py(files: DataFrame, mode: str = "native") -> DataFrame:
     """Strings in the ``install_requires`` / ``requires`` lists of a setup file."""
-    if mode == "exact":
-        return _exact(files, _setup_specs, "setup", lambda pos, path: F.lit("setup.py"))
-    blocks = X.extract_all(F.col("content"), r"(?s)\b(?:install_requires|requires)\s*=\s*\[(.*?)\]", 1)
+    blocks = X.extract_all(F.col("content"), r"\b(?:install_requires|requires)\s*=\s*\[" + LIST_BODY, 1)
     strings = F.flatten(F.transform(blocks, lambda b: X.extract_all(b, X.QUOTED, 1)))
-    return _rows(files, F.transform(strings, X.requirement), "setup",
-                 lambda pos, path: F.lit("setup.py"))
+    specs, source = F.transform(strings, X.requirement), lambda pos, path: F.lit("setup.py")
+    if mode == "exact":
+        return _exact(files, _setup_items, "setup", source, specs)
+    return _rows(files, specs, "setup", source)
 
 
 def parse_pyproject(files: DataFrame, mode: str = "native") -> DataFrame:
     """``project.dependencies`` and the poetry table of a pyproject file."""
-    if mode == "exact":
-        return _exact(files, _pyproject_specs, "pyproject", lambda pos, path: F.lit("pyproject.toml"))
     content = F.col("content")
     listed = F.transform(F.flatten(F.transform(
-        X.extract_all(content, r"(?ms)^dependencies\s*=\s*\[(.*?)\]", 1),
+        X.extract_all(content, r"(?m)^dependencies\s*=\s*\[" + LIST_BODY, 1),
         lambda b: X.extract_all(b, X.QUOTED, 1))), X.requirement)
     table = F.concat(content, F.lit("\n["))
     section = F.regexp_extract(table, r"(?s)\[tool\.poetry\.dependencies\](.*?)\n\[", 1)
@@ -80,7 +80,11 @@ def parse_pyproject(files: DataFrame, mode: str = "native") -> DataFrame:
         return F.when((name != "") & (name != "python"), F.struct(
             name.alias("name"), F.lit(None).cast("string").alias("op"), version.alias("version")))
     specs = F.concat(listed, F.transform(X.lines(section), poetry))
-    return _rows(files, specs, "pyproject", lambda pos, path: F.lit("pyproject.toml"))
+    source = lambda pos, path: F.lit("pyproject.toml")
+    if mode == "exact":
+        # of a file that does not parse, only entries with a version are taken
+        return _exact(files, _pyproject_items, "pyproject", source, F.filter(specs, lambda s: s["version"].isNotNull()))
+    return _rows(files, specs, "pyproject", source)
 
 
 def scan_imports(files: DataFrame, mode: str = "native") -> DataFrame:
@@ -88,7 +92,7 @@ def scan_imports(files: DataFrame, mode: str = "native") -> DataFrame:
     mapped = S.string_map(R.IMPORT_MAP)
     source = lambda pos, path: F.concat(F.lit("imports:"), path)
     if mode == "exact":
-        return _exact(files, _import_specs, "imports", source)
+        return _exact(files, _import_items, "imports", source, F.array().cast(_SPEC))
     content = F.col("content")
     plain = F.flatten(F.transform(X.extract_all(content, r"(?m)^[ \t]*import[ \t]+([^#;\n]+)", 1),
                                   lambda m: F.split(m, ",")))
@@ -102,63 +106,66 @@ def scan_imports(files: DataFrame, mode: str = "native") -> DataFrame:
     return _rows(files, specs, "imports", source)
 
 
-# -- exact modes: the language's own parsers, one file at a time inside Arrow batches --------
+# -- exact modes: the language's own parsers inside Arrow batches; the patterns where a file does not parse
 _SPEC = "array<struct<name:string,op:string,version:string>>"
 
 
-def _exact(files: DataFrame, parser, kind: str, source) -> DataFrame:
+def _exact(files: DataFrame, read, kind: str, source, native) -> DataFrame:
+    """``read`` gives a file's requirements as (text, or name and version) items, or raises on a broken file."""
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"repo_id": pdf["repo_id"], "path": pdf["path"],
-                                "specs": [parser(c or "") for c in pdf["content"]]})
+            specs = []
+            for content in pdf["content"]:
+                try:
+                    specs.append([_spec(x) for x in read(content or "")])
+                except (SyntaxError, ValueError, AttributeError, TypeError):
+                    specs.append(None)
+            yield pdf.assign(specs=specs)
 
     id_type = files.schema["repo_id"].dataType.simpleString()
     parsed = files.select("repo_id", "path", "content").mapInPandas(
-        parse, f"repo_id {id_type}, path string, specs {_SPEC}")
-    return _rows(parsed, F.col("specs"), kind, source)
-
-
-def _spec(line: str):
-    m = re.match(X.REQUIREMENT, line.split("#")[0].strip())
-    return {"name": m[1].lower(), "op": m[2], "version": m[3]} if m else None
-
-
-def _setup_specs(content: str) -> list:
-    try:
-        calls = [n for n in ast.walk(ast.parse(content)) if isinstance(n, ast.Call)]
-    except (SyntaxError, ValueError):
-        found = re.findall(r"\b(?:install_requires|requires)\s*=\s*\[(.*?)\]", content, re.DOTALL)
-        return [_spec(s) for block in found for s in re.findall(X.QUOTED, block)]
-    lists = [k.value for c in calls if getattr(c.func, "id", None) == "setup" for k in c.keywords
-             if k.arg in ("install_requires", "requires") and isinstance(k.value, ast.List)]
-    return [_spec(e.value) for lst in lists for e in lst.elts
-            if isinstance(e, ast.Constant) and isinstance(e.value, str)]
-
-
-def _pyproject_specs(content: str) -> list:
-    try:
-        data = tomllib.loads(content)
-        listed = [_spec(d) for d in data.get("project", {}).get("dependencies", [])]
-        poetry = data.get("tool", {}).get("poetry", {}).get("dependencies", {})
-        table = [{"name": n, "op": None,
-                  "version": v if isinstance(v, str) else v.get("version") if isinstance(v, dict) else None}
-                 for n, v in poetry.items() if n != "python"]
-        return listed + table
-    except (tomllib.TOMLDecodeError, AttributeError, TypeError):
-        blocks = re.findall(r"dependencies\s*=\s*\[(.*?)\]", content, re.DOTALL)
-        blocks += re.findall(r"\[tool\.poetry\.dependencies\](.*?)(?=\[|\Z)", content, re.DOTALL)
-        return [_spec(s) for b in blocks for s in re.findall(X.QUOTED, b) if re.search("[=<>]", s)]
-
-
-def _import_specs(content: str) -> list:
-    try:
-        nodes = list(ast.walk(ast.parse(content)))
-    except (SyntaxError, ValueError):
-        return []
-    mods = {a.name for n in nodes if isinstance(n, ast.Import) for a in n.names}
-    mods |= {n.module for n in nodes if isinstance(n, ast.ImportFrom) and n.module}
-    names = {R.IMPORT_MAP.get(t, t) for t in (m.split(".")[0] for m in mods)}
-    return [{"name": n, "op": None, "version": None} for n in sorted(names - set(R.IMPORT_SKIP))]
+        parse, f"repo_id {id_type}, path string, content string, specs {_SPEC}")
+    return _rows(parsed, F.coalesce("specs", native), kind, source)
+
+
+def _spec(item):
+    if isinstance(item, tuple):
+        return {"name": item[0], "op": None, "version": item[1]}
+    m = re.match(X.REQUIREMENT, item.partition("#")[0].strip())
+    return m and {"name": m[1].lower(), "op": m[2], "version": m[3]}
+
+
+def _setup_items(content: str) -> Iterator[str]:
+    """PEP 508 strings of the keyword lists of a ``setup`` call."""
+    for node in ast.walk(ast.parse(content)):
+        match node:
+            case ast.Call(func=ast.Name(id="setup"), keywords=keywords):
+                for k in keywords:
+                    match k:
+                        case ast.keyword(arg="install_requires" | "requires", value=ast.List(elts=items)):
+                            yield from (e.value for e in items if isinstance(e, ast.Constant) and isinstance(e.value, str))
+
+
+def _pyproject_items(content: str) -> Iterator[str | tuple[str, str | None]]:
+    """PEP 621 strings, then the poetry table's entries, whose value is a version or a table that may hold one."""
+    data = tomllib.loads(content)
+    yield from data.get("project", {}).get("dependencies", [])
+    for name, value in data.get("tool", {}).get("poetry", {}).get("dependencies", {}).items():
+        if name != "python":
+            entry = {"version": value} if isinstance(value, str) else value if isinstance(value, dict) else {}
+            yield name, entry.get("version")
+
+
+def _import_items(content: str) -> list[tuple[str, None]]:
+    """Packages of the top-level names that a file imports, by name."""
+    tops: set[str] = set()
+    for node in ast.walk(ast.parse(content)):
+        match node:
+            case ast.Import(names=names):
+                tops.update(a.name.partition(".")[0] for a in names)
+            case ast.ImportFrom(module=str(module)):
+                tops.add(module.partition(".")[0])
+    return [(n, None) for n in sorted({R.IMPORT_MAP.get(t, t) for t in tops}.difference(R.IMPORT_SKIP))]
 
 
 # -- relations over dependency rows -----------------------------------------------------------

@@ -23,15 +23,17 @@ def pick_files(files: DataFrame, candidates: list[str], mode: str = "first") ->
             .select("repo_id", "f.*"))
 
 
-def pick_source_files(files: DataFrame, limit: int = R.SOURCE_FILE_LIMIT,
-                      max_bytes: int = R.SOURCE_FILE_MAX_BYTES) -> DataFrame:
-    """First ``limit`` top-level Python files below ``max_bytes`` per repository.
+def pick_source_files(files: DataFrame, limit: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Python files of each repository with their rank by path; all of them unless limits are given.
 
-    The size filter runs before any content is shuffled, and the rank becomes a group limit.
+    With limits, the size filter runs before any content is shuffled, and the rank becomes a group limit.
     """
-    small = files.where(F.col("path").endswith(".py") & (F.col("size") < max_bytes))
+    small = files.where(F.col("path").endswith(".py"))
+    if max_bytes is not None:
+        small = small.where(F.col("size") < max_bytes)
     w = Window.partitionBy("repo_id").orderBy("path")
-    return small.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    ranked = small.withColumn("rank", F.row_number().over(w))
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
 def parse_repo_url(urls: DataFrame, url: str = "url", host: str = "github.com") -> DataFrame:

@@ -163,19 +163,20 @@ VALIDATION_TENSORFLOW_GPU = ("tensorflow_gpu", "python -c 'import tensorflow as
 VALIDATION_IMPORTS = ["torch", "tensorflow", "jax"]
 
 
-def validation_plan(deps: DataFrame) -> DataFrame:
+def validation_plan(deps: DataFrame, first: int | None = None) -> DataFrame:
     """Test names and commands per repository.
 
-    Import tests apply to frameworks among the first five dependencies. ``row_number <= 5`` becomes
-    a window group limit, so each map task sends at most five rows per repository to the shuffle.
+    Import tests apply to all frameworks, or to those among the ``first`` dependencies. With a number,
+    the rank becomes a window group limit, so each map task sends few rows per repository to the shuffle.
     """
     from pyspark.sql import Window
 
     python = deps.where(F.col("dep_type") == "python")
     w = Window.partitionBy("repo_id").orderBy("first_ord")
-    first5 = (python.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= 5)
-              .where(F.col("name").isin(VALIDATION_IMPORTS))
-              .select("repo_id", F.concat(F.lit("import_"), "name").alias("test"),
+    if first is not None:
+        python = python.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= first)
+    imports = (python.where(F.col("name").isin(VALIDATION_IMPORTS))
+               .select("repo_id", F.concat(F.lit("import_"), "name").alias("test"),
                       F.concat(F.lit("python -c 'import "), "name", F.lit("; print(f\""), "name",
                                F.lit(" imported successfully\")'")).alias("command")))
     facts = deps.groupBy("repo_id").agg(
@@ -188,4 +189,4 @@ def validation_plan(deps: DataFrame) -> DataFrame:
         F.when(F.col("gpu") & F.col("torch"), test(VALIDATION_TORCH_GPU)),
         F.when(F.col("gpu") & F.col("tf"), test(VALIDATION_TENSORFLOW_GPU))))
     fixed = facts.select("repo_id", F.explode(tests).alias("t")).select("repo_id", "t.*")
-    return fixed.unionByName(first5)
+    return fixed.unionByName(imports)

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stacklens.session import ship
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -198,9 +200,6 @@ FROM conversations
 """
 
 # views whose rows carry text that is costly to read through
-TEXT_VIEWS = {"v_manifests", "v_readmes", "v_dockerfiles", "v_ci_files", "v_setup_files", "v_pyproject_files",
-              "v_source_files", "v_logs", "v_responses"}
-
 _REF = re.compile(r"\b(vocab|v_[a-z_]+)\b")
 
 
@@ -237,6 +236,7 @@ class Bound:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
+        ship(spark)
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         # call-site capture costs a stack walk per column expression on the driver
         spark.conf.set("spark.sql.dataFrameQueryContext.enabled", "false")
@@ -251,16 +251,7 @@ class Bound:
                 self.table(t).createOrReplaceTempView(t)
         return self.spark.sql(full)
 
-    def spread(self, df: DataFrame) -> DataFrame:
-        """Spread text over all cores when a small input scans with fewer tasks than there are.
-
-        Large tables have more splits than cores, and are left alone.
-        """
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
-            df = self.sql(f"SELECT * FROM {name}")
-            return self.spread(df) if name in TEXT_VIEWS else df
+            return self.sql(f"SELECT * FROM {name}")
         raise AttributeError(name)

@@ -215,7 +215,7 @@ SELECT repo_id, path, row_number() OVER (PARTITION BY repo_id ORDER BY path) AS
 QUALIFY rank <= 10""")(
     lambda c: RP.pick_source_files(c.table("documents").select(
         (F.col("doc_id") % 50).alias("repo_id"), F.concat(F.lit("m"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"),
-        F.col("n_chars").alias("size"))).select("repo_id", "path", F.col("rank").cast("bigint").alias("rank")))
+        F.col("n_chars").alias("size")), limit=R.SOURCE_FILE_LIMIT, max_bytes=R.SOURCE_FILE_MAX_BYTES).select("repo_id", "path", F.col("rank").cast("bigint").alias("rank")))
 query("q_urls", "SELECT repo_id, url, owner, name, owner || '/' || name AS repo_key FROM v_repos")(
     lambda c: RP.parse_repo_url(c.v_repos.select("repo_id", "url")).select("repo_id", "url", "owner", "name", "repo_key"))
 query("q_page_urls", r"""
@@ -358,7 +358,7 @@ query("q_validation_plan", " UNION ALL ".join(
        f"SELECT repo_id, {_vt(ST.VALIDATION_TENSORFLOW_GPU)} FROM {_FG} WHERE gpu AND tf",
        """SELECT repo_id, 'import_' || name, 'python -c ''import ' || name || '; print(f"' || name || ' imported successfully")''' FROM (
           SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY first_ord) AS rn FROM v_dedup) WHERE rn <= 5 AND name IN ('torch', 'tensorflow', 'jax')"""]))(
-    lambda c: ST.validation_plan(c.deps))
+    lambda c: ST.validation_plan(c.deps, first=5))
 
 # -- systems ------------------------------------------------------------------------------------------------------
 _SCORE = "CAST(floor(least(least(cpu_cores * 2.0, 30) + least(memory_gb, 20) + gpu_count * least(gpu_memory * 2, 25), 100)) AS BIGINT)"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +39,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/stacklens-{uuid.uuid4().hex}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Give Python workers this package, once per Spark context, wherever the driver was started."""
+    context = spark.sparkContext
+    if getattr(context, "_stacklens_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), "stacklens.zip")  # the driver serves it to the executors
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                z.write(path, os.path.join("stacklens", os.path.relpath(path, root)))
+    context.addPyFile(archive)
+    context._stacklens_shipped = True
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage and survives executor loss."""
     path = shared_dir(df.sparkSession)

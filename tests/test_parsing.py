@@ -147,3 +147,13 @@ def test_pip_suggestions(spark):
 def test_response_answer(spark, text, want):
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(X.response_answer(F.col("t"))).first()[0] == want
+
+
+def test_lists_with_extras_keep_their_other_entries(spark):
+    from stacklens.operators import dependencies as D
+    setup = 'setup(install_requires=["uvicorn[standard]>=0.2", "torch>=2.0", # ]\n "numpy"])'
+    project = '[project]\ndependencies = ["uvicorn[standard]", "torch>=2.0", \'numpy\']\n'
+    files = lambda text, path: spark.createDataFrame([(1, path, text)], "repo_id long, path string, content string")
+    for parse, text, path in ((D.parse_setup_py, setup, "setup.py"), (D.parse_pyproject, project, "pyproject.toml")):
+        for mode in ("native", "exact"):
+            assert {"torch", "numpy"} <= {r.name for r in parse(files(text, path), mode).collect()}
