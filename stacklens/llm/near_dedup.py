@@ -6,7 +6,7 @@ one bucket key. Texts with few edits between them share keys; the same words in
 
 Candidates: texts that are equal are one entry. In a bucket all entries meet a leader (the smallest by a hash
 of its own); those that match it, and the leader, are done there. While two or more remain, they meet further
-leaders, 4 and then 16 at a time, until none remain: nothing is cut off, and a group of n near copies costs n
+leaders, 16 and then 64 at a time, until none remain: nothing is cut off, and a group of n near copies costs n
 comparisons in a bucket and not n squared. Bucket keys of different hash functions have different leaders.
 
 Verification: the longest common subsequence of the two texts' words, within the band that a match can use,
@@ -31,7 +31,7 @@ from stacklens.llm.common import materialize, texts, unused
 from stacklens.llm.words import chunks, count_of, hashed_counts, mix, words
 
 K, SKETCHES, PICKED, SIMILAR = 5, 24, 4, (4, 5)
-LEADERS = (1, 4, 16)
+LEADERS = (1, 16, 64)
 SLOTS = 1 << 22
 
 
