@@ -135,8 +135,11 @@ def _candidates(rows: DataFrame) -> DataFrame:
 
 
 def _fits() -> Column:
-    """Length filter."""
-    return (F.col("n") * DEN >= F.col("m") * NUM) & (F.col("m") * DEN >= F.col("n") * NUM)
+    """Length filter, and the positional filter of one shared token: as many tokens can be shared before it as
+    either has there, and after it likewise. No shared token of a matching pair fails."""
+    n, m, at, to = (F.col(c) for c in ("n", "m", "place", "y_place"))
+    most = F.least(at, to) + 1 + F.least(n - at - 1, m - to - 1)
+    return (n * DEN >= m * NUM) & (m * DEN >= n * NUM) & (most * (NUM + DEN) >= (n + m) * NUM)
 
 
 #: Entries of a token that meet each other at once; those of more frequent tokens meet its first entry before.
@@ -167,15 +170,13 @@ def find_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     pre = (entry.select(F.struct(*PLACE).alias("x"), "n", F.explode(F.arrays_zip("tokens", "places")).alias("t"))
            .select(F.col("t.tokens").alias("token"), "x", "n", F.col("t.places").alias("place")))
     shared = pre.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1")
-    rows = F.sort_array(F.collect_list(F.struct("x", "n", "place")))
-    few = (shared.where(F.col("c") <= FEW).groupBy("token").agg(rows.alias("all"))
-           .select("token", "all", F.posexplode("all").alias("at", "a")).where("at > 0")
-           .select("token", "a.*", F.explode(F.slice("all", 1, F.col("at"))).alias("b"))
-           .select("token", "x", "n", "place", F.col("b.x").alias("y"), F.col("b.n").alias("m"), F.col("b.place").alias("y_place")).where(_fits()))
+    as_y = [F.col("x").alias("y"), F.col("n").alias("m"), F.col("place").alias("y_place")]
+    rare = shared.where(F.col("c") <= FEW).select("token", "x", "n", "place")
+    few = rare.join(rare.select("token", *as_y), "token").where((F.col("y") < F.col("x")) & _fits())
     none = [F.lit(None).cast(t).alias(c) for c, t in (("y", "struct<doc:long,tie:int,line:int>"), ("m", "int"), ("y_place", "int"))]
     both = materialize(few.unionByName(shared.where(F.col("c") > FEW).select("token", "x", "n", "place", *none)))
     few, many = both.where("y IS NOT NULL").drop("token"), both.where("y IS NULL").select("token", "x", "n", "place")
-    other = many.select("token", F.col("x").alias("y"), F.col("n").alias("m"), F.col("place").alias("y_place"))
+    other = many.select("token", *as_y)
     lead = many.groupBy("token").agg(F.min(F.struct("x", "n", "place")).alias("l")).select(
         "token", F.col("l.x").alias("y"), F.col("l.n").alias("m"), F.col("l.place").alias("y_place"))
     met = materialize(_candidates(many.join(lead, "token").where((F.col("y") < F.col("x")) & _fits())))
