@@ -8,8 +8,8 @@ one id by a hash of the text) has a Jaccard similarity of ``4 / 5`` or more with
 2. Each line gives a 128-bit key of its token set, and the part of its rarest tokens that any match must
    share one of (prefix filter). Tokens that occur once in all texts cannot be shared and are left out.
 3. Equal sets are one entry, at its first line. Entries with a prefix token in common meet if their sizes
-   (length filter) and the number and the places of the tokens shared (positional filter) still allow the
-   threshold. Entries of a token with few of them meet at once. Where a token has many, all meet its earliest
+   (length filter), the number and the places of the tokens shared (positional filter) and 64-bit signatures
+   of the whole sets still allow the threshold. Entries of a token with few of them meet at once. Where a token has many, all meet its earliest
    entry first, which settles groups of near copies without pairs among them, and only entries that are not
    settled then meet the earlier ones. Both ways are exact.
 4. Token sets of the lines that met are read again from the texts, and Jaccard is computed exactly.
@@ -70,7 +70,8 @@ def _take(column: pa.Array, rows: np.ndarray) -> pa.Array:
 
 
 def _entries(docs: DataFrame, rarity) -> DataFrame:
-    """A row per line with tokens: doc, tie, line, key (hi, lo), n, and its prefix tokens with their places."""
+    """A row per line with tokens: doc, tie, line, key (hi, lo), n, the signature of its tokens (a bit tells
+    whether an odd number of them falls there), and its prefix tokens with their places."""
 
     def run(batches):
         for b in batches:
@@ -82,6 +83,7 @@ def _entries(docs: DataFrame, rarity) -> DataFrame:
                 where = (order & np.uint64((1 << 34) - 1)).astype(np.int64)
                 start = np.concatenate([[0], np.cumsum(n)[:-1]])
                 place = np.arange(len(tokens)) - start[local]
+                sig = np.bitwise_xor.reduceat(np.uint64(1) << (mix(tokens, 3) & np.uint64(63)), start).view(np.int64)
                 prefix = n - -(-n * NUM // DEN) + 1
                 # sets of three tokens or fewer match equal sets only
                 used = (place < prefix[local]) & (count[where] > 1) & (n[local] > 3)
@@ -89,11 +91,11 @@ def _entries(docs: DataFrame, rarity) -> DataFrame:
                 lists = lambda v, kind: pa.ListArray.from_arrays(pa.array(ends), pa.array(v, kind))  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
                     [_take(b.column(0), row), _take(b.column(1), row), pa.array(number, pa.int32()), pa.array(hi), pa.array(lo),
-                     pa.array(n, pa.int32()), lists(tokens[where][used].astype(np.int64), pa.int64()), lists(place[used], pa.int32())],
-                    ["doc", "tie", "line", "hi", "lo", "n", "tokens", "places"])
+                     pa.array(n, pa.int32()), pa.array(sig), lists(tokens[where][used].astype(np.int64), pa.int64()), lists(place[used], pa.int32())],
+                    ["doc", "tie", "line", "hi", "lo", "n", "sig", "tokens", "places"])
 
     return docs.select("doc", "tie", "text").mapInArrow(
-        run, "doc long, tie int, line int, hi long, lo long, n int, tokens array<long>, places array<int>")
+        run, "doc long, tie int, line int, hi long, lo long, n int, sig long, tokens array<long>, places array<int>")
 
 
 def _place_hash(doc: np.ndarray, tie: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -136,10 +138,13 @@ def _candidates(rows: DataFrame) -> DataFrame:
 
 def _fits() -> Column:
     """Length filter, and the positional filter of one shared token: as many tokens can be shared before it as
-    either has there, and after it likewise. No shared token of a matching pair fails."""
+    either has there, and after it likewise. Signatures differ in no more bits than there are tokens in one set
+    only. No shared token of a matching pair fails."""
     n, m, at, to = (F.col(c) for c in ("n", "m", "place", "y_place"))
     most = F.least(at, to) + 1 + F.least(n - at - 1, m - to - 1)
-    return (n * DEN >= m * NUM) & (m * DEN >= n * NUM) & (most * (NUM + DEN) >= (n + m) * NUM)
+    apart = F.bit_count(F.col("sig").bitwiseXOR(F.col("y_sig")))
+    return ((n * DEN >= m * NUM) & (m * DEN >= n * NUM) & (most * (NUM + DEN) >= (n + m) * NUM)
+            & (apart * (NUM + DEN) <= (n + m) * (DEN - NUM)))
 
 
 #: Entries of a token that meet each other at once; those of more frequent tokens meet its first entry before.
@@ -166,19 +171,18 @@ def find_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lines = materialize(_entries(d, rarity))
     place = F.struct(*PLACE)
     # equal sets are one entry; each of its prefix tokens is a row, and the rows of a token are brought together once
-    entry = lines.groupBy("hi", "lo").agg(F.min(F.struct(*PLACE, "n", "tokens", "places")).alias("f")).select("f.*")
-    pre = (entry.select(F.struct(*PLACE).alias("x"), "n", F.explode(F.arrays_zip("tokens", "places")).alias("t"))
-           .select(F.col("t.tokens").alias("token"), "x", "n", F.col("t.places").alias("place")))
+    entry = lines.groupBy("hi", "lo").agg(F.min(F.struct(*PLACE, "n", "sig", "tokens", "places")).alias("f")).select("f.*")
+    pre = (entry.select(F.struct(*PLACE).alias("x"), "n", "sig", F.explode(F.arrays_zip("tokens", "places")).alias("t"))
+           .select(F.col("t.tokens").alias("token"), "x", "n", "sig", F.col("t.places").alias("place")))
     shared = pre.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1")
-    as_y = [F.col("x").alias("y"), F.col("n").alias("m"), F.col("place").alias("y_place")]
-    rare = shared.where(F.col("c") <= FEW).select("token", "x", "n", "place")
-    few = rare.join(rare.select("token", *as_y), "token").where((F.col("y") < F.col("x")) & _fits())
+    as_y = [F.col("x").alias("y"), F.col("n").alias("m"), F.col("sig").alias("y_sig"), F.col("place").alias("y_place")]
+    rare = shared.where(F.col("c") <= FEW).select("token", "x", "n", "sig", "place")
+    few = rare.join(rare.select("token", *as_y), "token").where((F.col("y") < F.col("x")) & _fits()).drop("y_sig")
     none = [F.lit(None).cast(t).alias(c) for c, t in (("y", "struct<doc:long,tie:int,line:int>"), ("m", "int"), ("y_place", "int"))]
-    both = materialize(few.unionByName(shared.where(F.col("c") > FEW).select("token", "x", "n", "place", *none)))
-    few, many = both.where("y IS NOT NULL").drop("token"), both.where("y IS NULL").select("token", "x", "n", "place")
+    both = materialize(few.unionByName(shared.where(F.col("c") > FEW).select("token", "x", "n", "sig", "place", *none)))
+    few, many = both.where("y IS NOT NULL").drop("token", "sig"), both.where("y IS NULL").select("token", "x", "n", "sig", "place")
     other = many.select("token", *as_y)
-    lead = many.groupBy("token").agg(F.min(F.struct("x", "n", "place")).alias("l")).select(
-        "token", F.col("l.x").alias("y"), F.col("l.n").alias("m"), F.col("l.place").alias("y_place"))
+    lead = many.groupBy("token").agg(F.min(F.struct("x", "n", "sig", "place")).alias("l")).select("token", "l.*").select("token", *as_y)
     met = materialize(_candidates(many.join(lead, "token").where((F.col("y") < F.col("x")) & _fits())))
     settled = materialize(_verified(d, met).select("x").distinct())
     rest = many.join(settled, "x", "left_anti").join(other, "token").where((F.col("y") < F.col("x")) & _fits())
