@@ -188,10 +188,10 @@ def matches(docs: DataFrame) -> DataFrame:
                 .select("key", F.explode(F.array_distinct(F.transform(
                     F.array(*(f"l{j}" for j in range(len(picked)))), lambda x: F.struct(x["copy"].alias("leader"), x["n"].alias("m"))))).alias("l"))
                 .select("key", "l.leader", "l.m"))
-        met = materialize(left.join(lead, "key").withColumn("own", F.col("copy") == F.col("leader")))
         num, den = SIMILAR
         close = (F.col("n") * den >= F.col("m") * num) & (F.col("m") * den >= F.col("n") * num)
-        pairs = met.where(~F.col("own") & close).select("copy", "leader").distinct()
+        met = materialize(left.join(lead, "key").where(close).withColumn("own", F.col("copy") == F.col("leader")))
+        pairs = met.where(~F.col("own")).select("copy", "leader").distinct()
         ok = materialize(_verified(held, pairs))
         found = ok if found is None else found.unionByName(ok)
         done = met.where("own").select("key", "copy").unionByName(met.join(ok, ["copy", "leader"]).select("key", "copy")).distinct()
