@@ -102,21 +102,29 @@ def _place_hash(doc: np.ndarray, tie: np.ndarray, line: np.ndarray) -> np.ndarra
     return mix(mix(doc.astype(np.uint64), 1) ^ tie.astype(np.uint64), 2) ^ line.astype(np.uint64)
 
 
+def _text_hash(doc: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    return mix(mix(doc.astype(np.uint64), 4) ^ tie.astype(np.uint64), 5)
+
+
 def _sets(docs: DataFrame, met) -> DataFrame:
-    """(doc, tie, line, tokens) of lines whose place may be among those that met."""
+    """(doc, tie, line, key, tokens) of lines whose place may be among those that met; other texts are not split."""
 
     def run(batches):
         for b in batches:
+            own = count_of(met.value, _text_hash(b.column(0).to_numpy(), b.column(1).to_numpy())) > 0
+            b = b.filter(pa.array(own))
             doc, tie = b.column(0).to_numpy(), b.column(1).to_numpy()
             for row, number, n, local, tokens in _lines(b.column(2)):
                 keep = count_of(met.value, _place_hash(doc[row], tie[row], number)) > 0
                 if keep.any():
+                    used = tokens[keep[local]]
+                    hi, lo = _keys(n[keep], used)
                     ends = np.concatenate([[0], np.cumsum(n[keep])]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(doc[row][keep]), pa.array(tie[row][keep]), pa.array(number[keep], pa.int32()),
-                         pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens[keep[local]].astype(np.int64)))], ["doc", "tie", "line", "tokens"])
+                        [pa.array(doc[row][keep]), pa.array(tie[row][keep]), pa.array(number[keep], pa.int32()), pa.array(hi), pa.array(lo),
+                         pa.ListArray.from_arrays(pa.array(ends), pa.array(used.astype(np.int64)))], ["doc", "tie", "line", "hi", "lo", "tokens"])
 
-    return docs.select("doc", "tie", "text").mapInArrow(run, "doc long, tie int, line int, tokens array<long>")
+    return docs.select("doc", "tie", "text").mapInArrow(run, "doc long, tie int, line int, hi long, lo long, tokens array<long>")
 
 
 def _prefix(n: Column) -> Column:
@@ -174,38 +182,40 @@ def find_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     entry = lines.groupBy("hi", "lo").agg(F.min(F.struct(*PLACE, "n", "sig", "tokens", "places")).alias("f")).select("f.*")
     pre = (entry.select(F.struct(*PLACE).alias("x"), "n", "sig", F.explode(F.arrays_zip("tokens", "places")).alias("t"))
            .select(F.col("t.tokens").alias("token"), "x", "n", "sig", F.col("t.places").alias("place")))
-    shared = pre.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1")
+    each = Window.partitionBy("token")
+    mine = F.struct(F.col("x").alias("y"), F.col("n").alias("m"), F.col("sig").alias("y_sig"), F.col("place").alias("y_place"))
+    # only entries of a token with few of them are listed, at most FEW to a row
+    shared = (pre.withColumn("c", F.count("*").over(each)).where("c > 1").withColumn("earlier", F.collect_list(
+        F.when(F.col("c") <= FEW, mine)).over(each.orderBy("x").rowsBetween(-FEW, -1))))
+    both = materialize(shared.select("token", "x", "n", "sig", "place", "c", F.explode_outer("earlier").alias("e"))
+                       .select("token", "x", "n", "sig", "place", "c", "e.*").where((F.col("c") > FEW) | _fits()).drop("c", "y_sig"))
     as_y = [F.col("x").alias("y"), F.col("n").alias("m"), F.col("sig").alias("y_sig"), F.col("place").alias("y_place")]
-    rare = shared.where(F.col("c") <= FEW).select("token", "x", "n", "sig", "place")
-    few = rare.join(rare.select("token", *as_y), "token").where((F.col("y") < F.col("x")) & _fits()).drop("y_sig")
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("y", "struct<doc:long,tie:int,line:int>"), ("m", "int"), ("y_place", "int"))]
-    both = materialize(few.unionByName(shared.where(F.col("c") > FEW).select("token", "x", "n", "sig", "place", *none)))
     few, many = both.where("y IS NOT NULL").drop("token", "sig"), both.where("y IS NULL").select("token", "x", "n", "sig", "place")
     other = many.select("token", *as_y)
     lead = many.groupBy("token").agg(F.min(F.struct("x", "n", "sig", "place")).alias("l")).select("token", "l.*").select("token", *as_y)
     met = materialize(_candidates(many.join(lead, "token").where((F.col("y") < F.col("x")) & _fits())))
-    settled = materialize(_verified(d, met).select("x").distinct())
-    rest = many.join(settled, "x", "left_anti").join(other, "token").where((F.col("y") < F.col("x")) & _fits())
+    settled = materialize(_verified(d, met).distinct())
+    rest = many.join(settled.select("x"), "x", "left_anti").join(other, "token").where((F.col("y") < F.col("x")) & _fits())
     more = materialize(_candidates(few.unionByName(rest.select(*few.columns))))
-    late = settled.unionByName(_verified(d, more).select("x").distinct()).select("x.*", F.lit(True).alias("late"))
-    first = lines.groupBy("hi", "lo").agg(F.min(place).alias("first"))
-    marks = first.select("hi", "lo", "first", "first.*").join(late, list(PLACE), "left").select("hi", "lo", "first", "late")
+    late = settled.unionByName(_verified(d, more)).select("hi", "lo", F.lit(True).alias("late"), F.lit(None).alias("at"))
+    # only sets that an earlier entry matches, or that stand in more than one place, meet the lines again
+    marks = (lines.select("hi", "lo", F.lit(None).cast("boolean").alias("late"), place.alias("at")).unionByName(late)
+             .groupBy("hi", "lo").agg(F.max("late").alias("late"), F.min("at").alias("first"), F.count("at").alias("c"))
+             .where("late OR c > 1").drop("c"))
     return (lines.select("hi", "lo", *PLACE).join(marks, ["hi", "lo"]).where(F.col("late") | (place > F.col("first")))
             .groupBy("doc", "tie").agg(F.sort_array(F.collect_set("line")).alias("removed")))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs of places (x, y) whose token sets reach the threshold."""
-    if pairs.isEmpty():
-        return pairs
+    """(x, hi, lo): places and keys of x in those of the pairs of places (x, y) whose token sets reach the threshold."""
     keys = materialize(pairs.select("x.*").unionByName(pairs.select("y.*")).distinct())
     met = docs.sparkSession.sparkContext.broadcast(hashed_counts(  # of fixed size
-        keys, lambda b: [_place_hash(*(c.to_numpy() for c in b.columns))], MET_SLOTS))
+        keys, lambda b: [_place_hash(*(c.to_numpy() for c in b.columns)), _text_hash(*(c.to_numpy() for c in b.columns[:2]))], MET_SLOTS))
     sets = materialize(_sets(docs, met).join(keys, list(PLACE), "left_semi").dropDuplicates(PLACE))
-    side = lambda s: sets.select(F.struct(*PLACE).alias(s), F.col("tokens").alias(f"{s}_tokens"))
-    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    side = lambda s, *more: sets.select(F.struct(*PLACE).alias(s), F.col("tokens").alias(f"{s}_tokens"), *more)
+    both = pairs.join(side("x", "hi", "lo"), "x").join(side("y"), "y")
     same = F.size(F.array_intersect("x_tokens", "y_tokens"))
-    return both.where(same * (NUM + DEN) >= (F.size("x_tokens") + F.size("y_tokens")) * NUM).select("x", "y")
+    return both.where(same * (NUM + DEN) >= (F.size("x_tokens") + F.size("y_tokens")) * NUM).select("x", "hi", "lo")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,6 +7,7 @@ powers of an odd number, so no Python object is made for a word.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,24 +72,35 @@ def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def hashed_counts(df: DataFrame, hashes, slots: int, rows: int = 1) -> np.ndarray:
     """How often hashes fall into each slot of ``rows`` tables of ``slots``, up to 65535; of fixed size on the driver.
 
-    ``hashes`` gives arrays of 64-bit hashes for a batch of ``df``. Each task sends its counts in pieces that hold any.
+    ``hashes`` gives arrays of 64-bit hashes for a batch of ``df``. Each task sends its counts in compressed pieces,
+    those that hold any.
     """
     size = min(slots, 1 << 16)
 
     def run(batches):
         n = np.zeros((rows, slots), np.uint32)
+        held: list[np.ndarray] = []
+
+        def count():
+            h = np.concatenate([*held, np.zeros(0, np.uint64)])
+            held.clear()
+            for r in range(rows):
+                n[r] += np.bincount(slot_of(h, slots, r), minlength=slots).astype(np.uint32)
+
         for b in batches:
             for h in hashes(b):
-                for r in range(rows):
-                    n[r] += np.bincount(slot_of(h, slots, r), minlength=slots).astype(np.uint32)
+                held.append(h)
+                if sum(map(len, held)) >= slots // 2:
+                    count()
+        count()
         parts = np.minimum(n, 65535).astype("<u2").reshape(-1, size)
         for i in np.flatnonzero(parts.any(axis=1)).tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([parts[i].tobytes()], pa.binary())], ["part", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1)], pa.binary())], ["part", "n"])
 
     def add(key, table):
         total = np.zeros(size, np.int64)
         for x in table["n"].to_pylist():
-            total += np.frombuffer(x, "<u2")
+            total += np.frombuffer(zlib.decompress(x), "<u2")
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()),
                          "n": pa.array([np.minimum(total, 65535).astype("<u2").tobytes()], pa.binary())})
 
