@@ -6,8 +6,10 @@ one bucket key. Texts with few edits between them share keys; the same words in
 
 Candidates: texts that are equal are one entry. In a bucket all entries meet a leader (the smallest by a hash
 of its own); those that match it, and the leader, are done there. While two or more remain, they meet further
-leaders, 16 and then 64 at a time, until none remain: nothing is cut off, and a group of n near copies costs n
-comparisons in a bucket and not n squared. Bucket keys of different hash functions have different leaders.
+leaders, 16 and then 64 at a time, until none remain: a group of n near copies costs n comparisons in a bucket
+and not n squared. Bucket keys of different hash functions have different leaders. Matching is not transitive, so
+at the end all entries of a bucket meet that these links leave in different classes and that have not met yet;
+entries of one class need not. So the classes are those of all matches between entries that share a bucket.
 
 Verification: the longest common subsequence of the two texts' words, within the band that a match can use,
 over the longer text's words, must be ``SIMILAR`` or more. It reads the whole texts. Classes are the connected
@@ -32,6 +34,8 @@ from stacklens.llm.words import chunks, count_of, hashed_counts, mix, words
 
 K, SKETCHES, PICKED, SIMILAR = 5, 24, 4, (4, 5)
 LEADERS = (1, 16, 64)
+#: Rows of a bucket that meet in one group when classes are compared.
+BUCKET_BLOCK = 1024
 SLOTS = 1 << 22
 
 
@@ -164,6 +168,31 @@ def _verified(held: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.mapInArrow(check, "copy binary, leader binary")
 
 
+def _close(n: str, m: str):
+    num, den = SIMILAR
+    return (F.col(n) * den >= F.col(m) * num) & (F.col(m) * den >= F.col(n) * num)
+
+
+def _across(rows: DataFrame, found: DataFrame, tried: DataFrame) -> DataFrame:
+    """Pairs (copy, leader) of ``rows`` (key, copy, n) that share a key, are in different classes by the links
+    found and are not among those tried."""
+    labels = components(found, "copy", "leader").withColumnRenamed("node", "copy")
+    rows = materialize(rows.join(labels, "copy", "left").withColumn("label", F.coalesce("label", "copy")))
+    # in a bucket, the largest class meets the others and not itself
+    mixed = (rows.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key")
+             .agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels"), F.sum("c").alias("c"))
+             .where("labels > 1").select("key", "main", F.ceil(F.col("c") / BUCKET_BLOCK).cast("int").alias("blocks")))
+    rows = materialize(rows.join(mixed, "key"))
+    few = (rows.where(F.col("label") != F.col("main"))
+           .select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "main", "copy", "n", "label"))
+    every = rows.select("key", F.pmod(F.xxhash64("copy"), F.col("blocks")).cast("int").alias("block"),
+                        F.col("copy").alias("leader"), F.col("n").alias("m"), F.col("label").alias("other"))
+    met = few.join(every, ["key", "block"]).where(
+        _close("n", "m") & (F.col("label") != F.col("other")) & ((F.col("other") == F.col("main")) | (F.col("label") < F.col("other"))))
+    one_way = [F.least("copy", "leader").alias("copy"), F.greatest("copy", "leader").alias("leader")]
+    return met.select(*one_way).distinct().join(tried.select(*one_way).distinct(), ["copy", "leader"], "left_anti")
+
+
 def matches(docs: DataFrame) -> DataFrame:
     """Pairs (copy, leader) of different texts that match, enough to connect every class; ``docs``: copy, text."""
 
@@ -179,7 +208,8 @@ def matches(docs: DataFrame) -> DataFrame:
     entries = materialize(docs.select("copy", "text").mapInArrow(run, "copy binary, n int, keys array<long>").dropDuplicates(["copy"]))
     rows = entries.select("copy", "n", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    left, found, turn = materialize(rows.join(shared, "key", "left_semi")), None, 0
+    in_buckets = left = materialize(rows.join(shared, "key", "left_semi"))
+    found, tried, turn = None, None, 0
     held = _held(docs, left.select("copy").distinct())
     while not left.isEmpty():
         picked = [F.min(F.struct(F.xxhash64("key", "copy", F.lit(turn * 100 + j)).alias("h"), "copy", "n")).alias(f"l{j}")
@@ -188,18 +218,19 @@ def matches(docs: DataFrame) -> DataFrame:
                 .select("key", F.explode(F.array_distinct(F.transform(
                     F.array(*(f"l{j}" for j in range(len(picked)))), lambda x: F.struct(x["copy"].alias("leader"), x["n"].alias("m"))))).alias("l"))
                 .select("key", "l.leader", "l.m"))
-        num, den = SIMILAR
-        close = (F.col("n") * den >= F.col("m") * num) & (F.col("m") * den >= F.col("n") * num)
-        met = materialize(left.join(lead, "key").where(close).withColumn("own", F.col("copy") == F.col("leader")))
+        met = materialize(left.join(lead, "key").where(_close("n", "m")).withColumn("own", F.col("copy") == F.col("leader")))
         pairs = met.where(~F.col("own")).select("copy", "leader").distinct()
         ok = materialize(_verified(held, pairs))
         found = ok if found is None else found.unionByName(ok)
+        tried = pairs if tried is None else tried.unionByName(pairs)
         done = met.where("own").select("key", "copy").unionByName(met.join(ok, ["copy", "leader"]).select("key", "copy")).distinct()
         # a bucket without leaders had one entry left; its rows are done as well
         open_keys = lead.select("key").distinct()
         left = materialize(left.join(open_keys, "key", "left_semi").join(done, ["key", "copy"], "left_anti"))
         turn += 1
-    return found if found is not None else entries.select("copy", F.col("copy").alias("leader")).limit(0)
+    if found is None:
+        return entries.select("copy", F.col("copy").alias("leader")).limit(0)
+    return found.unionByName(_verified(held, _across(in_buckets, found, tried)))
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:

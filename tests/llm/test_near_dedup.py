@@ -69,6 +69,23 @@ def test_classes_hold_all_pairs_above_the_threshold(spark, docs):
     assert missed == 0
 
 
+def test_an_outlier_that_matches_only_the_centre_of_a_star_is_linked(spark):
+    rng = random.Random(5)
+    centre = [f"c{i}" for i in range(100)]
+    rows = [(0, " ".join(centre))]
+    outlier = centre + [f"x{i}" for i in range(24)]
+    for i in range(1, 1001):
+        copy = list(centre)
+        at = rng.randrange(94)
+        copy[at:at + 6] = [f"y{i}_{j}" for j in range(6)]
+        rows.append((i, " ".join(copy)))
+        assert not N.aligned(copy, outlier)
+    rows.append((5000, " ".join(outlier)))
+    assert N.aligned(centre, outlier)
+    got = N.op6_near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {(r.class_id, r.class_size) for r in got} == {(0, 1002)}
+
+
 def test_odd_rows(spark, odd):
     got = N.op6_near_dedup(odd).collect()
     assert len(got) == odd.count()
