@@ -7,8 +7,9 @@ pmi(c; t) = log2 p(c, t) / (p(c) p(t)), and at least ``min_joint`` contexts hold
 term must occur only beside the entity. Terms are words with a letter and at least ``min_chars``
 characters within ``window`` words of a match; each occurrence in a text that also holds the entity is a
 span of kind ``term``. Copies of a text repeat the same words beside the same entity and prove nothing
-about a term, so p(c, t) and p(c) count different contexts (the words of the window), while p(t) counts
-all texts with the term: copies can only lower pmi.
+about a term, so contexts are different words of the window, and all four probabilities count the same units:
+texts without a base match once per digest, texts with one once per set of (entity, words of the window), so
+that copies, and near copies that differ outside the windows, are one unit everywhere.
 
 Sanitising replaces base spans by ``[EMAIL]`` and so on and terms by ``[TERM]``.
 
@@ -118,31 +119,58 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), WORD_ENDS), lambda w: w != "")
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, alpha: float = 0.95, min_joint: int = 3, window: int = 5,
-                     min_chars: int = 4) -> DataFrame:
-    """Terms with the entity they disclose (entity, term).
+#: Up to so many terms are sent to every task; more are joined by a shuffle.
+SENT_TERMS = 200_000
 
-    ``found``: the rows of ``base_spans`` with a span. Counts of candidate terms cover all of ``docs``.
-    """
-    s = F.col("s")
-    around = F.concat(F.slice(F.reverse(_words(F.substr("text", F.greatest(s["start"] - REACH, F.lit(0)).cast("int") + 1,
-                                                        F.least(s["start"], F.lit(REACH)).cast("int")))), 1, window),
-                      F.slice(_words(F.substr("text", s["end"].cast("int") + 1, F.lit(REACH))), 1, window))
-    near = (found.select("text", F.explode("base").alias("s")).select(s["value"].alias("entity"), around.alias("around"))
-            .groupBy("entity", "around").agg(F.lit(1).alias("one")))
-    joint = materialize(near.select("entity", F.explode(F.array_distinct("around")).alias("term"))
+
+def _with_words(rows: DataFrame, terms: DataFrame, min_chars: int) -> DataFrame:
+    """copy, unit, term: the words of each text that are among ``terms``, once each."""
+    words = F.filter(F.array_distinct(_words(F.col("text"))), lambda w: F.char_length(w) >= min_chars)
+    small = terms.limit(SENT_TERMS + 1).count() <= SENT_TERMS
+    return rows.select("copy", "unit", F.explode(words).alias("term")).join(F.broadcast(terms) if small else terms, "term")
+
+
+def _contexts(window: int) -> Column:
+    """(entity, around) of each base span of a row: its value and the words of its window."""
+    def around(s: Column) -> Column:
+        return F.concat(F.slice(F.reverse(_words(F.substr("text", F.greatest(s["start"] - REACH, F.lit(0)).cast("int") + 1,
+                                                          F.least(s["start"], F.lit(REACH)).cast("int")))), 1, window),
+                        F.slice(_words(F.substr("text", s["end"].cast("int") + 1, F.lit(REACH))), 1, window))
+
+    return F.array_sort(F.array_distinct(F.transform("base", lambda s: F.struct(s["value"].alias("entity"), around(s).alias("around")))))
+
+
+def with_units(spans: DataFrame, window: int = 5) -> DataFrame:
+    """The rows of ``base_spans`` with ``copy`` (a digest of the text), ``near`` (their contexts) and ``unit``."""
+    rows = spans.withColumn("copy", F.unhex(F.md5("text"))).withColumn("near", _contexts(window))
+    return rows.withColumn("unit", F.when(F.size("near") > 0, F.unhex(F.md5(F.to_json(F.struct("near"))))).otherwise(F.col("copy")))
+
+
+def disclosing_terms(units: DataFrame, alpha: float = 0.95, min_joint: int = 3, min_chars: int = 4) -> DataFrame:
+    """Texts with the terms they hold that disclose an entity (copy, entity, term); ``units``: see ``with_units``."""
+    near = units.select("unit", F.explode("near").alias("c")).select("unit", "c.entity", "c.around")
+    joint = materialize(near.select("unit", "entity", "around", F.explode(F.array_distinct("around")).alias("term"))
                         .where((F.char_length("term") >= min_chars) & F.col("term").rlike(r"\p{L}"))
-                        .groupBy("entity", "term").agg(F.count("*").alias("joint")).where(F.col("joint") >= min_joint))
+                        .groupBy("entity", "term").agg(F.count_distinct("around").alias("contexts"), F.count_distinct("unit").alias("joint"))
+                        .where(F.col("contexts") >= min_joint))
     if joint.isEmpty():
-        return joint.select("entity", "term")
-    entities = near.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    terms = (docs.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
-             .groupBy("term").agg(F.count("*").alias("n_term")))
-    n = float(docs.count())
-    ic = F.log2(F.lit(n) / F.col("n_entity"))
+        return units.select("copy", F.lit("").alias("entity"), F.lit("").alias("term")).limit(0)
+    n = float(units.select("unit").distinct().count())
+    entities = near.groupBy("entity").agg(F.count_distinct("unit").alias("n_entity"))
+    share = F.lit(n) / F.col("n_entity")
+    # pmi >= alpha * ic says that no more than ``most`` units hold the term
+    pairs = materialize(joint.join(entities, "entity").where(share > 1)
+                        .select("entity", "term", "joint", "n_entity", (F.col("joint") * F.pow(share, F.lit(1 - alpha))).alias("most")))
+    # common words go by an estimate, far from its error; the rest is counted exactly
+    top = pairs.groupBy("term").agg(F.max("most").alias("most"))
+    rough = _with_words(units, top.select("term"), min_chars).groupBy("term").agg(F.approx_count_distinct("unit", 0.05).alias("about"))
+    rare = materialize(rough.join(top, "term").where(F.col("about") <= 2 * F.col("most") + 10).select("term"))
+    held = materialize(_with_words(units, rare, min_chars).select("copy", "unit", "term").distinct())
+    terms = held.groupBy("term").agg(F.count_distinct("unit").alias("n_term"))
+    ic = F.log2(share)
     pmi = F.log2(F.col("joint") * n / (F.col("n_entity") * F.col("n_term")))
-    return (joint.join(terms, "term").join(entities, "entity").where((ic > 0) & (pmi >= alpha * ic))
-            .select("entity", "term"))
+    told = pairs.join(terms, "term").where((ic > 0) & (pmi >= alpha * ic)).select("entity", "term")
+    return held.select("copy", "term").distinct().join(told, "term").select("copy", "entity", "term")
 
 
 def _marked_terms(text: Column, terms: Column) -> Column:
@@ -152,20 +180,17 @@ def _marked_terms(text: Column, terms: Column) -> Column:
     return _places(parts, "term", lambda part: F.lit(True))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 5, **options) -> DataFrame:
     """doc_id, text, ``base`` and ``spans`` (all, ordered) of each row."""
-    every = base_spans(docs, id_col, text_col)
-    some = materialize(every.where(F.size("base") > 0))
-    told = disclosing_terms(texts(docs, id_col, text_col), some, **options)
-    held = some.select(F.md5("text").alias("copy"), F.explode("base").alias("s")).select("copy", F.col("s")["value"].alias("entity"))
-    by_text = held.distinct().join(told, "entity").groupBy("copy").agg(F.sort_array(F.collect_set("term")).alias("terms"))
-    with_terms = some.withColumn("copy", F.md5("text")).join(by_text, "copy", "left")
+    every = materialize(with_units(base_spans(docs, id_col, text_col), window))
+    told = disclosing_terms(every, **options)
+    held = every.select("copy", F.explode("base").alias("s")).select("copy", F.col("s")["value"].alias("entity")).distinct()
+    by_text = told.join(held, ["copy", "entity"]).groupBy("copy").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    with_terms = every.join(by_text, "copy", "left")
     outside = F.filter(_marked_terms(unmarked(F.col("text")), F.col("terms")), lambda t: ~F.exists(
         "base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     spans = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.concat("base", outside))
-    none = every.where(F.size("base") == 0).select("doc_id", "text", "base", F.col("base").alias("spans"))
-    return none.unionByName(with_terms.select("doc_id", "text", _ordered(F.col("base")).alias("base"),
-                                              _ordered(spans).alias("spans")))
+    return with_terms.select("doc_id", "text", _ordered(F.col("base")).alias("base"), _ordered(spans).alias("spans"))
 
 
 def sanitised(text: Column, spans: Column) -> Column:

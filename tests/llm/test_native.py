@@ -55,6 +55,21 @@ def test_pii_terms_and_sanitising(spark):
     assert out[100].clean == rows[8][1] and out[200].clean.endswith("call [PHONE]")
 
 
+def test_pii_terms_beside_a_copied_context(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    one = [(i, f"{words[i]} {words[i + 1]} Zorbulon writes to q@r.st about {words[i + 2]} things") for i in range(5)]
+    rows = one + [(10 + i, one[0][1]) for i in range(1000)]  # copies
+    rows += [(2000 + i, f"number{i} then {one[1][1]}") for i in range(30)]  # near copies that differ outside the window
+    rows += [(5000 + i, f"plain {words[i % 8]} writes about things, part {i}") for i in range(40)]
+    rows += [(6000 + i, f"{words[5]} {words[6 + i]} Quibbler sends to u@v.wx from {words[i]} now") for i in range(2)]
+    rows += [(7000 + i, f"{i} further on: {words[5]} {words[6]} Quibbler sends to u@v.wx from {words[0]} now") for i in range(50)]
+    out = {r.doc_id: r.clean for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string"))
+           .select("doc_id", pii.sanitised(F.col("text"), F.col("spans")).alias("clean")).collect()}
+    assert len(out) == len(rows) and out[0] == out[10] == "alpha beta [TERM] writes to [EMAIL] about gamma things"
+    assert out[2007] == "number7 then beta gamma [TERM] writes to [EMAIL] about delta things"
+    assert "Quibbler" in out[6000] and "Quibbler" in out[7003]  # few contexts, however often copied
+
+
 def test_pii_empty_table(spark, odd):
     assert pii.op8_pii(odd.limit(0)).count() == 0
 
