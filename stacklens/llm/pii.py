@@ -5,8 +5,8 @@ corpus co-occurrence says how strongly a term reveals a protected entity, that i
 a term t discloses an entity c when pmi(c; t) >= alpha * ic(c), with ic(c) = -log2 p(c) and
 pmi(c; t) = log2 p(c, t) / (p(c) p(t)), and at least ``min_joint`` contexts hold both. At alpha = 1 a
 term must occur only beside the entity. Terms are words with a letter and at least ``min_chars``
-characters within ``window`` words of a match; each occurrence in a text that also holds the entity is a
-span of kind ``term``. Copies of a text repeat the same words beside the same entity and prove nothing
+characters within ``window`` words of a match; each occurrence is a span of kind ``term``, also in texts
+that do not hold the entity, since there it is what reveals it. Copies of a text repeat the same words beside the same entity and prove nothing
 about a term, so contexts are different words of the window, and all four probabilities count the same units:
 texts without a base match once per digest, texts with one once per set of (entity, words of the window), so
 that copies, and near copies that differ outside the windows, are one unit everywhere.
@@ -147,14 +147,14 @@ def with_units(spans: DataFrame, window: int = 5) -> DataFrame:
 
 
 def disclosing_terms(units: DataFrame, alpha: float = 0.95, min_joint: int = 3, min_chars: int = 4) -> DataFrame:
-    """Texts with the terms they hold that disclose an entity (copy, entity, term); ``units``: see ``with_units``."""
+    """Texts with the terms they hold that disclose any entity (copy, term); ``units``: see ``with_units``."""
     near = units.select("unit", F.explode("near").alias("c")).select("unit", "c.entity", "c.around")
     joint = materialize(near.select("unit", "entity", "around", F.explode(F.array_distinct("around")).alias("term"))
                         .where((F.char_length("term") >= min_chars) & F.col("term").rlike(r"\p{L}"))
                         .groupBy("entity", "term").agg(F.count_distinct("around").alias("contexts"), F.count_distinct("unit").alias("joint"))
                         .where(F.col("contexts") >= min_joint))
     if joint.isEmpty():
-        return units.select("copy", F.lit("").alias("entity"), F.lit("").alias("term")).limit(0)
+        return units.select("copy", F.lit("").alias("term")).limit(0)
     n = float(units.select("unit").distinct().count())
     entities = near.groupBy("entity").agg(F.count_distinct("unit").alias("n_entity"))
     share = F.lit(n) / F.col("n_entity")
@@ -169,8 +169,8 @@ def disclosing_terms(units: DataFrame, alpha: float = 0.95, min_joint: int = 3,
     terms = held.groupBy("term").agg(F.count_distinct("unit").alias("n_term"))
     ic = F.log2(share)
     pmi = F.log2(F.col("joint") * n / (F.col("n_entity") * F.col("n_term")))
-    told = pairs.join(terms, "term").where((ic > 0) & (pmi >= alpha * ic)).select("entity", "term")
-    return held.select("copy", "term").distinct().join(told, "term").select("copy", "entity", "term")
+    told = pairs.join(terms, "term").where((ic > 0) & (pmi >= alpha * ic)).select("term").distinct()
+    return held.select("copy", "term").distinct().join(told, "term").select("copy", "term")
 
 
 def _marked_terms(text: Column, terms: Column) -> Column:
@@ -183,9 +183,7 @@ def _marked_terms(text: Column, terms: Column) -> Column:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 5, **options) -> DataFrame:
     """doc_id, text, ``base`` and ``spans`` (all, ordered) of each row."""
     every = materialize(with_units(base_spans(docs, id_col, text_col), window))
-    told = disclosing_terms(every, **options)
-    held = every.select("copy", F.explode("base").alias("s")).select("copy", F.col("s")["value"].alias("entity")).distinct()
-    by_text = told.join(held, ["copy", "entity"]).groupBy("copy").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    by_text = disclosing_terms(every, **options).groupBy("copy").agg(F.sort_array(F.collect_set("term")).alias("terms"))
     with_terms = every.join(by_text, "copy", "left")
     outside = F.filter(_marked_terms(unmarked(F.col("text")), F.col("terms")), lambda t: ~F.exists(
         "base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
@@ -211,18 +209,14 @@ def sanitised(text: Column, spans: Column) -> Column:
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` with their texts sanitised; texts without a span stay as they are, nulls too.
 
-    Spans come back by a digest of the text, of which equal texts have the same, and for texts with spans only.
+    Clean texts come back by a digest, of which equal texts have the same; only texts with spans have one.
     """
     found = find(docs, id_col, text_col, **options).where(F.size("spans") > 0)
     digest, clean = unused(docs, "digest", "clean")
     new = materialize(found.select(F.md5("text").alias(digest), sanitised(F.col("text"), F.col("spans")).alias(clean))
                       .dropDuplicates([digest]))
-    keyed = docs.withColumn(digest, F.md5(text_col))
-    # only rows that may hold a span take part in the join
-    clear = unmarked(F.coalesce(text_col, F.lit("")))
-    held = F.size(F.concat(*(_spans(clear, k) for k in KINDS))) > 0
-    some = keyed.where(held).join(new, digest, "left").withColumn(text_col, F.coalesce(clean, text_col))
-    return keyed.where(~held).select(*docs.columns).unionByName(some.select(*docs.columns))
+    return (docs.withColumn(digest, F.md5(text_col)).join(new, digest, "left")
+            .withColumn(text_col, F.coalesce(clean, text_col)).select(*docs.columns))
 
 
 def op8_pii(docs: DataFrame) -> DataFrame:

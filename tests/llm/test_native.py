@@ -70,6 +70,19 @@ def test_pii_terms_beside_a_copied_context(spark):
     assert "Quibbler" in out[6000] and "Quibbler" in out[7003]  # few contexts, however often copied
 
 
+def test_pii_terms_in_texts_without_the_entity(spark):
+    words = [f"word{i}" for i in range(40)]
+    rows = [(i, f"{words[i]} {words[i + 1]} Zorbulon writes to q@r.st about {words[i + 2]} things") for i in range(30)]
+    rows += [(1000 + i, f"plain {words[i % 40]} writes about things, part {i}") for i in range(2000)]
+    rows += [(200, "Only ZORBULON is named here."), (201, "Zorbulon and u@v.wx"), (202, None), (None, "Zorbulon")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert clean[200] == "Only [TERM] is named here." and clean[201] == "[TERM] and [EMAIL]"
+    assert clean[None] == "[TERM]" and clean[202] is None and clean[1000] == rows[30][1] and len(clean) == len(rows)
+    spans = {r.doc_id: r.spans for r in pii.op8_pii(df).collect()}
+    assert spans[200] == "term:5:13" and spans[1000] == ""
+
+
 def test_pii_empty_table(spark, odd):
     assert pii.op8_pii(odd.limit(0)).count() == 0
 
