@@ -8,18 +8,20 @@ a query visits its most probable parts until they hold ``mass`` of the probabili
 network learned of where neighbours are, so clustered data need few parts and data without structure many),
 and every vector there is scored on the original values.
 
-Skew: equal vectors are one index entry with its k + 1 smallest ids, which is exact, since no query can
-return more of them; a large part is split into blocks by a hash of the vector, and so are the queries.
+Skew: equal vectors are one index entry with its k + 1 smallest different ids, each as often as it stands but
+k times at most, which is exact, since no query can return more of them; a large part is split into blocks by a hash of the vector, and so are the queries.
 
 Defined results: vectors that are null, zero, empty or hold null or non-finite components take no part, nor
 those of another length than the most common one (the longest on ties), nor rows with a null id; rows that
-share the query's id are its own; repeated rows of another id count each; an empty table gives an empty
+share the query's id are its own; repeated rows of another id count each; a query row that is repeated counts
+once, and an id with several vectors asks with each, its answers ranked together; an empty table gives an empty
 result; further columns are ignored. A query whose parts hold too few rows visits more of them.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -114,10 +116,11 @@ def best(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: list[list[int]], k:
     """Each query's k best of the entries, as (query row, id, score): found by a product of matrices, then
     scored by the same sum of products whatever the block, so equal vectors have equal scores."""
     norms = np.sqrt((x ** 2).sum(1))
+    alone = Counter(e[0] for e in ids if e[0] == e[-1])
     for at in range(0, len(q), 256):
         s = q[at:at + 256] @ x.T
         for i, row in enumerate(s, at):
-            n = min(k + 1, len(row))  # one entry may be the query's own
+            n = min(k + alone[qid[i]], len(row))  # entries that hold the query's own id only give no answer
             kth = np.partition(row, len(row) - n)[len(row) - n]
             slack = 1e-9 * float(norms.max()) * float(np.sqrt((q[i] ** 2).sum()))
             near = np.flatnonzero(row >= kth - slack)
@@ -136,8 +139,11 @@ def search(vectors: DataFrame, is_query, k: int = 20, sample_rows: int = 8192, g
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("v") == sizes["d"])
     first = Window.partitionBy("v").orderBy("vec_id")
-    index = materialize(rows.withColumn("at", F.row_number().over(first)).where(F.col("at") <= k + 1)
-                        .groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    often = F.transform("ids", lambda i: F.array_repeat(i["vec_id"], F.least(i["c"], F.lit(k)).cast("int")))
+    index = materialize(rows.groupBy("v", "vec_id").agg(F.count("*").alias("c"))
+                        .withColumn("at", F.row_number().over(first)).where(F.col("at") <= k + 1)
+                        .groupBy("v").agg(F.sort_array(F.collect_list(F.struct("vec_id", "c"))).alias("ids"))
+                        .withColumn("ids", F.flatten(often))
                         .withColumn("h", F.xxhash64("v")))
     sample = index.orderBy("h").limit(sample_rows).select("v").toArrow()
     x = matrix(sample.column(0).combine_chunks())
@@ -159,9 +165,10 @@ def search(vectors: DataFrame, is_query, k: int = 20, sample_rows: int = 8192, g
 
     placed = materialize(index.select("v", "ids").mapInArrow(assign, "v array<double>, ids array<long>, part int"))
     held = {r["part"]: (r["e"], r["n"]) for r in placed.groupBy("part").agg(
-        F.count("*").alias("e"), F.sum(F.size("ids")).alias("n")).collect()}
+        F.count("*").alias("e"), F.sum(F.size(F.array_distinct("ids"))).alias("n")).collect()}
     room = np.array([held.get(p, (0, 0))[1] for p in range(parts)])
-    queries = rows.where(is_query(F.col("vec_id")))
+    queries = (rows.where(is_query(F.col("vec_id"))).select("vec_id", "v").dropDuplicates(["vec_id", "v"])
+               .withColumn("own", F.count("*").over(Window.partitionBy("vec_id"))))
     n_queries = queries.count()
 
     def probe(batches):
@@ -173,13 +180,13 @@ def search(vectors: DataFrame, is_query, k: int = 20, sample_rows: int = 8192, g
             p /= p.sum(1, keepdims=True)
             order = np.argsort(-p, axis=1, kind="stable")
             before = lambda x: np.cumsum(x, axis=1) - x
-            take = (before(np.take_along_axis(p, order, 1)) < mass) | (before(room[order]) < k + 1)
+            take = (before(np.take_along_axis(p, order, 1)) < mass) | (before(room[order]) < k + b.column(2).to_numpy()[:, None])
             lists = [o[t].tolist() for o, t in zip(order, take, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lists, pa.list_(pa.int32()))], ["vec_id", "v", "parts"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(lists, pa.list_(pa.int32()))], ["vec_id", "v", "parts"])
 
     blocks = max(1, math.ceil(max([e for e, _ in held.values()], default=1) / INDEX_BLOCK))
     q_blocks = max(1, math.ceil(n_queries / QUERY_BLOCK))
-    left = (queries.select("vec_id", "v").mapInArrow(probe, "vec_id long, v array<double>, parts array<int>")
+    left = (queries.select("vec_id", "v", "own").mapInArrow(probe, "vec_id long, v array<double>, parts array<int>")
             .withColumn("q_block", salted(F.col("vec_id"), q_blocks))
             .select("vec_id", "v", "q_block", F.explode("parts").alias("part"))
             .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))

@@ -69,3 +69,19 @@ def test_few_and_no_rows(spark):
     assert [(r.vec_id, r.score) for r in topk.search(big, lambda i: i == 0, k=1).collect()] == [(1, 768000000 * 256000000)]
     for op in (ann.op4_ann, topk.op5_topk):
         assert op(df.limit(0)).count() == 0 and op(df.where("vec_id = 3")).count() == 0
+
+
+def test_ann_with_repeated_query_rows_and_repeated_ids(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(12, 3)).round(3)
+    rows = [(i, x[i].tolist()) for i in range(12)] + [(0, x[0].tolist())] * 3  # a query row four times
+    rows += [(20, x[3].tolist())] * 9 + [(21 + i, x[3].tolist()) for i in range(3)]  # ids of one vector, one of them often
+    rows += [(1, x[5].tolist()), (1, x[6].tolist())]
+    asked = {0: 3, 20: 3, 3: 3}
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i.isin(*asked), k=3).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    for q in asked:
+        v = next(np.array(e) for i, e in rows if i == q)
+        want = sorted((-float((np.array(e) * v).sum()), i) for i, e in rows if i != q)[:3]
+        assert sorted(got[q]) == [(at + 1, i) for at, (_, i) in enumerate(want)]
