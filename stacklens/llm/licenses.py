@@ -104,7 +104,7 @@ RULES = [
     (("reserved",), "All-rights-reserved", "restricted"),
 ]
 #: A text without any of these words can hold no known sentence.
-WORDS = "(?i)licen[cs]e|permi(ssion|tted)|redistribut|free software|public domain|rights reserved|warranty|copyright"
+WORDS = "(?i)licen[cs]e|permi(ssion|tted)|redistribut|free[^a-z0-9]+software|public[^a-z0-9]+domain|rights[^a-z0-9]+reserved|warranty|copyright"
 FAMILIES = ("restricted", "copyleft", "permissive")
 ENDS = r"([.!?])[ \t\r\n]+"
 

@@ -126,3 +126,13 @@ def test_licences(spark, odd):
     documents = odd.select("doc_id", "text").toPandas()  # noqa: F841
     want = duckdb.sql(licenses.OP10_SQL).fetchall()
     assert sorted(r[1:] for r in want) == sorted(tuple(r)[1:] for r in licenses.op10_license_scan(odd).collect())
+
+
+def test_licence_words_may_wrap(spark):
+    rows = [(0, "All rights\nreserved."), (1, "All  rights,\t reserved"),
+            (2, "This is free and unencumbered software released into the public\ndomain.")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in licenses.op10_license_scan(documents).collect())
+    assert [r[2] for r in got] == ["All-rights-reserved", "All-rights-reserved", "Unlicense"]
+    documents = documents.toPandas()  # noqa: F841
+    assert sorted(duckdb.sql(licenses.OP10_SQL).fetchall()) == got
