@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stacklens.llm import ann, bpe, chat, licenses, line_dedup, near_dedup, packing, pii, topk, toxicity
+from stacklens.llm import ann, bpe, chat, lexical, licenses, line_dedup, near_dedup, packing, pii, topk, toxicity, whitening
 from stacklens.llm.common import table
 
 
@@ -25,9 +25,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": _over("documents", pii.op8_pii),
     "op9_chat_formatting": _over("conversations", chat.op9_chat_formatting),
     "op10_license_scan": _over("documents", licenses.op10_license_scan),
+    "op11_lexical": lambda spark, sf_dir: lexical.op11_lexical(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op13_whitening": _over("embeddings", whitening.op13_whitening),
 }
 SQL: dict[str, str] = {
     "op5_topk": topk.OP5_SQL,
     "op9_chat_formatting": chat.OP9_SQL,
     "op10_license_scan": licenses.OP10_SQL,
+    "op11_lexical": lexical.OP11_SQL,
 }

@@ -18,6 +18,33 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
             .where(F.col("vec_id").isNotNull() & ok))
 
 
+def finite(v: Column) -> Column:
+    """Whether a vector is there, holds something, and holds finite components only."""
+    return v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+
+
+def usual_length(rows: DataFrame, col: str = "v") -> int | None:
+    """The most common length of the vectors (the longest on ties); None without rows."""
+    found = rows.groupBy(F.size(col).alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    return None if found is None else found["d"]
+
+
+#: A key that more than one in so many rows have is joined by a broadcast; there are fewer such keys than this.
+HOT = 1000
+
+
+def join_back(rows: DataFrame, distinct: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` with the columns of ``distinct``, which has one row and the number of ``rows`` for each key.
+
+    Keys of many rows, of which there are fewer than HOT by their share, never meet in one task.
+    """
+    total = distinct.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * HOT > total
+    often = distinct.where(hot)
+    rest = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(distinct.where(~hot), key)
+    return rows.join(F.broadcast(often), key).unionByName(rest)
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """A list column whose lists have one length, as rows of doubles."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)

@@ -54,9 +54,9 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         first = last
 
 
-def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def words(data: np.ndarray, starts: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Places where words start, and their hashes; ``starts`` are the texts' starts and the end of the last."""
-    solid = ~SPACE[data]
+    solid = ~space[data]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     own = starts[:-1][starts[:-1] < len(data)]
