@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stacklens.llm import ann, bpe, chat, lexical, licenses, line_dedup, near_dedup, packing, pii, topk, toxicity, whitening
+from stacklens.llm import ann, bpe, chat, lexical, licenses, line_dedup, near_dedup, nn_descent, packing, pii, topk, toxicity, whitening
 from stacklens.llm.common import table
 
 
@@ -26,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_formatting": _over("conversations", chat.op9_chat_formatting),
     "op10_license_scan": _over("documents", licenses.op10_license_scan),
     "op11_lexical": lambda spark, sf_dir: lexical.op11_lexical(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op12_near_vectors": _over("embeddings", nn_descent.op12_near_vectors),
     "op13_whitening": _over("embeddings", whitening.op13_whitening),
 }
 SQL: dict[str, str] = {
@@ -33,4 +34,5 @@ SQL: dict[str, str] = {
     "op9_chat_formatting": chat.OP9_SQL,
     "op10_license_scan": licenses.OP10_SQL,
     "op11_lexical": lexical.OP11_SQL,
+    "op12_near_vectors": nn_descent.OP12_SQL,
 }
