@@ -42,7 +42,9 @@ TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 LEVELS = [1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256, 1024, 4096]
 PROBES, BITS = 5, 12
 #: Texts of a block, and bits of a block (a longer text has a block of its own).
-BLOCK, BLOCK_BITS = 4096, 1 << 25
+BLOCK, BLOCK_BITS = 2048, 1 << 24
+#: Terms times texts whose bounds are computed at once.
+CELLS = 1 << 21
 #: Terms of the items that are searched at once; an item with more is searched alone.
 ENTRIES = 1 << 16
 #: Texts to score that are broadcast; more are joined by a shuffle.
@@ -156,7 +158,14 @@ def _index(batches):
 
 
 def _bounds(width: int, n: np.ndarray, slices: np.ndarray, query: dict, stats: tuple[int, int]):
-    """For each item of ``query``: the upper bounds of the block's texts."""
+    """For each item of ``query``: the upper bounds of the block's texts, from some texts (the first's place is given) at a time."""
+    step = max(8, CELLS // max(1, len(query["h"])) // 8 * 8)
+    for at in range(0, len(n), step):
+        for i, bounds in _some_bounds(width, n[at:at + step], slices[:, at // 8:(at + step) // 8], query, stats):
+            yield i, at, bounds
+
+
+def _some_bounds(width: int, n: np.ndarray, slices: np.ndarray, query: dict, stats: tuple[int, int]):
     size = len(n)
     h = query["h"]
     level = np.zeros((len(h), size), np.int16)
@@ -259,10 +268,10 @@ def _search_block(docs: DataFrame, index: DataFrame, block: list, stats: tuple[i
         """The k highest bounds of each item in a task."""
         top: list[list] = [[] for _ in block]
         for width, n, copies, slices in _blocks_of(batches):
-            for i, ub in _bounds(width, n, slices, query, stats):
+            for i, first, ub in _bounds(width, n, slices, query, stats):
                 at = np.argpartition(-ub, k)[:k] if len(ub) > k else np.arange(len(ub))
                 least = top[i][-1][0] if len(top[i]) == k else 0
-                new = [(float(ub[j]), copies[j].ljust(16, b"\0")) for j in at[ub[at] > least].tolist()]
+                new = [(float(ub[j]), copies[first + j].ljust(16, b"\0")) for j in at[ub[at] > least].tolist()]
                 if new:
                     top[i] = sorted({*top[i], *new}, reverse=True)[:k]
         out = [(i, c, u) for i, t in enumerate(top) for u, c in t]
@@ -282,7 +291,7 @@ def _search_block(docs: DataFrame, index: DataFrame, block: list, stats: tuple[i
     def reach(batches):
         """All texts that are not excluded by their bound."""
         for width, n, copies, slices in _blocks_of(batches):
-            yield _hits([(i, copies[j].ljust(16, b"\0")) for i, ub in _bounds(width, n, slices, query, stats)
+            yield _hits([(i, copies[first + j].ljust(16, b"\0")) for i, first, ub in _bounds(width, n, slices, query, stats)
                          for j in np.flatnonzero(ub >= least[i]).tolist()])
 
     scored = _score_texts(docs, blocks.mapInArrow(reach, "item int, copy binary"), entries, stats)
