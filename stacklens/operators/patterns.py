@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stacklens.functions import scalars as S
+from stacklens.session import materialize
 
 # Numeric features whose range describes a group, and where they live in a training record.
 RANGE_FIELDS = {
@@ -195,20 +198,53 @@ def frequent_items(records: DataFrame, min_support: float = 0.1) -> DataFrame:
         "item", F.col("n").alias("count"), (F.col("n") / F.col("total")).alias("support"))
 
 
-def association_rules(records: DataFrame, min_support: float = 0.1,
-                      min_confidence: float = 0.7) -> DataFrame:
-    """One-to-one rules between items of a record (a record has at most five)."""
-    sets = _with_total(item_sets(records))
-    single = sets.select("n", F.explode("items").alias("antecedent")).groupBy("antecedent") \
-        .agg(F.sum("n").alias("base"))
-    pairs = sets.select("total", "n", "items", F.explode("items").alias("antecedent")) \
-        .select("total", "n", "antecedent", F.explode("items").alias("consequent")) \
-        .where("antecedent <> consequent").groupBy("antecedent", "consequent") \
-        .agg(F.sum("n").alias("n"), F.max("total").alias("total"))
-    return (pairs.join(single, "antecedent").select(
-        "antecedent", "consequent", (F.col("n") / F.col("total")).alias("support"),
-        (F.col("n") / F.col("base")).alias("confidence"))
-        .where((F.col("support") >= min_support) & (F.col("confidence") >= min_confidence)))
+def frequent_sets(sets: DataFrame, min_support: float = 0.1) -> DataFrame:
+    """Item sets that ``floor(total * min_support)`` of the baskets hold, once at least: items (sorted), size, count, support.
+
+    ``sets`` has ``items`` (an array) and ``n``, how many baskets have just these. Items stand in one order, rare
+    ones first. A round extends each frequent prefix by each later item of its baskets; baskets that share a
+    prefix and its later items are one row from then on, and prefixes that have become rare go. So a round works
+    on (prefix, rest) rows with counts, whatever the number of baskets, and no set is a task of its own.
+    """
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # baskets without items count as well
+    sets = sets.where(F.size("items") > 0).select(F.array_sort(F.array_distinct("items")).alias("items"), "n") \
+        .groupBy("items").agg(F.sum("n").alias("n"))
+    least = max(1, math.floor(total * min_support))
+    counts = sets.select("n", F.explode("items").alias("item")).groupBy("item").agg(F.sum("n").alias("count")) \
+        .where(F.col("count") >= least)
+    rest = (sets.select("items", F.explode("items").alias("item")).join(counts, "item").groupBy("items")
+            .agg(F.transform(F.array_sort(F.collect_list(F.struct("count", "item"))), lambda x: x["item"]).alias("rest")))
+    rows = materialize(sets.join(rest, "items").groupBy("rest").agg(F.sum("n").alias("n"))
+                       .select(F.expr("cast(array() as array<string>)").alias("prefix"), "rest", "n"))
+    found = None
+    while not rows.isEmpty():
+        step = rows.select("n", "prefix", F.posexplode("rest").alias("at", "item"), "rest").select(
+            F.concat("prefix", F.array("item")).alias("prefix"),
+            F.slice("rest", F.col("at") + 2, F.greatest(F.size("rest") - F.col("at") - 1, F.lit(0))).alias("rest"), "n")
+        step = step.groupBy("prefix", "rest").agg(F.sum("n").alias("n"))
+        level = materialize(step.groupBy("prefix").agg(F.sum("n").alias("count")).where(F.col("count") >= least))
+        found = level if found is None else found.unionByName(level)
+        rows = materialize(step.where(F.size("rest") > 0).join(level.select("prefix"), "prefix", "left_semi"))
+    if found is None:
+        return sets.sparkSession.createDataFrame([], "items array<string>, size int, count long, support double")
+    return found.select(F.array_sort("prefix").alias("items"), F.size("prefix").alias("size"), "count",
+                        (F.col("count") / F.lit(total)).alias("support"))
+
+
+def rules_of_sets(frequent: DataFrame, min_confidence: float = 0.7) -> DataFrame:
+    """Rules from all items of a frequent set but one to that one: antecedent and consequent, support, confidence, lift."""
+    known = frequent.select(F.col("items").alias("antecedent"), F.col("count").alias("base"))
+    alone = frequent.where("size = 1").select(F.col("items")[0].alias("consequent"), F.col("support").alias("expected"))
+    split = frequent.where("size > 1").select("items", "count", "support", F.explode("items").alias("consequent"))
+    return (split.withColumn("antecedent", F.array_remove("items", F.col("consequent"))).join(known, "antecedent")
+            .join(alone, "consequent").withColumn("confidence", F.col("count") / F.col("base"))
+            .where(F.col("confidence") >= min_confidence)
+            .select("antecedent", "consequent", "support", "confidence", (F.col("confidence") / F.col("expected")).alias("lift")))
+
+
+def association_rules(records: DataFrame, min_support: float = 0.1, min_confidence: float = 0.7) -> DataFrame:
+    """Rules between the items of records, with one or several items on the left."""
+    return rules_of_sets(frequent_sets(item_sets(records), min_support), min_confidence)
 
 
 def match_patterns(features: DataFrame, patterns: DataFrame, min_confidence: float = 0.7) -> DataFrame:

@@ -301,10 +301,20 @@ _ITEMS = """i AS (SELECT record_id, unnest(list_filter(['strategy:' || strategy,
 t AS (SELECT count(*) AS total FROM v_records WHERE success)"""
 query("q_frequent_items", f"WITH {_ITEMS} SELECT item, count(*) AS count, round(count(*) / any_value(total), 6) AS support FROM i, t GROUP BY 1 HAVING count(*) >= floor(any_value(total) * 0.1)")(
     lambda c: P.frequent_items(P.successes(c.records)).withColumns(r6("support")))
-query("q_rules", f"""WITH {_ITEMS}, s AS (SELECT item, count(*) AS n FROM i GROUP BY 1),
-p AS (SELECT a.item AS antecedent, b.item AS consequent, count(*) AS n FROM i a JOIN i b ON a.record_id = b.record_id AND a.item <> b.item GROUP BY 1, 2)
-SELECT antecedent, consequent, round(p.n / total, 6) AS support, round(p.n / s.n, 6) AS confidence FROM p JOIN s ON p.antecedent = s.item, t WHERE p.n / total >= 0.1 AND p.n / s.n >= 0.5""")(
-    lambda c: P.association_rules(P.successes(c.records), 0.1, 0.5).withColumns(r6("support", "confidence")))
+# every subset of a record's items, by bit masks over the sorted list
+_LATTICE = f"""{_ITEMS}, l AS (SELECT record_id, list(item ORDER BY item) AS items FROM i GROUP BY 1),
+f AS (SELECT items, len(items) AS size, count(*) AS n FROM (
+  SELECT list_filter(items, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS items FROM (SELECT items, unnest(range(1, CAST(pow(2, len(items)) AS BIGINT))) AS mask FROM l))
+  GROUP BY 1 HAVING count(*) >= floor((SELECT total FROM t) * 0.1))"""
+_joined = lambda df, name: df.withColumn(name, F.array_join(name, " & "))
+query("q_frequent_sets", f"WITH {_LATTICE} SELECT array_to_string(items, ' & ') AS items, CAST(size AS INTEGER) AS size, n AS count, round(n / total, 6) AS support FROM f, t")(
+    lambda c: _joined(P.frequent_sets(P.item_sets(P.successes(c.records)), 0.1), "items").withColumns(r6("support")))
+query("q_rules", f"""WITH {_LATTICE},
+p AS (SELECT list_filter(items, lambda x: x <> consequent) AS antecedent, consequent, n FROM (SELECT items, n, unnest(items) AS consequent FROM f WHERE size > 1))
+SELECT array_to_string(p.antecedent, ' & ') AS antecedent, CAST(len(p.antecedent) AS INTEGER) AS size, p.consequent, round(p.n / total, 6) AS support, round(p.n / b.n, 6) AS confidence,
+  round(p.n / b.n / (c.n / total), 6) AS lift FROM p JOIN f b ON b.items = p.antecedent JOIN f c ON c.items = [p.consequent], t WHERE p.n / b.n >= 0.5""")(
+    lambda c: _joined(P.association_rules(P.successes(c.records), 0.1, 0.5).withColumn("size", F.size("antecedent")), "antecedent")
+    .withColumns(r6("support", "confidence", "lift")))
 
 # -- similar cases and recommendations ---------------------------------------------------------------------------------
 _ps = lambda f, w: f"{w} * CASE WHEN q.{f} = 0 AND r.{f} = 0 THEN 1 ELSE 1 - abs(q.{f} - r.{f}) / greatest(abs(q.{f}), abs(r.{f}), 1) END"

@@ -1,4 +1,9 @@
+import importlib.util
+import os
 import re
+import shutil
+import subprocess
+import sys
 
 import __spark_entry__ as E
 from conftest import SF, rows
@@ -10,7 +15,17 @@ from stacklens.learning import models as M
 def test_entry_points():
     qs, sql = E.queries(), E.oracle_sql()
     assert len(qs) >= 120 and set(sql) <= set(qs)
-    assert not [n for n in qs if re.match(r"op\d|.*pipeline", n)]
+    there = bool(importlib.util.find_spec("stacklens.llm")) and os.path.exists(os.path.join(os.path.dirname(E.__file__), "corpus_pipeline.py"))
+    assert bool([n for n in qs if re.match(r"op\d|pipeline", n)]) == there
+
+
+def test_entry_points_without_the_training_data_package(tmp_path):
+    root, copy = os.path.dirname(os.path.abspath(E.__file__)), str(tmp_path / "copy")
+    shutil.copytree(os.path.join(root, "stacklens"), os.path.join(copy, "stacklens"), ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), copy)
+    says = "import __spark_entry__ as E; q = E.queries(); print(len(q), sum(n.startswith('op') or n == 'pipeline' for n in q), set(E.oracle_sql()) <= set(q))"
+    out = subprocess.run([sys.executable, "-c", says], cwd=copy, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": ""}, check=True)
+    assert out.stdout.split() == [str(len([n for n in E.queries() if not re.match(r"op\d|pipeline$", n)])), "0", "True"]
 
 
 def test_flagship(spark, ctx):
