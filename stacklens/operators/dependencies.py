@@ -17,17 +17,20 @@ from stacklens.rules import fixed as R
 
 # Position of a file kind in a repository's dependency order.
 SOURCE_RANK = {"requirements": 0, "setup": 1, "pyproject": 2, "imports": 3}
-_RANK_STEP = 10**12
 # The body of a list up to its closing bracket; brackets within quoted strings, such as extras, do not close it.
 LIST_BODY = r"""((?:[^\]"'#]|"[^"]*+"|'[^']*+'|#[^\n]*+)*+)\]"""
 
 
+def _order(kind: str, path, pos):
+    """Place of an entry among all of its repository: kind of file, path, position. One value that sorts."""
+    return F.struct(F.lit(SOURCE_RANK[kind]).alias("rank"), path.alias("path"), pos.cast("int").alias("pos")).alias("ord")
+
+
 def _rows(files: DataFrame, specs, kind: str, source) -> DataFrame:
     """Explode an array of requirement structs into dependency rows in file order."""
     base = files.select("repo_id", "path", F.posexplode(specs).alias("pos", "spec"))
     return (base.where(F.col("spec").isNotNull())
-            .select("repo_id",
-                    (F.lit(SOURCE_RANK[kind] * _RANK_STEP) + F.col("pos").cast("bigint")).alias("ord"),
+            .select("repo_id", _order(kind, F.col("path"), F.col("pos")),
                     F.col("spec.name").alias("name"), F.col("spec.version").alias("version"),
                     F.col("spec.op").alias("op"), F.lit("python").alias("dep_type"),
                     source(F.col("pos"), F.col("path")).alias("source"),
@@ -41,14 +44,14 @@ def parse_requirements(files: DataFrame) -> DataFrame:
     Lines are exploded and filtered before any pattern runs, so that the patterns are plain
     generated code on one short line each.
     """
-    line = files.select("repo_id", F.posexplode(X.lines(F.col("content"))).alias("pos", "raw")) \
-        .select("repo_id", "pos", X.strip(F.col("raw")).alias("line")) \
+    line = files.select("repo_id", "path", F.posexplode(X.lines(F.col("content"))).alias("pos", "raw")) \
+        .select("repo_id", "path", "pos", X.strip(F.col("raw")).alias("line")) \
         .where((F.col("line") != "") & ~F.col("line").startswith("#") & ~F.col("line").startswith("-r "))
-    body = line.select("repo_id", "pos", X.strip(F.substring_index("line", "#", 1)).alias("body")) \
+    body = line.select("repo_id", "path", "pos", X.strip(F.substring_index("line", "#", 1)).alias("body")) \
         .where(F.col("body").rlike(X.REQUIREMENT))
     name, op, version = X.requirement_parts(F.col("body"))
     return body.select(
-        "repo_id", (F.lit(SOURCE_RANK["requirements"] * _RANK_STEP) + F.col("pos").cast("bigint")).alias("ord"),
+        "repo_id", _order("requirements", F.col("path"), F.col("pos")),
         name.alias("name"), version.alias("version"), op.alias("op"), F.lit("python").alias("dep_type"),
         F.concat(F.lit("requirements.txt:L"), (F.col("pos") + 1).cast("string")).alias("source"),
         S.flag_gpu(name).alias("gpu_required"))
@@ -67,9 +70,12 @@ def parse_setup_py(files: DataFrame, mode: str = "native") -> DataFrame:
 def parse_pyproject(files: DataFrame, mode: str = "native") -> DataFrame:
     """``project.dependencies`` and the poetry table of a pyproject file."""
     content = F.col("content")
-    listed = F.transform(F.flatten(F.transform(
-        X.extract_all(content, r"(?m)^dependencies\s*=\s*\[" + LIST_BODY, 1),
+    listed = lambda text: F.transform(F.flatten(F.transform(
+        X.extract_all(text, r"(?m)^dependencies\s*=\s*\[" + LIST_BODY, 1),
         lambda b: X.extract_all(b, X.QUOTED, 1))), X.requirement)
+    # only the project table's list counts, where the text has tables at all
+    project = F.when(content.rlike(r"(?m)^\[[^\[\]\n]+\]\s*(?:#.*)?$"),
+                     F.regexp_extract(content, r"(?ms)^\[project\][^\n]*$(.*?)(?=^\[[^\[\]\n]+\]\s*(?:#[^\n]*)?$|^\[\[|\z)", 1)).otherwise(content)
     table = F.concat(content, F.lit("\n["))
     section = F.regexp_extract(table, r"(?s)\[tool\.poetry\.dependencies\](.*?)\n\[", 1)
     entry = r"""^([A-Za-z0-9_.-]+)\s*=\s*(?:["']([^"']*)["']|\{.*?version\s*=\s*["']([^"']*)["'].*)"""
@@ -79,12 +85,12 @@ def parse_pyproject(files: DataFrame, mode: str = "native") -> DataFrame:
                              F.nullif(F.regexp_extract(raw, entry, 3), F.lit("")))
         return F.when((name != "") & (name != "python"), F.struct(
             name.alias("name"), F.lit(None).cast("string").alias("op"), version.alias("version")))
-    specs = F.concat(listed, F.transform(X.lines(section), poetry))
+    specs = lambda text: F.concat(listed(text), F.transform(X.lines(section), poetry))
     source = lambda pos, path: F.lit("pyproject.toml")
     if mode == "exact":
         # of a file that does not parse, only entries with a version are taken
-        return _exact(files, _pyproject_items, "pyproject", source, F.filter(specs, lambda s: s["version"].isNotNull()))
-    return _rows(files, specs, "pyproject", source)
+        return _exact(files, _pyproject_items, "pyproject", source, F.filter(specs(content), lambda s: s["version"].isNotNull()))
+    return _rows(files, specs(project), "pyproject", source)
 
 
 def scan_imports(files: DataFrame, mode: str = "native") -> DataFrame:
@@ -170,7 +176,7 @@ def _import_items(content: str) -> list[tuple[str, None]]:
 
 # -- relations over dependency rows -----------------------------------------------------------
 def union_sources(*parsed: DataFrame) -> DataFrame:
-    """All parsed sources in one relation; ``ord`` already ranks the file kinds."""
+    """All parsed sources in one relation; ``ord`` ranks kinds of files, then their paths, then places in them."""
     out = parsed[0]
     for p in parsed[1:]:
         out = out.unionByName(p)
@@ -178,33 +184,35 @@ def union_sources(*parsed: DataFrame) -> DataFrame:
 
 
 def dedup_dependencies(deps: DataFrame) -> DataFrame:
-    """One row per (repo, lower-case name), replacing in order of appearance.
+    """One row per (repo, lower-case name), replacing in order of appearance (``ord``, of any type that sorts).
 
     A later row replaces the kept one if it brings a version the kept one lacks, or a GPU flag the
     kept one lacks. That ordered rule has a closed form, so no group is ever collected: the first
     row with both wins; otherwise the kept row is the first row of the last run of rows of one
-    kind (version only / GPU only); otherwise the first row. Two aggregations with map-side
-    combine replace a per-group fold, which keeps a package that holds a third of all rows cheap.
+    kind (version only / GPU only); otherwise the first row. One aggregation with map-side combine
+    decides every package but those whose rows of both single kinds alternate and never have both;
+    only their last runs are looked up, in a second pass over their rows.
     """
     key = ["repo_id", "dep_key"]
-    v, g, o = S.has_version(F.col("version")), F.col("gpu_required"), F.col("ord")
+    v, g = S.has_version(F.col("version")), F.coalesce("gpu_required", F.lit(False))
     # kinds: 0 nothing, 1 version only, 2 GPU only, 3 both
     kind = F.when(v, 1).otherwise(0) + F.when(g, 2).otherwise(0)
     rows = deps.withColumn("dep_key", F.lower("name")).withColumn("kind", kind)
-    at = lambda k: F.when(F.col("kind") == k, o)
-    marks = rows.groupBy(*key).agg(F.min("ord").alias("first_ord"), F.min(at(3)).alias("both_ord"),
-                                   F.max(at(1)).alias("version_ord"), F.max(at(2)).alias("gpu_ord"))
-    ver, gpu = F.coalesce("version_ord", F.lit(-1)), F.coalesce("gpu_ord", F.lit(-1))
-    want = (F.when(F.col("both_ord").isNotNull(), 3).when((ver < 0) & (gpu < 0), 0)
-            .when(ver > gpu, 1).otherwise(2))
-    marks = marks.select(*key, "first_ord", want.alias("want"),
-                         F.when(want.isin(1, 2), F.least(ver, gpu)).otherwise(F.lit(-1)).alias("after_ord"))
-    # a difference, not an equality: an equality would become a join key and cost two more shuffles,
-    # while on the group key the join and the last aggregation keep one partitioning
-    kept = rows.join(marks, key).where((F.col("kind") - F.col("want") == 0) & (o > F.col("after_ord")))
     cols = [c for c in deps.columns if c != "repo_id"]
-    best = kept.groupBy(*key).agg(F.min_by(F.struct(*cols), "ord").alias("r"),
-                                  F.min("first_ord").alias("first_ord"))
+    row = F.struct(*cols)
+    at = lambda k: F.when(F.col("kind") == k, F.col("ord"))
+    better = F.when(F.col("kind") == 3, 0).when(F.col("kind") > 0, 1).otherwise(2)
+    marks = rows.groupBy(*key).agg(
+        F.min_by(row, F.struct(better, "ord")).alias("r"), F.min("ord").alias("first_ord"),
+        F.max(F.col("kind") == 3).alias("both"), F.max(at(1)).alias("version_ord"), F.max(at(2)).alias("gpu_ord"))
+    alternate = ~F.col("both") & F.col("version_ord").isNotNull() & F.col("gpu_ord").isNotNull()
+    ends = marks.where(alternate).select(
+        *key, "first_ord", F.when(F.col("version_ord") > F.col("gpu_ord"), 1).otherwise(2).alias("want"),
+        F.least("version_ord", "gpu_ord").alias("after_ord"))
+    # a difference, not an equality, keeps the kind out of the join key
+    last = (rows.join(ends, key).where((F.col("kind") - F.col("want") == 0) & (F.col("ord") > F.col("after_ord")))
+            .groupBy(*key).agg(F.min_by(row, "ord").alias("r"), F.min("first_ord").alias("first_ord")))
+    best = marks.where(~alternate).select(*key, "r", "first_ord").unionByName(last)
     return best.select("repo_id", *[F.col("r")[c].alias(c) for c in cols], "first_ord")
 
 

@@ -11,9 +11,6 @@ from stacklens.functions import scalars as S
 from stacklens.rules import fixed as R
 from stacklens.session import materialize
 
-# 0.5^1075 is zero in double precision: older values cannot change a half-life average.
-EWMA_DEPTH = 1075
-
 
 def last_n(df: DataFrame, key: list[str], order: list[Column], n: int) -> DataFrame:
     """Newest ``n`` rows per key; the rank bound becomes a group limit before the shuffle."""
@@ -39,18 +36,45 @@ def expire(df: DataFrame, now: Column, max_age: Column, inclusive: bool = True)
 
 
 # -- success and failure patterns ----------------------------------------------------------------
+#: Time slots by which ordered aggregates are combined, fine to coarse: no window holds more than a second's rows,
+#: an hour's seconds or a group's hours.
+SLOTS = ("second", "hour")
+
+
+def decayed(rows: DataFrame, key: list[str], value: str, order: list[str]) -> DataFrame:
+    """(key, slot, n, part) per second: ``part`` is the sum of value * 0.5^rank, the newest at rank 1 (``order`` ascends)."""
+    slot = F.date_trunc(SLOTS[0], F.col(order[0])).alias("slot")
+    newest = Window.partitionBy(*key, "slot").orderBy(*(F.desc(c) for c in order))
+    ranked = rows.select(*key, slot, *{value, *order}).withColumn("rank", F.row_number().over(newest))
+    return ranked.groupBy(*key, "slot").agg(F.count("*").alias("n"), F.sum(F.col(value) * F.pow(F.lit(0.5), F.col("rank"))).alias("part"))
+
+
+def combined(slots: DataFrame, key: list[str], into: str | None) -> DataFrame:
+    """Slots of (n, part) joined to coarser ones, or to one per key: newer slots shift older ones by their counts.
+
+    The operation is associative, so any grouping of slots in time order gives the same value. Any number of older
+    values takes part; that their weight fades to zero is left to the arithmetic.
+    """
+    keys = [*key, "to"]
+    to = F.date_trunc(into, "slot") if into else F.lit(None).cast("timestamp")
+    newer = Window.partitionBy(*keys).orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.pow(F.lit(0.5), F.coalesce(F.sum("n").over(newer), F.lit(0)))
+    return (slots.withColumn("to", to).withColumn("shifted", F.col("part") * shift).groupBy(*keys)
+            .agg(F.sum("n").alias("n"), F.sum("shifted").alias("part")).withColumnRenamed("to", "slot"))
+
+
+def half_life_average(slots: DataFrame, key: list[str]) -> DataFrame:
+    """(key, n, part) of all slots of a key, by way of its hours."""
+    return combined(combined(slots, key, SLOTS[1]), key, None).drop("slot")
+
+
 def success_patterns_ewma(outcomes: DataFrame) -> DataFrame:
     """Per strategy: successes and the half-life average ``avg = (avg + new) / 2`` from 0.
 
     The recurrence equals the sum of x * 0.5^rank with the newest at rank 1.
     """
-    ok = outcomes.where("success")
-    counts = ok.groupBy("strategy").agg(F.count("*").alias("count"))
-    recent = last_n(ok.select("strategy", "setup_time", "ts", "outcome_id"), ["strategy"],
-                    [F.desc("ts"), F.desc("outcome_id")], EWMA_DEPTH)
-    avg = recent.groupBy("strategy").agg(
-        F.sum(F.col("setup_time") * F.pow(F.lit(0.5), F.col("rn"))).alias("avg_setup_time"))
-    return counts.join(avg, "strategy")
+    slots = decayed(outcomes.where("success"), ["strategy"], "setup_time", ["ts", "outcome_id"])
+    return half_life_average(slots, ["strategy"]).select("strategy", F.col("n").alias("count"), F.col("part").alias("avg_setup_time"))
 
 
 def success_patterns(outcomes: DataFrame, gpu_repos: DataFrame) -> DataFrame:
@@ -116,17 +140,24 @@ def failure_rollup(outcomes: DataFrame) -> DataFrame:
 def running_setup_time(outcomes: DataFrame) -> DataFrame:
     """Running count and mean of setup time per strategy over time.
 
-    A running value over few, long groups must not put a group into one task. Hours are totalled
-    first; offsets of earlier hours come from those totals, and only an hour's rows share a window.
+    A running value over few, long groups must not put a group into one task. Seconds and hours are totalled
+    first; offsets come from earlier hours, and earlier seconds of the hour, so only a second's rows share a window.
     """
-    ok = outcomes.where("success").withColumn("day", F.date_trunc("hour", "ts"))
-    days = ok.groupBy("strategy", "day").agg(F.count("*").alias("n"), F.sum("setup_time").alias("t"))
-    before = Window.partitionBy("strategy").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select("strategy", "day", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"),
-                       F.coalesce(F.sum("t").over(before), F.lit(0.0)).alias("t0"))
-    inside = Window.partitionBy("strategy", "day").orderBy("ts", "outcome_id") \
-        .rowsBetween(Window.unboundedPreceding, 0)
-    return (ok.join(days, ["strategy", "day"])
+    fine, coarse = SLOTS
+    ok = outcomes.where("success").withColumn("fine", F.date_trunc(fine, "ts"))
+    sums = [F.sum("n").alias("n"), F.sum("t").alias("t")]
+    seconds = ok.groupBy("strategy", "fine").agg(F.count("*").alias("n"), F.sum("setup_time").alias("t")) \
+        .withColumn("coarse", F.date_trunc(coarse, "fine"))
+
+    def before(df: DataFrame, by: list[str], order: str, suffix: str) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns({f"n{suffix}": F.coalesce(F.sum("n").over(w), F.lit(0)), f"t{suffix}": F.coalesce(F.sum("t").over(w), F.lit(0.0))})
+
+    hours = before(seconds.groupBy("strategy", "coarse").agg(*sums), ["strategy"], "coarse", "0").select("strategy", "coarse", "n0", "t0")
+    offsets = before(seconds, ["strategy", "coarse"], "fine", "1").join(hours, ["strategy", "coarse"]) \
+        .select("strategy", "fine", (F.col("n0") + F.col("n1")).alias("n0"), (F.col("t0") + F.col("t1")).alias("t0"))
+    inside = Window.partitionBy("strategy", "fine").orderBy("ts", "outcome_id").rowsBetween(Window.unboundedPreceding, 0)
+    return (ok.join(offsets, ["strategy", "fine"])
             .withColumn("running_count", F.count("*").over(inside) + F.col("n0"))
             .withColumn("running_avg", (F.sum("setup_time").over(inside) + F.col("t0")) / F.col("running_count"))
             .select("outcome_id", "strategy", "running_count", "running_avg"))

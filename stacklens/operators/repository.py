@@ -39,8 +39,9 @@ def pick_source_files(files: DataFrame, limit: int | None = None, max_bytes: int
 def parse_repo_url(urls: DataFrame, url: str = "url", host: str = "github.com") -> DataFrame:
     """Owner and name from http(s), ssh and short forms; null when the form is unknown."""
     h = host.replace(".", r"\.")
-    u = F.trim(F.col(url))
-    forms = [rf"^https?://{h}/([^/]+)/([^/]+?)(?:\.git)?/?$", rf"{h}[/:]([^/]+)/([^/\s]+?)(?:\.git)?(?:/.*)?$",
+    u = F.regexp_replace(F.trim(F.col(url)), r"[?#].*$", "")  # the query and fragment are no part of a name
+    forms = [rf"^https?://{h}/([^/]+)/([^/]+?)(?:\.git)?/?$",
+             rf"^(?:[a-z+]+://)?(?:[^@/\s]+@)?(?:www\.)?{h}[/:]([^/]+)/([^/\s]+?)(?:\.git)?(?:/.*)?$",
              r"^([^/:\s]+)/([^/:\s]+?)(?:\.git)?$"]
     part = lambda g: F.coalesce(*[F.when(u.rlike(p), F.regexp_extract(u, p, g)) for p in forms])
     return urls.withColumn("owner", part(1)).withColumn("name", part(2)).withColumn(

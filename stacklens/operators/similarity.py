@@ -1,14 +1,15 @@
 """Nearest cases and similar repositories: exact top-k for every query row.
 
 Both searches follow one plan. Equal rows collapse to one profile that carries its count and its
-first k members, so copies never meet each other. A cheap equality join gives each profile a lower
-bound for its k-th best similarity. The bound then limits which profiles can still matter, and
-those meet through equality joins on the values the bound allows. Nothing is capped: a profile
-with a weak bound simply searches wider.
+first k members, so copies never meet each other. Then thresholds fall: at each level a profile meets
+all others that are at least that similar, through equality joins that only let those pairs through,
+and only profiles that are still short of k go on to the next level. Nothing is capped: a profile
+with few neighbours simply searches wider.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -41,15 +42,73 @@ def _members(df: DataFrame, key: list[str], id_col: str, k: int) -> DataFrame:
     return first.join(counts, key)
 
 
-def _range(value: Column, sigma: Column, top: Column) -> Column:
-    """Integers b in [0, top] with numeric_similarity(value, b) >= sigma, as an array."""
-    v = value.cast("double")
-    lo = F.ceil(v - (F.lit(1.0) - sigma) * F.greatest(v, F.lit(1.0)) - EPS)
-    hi = F.floor(v / F.greatest(sigma, F.lit(EPS)) + EPS)
-    all_ = F.sequence(F.lit(0).cast("bigint"), top)
-    lo, hi = F.greatest(lo, F.lit(0)).cast("bigint"), F.least(hi, top).cast("bigint")
-    return F.when(sigma <= 0, all_).when(lo <= hi, F.sequence(lo, hi)) \
-        .otherwise(F.array().cast("array<bigint>"))
+def _digest(cols: list[str]) -> Column:
+    """128 bits that stand for the values of some columns."""
+    return F.md5(F.to_json(F.struct(*cols)))
+
+
+def lowered(open_rows: DataFrame, key: str, levels: list[float], k: int, meet) -> DataFrame:
+    """Pairs that hold each open row's ``k`` best: ``meet(rows, level)`` gives all pairs (key, other, similarity,
+    members) of at least a level. A row whose partners count k members at a level is done, and only the others
+    go on to the next, lower one; at the last level all are done.
+    """
+    found = None
+    for level in levels:
+        pairs = materialize(meet(open_rows, level))
+        if level != levels[-1]:
+            done = pairs.groupBy(key).agg(F.sum("members").alias("n")).where(F.col("n") >= k).select(key)
+            open_rows = materialize(open_rows.join(done, key, "left_anti"))
+            pairs = pairs.join(open_rows.select(key), key, "left_anti")
+        found = pairs if found is None else found.unionByName(pairs)
+        if level != levels[-1] and open_rows.isEmpty():
+            break
+    return found
+
+
+#: Similarities at which open rows meet, from high to low; ``min_similarity`` is the last.
+CASE_LEVELS = [1.0, 0.999, 0.996, 0.99, 0.98, 0.96, 0.93, 0.88, 0.8, 0.7, 0.55, 0.4]
+#: Features that make a grid cell at a level, where the level bounds them at all.
+GRID = ["ml_dependencies", "gpu_dependencies", "total_dependencies"]
+FLAG = "is_ml_repo"
+#: A feature whose similarity may fall below this is no part of the grid; rows of one block of a grid without cells.
+LEAST_BOUND, GRIDLESS_BLOCK = 0.1, 4096
+
+
+def _scale(v: Column) -> Column:
+    """A scale on which values of numeric similarity t or more differ by -ln(t) at most."""
+    size = F.abs(v)
+    return F.signum(v) * F.when(size < 1, size).otherwise(F.lit(1.0) + F.log(size))
+
+
+def case_pairs(left: DataFrame, right: DataFrame, level: float) -> DataFrame:
+    """(qid, rid, similarity, members) of all profile pairs of at least ``level``.
+
+    A level leaves each feature a least similarity of its own, 1 - (1 - level) / weight. Cells of a grid are as
+    wide as that allows, so partners are in the same or the next cell of each dimension, and both sides meet by
+    an equality join on the cell. Higher levels have finer cells: a crowded cell of one level is many of another.
+    """
+    cell_l, cell_r = [], []
+    for f in GRID:
+        least = 1 - (1 - level) / R.CASE_WEIGHTS[f]
+        if least >= LEAST_BOUND:
+            width = max(-math.log(least), 1e-9) * (1 + 1e-9)
+            at = lambda side: F.floor(_scale(F.col(f"{side}_{f}")) / width)  # noqa: E731, B023
+            cell_l.append((f, F.explode(F.array(*(at("q") + i for i in (-1, 0, 1))))))
+            cell_r.append((f, at("r")))
+    if level > 1 - R.CASE_WEIGHTS[FLAG] + EPS:
+        cell_l.append((FLAG, F.col(f"q_{FLAG}")))
+        cell_r.append((FLAG, F.col(f"r_{FLAG}")))
+    names = [f"at_{f}" for f, _ in cell_l]
+    if not names:  # nothing bounds a partner: every block of records meets every open row
+        blocks = max(1, math.ceil(right.count() / GRIDLESS_BLOCK))
+        cell_l = [("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))]
+        cell_r = [("block", F.pmod(F.hash("rid"), F.lit(blocks)))]
+        names = ["at_block"]
+    for (f, here), (_, there) in zip(cell_l, cell_r, strict=True):
+        left, right = left.withColumn(f"at_{f}", here), right.withColumn(f"at_{f}", there)
+    sim = case_similarity({f: F.col(f"q_{f}") for f in CASE_FEATURES}, {f: F.col(f"r_{f}") for f in CASE_FEATURES})
+    return (left.join(right, names).withColumn("similarity", sim).where(F.col("similarity") >= level - EPS)
+            .select("qid", "rid", "similarity", "members"))
 
 
 def similar_cases(queries: DataFrame, records: DataFrame, k: int = 10,
@@ -61,39 +120,20 @@ def similar_cases(queries: DataFrame, records: DataFrame, k: int = 10,
     """
     feats = CASE_FEATURES
     norm = lambda df, i: df.select(i, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in feats])
-    q, r = norm(queries, "query_id"), norm(records, "record_id")
-    # profile tables are the distinct feature combinations: written once, read by both phases
-    pr = materialize(_members(r, feats, "record_id", k).withColumn("rid", F.xxhash64(*feats)))
-    pq = materialize(q.select(*feats).distinct().withColumn("qid", F.xxhash64(*feats)))
-    left = pq.select("qid", *[F.col(f).alias(f"q_{f}") for f in feats])
-    right = pr.select("rid", "members", "ids", *[F.col(f).alias(f"r_{f}") for f in feats])
-    sim = case_similarity({f: F.col(f"q_{f}") for f in feats}, {f: F.col(f"r_{f}") for f in feats})
-    ml, gpu, is_ml = "ml_dependencies", "gpu_dependencies", "is_ml_repo"
-
-    cell = [F.col(f"q_{f}") == F.col(f"r_{f}") for f in (ml, gpu, is_ml)]
-    near = left.join(right, cell).withColumn("similarity", sim)
-    best = Window.partitionBy("qid").orderBy(F.desc("similarity"), "rid") \
-        .rowsBetween(Window.unboundedPreceding, 0)
-    bound = near.withColumn("cum", F.sum("members").over(best)).where(F.col("cum") >= k) \
-        .groupBy("qid").agg(F.max("similarity").alias("tau"))
-    tau = F.coalesce("tau", F.lit(float(min_similarity)))
-    w_ml, w_gpu = R.CASE_WEIGHTS[ml], R.CASE_WEIGHTS[gpu]
-    tops = right.agg(F.max(f"r_{ml}").cast("bigint").alias("a"), F.max(f"r_{gpu}").cast("bigint").alias("b")).first()
-    top_ml, top_gpu = F.lit(tops["a"] or 0).cast("bigint"), F.lit(tops["b"] or 0).cast("bigint")
-    probe = (left.join(bound, "qid", "left").withColumn("tau", tau)
-             .withColumn(f"j_{ml}", F.explode(_range(F.col(f"q_{ml}"), (F.col("tau") - (1 - w_ml) - EPS) / w_ml, top_ml)))
-             .withColumn(f"j_{gpu}", F.explode(_range(F.col(f"q_{gpu}"), (F.col("tau") - (1 - w_gpu) - EPS) / w_gpu, top_gpu))))
-    cand = probe.join(right, [F.col(f"j_{ml}") == F.col(f"r_{ml}").cast("bigint"),
-                              F.col(f"j_{gpu}") == F.col(f"r_{gpu}").cast("bigint")]) \
-        .withColumn("similarity", sim) \
-        .where((F.col("similarity") > min_similarity) & (F.col("similarity") >= F.col("tau") - EPS))
+    q = norm(queries, "query_id").withColumn("qid", _digest(feats))
+    # profile tables are the distinct feature combinations: written once, read in every round
+    pr = materialize(_members(norm(records, "record_id"), feats, "record_id", k).withColumn("rid", _digest(feats)))
+    left = materialize(q.select("qid", *[F.col(f).alias(f"q_{f}") for f in feats]).distinct())
+    right = pr.select("rid", "members", *[F.col(f).alias(f"r_{f}") for f in feats])
+    levels = [x for x in CASE_LEVELS if x > min_similarity] + [min_similarity]
+    found = lowered(left, "qid", levels, k, lambda rows, level: case_pairs(rows, right, level)) \
+        .where(F.col("similarity") > min_similarity)
     rank = Window.partitionBy("qid").orderBy(F.desc("similarity"), "record_id")
-    top = cand.select("qid", "similarity", F.explode("ids").alias("record_id")) \
+    top = found.join(pr.select("rid", "ids"), "rid").select("qid", "similarity", F.explode("ids").alias("record_id")) \
         .withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
     lists = top.groupBy("qid").agg(F.array_sort(F.collect_list(
         F.struct("rank", "record_id", "similarity"))).alias("cases"))
-    keyed = q.withColumn("qid", F.xxhash64(*feats)).select("query_id", "qid")
-    return (keyed.join(lists, "qid").select("query_id", F.explode("cases").alias("c"))
+    return (q.select("query_id", "qid").join(lists, "qid").select("query_id", F.explode("cases").alias("c"))
             .select("query_id", "c.record_id", "c.similarity", F.col("c.rank").cast("bigint").alias("rank")))
 
 
@@ -119,77 +159,62 @@ def _rarest_first(sigs: DataFrame, col: str) -> DataFrame:
         col, F.coalesce("_o", F.expr("cast(array() as array<string>)"))).drop("_o")
 
 
-def similar_repos(repos: DataFrame, k: int = 5, min_similarity: float = 0.1,
-                  block_size: int = 24) -> DataFrame:
+REPO_LEVELS = [0.95, 0.9, 0.85, 0.8, 0.75, 0.7, 0.65, 0.6, 0.55, 0.5, 0.4, 0.3, 0.2]
+
+
+def _set_pairs(left: DataFrame, right: DataFrame, topic_sets: DataFrame, level: float) -> DataFrame:
+    """(sid, oid) of different sets whose mean Jaccard may reach ``level``; ``left`` are the open ones."""
+    if level > 0.5:
+        # both Jaccards must be positive: the few topic sets that can still reach the level are found first
+        sigma = F.lit(2 * level - 1 - EPS)
+        want = left.select("tk", "t1").dropDuplicates(["tk"])
+        other = topic_sets.select(F.col("tk").alias("tk2"), F.col("topics").alias("t2"), F.explode("topics").alias("tt"))
+        near = want.withColumn("tt", F.explode(_prefix(F.col("t1"), sigma))).join(other, "tt") \
+            .select("tk", "tk2", jaccard(F.col("t1"), F.col("t2")).alias("jt")).distinct().where(F.col("jt") >= sigma)
+        mine = left.join(near, "tk").withColumn("need", F.lit(2 * level) - F.col("jt") - EPS).where(F.col("need") <= 1) \
+            .withColumn("dt", F.explode(_prefix(F.col("d1"), F.col("need")))) \
+            .select("sid", "tk2", "dt", F.size("d1").alias("n1"), "need")
+        theirs = right.select("oid", F.col("tk").alias("tk2"), F.size("d2").alias("n2"), F.explode("d2").alias("dt"))
+        met = mine.join(theirs, ["tk2", "dt"]).where((F.col("n2") >= F.col("need") * F.col("n1") - EPS)
+                                                     & (F.col("n2") * F.col("need") <= F.col("n1") + EPS))
+    else:
+        # one Jaccard alone may carry the level
+        side = lambda a, b: left.withColumn("x", F.explode(_prefix(F.col(a), F.lit(level - EPS)))).select("sid", "x") \
+            .join(right.select("oid", F.explode(b).alias("x")), "x")
+        met = side("t1", "t2").unionByName(side("d1", "d2"))
+    return met.select("sid", "oid").distinct().where(F.col("sid") != F.col("oid"))
+
+
+def similar_repos(repos: DataFrame, k: int = 5, min_similarity: float = 0.1) -> DataFrame:
     """For each repository the ``k`` most similar others: mean of topic and dependency Jaccard.
 
     ``repos`` has repo_id, topics and deps (arrays of distinct names). Ties go to the smaller id.
     """
     base = repos.select("repo_id", F.array_sort(F.array_distinct("topics")).alias("topics"),
                         F.array_sort(F.array_distinct("deps")).alias("deps")) \
-        .withColumn("sid", F.md5(F.to_json(F.struct("topics", "deps"))))
+        .withColumn("sid", _digest(["topics", "deps"]))
     sets = base.groupBy("sid").agg(F.first("topics").alias("topics"), F.first("deps").alias("deps"))
     sigs = _members(base, ["sid"], "repo_id", k + 1).join(sets, "sid")
-    sigs = materialize(_rarest_first(_rarest_first(sigs, "topics"), "deps"))
-
-    l = sigs.select("sid", F.col("topics").alias("t1"), F.col("deps").alias("d1"))
-    r = sigs.select(F.col("sid").alias("oid"), F.col("topics").alias("t2"), F.col("deps").alias("d2"),
-                    "members")
+    sigs = materialize(_rarest_first(_rarest_first(sigs, "topics"), "deps").withColumn("tk", F.md5(F.to_json(F.array_sort("topics")))))
+    topic_sets = materialize(sigs.select("tk", "topics").dropDuplicates(["tk"]))
+    left = sigs.select("sid", "tk", F.col("topics").alias("t1"), F.col("deps").alias("d1"))
+    right = sigs.select(F.col("sid").alias("oid"), "tk", F.col("topics").alias("t2"), F.col("deps").alias("d2"), "members")
     sim = F.round((jaccard(F.col("t1"), F.col("t2")) + jaccard(F.col("d1"), F.col("d2"))) / 2, 9)
-
-    # lower bound of the (k+1)-th best, own copies included: any candidate subset is valid here,
-    # so blocks of likely neighbours may be cut to a fixed size
-    topic_key = lambda c: F.xxhash64(F.array_sort(c))
-    blocks = r.select("oid", "t2", "d2", "members", topic_key(F.col("t2")).alias("tk"), F.explode("d2").alias("dt"))
-    w = Window.partitionBy("tk", "dt").orderBy(F.desc("members"), "oid")
-    blocks = blocks.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= block_size).drop("rn")
-    likely = l.select("sid", "t1", "d1", topic_key(F.col("t1")).alias("tk"), F.explode("d1").alias("dt")) \
-        .join(blocks, ["tk", "dt"]).where(F.col("sid") != F.col("oid")) \
-        .select("sid", "oid", "members", sim.alias("similarity")).distinct()
-    own = sigs.select("sid", F.col("sid").alias("oid"), "members", F.round(
-        (F.when(F.size("topics") > 0, 1.0).otherwise(0.0) + F.when(F.size("deps") > 0, 1.0).otherwise(0.0)) / 2, 9)
-        .alias("similarity"))
-    best = Window.partitionBy("sid").orderBy(F.desc("similarity"), "oid").rowsBetween(Window.unboundedPreceding, 0)
-    bound = own.unionByName(likely).withColumn("cum", F.sum("members").over(best)) \
-        .where(F.col("cum") >= k + 1).groupBy("sid").agg(F.max("similarity").alias("tau"))
-    tau = F.greatest(F.coalesce("tau", F.lit(0.0)), F.lit(float(min_similarity)))
-    l = materialize(l.join(bound, "sid", "left").withColumn("tau", tau))
-
-    # above 0.5 both Jaccards must be positive: meet on (topic, dependency); the topic sets that
-    # can still reach the bound are few, so they are found first
-    high = l.where(F.col("tau") > 0.5 + EPS).withColumn("sigma", F.col("tau") * 2 - 1 - EPS)
-    topic_sets = sigs.select(topic_key(F.col("topics")).alias("tk"), "topics").dropDuplicates(["tk"])
-    by_topic = topic_sets.select("tk", F.col("topics").alias("t2"), F.explode("topics").alias("tt"))
-    want = high.select(topic_key(F.col("t1")).alias("tk1"), "t1", "sigma") \
-        .groupBy("tk1").agg(F.first("t1").alias("t1"), F.min("sigma").alias("sigma"))
-    pairs = want.select("tk1", "t1", "sigma", F.explode(_prefix(F.col("t1"), F.col("sigma"))).alias("tt")) \
-        .join(by_topic, "tt").select("tk1", "tk", "sigma", jaccard(F.col("t1"), F.col("t2")).alias("jt")).distinct() \
-        .where(F.col("jt") >= F.col("sigma")).select("tk1", "tk", "jt")
-    deps_left = high.withColumn("tk1", topic_key(F.col("t1"))).join(pairs, "tk1") \
-        .withColumn("sigma_d", F.col("tau") * 2 - F.col("jt") - EPS).where(F.col("sigma_d") <= 1) \
-        .withColumn("dt", F.explode(_prefix(F.col("d1"), F.col("sigma_d")))) \
-        .select("sid", "tk", "dt", F.size("d1").alias("n1"), "sigma_d")
-    deps_right = r.select("oid", topic_key(F.col("t2")).alias("tk"), F.size("d2").alias("n2"), F.explode("d2").alias("dt"))
-    found_high = deps_left.join(deps_right, ["tk", "dt"]) \
-        .where((F.col("n2") >= F.col("sigma_d") * F.col("n1") - EPS) & (F.col("n2") * F.col("sigma_d") <= F.col("n1") + EPS)) \
-        .select("sid", "oid").distinct()
-
-    # at or below 0.5 one Jaccard alone may carry the bound
-    low = l.where(F.col("tau") <= 0.5 + EPS).withColumn("sigma", F.col("tau") - EPS)
-    def meet(side: str, other: str) -> DataFrame:
-        return low.select("sid", F.explode(_prefix(F.col(side), F.col("sigma"))).alias("x")) \
-            .join(r.select("oid", F.explode(other).alias("x")), "x").select("sid", "oid")
-    found_low = meet("t1", "t2").unionByName(meet("d1", "d2")).distinct()
-
-    pairs_all = found_high.unionByName(found_low).where(F.col("sid") != F.col("oid"))
-    scored = pairs_all.join(l.select("sid", "t1", "d1", "tau"), "sid").join(r, "oid") \
-        .withColumn("similarity", sim) \
-        .where((F.col("similarity") > min_similarity) & (F.col("similarity") >= F.col("tau") - EPS)) \
-        .select("sid", "oid", "similarity")
-    copies = own.select("sid", "oid", "similarity").where(F.col("similarity") > min_similarity)
-    ids = sigs.select(F.col("sid").alias("oid"), "ids")
+    # copies: a set is as similar to itself as its sides are filled
+    filled = (F.when(F.size("t1") > 0, 1.0).otherwise(0.0) + F.when(F.size("d1") > 0, 1.0).otherwise(0.0)) / 2
+    counts = sigs.select("sid", "members")
+
+    def meet(rows: DataFrame, level: float) -> DataFrame:
+        scored = _set_pairs(rows, right, topic_sets, level).join(rows.select("sid", "t1", "d1"), "sid") \
+            .join(right.drop("tk"), "oid").withColumn("similarity", sim).select("sid", "oid", "similarity", "members")
+        own = rows.join(counts, "sid").select("sid", F.col("sid").alias("oid"), filled.alias("similarity"), "members")
+        return scored.unionByName(own).where(F.col("similarity") >= level - EPS)
+
+    levels = [x for x in REPO_LEVELS if x > min_similarity] + [min_similarity]
+    # one more than k, as a repository is its own best
+    found = lowered(left, "sid", levels, k + 1, meet).where(F.col("similarity") > min_similarity)
     rank = Window.partitionBy("sid").orderBy(F.desc("similarity"), "other_id")
-    top = scored.unionByName(copies).join(ids, "oid").select("sid", "similarity", F.explode("ids").alias("other_id")) \
+    top = found.join(sigs.select(F.col("sid").alias("oid"), "ids"), "oid").select("sid", "similarity", F.explode("ids").alias("other_id")) \
         .withColumn("rn", F.row_number().over(rank)).where(F.col("rn") <= k + 1)
     lists = top.groupBy("sid").agg(F.array_sort(F.collect_list(
         F.struct("rn", "other_id", "similarity"))).alias("top"))

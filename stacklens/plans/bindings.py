@@ -170,6 +170,17 @@ SELECT d.doc_id AS repo_id, 'src/m' || CAST(d.doc_id AS VARCHAR(20)) || '.py' AS
        'import cv2' || chr(10) || CASE WHEN d.doc_id % 2 = 0 THEN 'import torch.nn as nn, json' ELSE 'from PIL import Image' END || chr(10) ||
        'def f():' || chr(10) || '    import pandas' || chr(10) AS content
 FROM documents d
+UNION ALL
+SELECT d.doc_id, CASE WHEN d.doc_id % 3 = 0 THEN 'src/z.py' ELSE 'src/a.py' END, 'import numpy' || chr(10) || 'import jax, tqdm' || chr(10)
+FROM documents d
+"""
+
+VIEWS["v_requirement_files"] = """
+SELECT d.doc_id AS repo_id, p.path,
+       CASE WHEN p.path = 'requirements-dev.txt' THEN 'pytest>=7.0' || chr(10) || a.name || chr(10) || 'numba' || chr(10)
+            ELSE '# pinned' || chr(10) || a.name || '==' || a.v1 || chr(10) || b.name || chr(10) || 'torch' || chr(10) || 'numpy>=' || b.v2 || chr(10) END AS content
+FROM documents d JOIN vocab a ON (d.doc_id * 3 + 1) % 24 = a.idx JOIN vocab b ON (d.doc_id * 7 + 2) % 24 = b.idx,
+     (VALUES ('requirements.txt'), ('requirements-dev.txt')) AS p(path)
 """
 
 VIEWS["v_logs"] = """

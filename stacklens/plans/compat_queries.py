@@ -123,13 +123,12 @@ _req_line = r"regexp_extract(body, '^([a-zA-Z0-9_-]+)\s*([><=!~]+)\s*([0-9.]+.*?
 query("q_parse_requirements", f"""
 WITH raw AS (SELECT repo_id, ord AS file_ord, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS pos FROM v_manifests),
 body AS (SELECT *, trim(split_part(trim(line), '#', 1)) AS body FROM raw WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#') AND NOT starts_with(trim(line), '-r '))
-SELECT repo_id, file_ord, pos - 1 AS ord, lower(CASE WHEN {_req_line.format(g=1)} <> '' THEN {_req_line.format(g=1)} ELSE body END) AS name,
+SELECT repo_id, 'req/' || CAST(file_ord AS VARCHAR) || '.txt' AS path, CAST(pos - 1 AS INTEGER) AS pos, lower(CASE WHEN {_req_line.format(g=1)} <> '' THEN {_req_line.format(g=1)} ELSE body END) AS name,
        nullif({_req_line.format(g=3)}, '') AS version, nullif({_req_line.format(g=2)}, '') AS op, 'requirements.txt:L' || pos AS source,
        lower(CASE WHEN {_req_line.format(g=1)} <> '' THEN {_req_line.format(g=1)} ELSE body END) IN {inlist(R.GPU_REQUIREMENT_PACKAGES)} AS gpu_required
 FROM body WHERE {_req_line.format(g=1)} <> '' OR regexp_matches(body, '^[a-zA-Z0-9_-]+$')""")(
-    lambda c: D.parse_requirements(c.v_manifests.withColumn("repo_id", F.struct("repo_id", "ord"))).select(
-        F.col("repo_id.repo_id").alias("repo_id"), F.col("repo_id.ord").alias("file_ord"), "ord", "name",
-        "version", "op", "source", "gpu_required"))
+    lambda c: D.parse_requirements(c.v_manifests.withColumn("path", F.concat(F.lit("req/"), F.col("ord").cast("string"), F.lit(".txt")))).select(
+        "repo_id", "ord.path", "ord.pos", "name", "version", "op", "source", "gpu_required"))
 _setup_sql = f"""
 WITH b AS (SELECT repo_id, content, regexp_extract(content, 'install_requires=\\[([^\\]]*)\\]', 1) AS block FROM v_setup_files),
 s AS (SELECT repo_id, unnest(regexp_extract_all(block, '"([^"]+)"', 1)) AS body FROM b)
@@ -164,19 +163,34 @@ query("q_imports_exact", _imports_sql)(
 
 
 def _all_sources(c):
-    parsed = D.union_sources(D.parse_setup_py(c.v_setup_files), D.parse_pyproject(c.v_pyproject_files),
-                             D.scan_imports(c.v_source_files))
-    return D.dedup_dependencies(parsed).groupBy("source").agg(F.count("*").alias("n"), F.count("version").alias("versioned"))
+    parsed = D.union_sources(D.parse_requirements(c.v_requirement_files), D.parse_setup_py(c.v_setup_files),
+                             D.parse_pyproject(c.v_pyproject_files), D.scan_imports(c.v_source_files))
+    return D.dedup_dependencies(parsed).select(
+        "repo_id", "name", "version", "op", "source", "gpu_required", F.col("ord.path").alias("path"),
+        F.concat_ws(":", *(F.col("first_ord")[x].cast("string") for x in ("rank", "path", "pos"))).alias("first_seen"))
 
 
+_spec_cols = f"""lower(CASE WHEN {_req_line.format(g=1)} <> '' THEN {_req_line.format(g=1)} ELSE body END) AS name,
+  nullif({_req_line.format(g=3)}, '') AS version, nullif({_req_line.format(g=2)}, '') AS op"""
+_gpu = f"name IN {inlist(R.GPU_REQUIREMENT_PACKAGES)}"
+# all four sources in the order of kind, path and position, folded by the replacement rule
 query("q_union_sources", f"""
-WITH setup AS ({_setup_sql.strip()}), proj AS ({_pyproject_sql.strip()}), imp AS ({_imports_sql.strip()}),
-a AS (SELECT repo_id, 1000000000000 + row_number() OVER () AS ord, name, version, source, name IN {inlist(R.GPU_REQUIREMENT_PACKAGES)} AS g FROM setup
- UNION ALL SELECT repo_id, 2000000000000 + row_number() OVER (), name, version, 'pyproject.toml', name IN {inlist(R.GPU_REQUIREMENT_PACKAGES)} FROM proj
- UNION ALL SELECT repo_id, 3000000000000 + row_number() OVER (), name, NULL, source, gpu_required FROM imp),
-r AS (SELECT list_reduce(list({{'version': version, 'source': source, 'g': g}} ORDER BY ord),
-        lambda acc, x: CASE WHEN (x.version IS NOT NULL AND acc.version IS NULL) OR (x.g AND NOT acc.g) THEN x ELSE acc END) AS r FROM a GROUP BY repo_id, lower(name))
-SELECT r.source AS source, count(*) AS n, count(r.version) AS versioned FROM r GROUP BY 1""")(_all_sources)
+WITH rl AS (SELECT repo_id, path, unnest(string_split(content, chr(10))) AS body, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS pos FROM v_requirement_files),
+req AS (SELECT repo_id, 0 AS rank, path, pos, {_spec_cols}, 'requirements.txt:L' || CAST(pos + 1 AS VARCHAR) AS source FROM rl WHERE body <> '' AND NOT starts_with(body, '#')),
+sl AS (SELECT repo_id, path, regexp_extract_all(regexp_extract(content, 'install_requires=\\[([^\\]]*)\\]', 1), '"([^"]+)"', 1) AS l FROM v_setup_files),
+setup AS (SELECT repo_id, 1 AS rank, path, pos, {_spec_cols}, 'setup.py' AS source FROM (SELECT repo_id, path, unnest(l) AS body, generate_subscripts(l, 1) - 1 AS pos FROM sl)),
+pl AS (SELECT repo_id, path, regexp_extract_all(regexp_extract(content, 'dependencies = \\[([^\\]]*)\\]', 1), '"([^"]+)"', 1) AS l,
+  string_split(split_part(split_part(content, '[tool.poetry.dependencies]', 2), chr(10) || '[', 1), chr(10)) AS t FROM v_pyproject_files),
+proj AS (SELECT repo_id, 2 AS rank, path, pos, {_spec_cols}, 'pyproject.toml' AS source FROM (SELECT repo_id, path, unnest(l) AS body, generate_subscripts(l, 1) - 1 AS pos FROM pl)
+ UNION ALL SELECT repo_id, 2, path, pos, regexp_extract(line, '^([A-Za-z0-9_.-]+) =', 1),
+  CASE WHEN contains(line, 'version') THEN regexp_extract(line, 'version = "([^"]*)"', 1) ELSE regexp_extract(line, '= "([^"]*)"', 1) END, NULL, 'pyproject.toml'
+ FROM (SELECT repo_id, path, unnest(t) AS line, len(l) + generate_subscripts(t, 1) - 1 AS pos FROM pl) WHERE regexp_matches(line, '^[A-Za-z0-9_.-]+ =') AND NOT starts_with(line, 'python ')),
+i AS ({_imports_sql.strip()}),
+imp AS (SELECT repo_id, 3 AS rank, substr(source, 9) AS path, row_number() OVER (PARTITION BY repo_id, source ORDER BY name) - 1 AS pos, name, NULL AS version, NULL AS op, source, gpu_required FROM i),
+a AS (SELECT *, {_gpu} AS gpu_required FROM req UNION ALL SELECT *, {_gpu} FROM setup UNION ALL SELECT *, {_gpu} FROM proj UNION ALL SELECT * FROM imp),
+f AS (SELECT repo_id, min({{'rank': rank, 'path': path, 'pos': pos}}) AS s, list_reduce(list({{'name': name, 'version': version, 'op': op, 'source': source, 'g': gpu_required, 'path': path}} ORDER BY rank, path, pos),
+  lambda acc, x: CASE WHEN (x.version IS NOT NULL AND acc.version IS NULL) OR (x.g AND NOT acc.g) THEN x ELSE acc END) AS r FROM a GROUP BY repo_id, lower(name))
+SELECT repo_id, r.name AS name, r.version AS version, r.op AS op, r.source AS source, r.g AS gpu_required, r.path AS path, s.rank || ':' || s.path || ':' || s.pos AS first_seen FROM f""")(_all_sources)
 
 _m = lambda p, g=0: f"regexp_extract_all(lower(content), '{p}', {g})"
 _pyv = ("coalesce(" + ", ".join(

@@ -356,7 +356,17 @@ query("q_case_insights", f"""WITH {_case_sql('true', 5, 0.2)}
 SELECT query_id, rank, strategy, round(similarity, 6) AS similarity, 'Similar repository successfully used ' || strategy || ' strategy' AS message, CASE WHEN similarity > 0.7 THEN 'high' ELSE 'medium' END AS confidence
 FROM cases WHERE rank <= 3 AND success AND similarity >= 0.3""")(
     lambda c: O.case_insights(_cases(c, False, 5, 0.2)).withColumns(r6("similarity")))
-query("q_similar_repos")(lambda c: SIM.similar_repos(c.repo_sets))
+# sets as bit masks over the package names; the six best of each distinct pair of sets, as one number of (distance, id)
+query("q_similar_repos", """
+WITH d AS (SELECT repo_id, CAST(bit_or(1 << CAST(v.idx AS INT)) AS BIGINT) AS dm FROM v_dedup x JOIN vocab v ON x.name = v.name GROUP BY 1),
+p AS (SELECT r.repo_id, dm, CAST((1 << CAST(a.idx AS INT)) | (1 << CAST(b.idx AS INT)) AS BIGINT) AS tm FROM v_repos r JOIN d ON r.repo_id = d.repo_id JOIN vocab a ON a.name = r.topic1 JOIN vocab b ON b.name = r.topic2),
+s AS (SELECT tm, dm, list(repo_id ORDER BY repo_id)[1:6] AS ids FROM p GROUP BY 1, 2),
+m AS (SELECT a.tm, a.dm, b.ids, CAST(round((bit_count(a.tm & b.tm) / bit_count(a.tm | b.tm) + bit_count(a.dm & b.dm) / bit_count(a.dm | b.dm)) / 2, 9) * 1000000000 AS BIGINT) AS sim FROM s a, s b),
+k AS (SELECT tm, dm, min((1000000000 - sim) * 100000000 + id, 6) AS best FROM (SELECT tm, dm, sim, unnest(ids) AS id FROM m WHERE sim > 100000000) GROUP BY 1, 2),
+o AS (SELECT p.repo_id, list_filter(best, lambda x: x % 100000000 <> p.repo_id)[1:5] AS best FROM p JOIN k ON p.tm = k.tm AND p.dm = k.dm)
+SELECT repo_id, best[rank] % 100000000 AS other_id, round((1000000000 - best[rank] // 100000000) / 1000000000, 6) AS similarity, rank
+FROM (SELECT repo_id, best, unnest(range(1, len(best) + 1)) AS rank FROM o)""")(
+    lambda c: SIM.similar_repos(c.repo_sets).withColumns(r6("similarity")))
 
 
 def _merge_inputs(c):

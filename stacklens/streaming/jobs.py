@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from stacklens.functions import scalars as S
 from stacklens.operators import quality as Q
-from stacklens.operators.outcomes import EWMA_DEPTH, last_n
+from stacklens.operators.outcomes import decayed, half_life_average
 from stacklens.rules import fixed as R
 from stacklens.session import shared_dir
 
@@ -61,30 +61,29 @@ def stream_success_patterns(outcomes: DataFrame) -> DataFrame:
 
 
 def stream_ewma(outcomes: DataFrame) -> DataFrame:
-    """Half-life average per strategy, carried from batch to batch.
+    """Half-life average per strategy in event time, whatever the order in which batches bring their rows.
 
-    A batch of n values folds to ``old * 0.5^n + sum(x * 0.5^rank)``, so each batch contributes one
-    small row per strategy and no strategy is held by one task. Batches count in arrival order,
-    values inside a batch in event time.
+    A batch stores its rows by day and then sums up the days it touched again, from all rows of those days that
+    have come so far: late rows take their place in time. The newest sums of each day combine to the average.
     """
     spark = outcomes.sparkSession
+
     def fold(batch: DataFrame, batch_id: int, table: str) -> None:
-        ok = batch.where("success")
-        n = ok.groupBy("strategy").agg(F.count("*").alias("n"))
-        w = last_n(ok.select("strategy", "setup_time", "ts", "outcome_id"), ["strategy"],
-                   [F.desc("ts"), F.desc("outcome_id")], EWMA_DEPTH) \
-            .groupBy("strategy").agg(F.sum(F.col("setup_time") * F.pow(F.lit(0.5), F.col("rn"))).alias("part"))
-        new = n.join(w, "strategy")
-        if batch_id > 0:
-            old = spark.read.parquet(f"{table}/batch_id={batch_id - 1}")
-            new = old.join(new, "strategy", "full").select(
-                "strategy", (F.coalesce("count", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("count"),
-                (F.coalesce("avg_setup_time", F.lit(0.0)) * F.pow(F.lit(0.5), F.coalesce("n", F.lit(0)))
-                 + F.coalesce("part", F.lit(0.0))).alias("avg_setup_time"))
-        else:
-            new = new.select("strategy", F.col("n").alias("count"), F.col("part").alias("avg_setup_time"))
-        new.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
-    return newest_state(drain(outcomes, "append", fold), ["strategy"])
+        ok = batch.where("success").select("strategy", "ts", "outcome_id", "setup_time", F.to_date("ts").alias("day"))
+        ok.write.mode("overwrite").partitionBy("day").parquet(f"{table}_rows/batch_id={batch_id}")
+        kept = spark.read.schema(f"{_ddl(ok)}, batch_id int").parquet(f"{table}_rows").where(F.col("batch_id") <= batch_id)
+        touched = kept.where(F.col("batch_id") == batch_id).select("day").distinct()
+        decayed(kept.join(touched, "day"), ["strategy", "day"], "setup_time", ["ts", "outcome_id"]) \
+            .write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+
+    sums = drain(outcomes, "append", fold)
+    newest = sums.groupBy("day").agg(F.max("batch_id").alias("batch_id"))
+    return half_life_average(sums.join(newest, ["day", "batch_id"]), ["strategy"]).select(
+        "strategy", F.col("n").alias("count"), F.col("part").alias("avg_setup_time"))
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
 
 
 # -- windows ------------------------------------------------------------------------------------------

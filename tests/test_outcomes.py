@@ -20,6 +20,26 @@ def test_ewma_equals_recurrence(spark):
     assert (r["count"], r["avg_setup_time"]) == (4, avg) and avg == 116.25
 
 
+def test_ewma_over_many_slots_and_ties(spark):
+    rnd = random.Random(7)
+    data = [(i, rnd.choice("ab"), rnd.random() < 0.8, rnd.uniform(1, 900), T0 + timedelta(seconds=rnd.choice([0, 1, 2, 3599, 3600, 90000, i])))
+            for i in range(3000)]
+    df = spark.createDataFrame(data, "outcome_id bigint, strategy string, success boolean, setup_time double, ts timestamp")
+    want = {}
+    for i, s, ok, x, t in sorted(data, key=lambda r: (r[4], r[0])):
+        if ok:
+            n, avg = want.get(s, (0, 0.0))
+            want[s] = (n + 1, (avg + x) / 2)
+    got = {r["strategy"]: (r["count"], r["avg_setup_time"]) for r in O.success_patterns_ewma(df).collect()}
+    assert {s: (n, round(v, 9)) for s, (n, v) in got.items()} == {s: (n, round(v, 9)) for s, (n, v) in want.items()}
+    run = {r.outcome_id: (r.running_count, r.running_avg) for r in O.running_setup_time(df).collect()}
+    for s in "ab":
+        total = 0.0
+        for n, (i, x) in enumerate(((r[0], r[3]) for r in sorted(data, key=lambda r: (r[4], r[0])) if r[1] == s and r[2]), 1):
+            total += x
+            assert run[i][0] == n and abs(run[i][1] - total / n) < 1e-6
+
+
 def ttl_fold(times, ttl):
     stores = []
     for t in sorted(times):

@@ -157,3 +157,48 @@ def test_lists_with_extras_keep_their_other_entries(spark):
     for parse, text, path in ((D.parse_setup_py, setup, "setup.py"), (D.parse_pyproject, project, "pyproject.toml")):
         for mode in ("native", "exact"):
             assert {"torch", "numpy"} <= {r.name for r in parse(files(text, path), mode).collect()}
+
+
+def test_two_files_of_a_repository_keep_their_order(spark):
+    df = spark.createDataFrame([(1, "b.txt", "torch\nnumpy==1.0\nflask"), (1, "a.txt", "flask==2.0\nnumpy"), (2, "a.txt", "numpy")],
+                               "repo_id bigint, path string, content string")
+    rows_ = D.parse_requirements(df)
+    assert rows_.select("repo_id", "ord").distinct().count() == rows_.count() == 6
+    got = {(r.repo_id, r.name): (r.version, r.ord.path, tuple(r.first_ord)) for r in D.dedup_dependencies(rows_).collect()}
+    assert got == {(1, "flask"): ("2.0", "a.txt", (0, "a.txt", 0)), (1, "numpy"): ("1.0", "b.txt", (0, "a.txt", 1)),
+                   (1, "torch"): (None, "b.txt", (0, "b.txt", 0)), (2, "numpy"): (None, "a.txt", (0, "a.txt", 0))}
+    code = df.selectExpr("repo_id", "concat(path, '.py') as path", "'import torch, numpy' as content")
+    both = D.union_sources(rows_, D.scan_imports(code))
+    assert both.select("repo_id", "ord").distinct().count() == both.count() == 12
+    # the GPU flag of a source file's import replaces a row that had none
+    assert D.dedup_dependencies(both).where("repo_id = 2 AND name = 'torch'").first().ord.path == "a.txt.py"
+
+
+def test_only_the_project_table_lists_dependencies(spark):
+    text = '[project]\nname = "x"\ndependencies = ["numpy>=1"]\n[tool.hatch.envs.test]\ndependencies = ["pytest"]\n'
+    assert sorted(parsed(D.parse_pyproject(files(spark, text)))) == sorted(parsed(D.parse_pyproject(files(spark, text), "exact"))) == ["numpy"]
+    other = '[tool.hatch.envs.test]\ndependencies = [\n  "pytest",\n]\n[project]\ndependencies = [\n  "flask>=2",\n]\n'
+    assert sorted(parsed(D.parse_pyproject(files(spark, other)))) == ["flask"]
+
+
+def test_urls_of_other_hosts_and_with_queries(spark):
+    df = spark.createDataFrame([("https://notgithub.com/o/n",), ("https://github.com/o/n?tab=readme",), ("https://github.com/o/n.git#main",),
+                                ("ssh://git@github.com/o/n.git",), ("https://www.github.com/o/n/tree/main",)], "url string")
+    assert [r["repo_key"] for r in RP.parse_repo_url(df).collect()] == [None] + ["o/n"] * 4
+
+
+def test_dedup_equals_the_fold(spark):
+    import random
+    rnd = random.Random(4)
+    data = [(rnd.randint(1, 3), i, rnd.choice("ab"), rnd.choice([None, "1", ""]), rnd.choice([True, False, False])) for i in range(300)]
+    data += [(10 + i, j, "p", *((None, "1")[k % 2], (False, True)[k // 2])) for i in range(64) for j, k in enumerate((i % 4, i // 4 % 4, i // 16))
+             for k in [k]]
+    data = [(r, o, n, v, bool(g)) for r, o, n, v, g in data]
+    want = {}
+    for r, o, n, v, g in sorted(data, key=lambda x: x[1]):
+        old = want.get((r, n))
+        if old is None or (v and not old[1]) or (g and not old[2]):
+            want[r, n] = (o, v, g)
+    df = spark.createDataFrame(data, "repo_id bigint, ord bigint, name string, version string, gpu_required boolean")
+    got = {(x.repo_id, x.name): (x.ord, x.version, x.gpu_required) for x in D.dedup_dependencies(df).collect()}
+    assert got == want

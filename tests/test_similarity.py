@@ -34,6 +34,48 @@ def test_similar_cases_equal_brute_force(spark):
         assert got == want
 
 
+def test_scale_bounds_similarity():
+    import math
+    g = lambda v: math.copysign(abs(v) if abs(v) < 1 else 1 + math.log(abs(v)), v)
+    rnd = random.Random(1)
+    values = [0, 0.2, 0.999, 1, 1.001, 3.8, 3.9, 7, 40, -0.5, -2] + [rnd.uniform(-3, 50) for _ in range(60)]
+    for a in values:
+        for b in values:
+            t = 1 if a == b == 0 else 1 - abs(a - b) / max(abs(a), abs(b), 1)
+            assert t <= 0 or abs(g(a) - g(b)) <= -math.log(t) + 1e-12
+
+
+def test_crowded_cell(spark, monkeypatch):
+    """Nine tenths of the rows share (ML, GPU) counts and differ in what else they hold."""
+    rnd = random.Random(9)
+    recs = [(i, 3, 1, 5 + i // 4, 1, (3.8, 3.9, 3.1, 3.11)[i % 4], 11.8) for i in range(1800)]
+    recs += [(i, rnd.randint(0, 9), rnd.randint(0, 4), rnd.randint(1, 60), i % 2, 3.8, 0.0) for i in range(1800, 2000)]
+    feats = ", ".join(f"{f} double" for f in R.CASE_WEIGHTS)
+    f = lambda rs: [(r[0], *map(float, r[1:])) for r in rs]
+    qs = rnd.sample(recs, 40) + [(9999, 30, 20, 900, 1, 2.7, 9.0)]
+    want = set()
+    for qi in qs:
+        best = sorted(((-case_sim(qi[1:], x[1:]), x[0]) for x in recs))
+        want |= {(qi[0], rid, -s, n) for n, (s, rid) in enumerate([b for b in best if -b[0] > 0.3][:10], 1)}
+    q, r = spark.createDataFrame(f(qs), f"query_id bigint, {feats}"), spark.createDataFrame(f(recs), f"record_id bigint, {feats}")
+    assert set(rows(SIM.similar_cases(q, r).select("query_id", "record_id", "similarity", "rank"))) == want
+    made, meet = [], SIM.case_pairs
+
+    def counted(*args):
+        out = meet(*args)
+        made.append(out.count())
+        return out
+    monkeypatch.setattr(SIM, "case_pairs", counted)
+    # pairs of all rounds grow with the rows and not with their square
+    total = []
+    for n in (400, 1600):
+        made.clear()
+        df = spark.createDataFrame(f(recs[:n]), f"record_id bigint, {feats}")
+        SIM.similar_cases(df.withColumnRenamed("record_id", "query_id"), df).count()
+        total.append(sum(made))
+    assert total[1] <= 7 * total[0]
+
+
 def jac(a, b):
     return len(a & b) / max(len(a | b), 1)
 
@@ -51,7 +93,7 @@ def test_similar_repos_equal_brute_force(spark):
     for i, t, d in data:
         best = sorted((-round((jac(set(t), set(t2)) + jac(set(d), set(d2))) / 2, 9), j) for j, t2, d2 in data if j != i)
         want |= {(i, j, -s, n) for n, (s, j) in enumerate([b for b in best if -b[0] > 0.1][:5], 1)}
-    got = set(rows(SIM.similar_repos(df, block_size=3).select("repo_id", "other_id", "similarity", "rank")))
+    got = set(rows(SIM.similar_repos(df).select("repo_id", "other_id", "similarity", "rank")))
     assert got == want
 
 
