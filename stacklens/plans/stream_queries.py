@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import functions as F
 
 from stacklens.operators import features as FE
+from stacklens.plans.bindings import with_views
 from stacklens.plans.registry import query
 from stacklens.streaming import jobs as J
 
@@ -12,10 +16,10 @@ stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
 def _view(c, name: str):
-    """A derived view over the event stream instead of the event table."""
-    J.read_events(c.spark, c.sf_dir).createOrReplaceTempView("events")
-    from stacklens.plans.bindings import with_views
-    return c.spark.sql(with_views(f"SELECT * FROM {name}"))
+    """A derived view over the event table that arrives in four batches, out of order, instead of the table."""
+    view = f"arriving_{uuid.uuid4().hex}"
+    J.arrivals(c.table("events")).createOrReplaceTempView(view)
+    return c.spark.sql(re.sub(r"\bevents\b", view, with_views(f"SELECT * FROM {name}")))
 
 
 query("q_stream_success", """
@@ -53,10 +57,15 @@ SELECT agent, arg_max(status, (ts, run_id)) AS status, count(*) AS runs, count(*
 def _ingest(c):
     stream = FE.training_records(_view(c, "v_outcomes"), c.core_features, c.system_features)
     broken = F.when(F.col("record_id") % 17 != 0, F.col("system_features"))
-    return J.stream_training_ingest(stream.withColumn("system_features", broken)).select("record_id", "repo_id", "accepted")
+    stored, held = J.stream_training_ingest(stream.withColumn("system_features", broken))
+    none = F.lit(None).cast("string")
+    return stored.select("record_id", "repo_id", F.lit("stored").alias("place"), none.alias("issues")).unionByName(held.select(
+        "record_id", "repo_id", F.lit("quarantine").alias("place"), F.array_join(F.array_sort(F.transform("issues", lambda i: i["severity"])), ",").alias("issues")))
 
 
-query("q_stream_ingest", "SELECT record_id, repo_id, record_id % 17 <> 0 AS accepted FROM v_records")(_ingest)
+query("q_stream_ingest", """
+SELECT record_id, repo_id, CASE WHEN record_id % 17 <> 0 THEN 'stored' ELSE 'quarantine' END AS place,
+  CASE WHEN record_id % 17 = 0 THEN 'critical' || CASE WHEN gpu_dependencies > 0 AND NOT has_gpu_support THEN ',medium' ELSE '' END END AS issues FROM v_records""")(_ingest)
 query("q_stream_retrain", "SELECT count(*) AS samples, count(*) >= 5 AS rediscover, count(*) >= 10 AS retrain FROM v_outcomes")(
     lambda c: J.stream_retrain_trigger(_view(c, "v_outcomes")).groupBy().agg(
         F.max("samples").alias("samples"), F.bool_or("rediscover").alias("rediscover"), F.bool_or("retrain").alias("retrain")))
@@ -65,5 +74,5 @@ WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUT
 s AS (SELECT *, sum(start) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS session_end, count(*) AS n FROM s
 GROUP BY user_id, sid HAVING epoch_us(max(ts)) + 1800000000 <= (SELECT (max(epoch_us(ts)) // 1000 - 3600000) * 1000 FROM events)""")(
-    lambda c: J.stream_sessions(J.read_events(c.spark, c.sf_dir), "user_id").select(
+    lambda c: J.stream_sessions(J.arrivals(c.table("events")), "user_id").select(
         "user_id", stamp("session_start").alias("session_start"), stamp("session_end").alias("session_end"), "n"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -21,27 +21,60 @@ from stacklens.rules import fixed as R
 from stacklens.session import shared_dir
 
 
-def read_events(spark: SparkSession, folder: str, glob: str = "events.parquet",
-                files_per_batch: int | None = None) -> DataFrame:
-    """Event files of a folder as a stream with a time-zoned ``ts``."""
-    schema = spark.read.option("pathGlobFilter", glob).parquet(folder).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+def file_batches(df: DataFrame, n: int, late_minutes: int, key: str) -> tuple[str, int]:
+    """Files of ``df`` that arrive in ``n`` batches: a row arrives up to ``late_minutes`` after its ``ts``, by a hash of
+    ``key``. Returns the folder and how many files make a batch; older batches have older files.
 
-
-def drain(stream: DataFrame, mode: str, each: Callable[[DataFrame, int, str], None] | None = None) -> DataFrame:
-    """Process all available input and return the written table (with ``batch_id``)."""
+    Batches overlap in time, so a stream over them sees rows out of order, but none later than that bound.
+    """
+    spark, base = df.sparkSession, shared_dir(df.sparkSession)
+    arrives = F.unix_seconds(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64(key), F.lit(late_minutes * 60))
+    ends = df.agg(F.min(arrives).alias("a"), F.max(arrives).alias("b"), F.count("*").alias("n")).first()
+    files = max(1, (ends["n"] or 0) // n // 1_000_000)
+    width = max(1, ((ends["b"] or 0) - (ends["a"] or 0)) // n + 1)
+    for batch in range(n):
+        low = (ends["a"] or 0) + batch * width
+        df.where((arrives >= low) & (arrives < low + width)).repartition(files).write.parquet(f"{base}/arrival={batch}")
+    return base, files
+
+
+def arrivals(df: DataFrame, n: int = 4, late_minutes: int = 45, key: str = "event_id") -> DataFrame:
+    """A table with ``ts`` as a stream of ``n`` batches or more, out of order by ``late_minutes`` at most."""
+    folder, files = file_batches(df, n, late_minutes, key)
+    return (df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", True)
+            .parquet(folder).withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+def drain(stream: DataFrame, mode: str, each: Callable[[DataFrame, int, str], None] | None = None,
+          settings: dict[str, str] | None = None, progress: dict | None = None) -> DataFrame:
+    """Process all available input and return the written table (with ``batch_id``).
+
+    ``settings`` hold for this query only. ``progress`` receives the numbers of ``batches``, of ``rows`` read and
+    of ``late`` rows that the watermark dropped.
+    """
     spark, base = stream.sparkSession, shared_dir(stream.sparkSession)
     table = f"{base}/table"
+
     def write(batch: DataFrame, batch_id: int) -> None:
         if each is not None:
             each(batch, batch_id, table)
         else:
             batch.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
-    (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint")
-     .trigger(availableNow=True).foreachBatch(write).start().awaitTermination())
+
+    before = {k: spark.conf.get(k, None) for k in settings or {}}
+    try:
+        for k, v in (settings or {}).items():
+            spark.conf.set(k, v)
+        query = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint")
+                 .trigger(availableNow=True).foreachBatch(write).start())
+        query.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    if progress is not None:
+        seen = query.recentProgress
+        progress |= {"batches": len([p for p in seen if p["numInputRows"]]), "rows": sum(p["numInputRows"] for p in seen),
+                     "late": sum(o["numRowsDroppedByWatermark"] for p in seen for o in p["stateOperators"])}
     return spark.read.parquet(table)
 
 
@@ -88,13 +121,13 @@ def _ddl(df: DataFrame) -> str:
 
 # -- windows ------------------------------------------------------------------------------------------
 def stream_outcome_windows(outcomes: DataFrame, size: str = "1 day", slide: str | None = None,
-                           lateness: str = "1 day") -> DataFrame:
-    """Runs and success rate per tumbling or sliding window."""
+                           lateness: str = "1 day", progress: dict | None = None) -> DataFrame:
+    """Runs and success rate per tumbling or sliding window; ``progress`` tells how many rows came too late."""
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
     agg = outcomes.withWatermark("ts", lateness).groupBy(w.alias("w")).agg(
         F.count("*").alias("runs"), F.avg(F.col("success").cast("int")).alias("success_rate"))
     flat = agg.select(F.col("w.start").alias("window_start"), "runs", "success_rate")
-    return newest_state(drain(flat, "update"), ["window_start"])
+    return newest_state(drain(flat, "update", progress=progress), ["window_start"])
 
 
 def stream_sessions(events: DataFrame, key: str, gap: str = "30 minutes", lateness: str = "1 hour") -> DataFrame:
@@ -153,16 +186,15 @@ class TtlCache(StatefulProcessor):
 
 def stream_ttl_cache(requests: DataFrame, ttl_seconds: int = R.CACHE_TTL_SECONDS, lateness: str = "1 hour") -> DataFrame:
     """Requests up to the final watermark with ``fetched``: true on a miss, false on a hit."""
-    spark = requests.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = requests.withWatermark("ts", lateness).select("cache_key", "request_id", "ts", F.unix_micros("ts").alias("t"))
     out = T.StructType([T.StructField("cache_key", T.StringType()), T.StructField("request_id", T.LongType()),
                         T.StructField("t", T.LongType()), T.StructField("fetched", T.BooleanType())])
     marked = rows.groupBy("cache_key").transformWithStateInPandas(
         statefulProcessor=TtlCache(ttl_seconds * 1_000_000), outputStructType=out, outputMode="Append",
         timeMode="EventTime")
-    return drain(marked, "append").drop("batch_id")
+    return drain(marked, "append", settings={
+        "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}).drop("batch_id")
 
 
 def ttl_fetches(marked: DataFrame) -> DataFrame:
@@ -188,18 +220,24 @@ def stream_agent_health(runs: DataFrame, targets: dict[str, float] = R.SLA_TARGE
 
 
 # -- training records ---------------------------------------------------------------------------------------
-def stream_training_ingest(records: DataFrame) -> DataFrame:
-    """Validate, clean and append; records with a critical or high issue go to quarantine.
-
-    Returns the written table with ``accepted``.
+def stream_training_ingest(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(stored records, quarantine). Records with a critical or high issue do not enter the store: they wait as
+    they came in a table of their own, with their issues. Both tables have one folder per batch id, so a batch
+    that is run again replaces what it wrote in both.
     """
+    path: list[str] = []
+
     def ingest(batch: DataFrame, batch_id: int, table: str) -> None:
+        path[:] = [table]
         checks = F.array_compact(F.array(*Q.record_checks(batch.schema)))
-        bad = F.exists(checks, lambda i: i["severity"].isin("critical", "high"))
-        marked = batch.withColumn("accepted", ~bad)
-        cleaned = Q.clean_records(marked)
-        cleaned.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
-    return drain(records, "append", ingest).drop("batch_id")
+        marked = batch.withColumn("issues", checks).persist()
+        grave = F.exists("issues", lambda i: i["severity"].isin("critical", "high"))
+        Q.clean_records(marked.where(~grave).drop("issues")).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        marked.where(grave).write.mode("overwrite").parquet(f"{table}_quarantine/batch_id={batch_id}")
+        marked.unpersist()
+
+    stored = drain(records, "append", ingest)
+    return stored.drop("batch_id"), records.sparkSession.read.parquet(f"{path[0]}_quarantine").drop("batch_id")
 
 
 def stream_retrain_trigger(feedback: DataFrame, interval: int = R.RETRAIN_INTERVAL_SECONDS,

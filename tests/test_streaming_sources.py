@@ -38,11 +38,56 @@ def test_success_stream_equals_batch(spark, events):
 
 
 def test_windows_stream_equals_batch(spark, events):
-    got = J.stream_outcome_windows(stream(spark, events), "1 day", lateness="5 days")
+    seen = {}
+    got = J.stream_outcome_windows(stream(spark, events), "1 day", lateness="5 days", progress=seen)
+    assert seen == {"batches": 5, "rows": 400, "late": 0}
     want = events[1].groupBy(F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n")).select("w.start", "n")
     assert sorted(rows(got.select("window_start", "runs"))) == sorted(rows(want))
 
 
+def test_late_rows_are_dropped_and_counted(spark, events):
+    """Files in falling order of time: each later file is older than the watermark allows."""
+    folder = shared_dir(spark)
+    for day in (9, 8, 7, 1):
+        spark.createDataFrame([(i, T0 + timedelta(days=day, hours=i), True) for i in range(10)], "outcome_id bigint, ts timestamp, success boolean") \
+            .coalesce(1).write.parquet(f"{folder}/{9 - day}")
+    df = spark.readStream.schema("outcome_id bigint, ts timestamp, success boolean").option("maxFilesPerTrigger", 1) \
+        .option("recursiveFileLookup", True).parquet(folder)
+    seen = {}
+    got = {r.window_start.day: r.runs for r in J.stream_outcome_windows(df, lateness="2 days", progress=seen).collect()}
+    assert got == {10: 10, 9: 10, 8: 10} and seen["batches"] == 4 and seen["rows"] == 40
+    # one dropped row of the window aggregate stands for all rows of a window and task
+    assert seen["late"] >= 1
+
+
+def test_arrivals_are_late_within_their_bound(spark, events):
+    df = events[1]
+    folder, files = J.file_batches(df, 4, 45, "request_id")
+    seen = [spark.read.parquet(f"{folder}/arrival={n}") for n in range(4)]
+    assert files == 1 and sum(b.count() for b in seen) == 400 and all(b.count() for b in seen)
+    spans = [b.agg(F.min("ts"), F.max("ts")).first() for b in seen]
+    assert any(b[0] < a[1] for a, b in zip(spans, spans[1:]))  # out of order
+    assert all(b[0] >= a[1] - timedelta(minutes=45) for a, b in zip(spans, spans[1:]))
+
+
+def test_ingest_keeps_bad_records_apart_and_settings_stay(spark, events):
+    rep = "struct<gpu_dependencies:bigint>"
+    data = [(i, T0, (i % 3,), None if i % 5 == 0 else (1,), ("venv", i % 3 > 0), (True,)) for i in range(60)]
+    df = spark.createDataFrame(data, f"record_id bigint, ts timestamp, repository_features {rep}, system_features struct<gpu_count:bigint>, "
+                                     "resolution_features struct<strategy_type:string,has_gpu_support:boolean>, outcome struct<success:boolean>")
+    path = shared_dir(spark)
+    for n in range(3):
+        df.where(F.col("record_id") % 3 == n).coalesce(1).write.parquet(f"{path}/{n}")
+    src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
+    stored, held = J.stream_training_ingest(src)
+    assert sorted(r.record_id for r in held.collect()) == list(range(0, 60, 5))
+    assert stored.count() == 48 and stored.where(F.col("record_id") % 5 == 0).count() == 0
+    assert {i.issue_type for r in held.collect() for i in r.issues} >= {"missing_required_field"}
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    J.stream_ttl_cache(stream(spark, events), 3600, "21 hours").count()
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before
+
+
 def test_ttl_stream_is_right_for_out_of_order_files(spark, events):
     got = J.stream_ttl_cache(stream(spark, events), 3600, "21 hours").where("fetched")
     mark = events[1].agg(F.max("ts")).first()[0] - timedelta(hours=21)
