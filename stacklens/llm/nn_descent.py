@@ -4,7 +4,7 @@ Entries are the distinct vectors with their counts. Start: ``TREES`` times, entr
 signs of projections (directions and medians come from a bounded sample, the leaves hold every entry, and a
 leaf above ``LEAF`` is split by a hash); each entry lists its ``k`` best of its leaves. Refinement: an entry's
 neighbours and those that list it meet each other, if one of them is new, and better ones enter the lists,
-until few change. An entry that very many list is split into groups of ``REVERSE``, and its own neighbours
+until few lists that still have room gain a link. An entry that very many list is split into groups of ``REVERSE``, and its own neighbours
 meet each, so no group grows. These steps use unit vectors in half precision, whose error is below ``SLACK``.
 
 Links are the list entries whose cosine, in double precision on the original vectors, reaches the threshold.
@@ -39,7 +39,7 @@ from stacklens.llm.vectors import finite, join_back, matrix, usual_length
 
 TREES, LEAF, REVERSE, BLOCK = 3, 256, 16, 2048
 SAMPLE, AUDIT, TRIES, ROUNDS = 8192, 2048, 4, 8
-#: Of the list places; when fewer change in a round, refinement ends.
+#: Of the links in lists with room; when a round brings fewer new ones, refinement ends.
 FEW_CHANGES = 0.005
 #: Above what half precision can change in the product of two unit vectors (2**-10).
 SLACK = 0.002
@@ -142,11 +142,14 @@ def _neighbours_of_neighbours(nodes: DataFrame, graph: DataFrame, d: int, k: int
     return groups.select("members").mapInArrow(meet, "u long, v long, s float")
 
 
-def _refined(nodes: DataFrame, graph: DataFrame, n: int, d: int, k: int) -> DataFrame:
+def _refined(nodes: DataFrame, graph: DataFrame, d: int, k: int, threshold: float) -> DataFrame:
     for _ in range(ROUNDS):
         better = _neighbours_of_neighbours(nodes, graph, d, k).withColumn("fresh", F.lit(True))
         graph = materialize(_k_best(graph.withColumn("fresh", F.lit(False)).unionByName(better), k))
-        if graph.where("fresh").count() <= FEW_CHANGES * n * k:
+        link = F.col("s") >= threshold - SLACK
+        lists = graph.groupBy("u").agg(F.count_if(link).alias("links"), F.count_if(link & F.col("fresh")).alias("new"))
+        change = lists.where(F.col("links") < k).agg(F.sum("links").alias("links"), F.sum("new").alias("new")).first()
+        if (change["new"] or 0) <= FEW_CHANGES * (change["links"] or 0):
             break
     return graph
 
@@ -172,7 +175,7 @@ def _links(entries: DataFrame, graph: DataFrame, threshold: float) -> DataFrame:
 
 def _dense_counts(members: DataFrame, threshold: float) -> DataFrame:
     """e, links of the members (e, c, v, label) of some components: all that they link with in their component."""
-    angle = math.acos(threshold) * (1 + 1e-9)
+    angle = math.acos(threshold) * (1 + 1e-6)
     pivot = members.groupBy("label").agg(F.min_by("v", "e").alias("p"))
 
     def turn(batches):
@@ -265,7 +268,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, k: int = 8, recall
     for turn in range(TRIES):
         pairs = _leaves(nodes, sample, n, d, k, turn).withColumn("fresh", F.lit(True))
         pairs = pairs if graph is None else graph.withColumn("fresh", F.lit(False)).unionByName(pairs)
-        graph = _refined(nodes, materialize(_k_best(pairs, k)), n, d, k)
+        graph = _refined(nodes, materialize(_k_best(pairs, k)), d, k, threshold)
         linked = _linked(entries, graph, threshold, k)
         measured = _audit(entries, linked, threshold)
         if measured >= recall:
