@@ -172,38 +172,67 @@ def first_last(outcomes: DataFrame) -> DataFrame:
 
 
 # -- learning metrics -----------------------------------------------------------------------------------
-def daily_trends(outcomes: DataFrame) -> DataFrame:
-    """Runs, success rate and the gain over the previous day, per day."""
-    daily = outcomes.groupBy(F.window("ts", "1 day").alias("w")).agg(
-        F.count("*").alias("runs"), F.avg(F.col("success").cast("int")).alias("success_rate"))
-    w = Window.partitionBy().orderBy("day")  # one row per day
-    return daily.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "runs", "success_rate") \
-        .withColumn("learning_velocity", F.greatest(F.lit(0.0), F.coalesce(
-            F.col("success_rate") - F.lag("success_rate").over(w), F.lit(0.0))))
-
-
-def learning_metrics(outcomes: DataFrame, patterns: DataFrame, model_accuracy: float = 0.0) -> DataFrame:
-    """One row: totals, success rate, velocity, insight quality, confidence, effectiveness."""
+def accuracy_as_of(times: DataFrame, models: DataFrame, name: str = "strategy_predictor") -> DataFrame:
+    """``times`` (with ``at``, one row per report) with ``model_accuracy``, ``feature_count`` and ``saved_at`` of the model
+    of that name that was the newest then; accuracy 0.0 before the first.
+
+    An as-of join: reports and stored models stand in one line of time, and each report looks back to the last model.
+    """
+    info = F.struct("accuracy", "feature_count", "saved_at")
+    line = models.where(F.col("name") == name).select(F.col("saved_at").alias("at"), F.lit(0).alias("kind"), info.alias("m"), F.lit(None).alias("t")) \
+        .unionByName(times.select("at", F.lit(1).alias("kind"), F.lit(None).alias("m"), F.struct("*").alias("t")))
+    back = Window.orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)  # one row per report and model
+    seen = line.withColumn("m", F.last("m", ignorenulls=True).over(back)).where("kind = 1")
+    return seen.select("t.*", F.coalesce("m.accuracy", F.lit(0.0)).alias("model_accuracy"), F.col("m.feature_count").alias("feature_count"),
+                       F.col("m.saved_at").alias("saved_at"))
+
+
+def daily_trends(outcomes: DataFrame, models: DataFrame | None = None) -> DataFrame:
+    """Runs, success rate and the gain over the previous day, per day; with stored models, the accuracy at its end."""
+    daily = outcomes.groupBy(F.to_date("ts").alias("d")).agg(
+        F.count("*").alias("runs"), F.avg(F.col("success").cast("int")).alias("success_rate"), F.max("ts").alias("at"))
+    w = Window.orderBy("d")  # one row per day
+    out = daily.withColumn("learning_velocity", F.greatest(F.lit(0.0), F.coalesce(
+        F.col("success_rate") - F.lag("success_rate").over(w), F.lit(0.0))))
+    if models is not None:
+        out = accuracy_as_of(out, models)
+    return out.select(F.date_format("d", "yyyy-MM-dd").alias("day"), "runs", "success_rate", "learning_velocity",
+                      *(["model_accuracy"] if models is not None else []))
+
+
+def learning_metrics(outcomes: DataFrame, patterns: DataFrame, models: DataFrame | None = None,
+                     storage: DataFrame | None = None, now: Column | None = None) -> DataFrame:
+    """One row: totals, success rate, velocity, insight quality, confidence, effectiveness.
+
+    ``models`` (name, accuracy, feature_count, saved_at) gives the accuracy of the newest model and the time since it
+    was saved; ``storage`` is one row with storage_size_mb; ``now`` is the time of the report (default: the last outcome).
+    """
     per_day = outcomes.groupBy(F.to_date("ts").alias("day")).agg(
         F.count("*").alias("n"), F.count_if("success").alias("ok"), F.max("ts").alias("last"))
     base = per_day.agg(
-        F.sum("n").alias("total_analyses"), (F.sum("ok") / F.sum("n")).alias("success_rate"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_analyses"), (F.sum("ok") / F.sum("n")).alias("success_rate"),
         F.greatest(F.lit(0.0), F.max_by(F.col("ok") / F.col("n"), "day")
                    - F.min_by(F.col("ok") / F.col("n"), "day")).alias("learning_velocity"),
-        F.max("last").alias("last_update"))
+        F.max("last").alias("last_outcome"))
     pats = patterns.agg(F.count("*").alias("pattern_count"),
                         F.least(F.lit(1.0), F.coalesce(F.avg("confidence"), F.lit(0.0))).alias("insight_quality"))
     pat = pats.select(F.struct("*")).scalar()  # one row, as a scalar subquery
-    out = base.select("*", pat.alias("p")).select("*", "p.*")
-    n = F.col("total_analyses")
-    return out.withColumn("model_accuracy", F.lit(float(model_accuracy))).select(
+    out = base.select("*", pat.alias("p")).select("*", "p.*").withColumn("at", now if now is not None else F.col("last_outcome"))
+    if models is not None:
+        out = accuracy_as_of(out, models)
+    else:
+        out = out.withColumns({"model_accuracy": F.lit(0.0), "saved_at": F.lit(None).cast("timestamp_ntz")})
+    size = storage.select("storage_size_mb").scalar() if storage is not None else F.lit(0.0)
+    n, seconds = F.col("total_analyses"), lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    return out.select(
         "total_analyses", "success_rate", "model_accuracy", "pattern_count", "learning_velocity",
-        "insight_quality",
+        "insight_quality", n.alias("feedback_count"), size.cast("double").alias("storage_size_mb"),
+        (seconds("at") - F.coalesce(seconds("saved_at"), F.lit(0))).alias("seconds_since_update"),
         F.least(F.lit(1.0), F.col("model_accuracy") * 0.4 + F.col("success_rate") * 0.4
                 + F.col("insight_quality") * 0.2).alias("learning_confidence"),
         F.least(F.lit(1.0), n / 100.0).alias("pattern_discovery_rate"),
         F.least(F.lit(1.0), n / 50.0).alias("recommendation_quality"),
-        (F.unix_timestamp("last_update") + R.RETRAIN_INTERVAL_SECONDS).alias("next_retraining"))
+        (F.coalesce(seconds("saved_at"), seconds("last_outcome")) + R.RETRAIN_INTERVAL_SECONDS).alias("next_retraining"))
 
 
 def health_status(metrics: DataFrame, learning_enabled: bool = True) -> DataFrame:
@@ -220,32 +249,34 @@ def health_status(metrics: DataFrame, learning_enabled: bool = True) -> DataFram
 def learning_advice(metrics: DataFrame, rules=R.LEARNING_ADVICE) -> DataFrame:
     """Texts of the threshold rules that apply; none when there is no data at all."""
     def hit(i, name, op, bound, text):
-        if name not in metrics.columns:
-            return None
         cond = F.col(name) < bound if op == "<" else F.col(name) > bound
         return F.when(cond, F.struct(F.lit(i).alias("rule"), F.lit(text).alias("recommendation")))
-    hits = [h for i, r in enumerate(rules, 1) if (h := hit(i, *r)) is not None]
+    hits = [hit(i, *r) for i, r in enumerate(rules, 1)]
     return (metrics.where("total_analyses > 0 OR pattern_count > 0")
             .select(F.explode(F.array_compact(F.array(*hits))).alias("h")).select(
                 F.col("h.rule").cast("bigint").alias("rule"), "h.recommendation"))
 
 
-def learning_report(metrics: DataFrame, patterns: DataFrame, trends: DataFrame,
-                    advice: DataFrame) -> DataFrame:
-    """Metrics, top patterns, trends and advice as (section, key, value) rows."""
+def learning_report(metrics: DataFrame, patterns: DataFrame, trends: DataFrame, advice: DataFrame,
+                    insights: DataFrame, models: DataFrame) -> DataFrame:
+    """Metrics, insights, top patterns, model performance, trends and advice as (section, key, value) rows."""
+    from stacklens.operators.patterns import top_patterns
+
     nums = ["total_analyses", "success_rate", "model_accuracy", "pattern_count",
             "learning_velocity", "insight_quality"]
     wide = metrics.select(*[F.col(c).cast("double").alias(c) for c in nums])
-    from stacklens.operators.patterns import top_patterns
-
-    rows = wide.unpivot([], nums, "key", "value").select(F.lit("metrics").alias("section"), "key", "value")
-    pats = top_patterns(patterns, 10).select(F.lit("patterns").alias("section"), F.col("pattern_id").alias("key"),
-                                             F.col("confidence").alias("value"))
-    days = trends.select(F.lit("trends").alias("section"), F.col("day").alias("key"),
-                         F.col("success_rate").alias("value"))
-    tips = advice.select(F.lit("recommendations").alias("section"), F.col("recommendation").alias("key"),
-                         F.col("rule").cast("double").alias("value"))
-    return rows.unionByName(pats).unionByName(days).unionByName(tips)
+    part = lambda df, section, key, value: df.select(F.lit(section).alias("section"), key.alias("key"), value.cast("double").alias("value"))
+    newest = models.groupBy("name").agg(F.max_by(F.struct("accuracy", "feature_count"), "saved_at").alias("m"))
+    parts = [part(insights, "insights", F.col("pattern_id"), F.col("confidence")),
+             part(top_patterns(patterns, 10), "patterns", F.col("pattern_id"), F.col("confidence")),
+             part(newest, "model", F.concat("name", F.lit(".accuracy")), F.col("m.accuracy")),
+             part(newest, "model", F.concat("name", F.lit(".feature_count")), F.col("m.feature_count")),
+             part(trends, "trends", F.col("day"), F.col("success_rate")),
+             part(advice, "recommendations", F.col("recommendation"), F.col("rule"))]
+    out = part(wide.unpivot([], nums, "key", "value"), "metrics", F.col("key"), F.col("value"))
+    for p in parts:
+        out = out.unionByName(p)
+    return out
 
 
 # -- recommendations from similar cases ---------------------------------------------------------------

@@ -106,6 +106,13 @@ SELECT event_id AS run_id, ts, value AS duration,
 FROM events
 """
 
+# models stored over time, with the accuracy each had when it was saved
+VIEWS["v_models"] = """
+SELECT CASE WHEN d % 3 = 0 THEN 'strategy_predictor' ELSE 'dependency_predictor' END AS name, saved_at, accuracy, CAST(30 + d AS BIGINT) AS feature_count
+FROM (SELECT day(ts) AS d, max(ts) AS saved_at, avg(CASE WHEN event_type = 'error' THEN 0.0 ELSE CAST(1.0 AS DOUBLE) END) AS accuracy
+      FROM events GROUP BY month(ts), day(ts)) WHERE d % 3 <> 1
+"""
+
 VIEWS["v_requests"] = """
 SELECT event_id AS request_id, event_type || '/' || CAST(user_id AS VARCHAR(20)) AS cache_key, ts FROM events
 """

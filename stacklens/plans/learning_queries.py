@@ -395,30 +395,35 @@ SELECT doc_id, round(least(1.0, greatest(0.0, 0.5 + (doc_id % 4) * 0.05 + (doc_i
 # -- learning metrics ----------------------------------------------------------------------------------------------------
 _METRICS = f"""{_group_sql('strategy', 'success')},
 dayr AS (SELECT CAST(ts AS DATE) AS day, avg(CAST(success AS INT)) AS r FROM v_outcomes GROUP BY 1),
-met AS (SELECT (SELECT count(*) FROM v_outcomes) AS total_analyses, (SELECT avg(CAST(success AS INT)) FROM v_outcomes) AS success_rate, 0.0 AS model_accuracy,
+met AS (SELECT (SELECT count(*) FROM v_outcomes) AS total_analyses, (SELECT avg(CAST(success AS INT)) FROM v_outcomes) AS success_rate, (SELECT arg_max(accuracy, saved_at) FROM v_models WHERE name = 'strategy_predictor') AS model_accuracy,
+  1707955200 - (SELECT CAST(floor(epoch(max(saved_at))) AS BIGINT) FROM v_models WHERE name = 'strategy_predictor') AS seconds_since_update,
   (SELECT count(*) FROM pat) AS pattern_count, (SELECT greatest(0.0, arg_max(r, day) - arg_min(r, day)) FROM dayr) AS learning_velocity, (SELECT least(1.0, avg(confidence)) FROM pat) AS insight_quality)"""
-_metrics = lambda c: O.learning_metrics(c.v_outcomes, P.strategy_patterns(c.stored_records))
+REPORT_AT = "timestamp_ntz'2024-02-15 00:00:00'"
+_metrics = lambda c: O.learning_metrics(c.v_outcomes, P.strategy_patterns(c.stored_records), c.v_models, TB.storage_size_mb(c.table("events")), F.expr(REPORT_AT))
 query("q_metrics", f"""WITH {_METRICS}
-SELECT total_analyses, round(success_rate, 6) AS success_rate, model_accuracy::DOUBLE AS model_accuracy, pattern_count, round(learning_velocity, 6) AS learning_velocity, round(insight_quality, 6) AS insight_quality,
-  round(least(1.0, success_rate * 0.4 + insight_quality * 0.2), 6) AS learning_confidence, least(1.0, total_analyses / 100.0)::DOUBLE AS pattern_discovery_rate,
-  least(1.0, total_analyses / 50.0)::DOUBLE AS recommendation_quality, CAST(floor(epoch((SELECT max(ts) FROM v_outcomes))) AS BIGINT) + 86400 AS next_retraining FROM met""")(
-    lambda c: _metrics(c).withColumns(r6("success_rate", "learning_velocity", "insight_quality", "learning_confidence")))
-query("q_health", f"""WITH {_METRICS}, s AS (SELECT *, CAST(success_rate > 0.7 AS INT) + CAST(pattern_count > 5 AS INT) + CAST(learning_velocity > 0.05 AS INT) + 1 AS score FROM met)
+SELECT total_analyses, round(success_rate, 6) AS success_rate, round(model_accuracy, 6) AS model_accuracy, total_analyses AS feedback_count, seconds_since_update, pattern_count, round(learning_velocity, 6) AS learning_velocity, round(insight_quality, 6) AS insight_quality,
+  round(least(1.0, model_accuracy * 0.4 + success_rate * 0.4 + insight_quality * 0.2), 6) AS learning_confidence, least(1.0, total_analyses / 100.0)::DOUBLE AS pattern_discovery_rate,
+  least(1.0, total_analyses / 50.0)::DOUBLE AS recommendation_quality, 1707955200 - seconds_since_update + 86400 AS next_retraining FROM met""")(
+    lambda c: _metrics(c).drop("storage_size_mb").withColumns(r6("success_rate", "model_accuracy", "learning_velocity", "insight_quality", "learning_confidence")))
+query("q_health", f"""WITH {_METRICS}, s AS (SELECT *, CAST(success_rate > 0.7 AS INT) + CAST(model_accuracy > 0.8 AS INT) + CAST(pattern_count > 5 AS INT) + CAST(learning_velocity > 0.05 AS INT) + 1 AS score FROM met)
 SELECT CAST(score AS BIGINT) AS health_score, CASE WHEN score >= 4 THEN 'excellent' WHEN score >= 3 THEN 'good' ELSE 'needs_attention' END AS health_status, total_analyses, round(success_rate, 6) AS success_rate, pattern_count FROM s""")(
     lambda c: O.health_status(_metrics(c)).withColumns(r6("success_rate")))
 _adv = " UNION ALL ".join(f"SELECT {i}::BIGINT AS rule, {q(t)} AS recommendation FROM met WHERE {m} {op} {b}" for i, (m, op, b, t) in enumerate(R.LEARNING_ADVICE, 1)
-                          if m not in ("storage_size_mb", "seconds_since_update"))
+                          if m != "storage_size_mb")  # the tables' files are far below its bound of a gigabyte
 query("q_recommendations", f"WITH {_METRICS} {_adv}")(lambda c: O.learning_advice(_metrics(c)))
 query("q_trends", """
-WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS runs, avg(CAST(success AS INT)) AS r FROM v_outcomes GROUP BY 1)
-SELECT CAST(day AS VARCHAR) AS day, runs, round(r, 6) AS success_rate, round(greatest(0.0, coalesce(r - lag(r) OVER (ORDER BY day), 0.0)), 6) AS learning_velocity FROM d""")(
-    lambda c: O.daily_trends(c.v_outcomes).withColumns(r6("success_rate", "learning_velocity")))
+WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS runs, avg(CAST(success AS INT)) AS r, max(ts) AS last FROM v_outcomes GROUP BY 1)
+SELECT CAST(day AS VARCHAR) AS day, runs, round(r, 6) AS success_rate, round(greatest(0.0, coalesce(r - lag(r) OVER (ORDER BY day), 0.0)), 6) AS learning_velocity,
+  round(coalesce((SELECT arg_max(accuracy, saved_at) FROM v_models WHERE name = 'strategy_predictor' AND saved_at <= last), 0.0), 6) AS model_accuracy FROM d""")(
+    lambda c: O.daily_trends(c.v_outcomes, c.v_models).withColumns(r6("success_rate", "learning_velocity", "model_accuracy")))
 query("q_report", f"""WITH {_METRICS}
 SELECT 'metrics' AS section, 'total_analyses' AS key, CAST(total_analyses AS DOUBLE) AS value FROM met UNION ALL SELECT 'metrics', 'success_rate', round(success_rate, 6) FROM met
-UNION ALL SELECT 'metrics', 'model_accuracy', 0.0 UNION ALL SELECT 'metrics', 'pattern_count', pattern_count FROM met UNION ALL SELECT 'metrics', 'learning_velocity', round(learning_velocity, 6) FROM met
-UNION ALL SELECT 'metrics', 'insight_quality', round(insight_quality, 6) FROM met UNION ALL SELECT 'patterns', 'strategy_' || grp || '_success', confidence FROM pat
+UNION ALL SELECT 'metrics', 'model_accuracy', round(model_accuracy, 6) FROM met UNION ALL SELECT 'metrics', 'pattern_count', pattern_count FROM met UNION ALL SELECT 'metrics', 'learning_velocity', round(learning_velocity, 6) FROM met
+UNION ALL SELECT 'metrics', 'insight_quality', round(insight_quality, 6) FROM met UNION ALL SELECT 'patterns', 'strategy_' || grp || '_success', confidence FROM pat UNION ALL SELECT 'insights', 'strategy_' || grp || '_success', confidence FROM pat
+UNION ALL SELECT 'model', name || '.accuracy', round(arg_max(accuracy, saved_at), 6) FROM v_models GROUP BY name UNION ALL SELECT 'model', name || '.feature_count', arg_max(feature_count, saved_at) FROM v_models GROUP BY name
 UNION ALL SELECT 'trends', CAST(day AS VARCHAR), round(r, 6) FROM dayr UNION ALL SELECT 'recommendations', recommendation, rule FROM ({_adv})""")(
-    lambda c: O.learning_report(_metrics(c), P.strategy_patterns(c.stored_records), O.daily_trends(c.v_outcomes), O.learning_advice(_metrics(c)))
+    lambda c: O.learning_report(_metrics(c), P.strategy_patterns(c.stored_records), O.daily_trends(c.v_outcomes), O.learning_advice(_metrics(c)),
+                                P.recent_insights(c.stored_records, P.strategy_patterns(c.stored_records), 20), c.v_models)
     .withColumns(r6("value")))
 
 # -- caches and runs ------------------------------------------------------------------------------------------------------

@@ -117,6 +117,41 @@ WITH m AS (SELECT 'torch' AS p, '2.0.0' AS v UNION ALL SELECT 'jax', '0.4.20')
 SELECT d.name, d.version, count(*) AS n FROM v_deps d JOIN v_support s ON d.name = s.package AND d.version = s.known GROUP BY 1, 2""")(
     lambda c: c.v_deps.join(F.broadcast(TB.load_matrix(c.spark, "cuda_support").withColumnRenamed("package", "name")), ["name", "version"])
     .groupBy("name", "version").agg(F.count("*").alias("n")))
+
+
+def _updated_matrix(c):
+    """Three built-in matrices are stored, one is replaced by a newer version, and the dependencies meet what is read back."""
+    path = shared_dir(c.spark)
+    for kind in ("cuda_support", "cuda", "python"):
+        TB.update_matrix(TB.load_matrix(c.spark, kind), f"{path}/{kind}")
+    first = TB.read_matrix(c.spark, f"{path}/cuda_support")
+    more = F.when(F.col("package") == "torch", F.concat("supported", F.array(F.lit("13.0")))).otherwise(F.col("supported"))
+    version = TB.update_matrix(first.withColumn("supported", more), f"{path}/cuda_support")
+    latest = TB.read_matrix(c.spark, f"{path}/cuda_support").select(
+        F.col("package").alias("name"), "version", F.array_join("supported", ",").alias("supported"))
+    return (c.v_deps.join(F.broadcast(latest), ["name", "version"]).groupBy("name", "version", "supported")  # a rule table
+            .agg(F.count("*").alias("n")).withColumn("matrix_version", F.lit(version).cast("bigint")))
+
+
+query("q_matrix_update", """
+SELECT d.name, d.version, array_to_string(s.cuda, ',') || CASE WHEN d.name = 'torch' THEN ',13.0' ELSE '' END AS supported, count(*) AS n, 2::BIGINT AS matrix_version
+FROM v_deps d JOIN v_support s ON d.name = s.package AND d.version = s.known GROUP BY 1, 2, 3""")(_updated_matrix)
+
+
+def _retained(c):
+    path = _written(c, c.records, TB.append_training_records)
+    removed = TB.expire_stored(c.spark, path, F.expr("timestamp_ntz'2024-01-31 12:00:00' - interval 20 days"))
+    return TB.read_training_records(c.spark, path).select(
+        "record_id", "repo_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.lit(removed).cast("bigint").alias("removed"))
+
+
+query("q_retention", """
+SELECT record_id, repo_id, strftime(ts, '%Y-%m-%d') AS day, (SELECT count(*) FROM v_records WHERE ts < TIMESTAMP '2024-01-11 12:00:00') AS removed
+FROM v_records WHERE ts >= TIMESTAMP '2024-01-11 12:00:00'""")(_retained)
+query("q_learning_storage", """
+SELECT 'training_records' AS name, count(*) AS value FROM v_records UNION ALL SELECT 'feature_vectors', count(DISTINCT repo_id) FROM v_records
+UNION ALL SELECT 'models', count(DISTINCT name) FROM v_models UNION ALL SELECT 'patterns', count(DISTINCT strategy) FROM v_records WHERE success""")(
+    lambda c: TB.learning_storage_stats(c.records, c.v_models, P.strategy_patterns(c.stored_records)))
 query("q_normalized_features", """
 SELECT event_id, coalesce(TRY_CAST(nullif(regexp_extract(props, '[0-9]+', 0), '') AS DOUBLE), 0.0) AS text_number, CAST(event_type = 'error' AS INT)::DOUBLE AS flag, coalesce(value, 0.0) AS number FROM events""")(
     lambda c: c.table("events").select(

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from stacklens.functions import scalars as S
 from stacklens.operators import quality as Q
 from stacklens.rules import fixed as R
+from stacklens.session import materialize
 
 LOG_SCHEMA = T.StructType([
     T.StructField("timestamp", T.StringType()), T.StructField("level", T.StringType()),
@@ -109,8 +110,59 @@ def load_matrix(spark: SparkSession, kind: str) -> DataFrame:
     return spark.createDataFrame(rows, "package string, version string, rule_ord int, supported array<string>")
 
 
-def update_matrix(matrix: DataFrame, path: str) -> None:
-    matrix.write.mode("overwrite").parquet(path)
+def _files(spark: SparkSession, path: str):
+    """The file system of a path and the path, for listing and deleting whole folders."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _versions(spark: SparkSession, path: str, complete: bool) -> list[int]:
+    fs, p = _files(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    found = [n for n in names if n.startswith("version=")]
+    if complete:
+        found = [n for n in found if fs.exists(_files(spark, f"{path}/{n}/_SUCCESS")[1])]
+    return sorted(int(n.partition("=")[2]) for n in found)
+
+
+def update_matrix(matrix: DataFrame, path: str) -> int:
+    """Store a matrix as a new version and return its number. Earlier versions stay: a reader keeps what it reads, and
+    a write that breaks off leaves the latest complete version in place. Two writers of one number: the second fails.
+    """
+    version = max(_versions(matrix.sparkSession, path, complete=False), default=0) + 1
+    matrix.write.mode("errorifexists").parquet(f"{path}/version={version}")
+    return version
+
+
+def read_matrix(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A stored matrix: the latest complete version, or the one asked for."""
+    found = _versions(spark, path, complete=True)
+    if not found or (version is not None and version not in found):
+        raise ValueError(f"no such version of {path}: has {found}")
+    return spark.read.parquet(f"{path}/version={version or found[-1]}")
+
+
+def expire_stored(spark: SparkSession, path: str, cutoff: Column, part: str = "day") -> int:
+    """Remove rows older than ``cutoff`` (by ``ts``) from a table partitioned by day; returns how many there were.
+
+    Only partitions that hold such rows are touched. A partition that keeps some rows is written anew, from a copy in
+    the shared folder and by dynamic partition overwrite, which swaps it in when the job commits; one that keeps none
+    is deleted. Both may be repeated: a run that breaks off leaves each partition old or new, and the next ends it.
+    """
+    rows = spark.read.parquet(path)
+    old = F.col("ts") < cutoff
+    # later days cannot hold older rows: the bound on the partition column keeps them unread
+    touched = rows.where(F.col(part) <= F.to_date(cutoff)).groupBy(part).agg(
+        F.count_if(old).alias("old"), F.count("*").alias("n")).where("old > 0").collect()  # one row per day
+    partly = [r[part] for r in touched if r["old"] < r["n"]]
+    if partly:
+        kept = materialize(rows.where(F.col(part).isin(partly) & ~F.coalesce(old, F.lit(False))))
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+    for r in touched:
+        if r["old"] == r["n"]:
+            fs, p = _files(spark, f"{path}/{part}={r[part]}")
+            fs.delete(p, True)
+    return sum(r["old"] for r in touched)
 
 
 def export_csv(df: DataFrame, path: str) -> None:
@@ -131,6 +183,14 @@ def storage_stats(analyses: DataFrame, outcomes: DataFrame, patterns: DataFrame)
     return out
 
 
+def learning_storage_stats(records: DataFrame, models: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Counts of the learning store as (name, value) rows: records, repositories with a vector, models, patterns."""
+    row = lambda df, name, col: df.agg(col.cast("bigint").alias("value")).select(F.lit(name).alias("name"), "value")
+    return (row(records, "training_records", F.count("*"))
+            .unionByName(row(records, "feature_vectors", F.count_distinct(F.when(F.col("repository_features").isNotNull(), F.col("repo_id")))))
+            .unionByName(row(models, "models", F.count_distinct("name"))).unionByName(row(patterns, "patterns", F.count("*"))))
+
+
 def storage_size_mb(df: DataFrame) -> DataFrame:
     """Size of the files behind a file-based table."""
     files = df.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s")).distinct()
