@@ -45,24 +45,31 @@ def dominant(records: DataFrame, group: Column, value: Column) -> DataFrame:
             .where("rn = 1").select("grp", "value", "n", "support", (F.col("n") / F.col("support")).alias("share")))
 
 
-def common_conditions(records: DataFrame, group: Column) -> DataFrame:
-    """Conditions a group of records shares: ranges, flags that hold for 80 %, dominant strategy."""
+def _extent() -> list[Column]:
+    """What describes a group: its size, the ranges of numbers, the shares of flags."""
     aggs = [F.count("*").alias("support")]
     for f, s in RANGE_FIELDS.items():
         c = F.col(f"{s}.{f}")
         aggs += [F.min(c).alias(f"{f}_lo"), F.max(c).alias(f"{f}_hi")]
-    aggs += [F.avg(F.coalesce(c, F.lit(False)).cast("int")).alias(f"{n}_share") for n, c in _flags().items()]
-    base = records.groupBy(group.alias("grp")).agg(*aggs)
-    mode = dominant(records, group, F.col("resolution_features.strategy_type"))
+    return aggs + [F.avg(F.coalesce(c, F.lit(False)).cast("int")).alias(f"{n}_share") for n, c in _flags().items()]
+
+
+def _described(base: DataFrame, mode: DataFrame) -> DataFrame:
+    """Groups (``grp`` and their extent) with ``conditions``; ``mode`` has each group's most frequent strategy."""
     mode = mode.select("grp", F.when(F.col("share") >= SHARE, F.col("value")).alias("strategy_type"))
-    out = base.join(mode, "grp")
     entry = lambda k, v, cond=None: (F.struct(F.lit(k).alias("key"), v.alias("value")) if cond is None
                                      else F.when(cond, F.struct(F.lit(k).alias("key"), v.alias("value"))))
     entries = [entry(f"{f}_range", F.concat_ws("-", F.col(f"{f}_lo").cast("string"), F.col(f"{f}_hi").cast("string")))
                for f in RANGE_FIELDS]
     entries += [entry(n, F.lit("true"), F.col(f"{n}_share") >= SHARE) for n in _flags()]
     entries += [entry("strategy_type", F.col("strategy_type"), F.col("strategy_type").isNotNull())]
-    return out.withColumn("conditions", F.map_from_entries(F.array_compact(F.array(*entries))))
+    return base.join(mode, "grp").withColumn("conditions", F.map_from_entries(F.array_compact(F.array(*entries))))
+
+
+def common_conditions(records: DataFrame, group: Column) -> DataFrame:
+    """Conditions a group of records shares: ranges, flags that hold for 80 %, dominant strategy."""
+    base = records.groupBy(group.alias("grp")).agg(*_extent())
+    return _described(base, dominant(records, group, F.col("resolution_features.strategy_type")))
 
 
 def pattern_confidence(records: DataFrame, group: Column, conditions: DataFrame) -> DataFrame:
@@ -91,8 +98,12 @@ def _pattern(df: DataFrame, kind: str, pid: Column, text: Column, tips: Column)
 def strategy_patterns(records: DataFrame) -> DataFrame:
     ok, grp = successes(records), F.col("resolution_features.strategy_type")
     cond = common_conditions(ok, grp).where("support >= 2")
+    return _strategy_rows(cond.join(pattern_confidence(ok, grp, cond), "grp"))
+
+
+def _strategy_rows(groups: DataFrame) -> DataFrame:
     g = F.col("grp")
-    return _pattern(cond.join(pattern_confidence(ok, grp, cond), "grp"), "strategy_success",
+    return _pattern(groups, "strategy_success",
                     F.concat(F.lit("strategy_"), g, F.lit("_success")),
                     F.concat(F.lit("Successful "), g, F.lit(" strategy patterns")),
                     F.array(F.concat(F.lit("Consider "), g, F.lit(" strategy for similar cases"))))
@@ -112,8 +123,7 @@ def system_bucket() -> Column:
             .when((s("memory_gb") >= 16) & (s("cpu_cores") >= 8), "high_end_cpu").otherwise("standard"))
 
 
-def _bucket_patterns(records, bucket, kind, prefix, key, works, use, min_confidence) -> DataFrame:
-    top = dominant(successes(records), bucket, F.col("resolution_features.strategy_type"))
+def _bucket_rows(top, kind, prefix, key, works, use, min_confidence) -> DataFrame:
     top = top.where((F.col("support") >= 2) & (F.col("share") >= min_confidence))
     g, s = F.col("grp"), F.col("value")
     plain = F.replace(g, F.lit("_"), F.lit(" "))
@@ -124,33 +134,78 @@ def _bucket_patterns(records, bucket, kind, prefix, key, works, use, min_confide
                     F.array(F.concat(F.lit("Use "), s, F.lit(use[0]), plain, F.lit(use[1]))))
 
 
+DEPENDENCY_KIND = ("dependency_strategy", "deps", "dependency_type", (" strategy works well for ", " repositories"),
+                   (" strategy for ", " repositories"))
+SYSTEM_KIND = ("system_strategy", "sys", "system_type", (" strategy works well on ", " systems"), (" strategy on ", " systems"))
+
+
 def dependency_patterns(records: DataFrame, min_confidence: float = 0.7) -> DataFrame:
-    return _bucket_patterns(records, dependency_bucket(), "dependency_strategy", "deps", "dependency_type",
-                            (" strategy works well for ", " repositories"),
-                            (" strategy for ", " repositories"), min_confidence)
+    top = dominant(successes(records), dependency_bucket(), F.col("resolution_features.strategy_type"))
+    return _bucket_rows(top, *DEPENDENCY_KIND, min_confidence)
 
 
 def system_patterns(records: DataFrame, min_confidence: float = 0.7) -> DataFrame:
-    return _bucket_patterns(records, system_bucket(), "system_strategy", "sys", "system_type",
-                            (" strategy works well on ", " systems"),
-                            (" strategy on ", " systems"), min_confidence)
+    top = dominant(successes(records), system_bucket(), F.col("resolution_features.strategy_type"))
+    return _bucket_rows(top, *SYSTEM_KIND, min_confidence)
 
 
 def error_patterns(records: DataFrame) -> DataFrame:
     """Needs three failures overall and two per error type."""
     bad, grp = failures(records), F.col("outcome.error_type")
     cond = common_conditions(bad, grp)
-    cond = (cond.withColumn("all_failures", F.sum("support").over(Window.partitionBy()))
+    cond = _enough_failures(cond)
+    return _error_rows(cond.join(pattern_confidence(bad, grp, cond), "grp"))
+
+
+def _enough_failures(groups: DataFrame) -> DataFrame:
+    return (groups.withColumn("all_failures", F.sum("support").over(Window.partitionBy()))  # one row per error type
             .where("all_failures >= 3 AND support >= 2"))
+
+
+def _error_rows(groups: DataFrame) -> DataFrame:
     g = F.col("grp")
-    return _pattern(cond.join(pattern_confidence(bad, grp, cond), "grp"), "error_pattern",
+    return _pattern(groups, "error_pattern",
                     F.concat(F.lit("error_"), g),
                     F.concat(F.lit("Common characteristics of "), g, F.lit(" failures")), S.error_tips(g))
 
 
 def discover_patterns(records: DataFrame, min_confidence: float = 0.7) -> DataFrame:
-    return (strategy_patterns(records).unionByName(dependency_patterns(records, min_confidence))
-            .unionByName(system_patterns(records, min_confidence)).unionByName(error_patterns(records)))
+    """Patterns of all four kinds from one aggregation of the records and one pass for the confidences.
+
+    Grouping sets give every group's extent and every (group, strategy) count at once; the result has a few rows
+    per strategy, bucket and error type. Each record then belongs to one described group, its strategy's if it
+    succeeded and its error type's if not, so one join with those few rows finds all confidences.
+    """
+    ok = F.coalesce("outcome.success", F.lit(False))
+    keyed = records.withColumns({"ok": ok, "strategy": F.col("resolution_features.strategy_type"), "dep": dependency_bucket(),
+                                 "sys": system_bucket(), "error": F.col("outcome.error_type")})
+    keys = {n: F.col(n) for n in ("ok", "strategy", "dep", "sys", "error")}
+    pick = lambda *names: [keys[n] for n in ("ok", *names)]
+    sets = [pick("strategy"), pick("dep", "strategy"), pick("sys", "strategy"), pick("error"), pick("error", "strategy")]
+    groups = materialize(keyed.groupingSets(sets, *keys.values()).agg(
+        *_extent(), *(F.grouping(n).alias(f"no_{n}") for n in ("strategy", "dep", "sys", "error"))))
+
+    def of(success: bool, *names: str) -> DataFrame:
+        has = [F.col(f"no_{n}") == (0 if n in names else 1) for n in ("strategy", "dep", "sys", "error")]
+        return groups.where((F.col("ok") == success) & has[0] & has[1] & has[2] & has[3])
+
+    def mode(counts: DataFrame, by: str) -> DataFrame:
+        w = Window.partitionBy("grp")
+        return (counts.select(F.col(by).alias("grp"), F.col("strategy").alias("value"), F.col("support").alias("n"))
+                .withColumn("support", F.sum("n").over(w)).withColumn("rn", F.row_number().over(w.orderBy(F.desc("n"), "value")))
+                .where("rn = 1").select("grp", "value", "n", "support", (F.col("n") / F.col("support")).alias("share")))
+
+    extent = [c for c in groups.columns if c == "support" or c.endswith(("_lo", "_hi", "_share"))]
+    named = lambda df, by: df.select(F.col(by).alias("grp"), *extent)
+    strategies = _described(named(of(True, "strategy"), "strategy"), mode(of(True, "strategy"), "strategy")).where("support >= 2")
+    errors = _enough_failures(_described(named(of(False, "error"), "error"), mode(of(False, "error", "strategy"), "error"))).drop("all_failures")
+    side = lambda df, success: df.withColumn("grp", F.struct(F.lit(success).alias("ok"), F.col("grp").alias("name")))
+    both = side(strategies, True).unionByName(side(errors, False))
+    own = F.struct(ok.alias("ok"), F.when(ok, F.col("resolution_features.strategy_type")).otherwise(F.col("outcome.error_type")).alias("name"))
+    sure = both.join(pattern_confidence(records, own, both), "grp")
+    kind = lambda success: sure.where(F.col("grp.ok") == success).withColumn("grp", F.col("grp.name"))
+    return (_strategy_rows(kind(True)).unionByName(_bucket_rows(mode(of(True, "dep", "strategy"), "dep"), *DEPENDENCY_KIND, min_confidence))
+            .unionByName(_bucket_rows(mode(of(True, "sys", "strategy"), "sys"), *SYSTEM_KIND, min_confidence)).unionByName(_error_rows(kind(False))))
 
 
 def top_patterns(patterns: DataFrame, limit: int = 5) -> DataFrame:
@@ -247,27 +302,48 @@ def association_rules(records: DataFrame, min_support: float = 0.1, min_confiden
     return rules_of_sets(frequent_sets(item_sets(records), min_support), min_confidence)
 
 
-def match_patterns(features: DataFrame, patterns: DataFrame, min_confidence: float = 0.7) -> DataFrame:
-    """Insights: patterns above the confidence bound whose range conditions a repository meets.
+def match_patterns(cases: DataFrame, patterns: DataFrame, min_confidence: float = 0.7) -> DataFrame:
+    """Insights: patterns above the confidence bound all of whose conditions a case meets.
 
-    Discovered patterns are a report of bounded size (one per strategy, bucket or error type), so
-    they reach the repositories as one scalar-subquery value and the check is a projection.
+    ``cases`` has repo_id, repository_features, system_features and resolution_features, as records do. Conditions are
+    ranges, flags, the dependency bucket, the system bucket and the strategy; a condition on the strategy or its GPU
+    support also holds where the case has no strategy yet. A condition of an unknown name never holds.
+
+    Discovered patterns are a report of bounded size (one per strategy, bucket or error type), so they reach the
+    cases as one scalar-subquery value, grouped by what they ask of buckets: a case looks up the few lists of its own
+    buckets and checks only those patterns, in one projection.
     """
-    names = ["ml_dependencies", "gpu_dependencies", "total_dependencies"]
-    bound = lambda n, i: F.substring_index(F.col("conditions")[f"{n}_range"], "-", i).try_cast("double")
-    sure = patterns.where(F.col("confidence") > min_confidence).select(F.struct(
-        "pattern_id", "description", "confidence",
-        *[bound(n, 1).alias(f"{n}_lo") for n in names],
-        *[bound(n, -1).alias(f"{n}_hi") for n in names]).alias("p"))
-    table = sure.where(" AND ".join(f"p.{n}_lo IS NOT NULL" for n in names)) \
-        .agg(F.collect_list("p").alias("ps")).scalar()
+    cond = F.col("conditions")
+    strategy, buckets = ("strategy_type", "strategy"), ("dependency_type", "system_type")
+    ranges = [f"{f}_range" for f in RANGE_FIELDS]
+    bound = lambda f, i: F.substring_index(cond[f"{f}_range"], "-", i).try_cast("double")
+    known = F.array(*(F.lit(k) for k in (*ranges, *_flags(), *strategy, *buckets)))
+    sure = patterns.where((F.col("confidence") > min_confidence) & (F.size(F.array_except(F.map_keys(cond), known)) == 0)).select(
+        *(F.coalesce(cond[b], F.lit("")).alias(b) for b in buckets), F.struct(
+            "pattern_id", "description", "confidence", "recommendations",
+            *(x for f in RANGE_FIELDS for x in (bound(f, 1).alias(f"{f}_lo"), bound(f, -1).alias(f"{f}_hi"), cond[f"{f}_range"].isNotNull().alias(f"{f}_on"))),
+            *((cond[n] == "true").alias(n) for n in _flags()),
+            F.coalesce(*(cond[k] for k in strategy)).alias("strategy")).alias("p"))
+    key = lambda dep, sys: F.concat_ws("|", dep, sys)
+    index = sure.groupBy(key(*(F.col(b) for b in buckets)).alias("key")).agg(F.collect_list("p").alias("ps")) \
+        .agg(F.map_from_entries(F.collect_list(F.struct("key", "ps")))).scalar()
+    own = cases.select("repo_id", F.col("resolution_features.strategy_type").alias("strategy"),
+                       *(F.col(f"{s}.{f}").alias(f) for f, s in RANGE_FIELDS.items()), *(c.alias(n) for n, c in _flags().items()),
+                       dependency_bucket().alias("dep"), system_bucket().alias("sys"), index.alias("index"))
+    lists = [F.col("index")[key(d, y)] for d in (F.lit(""), F.col("dep")) for y in (F.lit(""), F.col("sys"))]
+    none = F.slice(F.flatten(F.map_values("index")), 1, 0)
+
     def holds(p):
-        a, b, c = [F.col(n).between(p[f"{n}_lo"], p[f"{n}_hi"]) for n in names]
-        return F.coalesce(a & b & c, F.lit(False))
-    return features.select("repo_id", *names, table.alias("ps")) \
-        .select("repo_id", F.explode(F.filter("ps", holds)).alias("p")) \
-        .select("repo_id", F.col("p.pattern_id").alias("pattern_id"),
-                F.col("p.description").alias("description"), F.col("p.confidence").alias("confidence"))
+        checks = [~p[f"{f}_on"] | F.col(f).between(p[f"{f}_lo"], p[f"{f}_hi"]) for f in RANGE_FIELDS]
+        checks += [p[n].isNull() | ~p[n] | F.col(n) for n in _flags() if n != "has_gpu_support"]
+        checks += [p["has_gpu_support"].isNull() | ~p["has_gpu_support"] | F.col("strategy").isNull() | F.col("has_gpu_support")]
+        checks += [p["strategy"].isNull() | F.col("strategy").isNull() | (p["strategy"] == F.col("strategy"))]
+        met = F.lit(True)
+        for c in checks:
+            met = met & F.coalesce(c, F.lit(False))
+        return met
+    found = own.withColumn("ps", F.concat(*(F.coalesce(x, none) for x in lists))).select("repo_id", F.explode(F.filter("ps", holds)).alias("p"))
+    return found.select("repo_id", "p.pattern_id", "p.description", "p.confidence", "p.recommendations")
 
 
 def recent_insights(records: DataFrame, patterns: DataFrame, limit: int = 10) -> DataFrame:

@@ -230,6 +230,11 @@ query("q_cache_keys", """SELECT page_id, md5(url || '|[["page","' || CAST(page_i
         F.lit("per"), F.lit("9"), F.lit("page"), F.col("page_id").cast("string"))).alias("key")))
 
 # -- patterns --------------------------------------------------------------------------------------------------------
+def _newest_cases(c):
+    rest = [x for x in c.stored_records.columns if x != "repo_id"]
+    return c.stored_records.groupBy("repo_id").agg(F.max_by(F.struct(*rest), F.struct("ts", "record_id")).alias("r")).select("repo_id", "r.*")
+
+
 _rng = lambda f: f"'{f}_range=' || CAST(min({f}) AS VARCHAR) || '-' || CAST(max({f}) AS VARCHAR)"
 
 
@@ -265,21 +270,24 @@ def _flat(df):
                      F.array_join("recommendations", "|").alias("recommendations"))
 
 
-query("q_strategy_patterns", f"""WITH {_group_sql('strategy', 'success')}
+_STRATEGY_SQL = f"""WITH {_group_sql('strategy', 'success')}
 SELECT 'strategy_' || grp || '_success' AS pattern_id, 'strategy_success' AS pattern_type, 'Successful ' || grp || ' strategy patterns' AS description, support, confidence, conditions,
-  'Consider ' || grp || ' strategy for similar cases' AS recommendations FROM pat""")(lambda c: _flat(P.strategy_patterns(c.stored_records)))
+  'Consider ' || grp || ' strategy for similar cases' AS recommendations FROM pat"""
+query("q_strategy_patterns", _STRATEGY_SQL)(lambda c: _flat(P.strategy_patterns(c.stored_records)))
 _tipsql = "CASE grp " + " ".join(f"WHEN {q(k)} THEN {q('|'.join(v))}" for k, v in R.ERROR_TIPS.items()) + f" ELSE {q(R.ERROR_TIP_DEFAULT)} END"
-query("q_error_patterns", f"""WITH {_group_sql('error_type', 'NOT success')}
-SELECT 'error_' || grp AS pattern_id, 'error_pattern' AS pattern_type, 'Common characteristics of ' || grp || ' failures' AS description, support, confidence, conditions, {_tipsql} AS recommendations FROM pat""")(
-    lambda c: _flat(P.error_patterns(c.stored_records)))
+_ERROR_SQL = f"""WITH {_group_sql('error_type', 'NOT success')}
+SELECT 'error_' || grp AS pattern_id, 'error_pattern' AS pattern_type, 'Common characteristics of ' || grp || ' failures' AS description, support, confidence, conditions, {_tipsql} AS recommendations FROM pat"""
+query("q_error_patterns", _ERROR_SQL)(lambda c: _flat(P.error_patterns(c.stored_records)))
 _cap = "upper(s[1]) || s[2:]"
 _bucket = lambda kind, pre, key, a, b, u, v, mc: f"""SELECT '{pre}_' || grp || '_' || s AS pattern_id, '{kind}' AS pattern_type, {_cap} || '{a}' || replace(grp, '_', ' ') || '{b}' AS description,
   CAST(support AS BIGINT) AS support, round(n / support, 6) AS confidence, array_to_string(list_sort(['{key}=' || grp, 'strategy=' || s]), ';') AS conditions, 'Use ' || s || '{u}' || replace(grp, '_', ' ') || '{v}' AS recommendations FROM top WHERE n / support >= {mc}"""
 # four strategies of similar size: with the usual 0.7 no bucket has a dominant one, so 0.2 shows rows
-query("q_dep_patterns", f"WITH {_bucket_sql(_DEP)} {_bucket('dependency_strategy', 'deps', 'dependency_type', ' strategy works well for ', ' repositories', ' strategy for ', ' repositories', 0.2)}")(
-    lambda c: _flat(P.dependency_patterns(c.records, 0.2)))
-query("q_sys_patterns", f"WITH {_bucket_sql(_SYS)} {_bucket('system_strategy', 'sys', 'system_type', ' strategy works well on ', ' systems', ' strategy on ', ' systems', 0.2)}")(
-    lambda c: _flat(P.system_patterns(c.records, 0.2)))
+_DEP_SQL = f"WITH {_bucket_sql(_DEP)} {_bucket('dependency_strategy', 'deps', 'dependency_type', ' strategy works well for ', ' repositories', ' strategy for ', ' repositories', 0.2)}"
+_SYS_SQL = f"WITH {_bucket_sql(_SYS)} {_bucket('system_strategy', 'sys', 'system_type', ' strategy works well on ', ' systems', ' strategy on ', ' systems', 0.2)}"
+query("q_dep_patterns", _DEP_SQL)(lambda c: _flat(P.dependency_patterns(c.records, 0.2)))
+query("q_sys_patterns", _SYS_SQL)(lambda c: _flat(P.system_patterns(c.records, 0.2)))
+_ALL_PATTERNS = " UNION ALL ".join(f"SELECT * FROM ({x})" for x in (_STRATEGY_SQL, _DEP_SQL, _SYS_SQL, _ERROR_SQL))
+query("q_discover_patterns", _ALL_PATTERNS)(lambda c: _flat(P.discover_patterns(c.stored_records, 0.2)))
 _PATS = f"""{_group_sql('strategy', 'success')},
 e_base AS (SELECT 1)"""
 query("q_pattern_summary", f"""WITH {_group_sql('strategy', 'success')}
@@ -291,11 +299,19 @@ UNION ALL (SELECT 'top', 'strategy_' || grp || '_success', support FROM pat ORDE
 query("q_top_patterns", f"""WITH {_group_sql('strategy', 'success')}
 SELECT 'strategy_' || grp || '_success' AS pattern_id, support, confidence FROM pat ORDER BY support DESC, confidence DESC, grp LIMIT 3""")(
     lambda c: P.top_patterns(P.strategy_patterns(c.stored_records), 3).select("pattern_id", "support", F.round("confidence", 6).alias("confidence")))
-query("q_pattern_matches", f"""WITH {_group_sql('strategy', 'success')},
-lim AS (SELECT grp, min(ml_dependencies) a, max(ml_dependencies) b, min(gpu_dependencies) c, max(gpu_dependencies) d, min(total_dependencies) e, max(total_dependencies) f FROM base GROUP BY 1)
-SELECT v_features.repo_id, 'strategy_' || lim.grp || '_success' AS pattern_id, pat.confidence FROM v_features JOIN lim ON ml_dependencies BETWEEN a AND b AND gpu_dependencies BETWEEN c AND d AND total_dependencies BETWEEN e AND f
-JOIN pat ON pat.grp = lim.grp WHERE pat.confidence > 0.7""")(
-    lambda c: P.match_patterns(c.core_features, P.strategy_patterns(c.stored_records)).select("repo_id", "pattern_id", F.round("confidence", 6).alias("confidence")))
+# every condition of every pattern, one by one, against the features of the newest record of each repository
+query("q_pattern_matches", f"""
+WITH pats AS ({_ALL_PATTERNS}),
+conds AS (SELECT pattern_id, confidence, unnest(string_split(conditions, ';')) AS cond FROM pats WHERE confidence > 0.2),
+c AS (SELECT pattern_id, confidence, split_part(cond, '=', 1) AS k, split_part(cond, '=', 2) AS v FROM conds),
+r AS (SELECT * FROM v_records QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY ts DESC, record_id DESC) = 1),
+x AS (SELECT r.*, {_DEP} AS dep, {_SYS} AS sys FROM r),
+m AS (SELECT x.repo_id, c.pattern_id, c.confidence, CASE
+  {' '.join(f"WHEN k = '{f}_range' THEN {f} BETWEEN CAST(split_part(v, '-', 1) AS DOUBLE) AND CAST(split_part(v, '-', 2) AS DOUBLE)" for f in P.RANGE_FIELDS)}
+  WHEN k = 'is_ml_repo' THEN is_ml_repo WHEN k = 'requires_gpu' THEN gpu_dependencies > 0 WHEN k = 'has_nvidia_gpu' THEN has_nvidia_gpu WHEN k = 'has_gpu_support' THEN has_gpu_support
+  WHEN k = 'dependency_type' THEN dep = v WHEN k = 'system_type' THEN sys = v WHEN k IN ('strategy', 'strategy_type') THEN strategy = v ELSE false END AS ok FROM x, c)
+SELECT repo_id, pattern_id, confidence FROM m GROUP BY 1, 2, 3 HAVING bool_and(coalesce(ok, false))""")(
+    lambda c: P.match_patterns(_newest_cases(c), P.discover_patterns(c.stored_records, 0.2), 0.2).select("repo_id", "pattern_id", F.round("confidence", 6).alias("confidence")))
 _ITEMS = """i AS (SELECT record_id, unnest(list_filter(['strategy:' || strategy, CASE WHEN is_ml_repo THEN 'repo_type:ml' END, CASE WHEN gpu_dependencies > 0 THEN 'repo:gpu_required' END,
   CASE WHEN gpu_count > 0 THEN 'system:has_gpu' END, CASE WHEN memory_gb >= 16 THEN 'system:high_memory' END], lambda x: x IS NOT NULL)) AS item FROM v_records WHERE success),
 t AS (SELECT count(*) AS total FROM v_records WHERE success)"""

@@ -79,9 +79,24 @@ def test_sla_without_target_is_infinite(spark):
     assert O.sla_report(df).first()["worst_ratio"] == float("inf")
 
 
-def test_advice_needs_data(spark):
-    cols = "total_analyses bigint, pattern_count bigint, success_rate double, model_accuracy double, learning_velocity double"
-    empty = spark.createDataFrame([(0, 0, 0.0, 0.0, 0.0)], cols)
-    some = spark.createDataFrame([(5, 20, 0.5, 0.9, 0.1)], cols)
+def test_advice_needs_data_and_all_six_rules_can_fire(spark):
+    cols = ("total_analyses bigint, pattern_count bigint, success_rate double, model_accuracy double, learning_velocity double, "
+            "storage_size_mb double, seconds_since_update bigint")
+    empty = spark.createDataFrame([(0, 0, 0.0, 0.0, 0.0, 0.0, 0)], cols)
+    one = spark.createDataFrame([(5, 20, 0.5, 0.9, 0.1, 10.0, 60)], cols)
+    every = spark.createDataFrame([(5, 2, 0.5, 0.5, 0.01, 1000.5, 604801)], cols)
     assert O.learning_advice(empty).count() == 0
-    assert [r["rule"] for r in O.learning_advice(some).collect()] == [1]
+    assert [r["rule"] for r in O.learning_advice(one).collect()] == [1]
+    assert [r["rule"] for r in O.learning_advice(every).collect()] == [1, 2, 3, 4, 5, 6]
+
+
+def test_accuracy_as_of_report_times(spark):
+    models = spark.createDataFrame([("strategy_predictor", T0 + timedelta(days=d), a, 9) for d, a in ((1, 0.5), (3, 0.7))] +
+                                   [("other", T0 + timedelta(days=2), 0.99, 1)], "name string, saved_at timestamp, accuracy double, feature_count bigint")
+    times = spark.createDataFrame([(d, T0 + timedelta(days=d)) for d in range(5)], "d bigint, at timestamp")
+    got = {r.d: (r.model_accuracy, r.feature_count) for r in O.accuracy_as_of(times, models).collect()}
+    assert got == {0: (0.0, None), 1: (0.5, 9), 2: (0.5, 9), 3: (0.7, 9), 4: (0.7, 9)}
+    outcomes = spark.createDataFrame([(1, T0 + timedelta(days=2, hours=5), True)], "outcome_id bigint, ts timestamp, success boolean")
+    patterns = spark.createDataFrame([("p", 0.8)], "pattern_id string, confidence double")
+    m = O.learning_metrics(outcomes, patterns, models).first()
+    assert (m.model_accuracy, m.feedback_count, m.seconds_since_update) == (0.5, 1, 86400 + 5 * 3600)
