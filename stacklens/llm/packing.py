@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from stacklens.llm.common import materialize, texts
 
-RANKS = "byte_bpe_50k.tiktoken"
+RANKS, MODEL = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 SPECIAL = {"<|endoftext|>": 50256}
 BUCKETS = 256
 _ENCODERS: dict[int, object] = {}
@@ -43,22 +43,45 @@ def encoder(ranks: str, pattern: str):
     return _ENCODERS[key]
 
 
+def library(model: str):
+    """The tokenizers library's tokenizer of a model file's text, without cuts or padding, built once in a worker."""
+    if (key := zlib.crc32(model.encode())) not in _ENCODERS:
+        from tokenizers import Tokenizer
+
+        _ENCODERS[key] = tokenizer = Tokenizer.from_str(model)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+    return _ENCODERS[key]
+
+
 def pieces(docs: DataFrame, size: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text",
-           path: str | None = None) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every text's pieces."""
+           path: str | None = None, model_path: str | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of every text's pieces.
+
+    ``path`` is the vocabulary as ranks, which one library encodes fast; ``model_path`` is the same vocabulary for
+    the slower one, which takes the texts that the first gives up on (runs of hundreds of thousands of blanks).
+    """
     import public_tokenizers
 
-    with open(path or public_tokenizers.path(RANKS), encoding="utf-8") as f:
-        ranks = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary, of fixed size
+    def read(name: str):
+        with open(name, encoding="utf-8") as f:
+            return docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary, of fixed size
+
+    ranks, model = read(path or public_tokenizers.path(RANKS)), read(model_path or public_tokenizers.path(MODEL))
     pattern = public_tokenizers.PATTERN
 
+    def ids_of(text: str) -> np.ndarray:
+        try:
+            return encoder(ranks.value, pattern).encode_to_numpy(text, allowed_special="all")
+        except ValueError:
+            return np.array(library(model.value).encode(text, add_special_tokens=False).ids, np.int64)
+
     def run(batches):
-        encode = encoder(ranks.value, pattern).encode_to_numpy
         end = np.array([end_id], "<u4")
         for b in batches:
             rows: list[list] = [[], [], [], [], []]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.concatenate([encode(text, allowed_special="all"), end]).astype("<u4")
+                ids = np.concatenate([ids_of(text), end]).astype("<u4")
                 data, at, n = memoryview(ids.tobytes()), 0, len(ids)
                 length = (n - 1) % size + 1
                 for piece in range((n + size - 1) // size):

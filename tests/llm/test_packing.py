@@ -59,3 +59,10 @@ def test_plans_use_the_histogram_exactly(seed):
         for v in lengths:
             back[v] += n
     assert (back == h).all() and plan.sequences <= -(-int((h * np.arange(65)).sum()) // 64) * 1.1 + 2
+
+
+def test_long_runs_of_blanks(spark):
+    texts = [(1, " " * 1_000_000 + "x"), (2, "a" + "\n" * 900_000), (3, "plain"), (4, "\t " * 500_000)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    used, bound = _check(P.op7_packing(df).collect(), texts)
+    assert used <= bound + 1
