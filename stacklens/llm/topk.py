@@ -11,7 +11,9 @@ Components are floor(256 * x) as integers, and sums are exact (doubles while the
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part, nor those
 of another length than the most common one (the longest on ties), nor rows with a null id; rows that share
-the query's id are its own; an empty table gives an empty result; further columns are ignored.
+the query's id are its own; a query row that is repeated asks once, and an id with several vectors asks with each,
+its answers ranked together; repeated rows of another id count each; an empty table gives an empty result; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -61,7 +63,9 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     rows = rows.where(F.size("v") == sizes["d"]).select("vec_id", F.transform("v", lambda x: F.floor(x * 256).cast("long")).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    queries = rows.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "v", norm.alias("norm")).dropDuplicates(["query_id"])
+    # each vector of each id that asks has a number of its own, fixed by writing it
+    queries = materialize(rows.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "v", norm.alias("norm"))
+                          .dropDuplicates(["query_id", "v"]).withColumn("q", F.monotonically_increasing_id()))
     longest, n_queries = rows.agg(F.max(norm)).first()[0], queries.count()
     blocks, q_blocks = max(1, math.ceil(sizes["count"] / BLOCK)), max(1, math.ceil(n_queries / QUERY_BLOCK))
     right = (rows.withColumn("block", salted(F.col("vec_id"), blocks))
@@ -75,7 +79,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
     def count(q: pa.Table, x: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if q.num_rows:
-            qid, low, width, span = (q[c].to_numpy() for c in ("query_id", "low", "width", "span"))
+            qid, low, width, span = (q[c].to_numpy() for c in ("q", "low", "width", "span"))
             for i, s, _ in _scored(q, x):
                 inside = (s >= low[i]) & (s < low[i] + span[i])
                 n = np.bincount((s[inside] - low[i]) // width[i], minlength=BINS)[::-1]
@@ -83,27 +87,27 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
                 used = used[: int(np.searchsorted(np.cumsum(n[used]), k)) + 1]
                 out += [(int(qid[i]), BINS - 1 - int(j), int(n[j])) for j in used]
         cols = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("query_id", "bin", "n"), cols, strict=True)})
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("q", "bin", "n"), cols, strict=True)})
 
     # the range of the first pass holds every score a query can have
     reach = F.ceil(F.col("norm") * longest + 1).cast("long")
-    state = materialize(queries.select("query_id", "v", (-reach).alias("low"), F.lit(k).cast("long").alias("need"),
+    state = materialize(queries.select("q", "query_id", "v", (-reach).alias("low"), F.lit(k).cast("long").alias("need"),
                                        (F.floor(2 * reach / BINS) + 1).cast("long").alias("width"))
                         .withColumn("span", F.col("width") * BINS))
     width = (state.agg(F.max("width")).first()[0] or 1) if n_queries else 0
     done = False
     while n_queries and not done:
-        counts = meet(state, count, "query_id long, bin long, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
-        down = Window.partitionBy("query_id").orderBy(F.desc("bin"))
+        counts = meet(state, count, "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
+        down = Window.partitionBy("q").orderBy(F.desc("bin"))
         above = F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         found = counts.withColumn("total", above)
-        at = (found.join(state.select("query_id", "need"), "query_id").where(F.col("total") >= F.col("need"))
-              .groupBy("query_id").agg(F.max_by(F.struct("bin", (F.col("total") - F.col("n")).alias("over")), "bin").alias("b")))
+        at = (found.join(state.select("q", "need"), "q").where(F.col("total") >= F.col("need"))
+              .groupBy("q").agg(F.max_by(F.struct("bin", (F.col("total") - F.col("n")).alias("over")), "bin").alias("b")))
         # a query with fewer candidates than k keeps its lowest bound
         low = F.when(F.col("b").isNull(), F.col("low")).otherwise(F.col("low") + F.col("b")["bin"] * F.col("width"))
         need = F.when(F.col("b").isNull(), F.col("need")).otherwise(F.col("need") - F.col("b")["over"])
-        state = materialize(state.join(at, "query_id", "left").select(
-            "query_id", "v", low.alias("low"), need.alias("need"),
+        state = materialize(state.join(at, "q", "left").select(
+            "q", "query_id", "v", low.alias("low"), need.alias("need"),
             F.when(F.col("width") > 1, F.floor((F.col("width") - 1) / BINS) + 1).otherwise(1).cast("long").alias("width"),
             F.col("width").alias("span")))
         done, width = width == 1, (width - 1) // BINS + 1
@@ -135,7 +139,7 @@ WITH v AS (
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+  FROM (SELECT DISTINCT vec_id, v FROM v WHERE vec_id % 50 = 0) q JOIN v c ON q.vec_id <> c.vec_id
 ), r AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
 )

@@ -85,3 +85,20 @@ def test_ann_with_repeated_query_rows_and_repeated_ids(spark):
         v = next(np.array(e) for i, e in rows if i == q)
         want = sorted((-float((np.array(e) * v).sum()), i) for i, e in rows if i != q)[:3]
         assert sorted(got[q]) == [(at + 1, i) for at, (_, i) in enumerate(want)]
+
+
+def test_topk_with_repeated_query_rows_and_ids_of_several_vectors(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(14, 3)).round(3)
+    rows = [(i, x[i].tolist()) for i in range(12)] + [(0, x[0].tolist())] * 3 + [(0, x[12].tolist()), (3, x[13].tolist()), (5, x[6].tolist())]
+    rows += [(20, x[2].tolist())] * 4
+    ints = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows]
+    asked = {0, 3, 20}
+    for order in (rows, rows[::-1]):
+        got = {}
+        for r in topk.search(spark.createDataFrame(order, "vec_id long, embedding array<double>").repartition(3), lambda i: i.isin(*asked), k=4).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        for q in asked:
+            own = {tuple(v) for i, v in ints if i == q}
+            best = sorted((-int(np.dot(v, w)), i) for v in own for i, w in ints if i != q)[:4]
+            assert sorted(got[q]) == [(n, i, -s) for n, (s, i) in enumerate(best, 1)]
