@@ -3,6 +3,8 @@ model parameters and one-row metrics."""
 
 from __future__ import annotations
 
+import statistics
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -10,13 +12,13 @@ from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stacklens.functions import scalars as S
 from stacklens.rules import fixed as R
+from stacklens.session import materialize
 
 MIN_ROWS = 10
 SEED = 42
@@ -27,6 +29,7 @@ class Trained:
     model: PipelineModel
     columns: list[str]
     metrics: dict
+    held: DataFrame | None = None  # label and prediction of the rows kept out of training
 
 
 # -- features -----------------------------------------------------------------------------------------
@@ -48,12 +51,31 @@ def combine_features(df: DataFrame, strategy: Column) -> tuple[DataFrame, list[s
     return df.withColumns(cols), list(cols)
 
 
-def _split(df: DataFrame, id_col: str, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Stratified split by a hash of the id: the same rows whatever the partitioning, and close to
-    ``share`` within each class."""
-    u = F.pmod(F.xxhash64(F.lit(SEED), F.col(id_col)), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    marked = df.withColumn("_train", u < share)
-    return marked.where("_train").drop("_train"), marked.where("NOT _train").drop("_train")
+#: Hash buckets of a class: ranks are counted by bucket first, so no class is one task.
+BUCKETS = 4096
+
+
+def ranked_in_class(df: DataFrame, id_col: str) -> DataFrame:
+    """``df`` with ``place``, from 0, of each row in its class (``label``) by a hash of the id, and the class's ``size``.
+
+    Places depend on ids only, whatever the partitioning. Earlier buckets' counts come from one small table.
+    """
+    h = F.xxhash64(F.lit(SEED), F.col(id_col))
+    rows = df.withColumns({"_h": h, "_bucket": F.pmod(h, F.lit(BUCKETS)).cast("int")})
+    counts = rows.groupBy("label", "_bucket").agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy("label")  # a row per bucket
+    before = counts.withColumns({"_before": F.sum("_n").over(whole.orderBy("_bucket")) - F.col("_n"), "size": F.sum("_n").over(whole)})
+    inside = Window.partitionBy("label", "_bucket").orderBy("_h", id_col)
+    return (rows.join(F.broadcast(before.drop("_n")), ["label", "_bucket"])  # BUCKETS rows per class at most
+            .withColumn("place", F.col("_before") + F.row_number().over(inside) - 1).drop("_h", "_bucket", "_before"))
+
+
+def split(df: DataFrame, id_col: str, share: float = 0.8, folds: int = 5) -> DataFrame:
+    """``df`` with ``train`` and, of training rows, ``fold``: in each class exactly ``floor(share * size)`` rows train,
+    and folds differ by one row at most."""
+    marked = ranked_in_class(df, id_col)
+    train = F.col("place") < F.floor(F.col("size") * share)
+    return (marked.withColumns({"train": train, "fold": F.when(train, (F.col("place") % folds).cast("int"))}).drop("place", "size"))
 
 
 def _balanced(df: DataFrame) -> DataFrame:
@@ -73,20 +95,25 @@ def _train(data: DataFrame, columns: list[str], id_col: str, stage, folds: int =
     rows = data.limit(MIN_ROWS).count()
     if rows < MIN_ROWS:
         raise ValueError(f"insufficient training data: {rows} rows")
-    train, test = _split(data, id_col)
+    # written once: every fold and tree level reads it
+    marked = materialize(split(data, id_col, folds=max(folds, 1)))
+    train, test = marked.where("train"), marked.where("NOT train")
     train = _balanced(train) if stage.hasParam("weightCol") and stage.isSet("weightCol") else train
     pipeline = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="raw"),
                                 StandardScaler(inputCol="raw", outputCol="features", withMean=True), stage])
-    metrics: dict = {}
-    if folds:
-        cv = CrossValidator(estimator=pipeline, estimatorParamMaps=ParamGridBuilder().build(), numFolds=folds,
-                            evaluator=MulticlassClassificationEvaluator(metricName="accuracy"), seed=SEED).fit(train)
-        model, metrics["cv_mean"], metrics["cv_std"] = cv.bestModel, cv.avgMetrics[0], cv.stdMetrics[0]
-    else:
-        model = pipeline.fit(train)
-    held = model.transform(test)
+    def score(fold: int) -> float:
+        fitted = pipeline.fit(train.where(F.col("fold") != fold))
+        return _evaluate(fitted.transform(train.where(F.col("fold") == fold)))["accuracy"]
+
+    # the folds and the final model do not wait for each other
+    with ThreadPoolExecutor(folds + 1) as pool:
+        final = pool.submit(pipeline.fit, train)
+        scores = list(pool.map(score, range(folds)))
+        model = final.result()
+    metrics = {"cv_mean": statistics.fmean(scores), "cv_std": statistics.pstdev(scores)} if scores else {}
+    held = materialize(model.transform(test).select(id_col, "label", "prediction"))
     return Trained(model, columns, {**metrics, **{f"test_{k}": v for k, v in _evaluate(held).items()},
-                                    "feature_count": len(columns)})
+                                    "feature_count": len(columns)}, held)
 
 
 # -- strategy success ------------------------------------------------------------------------------------
@@ -97,27 +124,23 @@ def strategy_training_data(records: DataFrame) -> tuple[DataFrame, list[str]]:
 
 def train_strategy_model(records: DataFrame, trees: int = 100, folds: int = 5) -> Trained:
     data, cols = strategy_training_data(records)
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=10, minInstancesPerNode=2, seed=SEED,
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=10, minInstancesPerNode=2, seed=SEED, maxMemoryInMB=1024,
                                     labelCol="label", featuresCol="features", weightCol="weight")
     return _train(data, cols, "record_id", forest, folds)
 
 
 def _reasoning(strategy: Column, p: Column) -> Column:
-    """Texts that explain a score, from the repository's and the system's numbers."""
-    r = lambda n: F.col(f"repository_features.{n}")
-    gpus = F.col("system_features.gpu_count") > 0
-    by = lambda docker, conda: F.when(strategy == "docker", docker).when(strategy == "conda", conda)
-    level = F.when(p > 0.7, "high").when(p > 0.4, "moderate").otherwise("low")
-    reasons = F.array_compact(F.array(
-        F.when(r("gpu_dependencies") > 0, F.when((strategy == "docker") & gpus, "Docker supports GPU requirements")
-               .when((strategy == "conda") & gpus, "Conda can handle GPU dependencies")
-               .otherwise("GPU dependencies may be challenging")),
-        F.when(r("ml_dependencies") > 2, by("Docker provides isolated ML environment",
-                                            "Conda handles complex ML dependencies well")),
-        F.when(r("total_dependencies") > 20, by("Docker containerizes complex dependencies",
-                                                "Conda manages many dependencies effectively"))))
-    default = F.concat(F.initcap(strategy), F.lit(" strategy shows "), level, F.lit(" success probability"))
-    return F.when(F.size(reasons) > 0, F.array_join(reasons, "; ")).otherwise(default)
+    """Texts that explain a score: those of the rules in ``R.REASONS`` that apply, else the level of the score."""
+    def says(rule: dict) -> Column:
+        own = S.string_map({k: rule[k] for k in R.SCORED_STRATEGIES if k in rule})[strategy]
+        if rule["on_gpu"]:
+            own = F.when(F.col("system_features.gpu_count") > 0, own)
+        return F.when(F.col(f"repository_features.{rule['feature']}") > rule["above"], F.coalesce(own, F.lit(rule.get("other"))))
+
+    level = F.coalesce(*(F.lit(word) if above is None else F.when(p > above, word) for above, word in R.REASON_LEVELS))
+    found = F.array_compact(F.array(*map(says, R.REASONS)))
+    plain = F.format_string("%s strategy shows %s success probability", F.initcap(strategy), level)
+    return F.when(F.size(found) > 0, F.array_join(found, "; ")).otherwise(plain)
 
 
 def score_strategies(cases: DataFrame, trained: Trained | None) -> DataFrame:
@@ -185,11 +208,13 @@ def feature_importance(spark: SparkSession, trained: Trained) -> DataFrame:
                                  "rank bigint, feature string, importance double")
 
 
-def confusion_matrix(trained: Trained, labelled: DataFrame) -> DataFrame:
-    return trained.model.transform(labelled).groupBy("label", "prediction").agg(F.count("*").alias("n"))
+def confusion_matrix(trained: Trained, labelled: DataFrame | None = None) -> DataFrame:
+    """Counts by label and prediction: of the rows kept out of training, or of other labelled rows."""
+    seen = trained.held if labelled is None else trained.model.transform(labelled)
+    return seen.groupBy("label", "prediction").agg(F.count("*").alias("n"))
 
 
-def classification_report(trained: Trained, labelled: DataFrame) -> DataFrame:
+def classification_report(trained: Trained, labelled: DataFrame | None = None) -> DataFrame:
     """Precision, recall and support per class from the confusion counts."""
     m = confusion_matrix(trained, labelled)
     right = F.col("label") == F.col("prediction")
@@ -215,16 +240,27 @@ def load_model(spark: SparkSession, path: str, name: str) -> Trained:
     return Trained(PipelineModel.load(f"{path}/{name}/model"), list(row["columns"]), dict(row["metrics"]))
 
 
-def adaptive_recommendations(base: DataFrame, cases: DataFrame, trained: Trained | None) -> DataFrame:
-    """Case-based recommendations merged with model scores, ranked per repository, with the mean
-    model probability as ``ml_confidence``. ``base`` has repo_id, strategy, probability, label."""
+def adaptive_recommendations(base: DataFrame, cases: DataFrame, trained: Trained | None, patterns: DataFrame,
+                             metrics: DataFrame) -> DataFrame:
+    """Case-based recommendations merged with model scores, ranked per repository, with the mean model probability
+    as ``ml_confidence``, the ids of the patterns that the repository meets and the confidence of learning so far.
+
+    ``base`` has repo_id, strategy, probability, label; ``patterns`` are discovered ones, ``metrics`` one row.
+    """
+    from stacklens.operators.patterns import match_patterns
     from stacklens.operators.strategies import merge_recommendations
 
     scores = score_strategies(cases, trained)
     merged = merge_recommendations(base, scores)
     ml = scores.where("rank <= 3").groupBy("repo_id").agg(F.avg("success_probability").alias("ml_confidence"))
+    open_cases = cases if "resolution_features" in cases.columns else cases.withColumn(
+        "resolution_features", F.lit(None).cast("struct<strategy_type:string,has_gpu_support:boolean>"))
+    insights = match_patterns(open_cases, patterns).groupBy("repo_id").agg(F.array_sort(F.collect_list("pattern_id")).alias("pattern_insights"))
+    sure = metrics.select("learning_confidence").scalar()
     ranked = merged.groupBy("repo_id").agg(F.array_sort(F.collect_list(F.struct(
         (-F.col("success_probability")).alias("neg"), "strategy", "confidence", "source"))).alias("s"))
-    return (ranked.join(ml, "repo_id", "left").select("repo_id", "ml_confidence", F.posexplode("s").alias("pos", "s"))
+    return (ranked.join(ml, "repo_id", "left").join(insights, "repo_id", "left")
+            .select("repo_id", "ml_confidence", F.coalesce("pattern_insights", F.array().cast("array<string>")).alias("pattern_insights"),
+                    F.posexplode("s").alias("pos", "s"), sure.alias("learning_confidence"))
             .select("repo_id", (F.col("pos") + 1).cast("bigint").alias("rank"), "s.strategy",
-                    (-F.col("s.neg")).alias("success_probability"), "s.confidence", "s.source", "ml_confidence"))
+                    (-F.col("s.neg")).alias("success_probability"), "s.confidence", "s.source", "ml_confidence", "pattern_insights", "learning_confidence"))

@@ -299,6 +299,14 @@ UNION ALL (SELECT 'top', 'strategy_' || grp || '_success', support FROM pat ORDE
 query("q_top_patterns", f"""WITH {_group_sql('strategy', 'success')}
 SELECT 'strategy_' || grp || '_success' AS pattern_id, support, confidence FROM pat ORDER BY support DESC, confidence DESC, grp LIMIT 3""")(
     lambda c: P.top_patterns(P.strategy_patterns(c.stored_records), 3).select("pattern_id", "support", F.round("confidence", 6).alias("confidence")))
+def _condition_sql(strategy: str | None = None, support: str | None = None) -> str:
+    """Whether condition (k, v) holds; without a strategy, conditions on it hold."""
+    ranges = " ".join(f"WHEN k = '{f}_range' THEN {f} BETWEEN CAST(split_part(v, '-', 1) AS DOUBLE) AND CAST(split_part(v, '-', 2) AS DOUBLE)" for f in P.RANGE_FIELDS)
+    return f"""CASE {ranges} WHEN k = 'is_ml_repo' THEN is_ml_repo WHEN k = 'requires_gpu' THEN gpu_dependencies > 0 WHEN k = 'has_nvidia_gpu' THEN has_nvidia_gpu
+  WHEN k = 'has_gpu_support' THEN {support or 'true'} WHEN k = 'dependency_type' THEN dep = v WHEN k = 'system_type' THEN sys = v
+  WHEN k IN ('strategy', 'strategy_type') THEN {f'{strategy} = v' if strategy else 'true'} ELSE false END"""
+
+
 # every condition of every pattern, one by one, against the features of the newest record of each repository
 query("q_pattern_matches", f"""
 WITH pats AS ({_ALL_PATTERNS}),
@@ -306,10 +314,7 @@ conds AS (SELECT pattern_id, confidence, unnest(string_split(conditions, ';')) A
 c AS (SELECT pattern_id, confidence, split_part(cond, '=', 1) AS k, split_part(cond, '=', 2) AS v FROM conds),
 r AS (SELECT * FROM v_records QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY ts DESC, record_id DESC) = 1),
 x AS (SELECT r.*, {_DEP} AS dep, {_SYS} AS sys FROM r),
-m AS (SELECT x.repo_id, c.pattern_id, c.confidence, CASE
-  {' '.join(f"WHEN k = '{f}_range' THEN {f} BETWEEN CAST(split_part(v, '-', 1) AS DOUBLE) AND CAST(split_part(v, '-', 2) AS DOUBLE)" for f in P.RANGE_FIELDS)}
-  WHEN k = 'is_ml_repo' THEN is_ml_repo WHEN k = 'requires_gpu' THEN gpu_dependencies > 0 WHEN k = 'has_nvidia_gpu' THEN has_nvidia_gpu WHEN k = 'has_gpu_support' THEN has_gpu_support
-  WHEN k = 'dependency_type' THEN dep = v WHEN k = 'system_type' THEN sys = v WHEN k IN ('strategy', 'strategy_type') THEN strategy = v ELSE false END AS ok FROM x, c)
+m AS (SELECT x.repo_id, c.pattern_id, c.confidence, {_condition_sql('strategy', 'has_gpu_support')} AS ok FROM x, c)
 SELECT repo_id, pattern_id, confidence FROM m GROUP BY 1, 2, 3 HAVING bool_and(coalesce(ok, false))""")(
     lambda c: P.match_patterns(_newest_cases(c), P.discover_patterns(c.stored_records, 0.2), 0.2).select("repo_id", "pattern_id", F.round("confidence", 6).alias("confidence")))
 _ITEMS = """i AS (SELECT record_id, unnest(list_filter(['strategy:' || strategy, CASE WHEN is_ml_repo THEN 'repo_type:ml' END, CASE WHEN gpu_dependencies > 0 THEN 'repo:gpu_required' END,

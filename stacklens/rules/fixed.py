@@ -330,3 +330,17 @@ RETRAIN_INTERVAL_SECONDS = 86400
 RETRAIN_MIN_SAMPLES = 10
 FEEDBACK_MIN = 5
 CACHE_TTL_SECONDS = 3600
+
+# What speaks for or against a strategy (fixed values): where a repository's number exceeds the bound, the text of the
+# strategy, or the one under "other" where there is one; "on_gpu" texts ask for a GPU of the system
+REASONS = [
+    {"feature": "gpu_dependencies", "above": 0, "on_gpu": True,
+     "docker": "Docker supports GPU requirements", "conda": "Conda can handle GPU dependencies",
+     "other": "GPU dependencies may be challenging"},
+    {"feature": "ml_dependencies", "above": 2, "on_gpu": False,
+     "docker": "Docker provides isolated ML environment", "conda": "Conda handles complex ML dependencies well"},
+    {"feature": "total_dependencies", "above": 20, "on_gpu": False,
+     "docker": "Docker containerizes complex dependencies", "conda": "Conda manages many dependencies effectively"},
+]
+# Level of a probability that no reason explains: (above, word)
+REASON_LEVELS = [(0.7, "high"), (0.4, "moderate"), (None, "low")]
