@@ -221,10 +221,12 @@ def _contracts(kind: str) -> list[tuple[str, Column, Column]]:
                 ("message", blank(F.col("message")), F.lit("Compatibility issue message is required")),
                 ("component", blank(F.col("component")), F.lit("Compatibility issue component is required"))]
     if kind == "resolution":
-        return [("strategy", F.col("strategy").isin("docker", "conda", "micromamba", "venv", "devcontainer"),
-                 m("Invalid strategy type: ", "strategy")),
-                ("files", F.forall("files", lambda f: blank(f["path"]) & blank(f["content"])),
-                 F.lit("Generated file path and content are required")),
+        every = lambda field: F.forall("files", lambda f: blank(f[field]))
+        return [("strategy", F.col("strategy").isin(*R.CONTRACT_STRATEGIES), m("Invalid strategy type: ", "strategy")),
+                ("file_path", every("path"), F.lit("Generated file path is required")),
+                ("file_content", every("content"), F.lit("Generated file content is required")),
+                ("file_description", every("description"), F.lit("Generated file description is required")),
+                ("setup_commands", F.forall("setup_commands", blank), F.lit("Setup command cannot be empty")),
                 ("instructions", blank(F.col("instructions")), F.lit("Instructions are required")),
                 ("size", F.col("estimated_size_mb") >= 0, m("Invalid estimated size: ", "estimated_size_mb"))]
     raise ValueError(f"unknown contract {kind!r}")

@@ -102,31 +102,48 @@ def merge_response_findings(readme: DataFrame, responses: DataFrame) -> DataFram
         F.concat("system_requirements", F.coalesce("j.system_requirements", empty)).alias("system_requirements"))
 
 
-def with_fallbacks(analyses: DataFrame, error: str = "error") -> tuple[DataFrame, DataFrame]:
-    """Failed analyses become the minimal valid row; returns (analyses, issue rows)."""
+def _replaced(df: DataFrame, failed: Column, defaults: dict[str, Column]) -> DataFrame:
+    """Rows that failed take the defaults of the columns that have one."""
+    return df.select(*(F.when(failed, defaults[c].cast(df.schema[c].dataType)).otherwise(F.col(c)).alias(c)
+                       if c in defaults else F.col(c) for c in df.columns))
+
+
+def with_fallbacks(analyses: DataFrame, error: str = "error", issues: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Failed analyses become the minimal valid row; returns (analyses, issue rows).
+
+    Owner and name of a failed row come from its ``url`` where there is one. ``issues`` of repositories whose analysis
+    failed are dropped; their one issue is the failure itself.
+    """
     failed = F.col(error).isNotNull()
-    blank = lambda c, v: F.when(failed, F.lit(v)).otherwise(F.col(c)).alias(c)
-    defaults = {"dependencies_count": 0, "confidence_score": 0.0, "min_gpu_memory_gb": 0.0,
-                "analysis_time": 0.0, "python_version_required": None}
-    out = analyses.select(*[blank(c, defaults[c]) if c in defaults else F.col(c)
-                            for c in analyses.columns])
-    issues = analyses.where(failed).select(
+    link = r"^https://github\.com/([^/]+)/([^/]+)"
+    from_url = lambda g: F.coalesce(F.nullif(F.regexp_extract("url", link, g), F.lit("")), F.lit("unknown")) \
+        if "url" in analyses.columns else F.lit("unknown")
+    none = F.lit(None)
+    defaults = {"owner": from_url(1), "name": from_url(2), "description": none, "language": none, "stars": F.lit(0),
+                "topics": F.array().cast("array<string>"), "dependencies_count": F.lit(0), "confidence_score": F.lit(0.0),
+                "min_memory_gb": F.lit(0.0), "min_gpu_memory_gb": F.lit(0.0), "analysis_time": F.lit(0.0),
+                "python_version_required": none, "cuda_version_required": none}
+    out = _replaced(analyses, failed, defaults)
+    rows = analyses.where(failed).select(
         "repo_id", F.lit("analysis_error").alias("type"), F.lit("warning").alias("severity"),
         F.concat(F.lit("Analysis failed: "), F.col(error)).alias("message"),
         F.lit("analyzer").alias("component"), F.lit(None).cast("string").alias("suggested_fix"))
-    return out, issues
+    if issues is not None:
+        rows = issues.select(*rows.columns).join(analyses.where(failed).select("repo_id"), "repo_id", "left_anti").unionByName(rows)
+    return out, rows
 
 
 def system_fallbacks(systems: DataFrame, error: str = "error") -> DataFrame:
-    """Systems that could not be probed become the minimal valid profile."""
-    failed = F.col(error).isNotNull()
+    """Systems that could not be probed become the minimal valid profile, without GPUs."""
+    none = F.lit(None)
     defaults: dict[str, Column] = {
         "cpu_cores": F.lit(1), "memory_gb": F.lit(4.0), "architecture": F.lit("unknown"),
-        "python_version": F.lit("unknown"), "platform": F.lit("unknown"),
-        "cuda_version": F.lit(None), "container_runtime": F.lit(None), "compute_score": F.lit(0.0)}
-    return systems.select(*[
-        F.when(failed, defaults[c].cast(systems.schema[c].dataType)).otherwise(F.col(c)).alias(c)
-        if c in defaults else F.col(c) for c in systems.columns])
+        "python_version": F.lit("unknown"), "platform": F.lit("unknown"), "gpu_count": F.lit(0), "gpu_name": none,
+        "gpu_memory": none, "cuda_version": none, "pip_version": none, "conda_version": none, "docker_version": none,
+        "git_version": none, "container_runtime": none, "compute_score": F.lit(0.0)}
+    if "gpus" in systems.columns:
+        defaults["gpus"] = F.array().cast(systems.schema["gpus"].dataType)
+    return _replaced(systems, F.col(error).isNotNull(), defaults)
 
 
 def needs_analysis(repos: DataFrame, analyses: DataFrame, now: Column, max_age_days: int = 7) -> DataFrame:

@@ -154,17 +154,58 @@ query("q_dependency_contracts", "SELECT repo_id, 'dependency' AS contract, 'type
     lambda c: Q.check_contracts(c.v_deps.withColumn("dep_type", F.when(F.col("ord") % 11 == 0, "rpm").otherwise(F.col("dep_type"))), "dependency", "repo_id"))
 
 
+_ANALYSES = """SELECT repo_id, CASE WHEN repo_id % 7 = 0 THEN '  ' ELSE name END AS name, owner, CASE WHEN repo_id % 11 = 0 THEN NULL ELSE url END AS url,
+  CAST(CASE WHEN repo_id % 13 = 0 THEN 1.5 ELSE 0.5 END AS DOUBLE) AS confidence_score, CAST(CASE WHEN repo_id % 17 = 0 THEN -1.0 ELSE 2.0 END AS DOUBLE) AS analysis_time FROM v_repos"""
+_broken = lambda kind, id_col, rules: " UNION ALL ".join(
+    f"SELECT {id_col}, '{kind}' AS contract, '{rule}' AS rule, {msg} AS message FROM x WHERE {when}" for rule, msg, when in rules)
+query("q_analysis_contracts", f"WITH x AS ({_ANALYSES}) " + _broken("analysis", "repo_id", [
+    ("name", "'Repository name is required'", "trim(name) = ''"), ("url", "'Repository URL is required'", "url IS NULL"),
+    ("confidence", "'Invalid confidence score: 1.5'", "confidence_score > 1"), ("analysis_time", "'Invalid analysis time: -1.0'", "analysis_time < 0")]))(
+    lambda c: Q.check_contracts(c.sql(_ANALYSES), "analysis", "repo_id"))
+query("q_issue_contracts", """WITH x AS (SELECT repo_id, CASE WHEN repo_id % 5 = 0 AND severity = 'info' THEN 'fatal' ELSE severity END AS severity, message, CASE WHEN repo_id % 3 = 0 AND type = 'duplicate_dependency' THEN '' ELSE component END AS component FROM v_issues) """
+      + _broken("issue", "repo_id", [("severity", "'Invalid severity: fatal'", "severity = 'fatal'"),
+                                     ("component", "'Compatibility issue component is required'", "component = ''")]))(
+    lambda c: Q.check_contracts(c.issues.withColumns({
+        "severity": F.when((F.col("repo_id") % 5 == 0) & (F.col("severity") == "info"), "fatal").otherwise(F.col("severity")),
+        "component": F.when((F.col("repo_id") % 3 == 0) & (F.col("type") == "duplicate_dependency"), "").otherwise(F.col("component"))}), "issue", "repo_id"))
+_PLANS = """SELECT outcome_id, strategy, CASE WHEN outcome_id % 7 = 0 THEN '' ELSE 'Dockerfile' END AS path, CASE WHEN outcome_id % 11 = 0 THEN NULL ELSE 'FROM x' END AS content,
+  CASE WHEN outcome_id % 13 = 0 THEN ' ' ELSE 'image' END AS description, CASE WHEN outcome_id % 17 = 0 THEN '  ' ELSE 'make' END AS command,
+  CASE WHEN outcome_id % 19 = 0 THEN NULL ELSE 'run it' END AS instructions, CAST(outcome_id % 23 - 1 AS BIGINT) AS estimated_size_mb FROM v_outcomes"""
+query("q_resolution_contracts", f"WITH x AS ({_PLANS}) " + _broken("resolution", "outcome_id", [
+    ("strategy", "'Invalid strategy type: micromamba'", "strategy = 'micromamba'"), ("file_path", "'Generated file path is required'", "path = ''"),
+    ("file_content", "'Generated file content is required'", "content IS NULL"), ("file_description", "'Generated file description is required'", "trim(description) = ''"),
+    ("setup_commands", "'Setup command cannot be empty'", "trim(command) = ''"), ("instructions", "'Instructions are required'", "instructions IS NULL"),
+    ("size", "'Invalid estimated size: -1'", "estimated_size_mb < 0")]))(
+    lambda c: Q.check_contracts(c.sql(_PLANS).withColumns({
+        "files": F.array(F.struct(F.lit("a.sh").alias("path"), F.lit("x").alias("content"), F.lit("script").alias("description")),
+                         F.struct("path", "content", "description")),
+        "setup_commands": F.array(F.lit("ls"), F.col("command"))}), "resolution", "outcome_id"))
+
+
 def _fallback_inputs(c):
-    return c.sql("""SELECT repo_id, stars AS dependencies_count, CAST(0.7 AS DOUBLE) AS confidence_score, python_version_required,
-        CASE WHEN repo_id % 4 = 0 THEN 'fetch failed' END AS error FROM v_repos""")
+    return c.sql("""SELECT repo_id, url, owner, name, language, stars, stars AS dependencies_count, CAST(0.7 AS DOUBLE) AS confidence_score, python_version_required,
+        CASE WHEN repo_id % 5 = 0 THEN 'fetch failed' END AS error FROM v_repos""")
 
 
-query("q_fallbacks", """
-SELECT repo_id, CASE WHEN repo_id % 4 = 0 THEN 0 ELSE stars END AS dependencies_count, CASE WHEN repo_id % 4 = 0 THEN 0.0 ELSE 0.7 END::DOUBLE AS confidence_score,
-  CASE WHEN repo_id % 4 <> 0 THEN python_version_required END AS python_version_required FROM v_repos""")(
+_link = lambda g: f"coalesce(nullif(regexp_extract(url, '^https://github\\.com/([^/]+)/([^/]+)', {g}), ''), 'unknown')"
+query("q_fallbacks", f"""
+SELECT repo_id, url, CASE WHEN repo_id % 5 = 0 THEN {_link(1)} ELSE owner END AS owner, CASE WHEN repo_id % 5 = 0 THEN {_link(2)} ELSE name END AS name,
+  CASE WHEN repo_id % 5 <> 0 THEN language END AS language, CASE WHEN repo_id % 5 = 0 THEN 0 ELSE stars END AS stars,
+  CASE WHEN repo_id % 5 = 0 THEN 0 ELSE stars END AS dependencies_count, CASE WHEN repo_id % 5 = 0 THEN 0.0 ELSE 0.7 END::DOUBLE AS confidence_score,
+  CASE WHEN repo_id % 5 <> 0 THEN python_version_required END AS python_version_required FROM v_repos""")(
     lambda c: RP.with_fallbacks(_fallback_inputs(c))[0].drop("error"))
-query("q_fallback_issues", "SELECT repo_id, 'analysis_error' AS type, 'warning' AS severity, 'Analysis failed: fetch failed' AS message, 'analyzer' AS component FROM v_repos WHERE repo_id % 4 = 0")(
-    lambda c: RP.with_fallbacks(_fallback_inputs(c))[1].drop("suggested_fix"))
+query("q_fallback_issues", """
+SELECT repo_id, type, severity, message, component, suggested_fix FROM v_issues WHERE repo_id % 5 <> 0
+UNION ALL SELECT repo_id, 'analysis_error', 'warning', 'Analysis failed: fetch failed', 'analyzer', NULL FROM v_repos WHERE repo_id % 5 = 0""")(
+    lambda c: RP.with_fallbacks(_fallback_inputs(c), issues=c.issues)[1])
+query("q_system_fallbacks", """
+SELECT system_id, CASE WHEN system_id % 3 = 0 THEN 1 ELSE cpu_cores END AS cpu_cores, CASE WHEN system_id % 3 = 0 THEN 4.0 ELSE memory_gb END AS memory_gb,
+  CASE WHEN system_id % 3 = 0 THEN 'unknown' ELSE architecture END AS architecture, CASE WHEN system_id % 3 = 0 THEN 'unknown' ELSE python_version END AS python_version,
+  CASE WHEN system_id % 3 <> 0 THEN cuda_version END AS cuda_version, CASE WHEN system_id % 3 <> 0 THEN container_runtime END AS container_runtime,
+  CASE WHEN system_id % 3 = 0 THEN 0 ELSE gpu_count END AS gpu_count, CASE WHEN system_id % 3 = 0 THEN 0 ELSE gpu_count END AS listed_gpus FROM v_systems""")(
+    lambda c: RP.system_fallbacks(c.systems.withColumn("error", F.when(F.col("system_id") % 3 == 0, "no probe"))).select(
+        "system_id", "cpu_cores", "memory_gb", "architecture", "python_version", "cuda_version", "container_runtime", "gpu_count",
+        F.size("gpus").cast("bigint").alias("listed_gpus")))
 
 # -- outcome statistics ------------------------------------------------------------------------------------------
 query("q_ewma", """

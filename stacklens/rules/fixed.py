@@ -344,3 +344,6 @@ REASONS = [
 ]
 # Level of a probability that no reason explains: (above, word)
 REASON_LEVELS = [(0.7, "high"), (0.4, "moderate"), (None, "low")]
+
+# Strategies that a resolution may name (fixed values)
+CONTRACT_STRATEGIES = ["docker", "conda", "venv", "devcontainer"]

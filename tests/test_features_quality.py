@@ -79,3 +79,12 @@ def test_presets(spark):
     a, b = df.collect()
     assert (a["strategy"], a["gpu_mode"], a["validation"], a["error"]) == ("docker", "strict", True, None)
     assert b["strategy"] is None and "nope" in b["error"]
+
+
+def test_resolution_contract_names_every_broken_rule(spark):
+    schema = ("id bigint, strategy string, files array<struct<path:string,content:string,description:string>>, setup_commands array<string>, "
+              "instructions string, estimated_size_mb bigint")
+    df = spark.createDataFrame([(1, "docker", [("a", "b", "c")], ["ls"], "go", 0), (2, "docker", [], [], "go", 5),
+                                (3, "micromamba", [("a", "b", "c"), ("", None, " ")], ["ls", " "], " ", -1)], schema)
+    got = [(r.id, r.rule) for r in Q.check_contracts(df, "resolution", "id").collect()]
+    assert got == [(3, x) for x in ("strategy", "file_path", "file_content", "file_description", "setup_commands", "instructions", "size")]
