@@ -87,19 +87,27 @@ def scan_ci(files: DataFrame, compat: bool = False) -> DataFrame:
 
 
 def merge_response_findings(readme: DataFrame, responses: DataFrame) -> DataFrame:
-    """Text findings win; a model response fills gaps and adds system requirements."""
-    doc = responses.select("repo_id", F.from_json(
+    """Text findings win; model responses fill gaps and add system requirements.
+
+    A repository may have any number of responses, in the order of ``turn`` where that column is there: the first that
+    names a Python version gives it, any of them may ask for a GPU, and their requirements follow each other.
+    """
+    turn = F.col("turn") if "turn" in responses.columns else F.lit(0)
+    doc = responses.select("repo_id", turn.alias("turn"), F.from_json(
         "json_answer", "python_versions array<string>, gpu_requirements string, "
                        "system_requirements array<string>").alias("j"))
-    empty = F.expr("cast(array() as array<string>)")
     said = F.lower("j.gpu_requirements")
-    from_response = said.contains("required") | said.contains("cuda")
-    return readme.join(doc, "repo_id", "left").select(
-        "repo_id", F.coalesce("python_version", F.get("j.python_versions", 0)).alias("python_version"),
-        "cuda_mentioned",
-        (F.col("gpu_required") | F.coalesce(from_response, F.lit(False))).alias("gpu_required"),
-        "installation_commands",
-        F.concat("system_requirements", F.coalesce("j.system_requirements", empty)).alias("system_requirements"))
+    version = F.get("j.python_versions", 0)
+    lists = F.when(F.size("j.system_requirements") > 0, F.struct("turn", F.col("j.system_requirements").alias("s")))
+    found = doc.groupBy("repo_id").agg(
+        F.min_by(version, F.when(version.isNotNull(), F.col("turn"))).alias("said_version"),
+        F.bool_or(said.contains("required") | said.contains("cuda")).alias("said_gpu"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(lists)), lambda x: x["s"])).alias("said_requirements"))  # as long as the result's list
+    empty = F.expr("cast(array() as array<string>)")
+    return readme.join(found, "repo_id", "left").select(
+        "repo_id", F.coalesce("python_version", "said_version").alias("python_version"), "cuda_mentioned",
+        (F.col("gpu_required") | F.coalesce("said_gpu", F.lit(False))).alias("gpu_required"),
+        "installation_commands", F.concat("system_requirements", F.coalesce("said_requirements", empty)).alias("system_requirements"))
 
 
 def _replaced(df: DataFrame, failed: Column, defaults: dict[str, Column]) -> DataFrame:

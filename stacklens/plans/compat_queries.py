@@ -240,13 +240,12 @@ SELECT page_id, nullif(regexp_extract(url, '[/.]example\.[a-z]+[/:]([^/]+)/([^/\
 
 def _merged(c):
     answers = L.response_answers(c.v_responses.where("role = 'assistant'").withColumnRenamed("conv_id", "repo_id"))
-    one = answers.groupBy("repo_id").agg(F.min_by("json_answer", "turn").alias("json_answer"))
-    return RP.merge_response_findings(RP.scan_readme(c.v_readmes), one).select(
+    return RP.merge_response_findings(RP.scan_readme(c.v_readmes), answers).select(
         "repo_id", "python_version", "cuda_mentioned", "gpu_required", JOIN("system_requirements"))
 
 
 query("q_merge_findings", f"""
-WITH j AS (SELECT conv_id AS repo_id, arg_min((conv_id + turn) % 4, turn) AS kind FROM v_responses WHERE role = 'assistant' GROUP BY 1)
+WITH j AS (SELECT conv_id AS repo_id, CASE WHEN bool_or((conv_id + turn) % 4 = 0) THEN 0 END AS kind FROM v_responses WHERE role = 'assistant' GROUP BY 1)
 SELECT v_readmes.repo_id, coalesce({_pyv}, CASE WHEN j.kind = 0 THEN '3.9' END) AS python_version, {contains_any('lower(content)', R.README_CUDA_WORDS)} AS cuda_mentioned,
        ({' OR '.join(f"regexp_matches(lower(content), '{p}')" for p in R.README_GPU_PATTERNS)}) OR coalesce(j.kind = 0, false) AS gpu_required,
        array_to_string({' || '.join(_m(p, 1) for p in R.README_REQUIREMENT_PATTERNS)}, '|') AS system_requirements

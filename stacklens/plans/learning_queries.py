@@ -89,8 +89,12 @@ FROM v_outcomes o JOIN v_repos r ON o.repo_id = r.repo_id LEFT JOIN i ON o.repo_
     lambda c: FE.knowledge_context(c.v_outcomes, c.v_repos, c.v_repos.select("repo_id", F.lit(0.5).alias("confidence_score")), c.issues)
     .drop("analysis_confidence"))
 query("q_latest_vectors", """
-SELECT repo_id, arg_max(ml_dependencies, (ts, record_id)) AS ml_dependencies, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS at, 26::BIGINT AS feature_count FROM v_records GROUP BY 1""")(
-    lambda c: TB.latest_feature_vectors(c.records).select("repo_id", "features.ml_dependencies",
+SELECT r.repo_id, r.ml_dependencies, r.gpu_dependencies, r.total_dependencies, r.is_ml_repo, r.python_version_required, r.cuda_version_required, f.stars AS star_count, f.language,
+  f.has_dockerfile, f.version_constraints, f.pinned_versions, f.min_gpu_memory_gb, round(f.dependency_diversity, 6) AS dependency_diversity, strftime(r.ts, '%Y-%m-%d %H:%M:%S') AS at, 26::BIGINT AS feature_count
+FROM (SELECT * FROM v_records QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY ts DESC, record_id DESC) = 1) r JOIN v_features f ON r.repo_id = f.repo_id""")(
+    lambda c: TB.latest_feature_vectors(c.records).select("repo_id", *(f"features.{n}" for n in (
+        "ml_dependencies", "gpu_dependencies", "total_dependencies", "is_ml_repo", "python_version_required", "cuda_version_required", "star_count", "language",
+        "has_dockerfile", "version_constraints", "pinned_versions", "min_gpu_memory_gb")), F.round("features.dependency_diversity", 6).alias("dependency_diversity"),
                                                           F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "feature_count"))
 query("q_newest_records", "SELECT record_id, repo_id FROM v_records ORDER BY ts DESC, record_id DESC LIMIT 100")(
     lambda c: TB.newest(c.records, 100).select("record_id", "repo_id"))

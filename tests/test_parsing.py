@@ -202,3 +202,13 @@ def test_dedup_equals_the_fold(spark):
     df = spark.createDataFrame(data, "repo_id bigint, ord bigint, name string, version string, gpu_required boolean")
     got = {(x.repo_id, x.name): (x.ord, x.version, x.gpu_required) for x in D.dedup_dependencies(df).collect()}
     assert got == want
+
+
+def test_all_responses_of_a_repository_are_merged(spark):
+    readme = spark.createDataFrame([(1, None, False, False, [], ["git"]), (2, "3.8", False, False, [], [])],
+                                   "repo_id bigint, python_version string, cuda_mentioned boolean, gpu_required boolean, installation_commands array<string>, system_requirements array<string>")
+    said = spark.createDataFrame([(1, 3, '{"python_versions": ["3.11"], "system_requirements": ["make"]}'), (1, 2, '{"python_versions": ["3.9"]}'),
+                                  (1, 1, '{"gpu_requirements": "CUDA", "system_requirements": ["gcc"]}'), (1, 4, "not json"), (2, 1, '{"python_versions": ["3.12"]}')],
+                                 "repo_id bigint, turn int, json_answer string")
+    got = {r.repo_id: (r.python_version, r.gpu_required, r.system_requirements) for r in RP.merge_response_findings(readme, said).collect()}
+    assert got == {1: ("3.9", True, ["git", "gcc", "make"]), 2: ("3.8", False, [])}
