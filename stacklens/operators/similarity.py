@@ -66,12 +66,14 @@ def lowered(open_rows: DataFrame, key: str, levels: list[float], k: int, meet) -
 
 
 #: Similarities at which open rows meet, from high to low; ``min_similarity`` is the last.
-CASE_LEVELS = [1.0, 0.999, 0.996, 0.99, 0.98, 0.96, 0.93, 0.88, 0.8, 0.7, 0.55, 0.4]
+CASE_LEVELS = [1.0, 0.997, 0.98, 0.93, 0.8, 0.55]
 #: Features that make a grid cell at a level, where the level bounds them at all.
 GRID = ["ml_dependencies", "gpu_dependencies", "total_dependencies"]
 FLAG = "is_ml_repo"
 #: A feature whose similarity may fall below this is no part of the grid; rows of one block of a grid without cells.
 LEAST_BOUND, GRIDLESS_BLOCK = 0.1, 4096
+#: No cell is narrower: counts below fifty have cells of their own then.
+LEAST_CELL = 0.02
 
 
 def _scale(v: Column) -> Column:
@@ -84,16 +86,17 @@ def case_pairs(left: DataFrame, right: DataFrame, level: float) -> DataFrame:
     """(qid, rid, similarity, members) of all profile pairs of at least ``level``.
 
     A level leaves each feature a least similarity of its own, 1 - (1 - level) / weight. Cells of a grid are as
-    wide as that allows, so partners are in the same or the next cell of each dimension, and both sides meet by
-    an equality join on the cell. Higher levels have finer cells: a crowded cell of one level is many of another.
+    wide as that allows, so partners are in the few cells that it reaches, mostly one at a high level, and both
+    sides meet by an equality join on the cell. Higher levels have finer cells: a crowded cell of one level is many of another.
     """
     cell_l, cell_r = [], []
     for f in GRID:
         least = 1 - (1 - level) / R.CASE_WEIGHTS[f]
         if least >= LEAST_BOUND:
-            width = max(-math.log(least), 1e-9) * (1 + 1e-9)
-            at = lambda side: F.floor(_scale(F.col(f"{side}_{f}")) / width)  # noqa: E731, B023
-            cell_l.append((f, F.explode(F.array(*(at("q") + i for i in (-1, 0, 1))))))
+            reach = max(-math.log(least), 1e-9) * (1 + 1e-9)
+            width = max(reach, LEAST_CELL)
+            at = lambda side, by=0.0: F.floor((_scale(F.col(f"{side}_{f}")) + by) / width)  # noqa: E731, B023
+            cell_l.append((f, F.explode(F.sequence(at("q", -reach), at("q", reach)))))
             cell_r.append((f, at("r")))
     if level > 1 - R.CASE_WEIGHTS[FLAG] + EPS:
         cell_l.append((FLAG, F.col(f"q_{FLAG}")))
@@ -159,7 +162,7 @@ def _rarest_first(sigs: DataFrame, col: str) -> DataFrame:
         col, F.coalesce("_o", F.expr("cast(array() as array<string>)"))).drop("_o")
 
 
-REPO_LEVELS = [0.95, 0.9, 0.85, 0.8, 0.75, 0.7, 0.65, 0.6, 0.55, 0.5, 0.4, 0.3, 0.2]
+REPO_LEVELS = [0.85, 0.7, 0.62, 0.55, 0.5, 0.3]
 
 
 def _set_pairs(left: DataFrame, right: DataFrame, topic_sets: DataFrame, level: float) -> DataFrame:
