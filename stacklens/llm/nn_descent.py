@@ -1,7 +1,7 @@
 """Near-duplicate vectors by NN-descent.
 
 Entries are the distinct vectors with their counts. Start: ``TREES`` times, entries are dealt to leaves by the
-signs of projections (directions and medians come from a bounded sample, the leaves hold every entry, and a
+signs of projections (directions and cuts near the middle come from a bounded sample, the leaves hold every entry, and a
 leaf above ``LEAF`` is split by a hash); each entry lists its ``k`` best of its leaves. Refinement: an entry's
 neighbours and those that list it meet each other, if one of them is new, and better ones enter the lists,
 until few lists that still have room gain a link. An entry that very many list is split into groups of ``REVERSE``, and its own neighbours
@@ -80,7 +80,9 @@ def _leaves(nodes: DataFrame, x: np.ndarray, n: int, d: int, k: int, seed: int)
     rng = np.random.default_rng(seed)
     ends = rng.integers(0, len(x), (2, TREES * bits))
     directions = (x[ends[0]] - x[ends[1]]).T.astype(np.float32) if bits else np.zeros((d, 0), np.float32)
-    middle = np.median(x.astype(np.float32) @ directions, axis=0) if bits else np.zeros(0)
+    # off the median, and each elsewhere: else all trees cut data of few dimensions at one place, and nothing links across it
+    along = x.astype(np.float32) @ directions
+    middle = np.array([np.quantile(along[:, j], q) for j, q in enumerate(rng.uniform(0.3, 0.7, TREES * bits))])
 
     def deal(batches):
         for b in batches:
