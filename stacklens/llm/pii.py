@@ -9,7 +9,8 @@ characters within ``window`` words of a match; each occurrence is a span of kind
 that do not hold the entity, since there it is what reveals it. Copies of a text repeat the same words beside the same entity and prove nothing
 about a term, so contexts are different words of the window, and all four probabilities count the same units:
 texts without a base match once per digest, texts with one once per set of (entity, words of the window), so
-that copies, and near copies that differ outside the windows, are one unit everywhere.
+that copies, and near copies that differ outside the windows, are one unit everywhere. A window has its words
+however long they are and however many signs stand between them.
 
 Sanitising replaces base spans by ``[EMAIL]`` and so on and terms by ``[TERM]``.
 
@@ -90,11 +91,15 @@ def _spans(text: Column, kind: str) -> Column:
     return F.when(text.rlike(HINTS[kind]), _places(parts, kind, lambda m: _valid(kind, m))).otherwise(F.array().cast(SPAN))
 
 
+def _base(text: Column) -> Column:
+    """The base spans of a text."""
+    clear = unmarked(text)
+    return F.concat(*(_spans(clear, k) for k in KINDS))
+
+
 def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text and ``base``: spans (kind, start, end, value) of each row."""
-    d = texts(docs, id_col, text_col)
-    clear = unmarked(F.col("text"))
-    return d.select("doc_id", "text", F.concat(*(_spans(clear, k) for k in KINDS)).alias("base"))
+    return texts(docs, id_col, text_col).withColumn("base", _base(F.col("text")))
 
 
 def _ordered(spans: Column) -> Column:
@@ -111,8 +116,9 @@ def _joined(spans: Column) -> Column:
 
 
 WORD_ENDS = r"[\s\p{Punct}]+"
-#: Characters around a match that are looked at for its window of words.
-REACH = 400
+#: Characters beside a match that are read for its window, one size after the other until the window is full or the
+#: text ends; the last is more than any text has.
+REACHES = tuple(64 << 3 * k for k in range(9))
 
 
 def _words(text: Column) -> Column:
@@ -130,13 +136,31 @@ def _with_words(rows: DataFrame, terms: DataFrame, min_chars: int) -> DataFrame:
     return rows.select("copy", "unit", F.explode(words).alias("term")).join(F.broadcast(terms) if small else terms, "term")
 
 
+def _beside(text: Column, at: Column, before: bool, window: int) -> Column:
+    """The ``window`` words nearest to a place of a text on one side, the nearest first.
+
+    A reach may cut the word at its far edge, so that word counts only where the reach ends with the text.
+    """
+    at = at.cast("int")
+    far = at if before else F.char_length(text) - at
+    start = F.struct(F.lit(False).alias("full"), F.array().cast("array<string>").alias("words"))
+
+    def read(reach: Column) -> Column:
+        piece = F.substr(text, F.greatest(at - reach, F.lit(0)) + 1, F.least(at, reach)) if before else F.substr(text, at + 1, reach)
+        return F.reverse(_words(piece)) if before else _words(piece)
+
+    def step(acc: Column, reach: Column) -> Column:
+        found = F.transform(F.array(read(reach)), lambda w: F.struct(
+            ((reach >= far) | (F.size(w) > window)).alias("full"), F.slice(w, 1, window).alias("words")))[0]
+        return F.when(acc["full"], acc).otherwise(found)
+
+    return F.aggregate(F.array(*map(F.lit, REACHES)), start, step, lambda a: a["words"])
+
+
 def _contexts(window: int) -> Column:
     """(entity, around) of each base span of a row: its value and the words of its window."""
-    def around(s: Column) -> Column:
-        return F.concat(F.slice(F.reverse(_words(F.substr("text", F.greatest(s["start"] - REACH, F.lit(0)).cast("int") + 1,
-                                                          F.least(s["start"], F.lit(REACH)).cast("int")))), 1, window),
-                        F.slice(_words(F.substr("text", s["end"].cast("int") + 1, F.lit(REACH))), 1, window))
-
+    text = F.col("text")
+    around = lambda s: F.concat(_beside(text, s["start"], True, window), _beside(text, s["end"], False, window))
     return F.array_sort(F.array_distinct(F.transform("base", lambda s: F.struct(s["value"].alias("entity"), around(s).alias("around")))))
 
 
@@ -146,26 +170,29 @@ def with_units(spans: DataFrame, window: int = 5) -> DataFrame:
     return rows.withColumn("unit", F.when(F.size("near") > 0, F.unhex(F.md5(F.to_json(F.struct("near"))))).otherwise(F.col("copy")))
 
 
-def disclosing_terms(units: DataFrame, alpha: float = 0.95, min_joint: int = 3, min_chars: int = 4) -> DataFrame:
-    """Texts with the terms they hold that disclose any entity (copy, term); ``units``: see ``with_units``."""
+def disclosing_terms(rows: DataFrame, alpha: float = 0.95, min_joint: int = 3, min_chars: int = 4) -> DataFrame:
+    """Texts with the terms they hold that disclose any entity (copy, term); ``rows``: see ``with_units``.
+
+    At least as many units hold a term as have it in a window of any entity. Windows are counted first, so a common
+    word is dropped by its windows and never meets the texts; what is left is counted in them exactly.
+    """
+    units = materialize(rows.select("unit", "near").distinct())
     near = units.select("unit", F.explode("near").alias("c")).select("unit", "c.entity", "c.around")
+    in_any = units.select("unit", F.explode(F.array_distinct(F.flatten(F.col("near.around")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
     joint = materialize(near.select("unit", "entity", "around", F.explode(F.array_distinct("around")).alias("term"))
                         .where((F.char_length("term") >= min_chars) & F.col("term").rlike(r"\p{L}"))
                         .groupBy("entity", "term").agg(F.count_distinct("around").alias("contexts"), F.count_distinct("unit").alias("joint"))
                         .where(F.col("contexts") >= min_joint))
     if joint.isEmpty():
-        return units.select("copy", F.lit("").alias("term")).limit(0)
-    n = float(units.select("unit").distinct().count())
+        return rows.select("copy", F.lit("").alias("term")).limit(0)
+    n = float(units.count())
     entities = near.groupBy("entity").agg(F.count_distinct("unit").alias("n_entity"))
     share = F.lit(n) / F.col("n_entity")
-    # pmi >= alpha * ic says that no more than ``most`` units hold the term
-    pairs = materialize(joint.join(entities, "entity").where(share > 1)
-                        .select("entity", "term", "joint", "n_entity", (F.col("joint") * F.pow(share, F.lit(1 - alpha))).alias("most")))
-    # common words go by an estimate, far from its error; the rest is counted exactly
-    top = pairs.groupBy("term").agg(F.max("most").alias("most"))
-    rough = _with_words(units, top.select("term"), min_chars).groupBy("term").agg(F.approx_count_distinct("unit", 0.05).alias("about"))
-    rare = materialize(rough.join(top, "term").where(F.col("about") <= 2 * F.col("most") + 10).select("term"))
-    held = materialize(_with_words(units, rare, min_chars).select("copy", "unit", "term").distinct())
+    # pmi >= alpha * ic says that no more than ``most`` units hold the term; a little room for rounding
+    most = F.col("joint") * F.pow(share, F.lit(1 - alpha)) * (1 + 1e-9)
+    pairs = materialize(joint.join(entities, "entity").where(share > 1).join(in_any, "term").where(F.col("n_near") <= most)
+                        .select("entity", "term", "joint", "n_entity"))
+    held = materialize(_with_words(rows, pairs.select("term").distinct(), min_chars).select("copy", "unit", "term").distinct())
     terms = held.groupBy("term").agg(F.count_distinct("unit").alias("n_term"))
     ic = F.log2(share)
     pmi = F.log2(F.col("joint") * n / (F.col("n_entity") * F.col("n_term")))
@@ -180,15 +207,28 @@ def _marked_terms(text: Column, terms: Column) -> Column:
     return _places(parts, "term", lambda part: F.lit(True))
 
 
+def _terms_of_texts(spans: DataFrame, window: int, **options) -> DataFrame:
+    """copy, ``terms``: the terms that a text holds and that disclose an entity, of the rows of ``base_spans``.
+
+    Written, so that its size decides whether the texts are shuffled to meet it.
+    """
+    found = disclosing_terms(with_units(spans, window), **options)
+    return materialize(found.groupBy("copy").agg(F.sort_array(F.collect_set("term")).alias("terms")))
+
+
+def _with_terms(text: Column, base: Column, terms: Column) -> Column:
+    """The base spans of a text and those of its terms that overlap none of them, ordered."""
+    outside = F.filter(_marked_terms(unmarked(text), terms), lambda t: ~F.exists(
+        base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    return _ordered(F.when(terms.isNull(), base).otherwise(F.concat(base, outside)))
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 5, **options) -> DataFrame:
     """doc_id, text, ``base`` and ``spans`` (all, ordered) of each row."""
-    every = materialize(with_units(base_spans(docs, id_col, text_col), window))
-    by_text = disclosing_terms(every, **options).groupBy("copy").agg(F.sort_array(F.collect_set("term")).alias("terms"))
-    with_terms = every.join(by_text, "copy", "left")
-    outside = F.filter(_marked_terms(unmarked(F.col("text")), F.col("terms")), lambda t: ~F.exists(
-        "base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    spans = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.concat("base", outside))
-    return with_terms.select("doc_id", "text", _ordered(F.col("base")).alias("base"), _ordered(spans).alias("spans"))
+    rows = base_spans(docs, id_col, text_col)
+    joined = rows.withColumn("copy", F.unhex(F.md5("text"))).join(_terms_of_texts(rows, window, **options), "copy", "left")
+    return joined.select("doc_id", "text", _ordered(F.col("base")).alias("base"),
+                         _with_terms(F.col("text"), F.col("base"), F.col("terms")).alias("spans"))
 
 
 def sanitised(text: Column, spans: Column) -> Column:
@@ -206,17 +246,18 @@ def sanitised(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(whole)
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 5, **options) -> DataFrame:
     """The rows of ``docs`` with their texts sanitised; texts without a span stay as they are, nulls too.
 
-    Clean texts come back by a digest, of which equal texts have the same; only texts with spans have one.
+    Each row meets its terms once, by a digest of its text, and is rewritten where it stands.
     """
-    found = find(docs, id_col, text_col, **options).where(F.size("spans") > 0)
-    digest, clean = unused(docs, "digest", "clean")
-    new = materialize(found.select(F.md5("text").alias(digest), sanitised(F.col("text"), F.col("spans")).alias(clean))
-                      .dropDuplicates([digest]))
-    return (docs.withColumn(digest, F.md5(text_col)).join(new, digest, "left")
-            .withColumn(text_col, F.coalesce(clean, text_col)).select(*docs.columns))
+    terms_of = _terms_of_texts(base_spans(docs, id_col, text_col), window, **options)
+    copy, terms, base, spans = unused(docs, "copy", "terms", "base", "spans")
+    text = F.col(text_col)
+    rows = docs.withColumn(copy, F.unhex(F.md5(text))).join(
+        terms_of.select(F.col("copy").alias(copy), F.col("terms").alias(terms)), copy, "left").withColumn(base, _base(text))
+    return (rows.withColumn(spans, _with_terms(text, F.col(base), F.col(terms)))
+            .withColumn(text_col, F.when(text.isNotNull(), sanitised(text, F.col(spans)))).select(*docs.columns))
 
 
 def op8_pii(docs: DataFrame) -> DataFrame:

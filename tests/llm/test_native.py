@@ -1,5 +1,7 @@
 """Personal data, chat formatting and license scans against plain Python."""
 import hashlib
+import math
+import random
 import re
 
 import duckdb
@@ -136,3 +138,61 @@ def test_licence_words_may_wrap(spark):
     assert [r[2] for r in got] == ["All-rights-reserved", "All-rights-reserved", "Unlicense"]
     documents = documents.toPandas()  # noqa: F841
     assert sorted(duckdb.sql(licenses.OP10_SQL).fetchall()) == got
+
+
+def test_pii_windows_reach_over_long_words(spark):
+    words = [f"word{i}" for i in range(40)]
+    far = ["x" * 103, "y" * 388, "z" * 5000, "q" + " ,;" * 3000 + "q"]
+    rows = [(100 * k + i, f"{words[i]} {words[i + 1]} Zorbulon{'abcd'[k]} {gap} writes to q{k}@r.st about {words[i + 2]} things")
+            for k, gap in enumerate(far) for i in range(8)]
+    rows += [(1000 + i, f"plain {words[i % 40]} writes about things, part {i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    for k in range(4):
+        assert "Zorbulon" not in clean[100 * k] and "[TERM]" in clean[100 * k]
+    assert clean[1003] == rows[35][1]
+
+
+def brute_terms(texts, window=5, alpha=0.95, min_joint=3, min_chars=4):
+    """Disclosing terms of ASCII texts by plain counting."""
+    ends = re.compile(r"[\s!-/:-@\[-`{-~]+")
+    split = lambda s: [w for w in ends.split(s.lower()) if w]
+    units = {}
+    for t in set(texts):
+        near = frozenset((t[a:b], tuple(split(t[:a])[::-1][:window] + split(t[b:])[:window])) for a, _, b, _ in brute(t))
+        units.setdefault(near or t, set()).update(split(t))
+    joint, entity = {}, {}
+    for u in units:
+        for c, around in u if isinstance(u, frozenset) else ():
+            entity.setdefault(c, set()).add(u)
+            for w in set(around):
+                joint.setdefault((c, w), (set(), set()))
+                joint[c, w][0].add(around)
+                joint[c, w][1].add(u)
+    out, n = set(), len(units)
+    for (c, w), (contexts, both) in joint.items():
+        if len(w) >= min_chars and re.search("[a-z]", w) and len(contexts) >= min_joint and len(entity[c]) < n:
+            ic = math.log2(n / len(entity[c]))
+            if math.log2(len(both) * n / (len(entity[c]) * sum(w in held for held in units.values()))) >= alpha * ic:
+                out.add(w)
+    return out
+
+
+def test_pii_terms_match_plain_counts(spark):
+    rng = random.Random(5)
+    vocabulary, names = [f"word{i}" for i in range(30)], [f"name{i}" for i in range(12)]
+    rows = []
+    for i in range(400):
+        body = rng.choices(vocabulary, k=rng.randint(4, 14))
+        k = rng.randrange(12)
+        if rng.random() < 0.5:
+            at = rng.randrange(len(body))
+            body[at:at] = [names[k] if rng.random() < 0.95 else rng.choice(names), f"u{k % 9}@r.st"]
+        elif rng.random() < 0.02:
+            body.append(names[k])
+        rows += [(len(rows), " ".join(body))] * rng.choice([1, 1, 1, 4])
+    want = brute_terms([t for _, t in rows])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = F.explode(F.filter("spans", lambda s: s["kind"] == "term")).alias("s")
+    got = {r[0] for r in pii.find(df).select(spans).select("s.value").distinct().collect()}
+    assert got == want and 0 < len(want) < 42
