@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from stacklens.llm.common import texts
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Words and table entries that a worker keeps before it starts anew; only memory depends on it.
+#: Words of the younger half of a worker's word table, and entries of its arc table; only memory and speed depend on them.
 KEEP_WORDS, KEEP_ARCS = 200_000, 3_000_000
 
 
@@ -46,6 +46,18 @@ def _alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class _Words(dict):
+    """Labels of words: a word not met yet is taken from an older table or walked."""
+
+    def __init__(self, walk, older: dict):
+        super().__init__()
+        self.walk, self.older = walk, dict(older)
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        found = self[piece] = self.older.get(piece) or self.walk(piece.encode())
+        return found
+
+
 class Automaton:
     """Compiled from the text of a tokenizer file with a byte-level BPE model."""
 
@@ -79,7 +91,8 @@ class Automaton:
                 for byte in label[:-1]:
                     node = node.setdefault(byte, [-1, {}])[1]
                 node.setdefault(label[-1], [-1, {}])[0] = i
-        self.size, self.table, self.words = size, {}, {}
+        self.size, self.table = size, {}
+        self.words = _Words(self.word, {})
 
     def arc(self, q: int, x: int) -> bool:
         """Whether label x may follow label q: undo the gadgets of both, the latest first.
@@ -105,44 +118,55 @@ class Automaton:
                 until, x = rx + 1, self.left[x]
 
     def word(self, data: bytes) -> tuple[int, ...]:
-        """The labels of one word's accepting path."""
+        """The labels of one word's accepting path.
+
+        Only one path leads from the start to any place, so labels are tried from the longest on, and a place from
+        which no path reaches the end is not entered again.
+        """
         table, trie, size, n = self.table, self.trie, self.size, len(data)
         if len(table) > KEEP_ARCS:
             table.clear()
-        state: list[int] = [-1] * (n + 1)
-        for i in range(n):
-            q = state[i] if i else -2
-            if q == -1:
+        out: list[int] = []
+        back: list[tuple] = []
+        dead: set[int] = set()
+        i, q, fits = 0, -2, None
+        while i < n:
+            if fits is None:
+                fits, node, j = [], trie, i
+                while j < n:
+                    step = node.get(data[j])
+                    if step is None:
+                        break
+                    x, node = step
+                    j += 1
+                    if x >= 0:
+                        fits.append((x, j))
+            base = q * size
+            while fits:
+                x, j = fits.pop()
+                if j not in dead:
+                    if q == -2:
+                        break
+                    ok = table.get(base + x)
+                    if ok is None:
+                        ok = table[base + x] = self.arc(q, x)
+                    if ok:
+                        break
+            else:
+                dead.add(i)
+                i, q, fits = back.pop()
+                out.pop()
                 continue
-            node, base = trie, q * size
-            for j in range(i, n):
-                step = node.get(data[j])
-                if step is None:
-                    break
-                x, node = step
-                if x >= 0 and state[j + 1] < 0:
-                    if q != -2:
-                        ok = table.get(base + x)
-                        if ok is None:
-                            ok = table[base + x] = self.arc(q, x)
-                        if not ok:
-                            continue
-                    state[j + 1] = x
-        out, at = [], n
-        while at:
-            out.append(state[at])
-            at -= len(self.labels[state[at]])
-        return tuple(reversed(out))
+            back.append((i, q, fits))
+            out.append(x)
+            i, q, fits = j, x, None
+        return tuple(out)
 
     def _plain(self, text: str) -> list[tuple[int, ...]]:
-        words, out = self.words, []
-        if len(words) > KEEP_WORDS:
-            words.clear()
-        pieces = self.split(text)
-        for piece in set(pieces).difference(words):
-            words[piece] = self.word(piece.encode())
-        out = list(map(words.__getitem__, pieces))
-        return out
+        if len(self.words) > KEEP_WORDS:
+            # words that were not met since the last change of halves go
+            self.words = _Words(self.word, self.words)
+        return list(map(self.words.__getitem__, self.split(text)))
 
     def encode(self, text: str) -> list[int]:
         if self.cut is None or not any(s in text for s in self.special):
