@@ -2,8 +2,9 @@
 
 A text is cut into sentences (at line breaks and after ``.``, ``!``, ``?`` before white space), each is
 normalised, known licence sentences give identifiers, and ordered rules match runs of identifiers. Where
-notices wrap over lines, the text with line breaks as spaces is cut too; the view that knows more
-sentences counts, the first on ties. A rule that matches uses its identifiers up.
+notices wrap over lines, the text with line breaks as spaces is cut too, and so is the text in paragraphs: known
+lines, headings, copyright lines and blank lines stand alone there, and the lines between them are joined. The
+view that knows more sentences counts, the first on ties. A rule that matches uses its identifiers up.
 
 All of it happens inside a row, so a scan needs no shuffle, and only texts with a licence word are cut.
 Defined results: null and empty texts have no licence (family ``none``); rows with a null or repeated id
@@ -109,11 +110,27 @@ FAMILIES = ("restricted", "copyleft", "permissive")
 ENDS = r"([.!?])[ \t\r\n]+"
 
 
+#: Normalised lines that stand alone: blank ones, copyright lines, and titles of licences.
+ALONE = r"^$|^copyright( .*)?$|^([a-z0-9.-]+ ){0,4}licen[cs]e( version)?( [0-9.]+)?$"
+
+
+def _norm(s: Column) -> Column:
+    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9.-]+", " ")), r"[. ]+$", "")
+
+
+def _paragraphs(text: Column) -> Column:
+    """The text with its line breaks as spaces, but for those around lines that stand alone."""
+    def line(s: Column) -> Column:
+        alone = _norm(s).rlike(ALONE) | _norm(s).isin(*SENTENCES)
+        return F.when(alone, F.concat(F.lit("\n"), s, F.lit("\n"))).otherwise(F.concat(s, F.lit(" ")))
+
+    return F.array_join(F.transform(F.split(text, "\n"), line), "")
+
+
 def _ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     cut = F.split(F.regexp_replace(text, ENDS, "$1\n"), "\n")
-    norm = F.transform(cut, lambda s: F.regexp_replace(F.trim(F.regexp_replace(
-        F.lower(s), "[^a-z0-9.-]+", " ")), r"[. ]+$", ""))
+    norm = F.transform(cut, _norm)
     by_id: dict[str, list[str]] = {}
     for sentence, name in SENTENCES.items():
         by_id.setdefault(name, []).append(sentence)
@@ -128,8 +145,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     empty = F.array().cast("array<string>")
     seen = F.col("text").rlike(WORDS)
     d = d.select("doc_id", F.when(seen, _ids(F.col("text"))).otherwise(empty).alias("a"),
-                 F.when(seen, _ids(F.replace("text", F.lit("\n"), F.lit(" ")))).otherwise(empty).alias("b"))
-    d = d.select("doc_id", F.when(F.size("b") > F.size("a"), F.col("b")).otherwise(F.col("a")).alias("sentences"))
+                 F.when(seen, _ids(F.replace("text", F.lit("\n"), F.lit(" ")))).otherwise(empty).alias("b"),
+                 F.when(seen, _ids(_paragraphs(F.col("text")))).otherwise(empty).alias("c"))
+    d = d.select("doc_id", "c", F.when(F.size("b") > F.size("a"), F.col("b")).otherwise(F.col("a")).alias("ab"))
+    d = d.select("doc_id", F.when(F.size("c") > F.size("ab"), F.col("c")).otherwise(F.col("ab")).alias("sentences"))
     # each identifier stands between its own commas, so that neighbours share none
     rest, found = F.concat(F.lit(","), F.array_join("sentences", ",,"), F.lit(",")), []
     for k, (names, _, _) in enumerate(RULES):
@@ -153,9 +172,11 @@ def op10_license_scan(docs: DataFrame) -> DataFrame:
 def _sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     table = ", ".join(f"({quote(s)}, {quote(n)})" for s, n in SENTENCES.items())
+    norm = "regexp_replace(trim(regexp_replace(lower(s), '[^a-z0-9.-]+', ' ', 'g')), '[. ]+$', '')"
     view = lambda text: (f"list_filter(list_transform(list_transform(string_split(regexp_replace({text}, '{ENDS}', '\\1' || chr(10), 'g'), chr(10)), "
-                         "lambda s: regexp_replace(trim(regexp_replace(lower(s), '[^a-z0-9.-]+', ' ', 'g')), '[. ]+$', '')), "
-                         "lambda s: map_extract_value(m, s)), lambda x: x IS NOT NULL)")
+                         f"lambda s: {norm}), lambda s: map_extract_value(m, s)), lambda x: x IS NOT NULL)")
+    paragraphs = (f"array_to_string(list_transform(string_split(text, chr(10)), lambda s: CASE WHEN regexp_matches({norm}, '{ALONE}') "
+                  f"OR map_extract_value(m, {norm}) IS NOT NULL THEN chr(10) || s || chr(10) ELSE s || ' ' END), '')")
     steps, last = [], "s0"
     for k, (names, _, _) in enumerate(RULES):
         run = quote("".join(f",{n}," for n in names))
@@ -166,8 +187,8 @@ def _sql() -> str:
     first = "list_filter(hits, lambda x, i: x IS NOT NULL AND NOT list_contains(list_slice(hits, 1, i - 1), x))"
     return (f"WITH known AS (SELECT map_from_entries(list((s, n))) AS m FROM (VALUES {table}) t(s, n)), "
             "d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), "
-            f"v AS (SELECT doc_id, {view('text')} AS a, {view("replace(text, chr(10), ' ')")} AS b FROM d, known), "
-            "c AS (SELECT doc_id, CASE WHEN len(b) > len(a) THEN b ELSE a END AS ids FROM v), "
+            f"v AS (SELECT doc_id, {view('text')} AS a, {view("replace(text, chr(10), ' ')")} AS b, {view(paragraphs)} AS c FROM d, known), "
+            "c AS (SELECT doc_id, CASE WHEN len(c) > greatest(len(a), len(b)) THEN c WHEN len(b) > len(a) THEN b ELSE a END AS ids FROM v), "
             "s0 AS (SELECT doc_id, ids, ',' || array_to_string(ids, ',,') || ',' AS rest FROM c), "
             + ", ".join(steps) + f", h AS (SELECT *, [{hits}] AS hits FROM {last}) "
             f"SELECT doc_id, array_to_string(ids, ',') AS sentences, array_to_string({first}, ';') AS licences, "

@@ -196,3 +196,20 @@ def test_pii_terms_match_plain_counts(spark):
     spans = F.explode(F.filter("spans", lambda s: s["kind"] == "term")).alias("s")
     got = {r[0] for r in pii.find(df).select(spans).select("s.value").distinct().collect()}
     assert got == want and 0 < len(want) < 42
+
+
+def test_whole_licence_files(spark):
+    mit = ("MIT License\n\nCopyright (c) 2020 Some One\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\n"
+           "of this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including "
+           "without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, "
+           "and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright "
+           "notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\nTHE SOFTWARE IS "
+           "PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND.\n")
+    mozilla = "This Source Code Form is subject to\nthe terms of the Mozilla Public\nLicense, v. 2.0. If a copy was not distributed, get one."
+    rows = [mit, "License\n" + mozilla, "Licensed under the MIT License\n" + mozilla, "# License\r\n\r\n" + mozilla, mit.replace("\n\n", "\n"),
+            "Released under the\nMIT License"]
+    documents = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in licenses.op10_license_scan(documents).collect())
+    assert [r[2] for r in got] == ["MIT", "MPL-2.0", "MIT;MPL-2.0", "MPL-2.0", "MIT", "MIT"]
+    documents = documents.toPandas()  # noqa: F841
+    assert sorted(duckdb.sql(licenses.OP10_SQL).fetchall()) == got
