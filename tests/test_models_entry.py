@@ -61,3 +61,14 @@ def test_too_few_rows(spark):
                                "system_features struct<gpu_count:bigint>, resolution_features struct<strategy_type:string>, outcome struct<success:boolean>")
     with pytest.raises(ValueError, match="insufficient"):
         M.train_strategy_model(df)
+
+
+def test_only_metrics_train_the_folds(spark, monkeypatch):
+    fits, fit = [], M.Pipeline.fit
+    monkeypatch.setattr(M.Pipeline, "fit", lambda self, *a, **b: fits.append(1) or fit(self, *a, **b))
+    data = [(i, (i % 2, i % 5, i % 9), (i % 3,), ("docker" if i % 2 else "venv",), (i % 2 == 1,)) for i in range(100)]
+    df = spark.createDataFrame(data, "record_id bigint, repository_features struct<gpu_dependencies:bigint,ml_dependencies:bigint,total_dependencies:bigint>,"
+                                     "system_features struct<gpu_count:bigint>, resolution_features struct<strategy_type:string>, outcome struct<success:boolean>")
+    t = M.train_strategy_model(df, trees=3, folds=2)
+    assert M.confusion_matrix(t).agg(F.sum("n")).first()[0] == 20 and len(fits) == 1
+    assert 0 <= t.metrics["cv_mean"] <= 1 and t.metrics["test_accuracy"] > 0.9 and len(fits) == 3
