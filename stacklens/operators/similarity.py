@@ -162,30 +162,79 @@ def _rarest_first(sigs: DataFrame, col: str) -> DataFrame:
         col, F.coalesce("_o", F.expr("cast(array() as array<string>)"))).drop("_o")
 
 
-REPO_LEVELS = [0.85, 0.7, 0.62, 0.55, 0.5, 0.3]
-
-
-def _set_pairs(left: DataFrame, right: DataFrame, topic_sets: DataFrame, level: float) -> DataFrame:
-    """(sid, oid) of different sets whose mean Jaccard may reach ``level``; ``left`` are the open ones."""
-    if level > 0.5:
-        # both Jaccards must be positive: the few topic sets that can still reach the level are found first
-        sigma = F.lit(2 * level - 1 - EPS)
-        want = left.select("tk", "t1").dropDuplicates(["tk"])
-        other = topic_sets.select(F.col("tk").alias("tk2"), F.col("topics").alias("t2"), F.explode("topics").alias("tt"))
-        near = want.withColumn("tt", F.explode(_prefix(F.col("t1"), sigma))).join(other, "tt") \
-            .select("tk", "tk2", jaccard(F.col("t1"), F.col("t2")).alias("jt")).distinct().where(F.col("jt") >= sigma)
-        mine = left.join(near, "tk").withColumn("need", F.lit(2 * level) - F.col("jt") - EPS).where(F.col("need") <= 1) \
-            .withColumn("dt", F.explode(_prefix(F.col("d1"), F.col("need")))) \
-            .select("sid", "tk2", "dt", F.size("d1").alias("n1"), "need")
-        theirs = right.select("oid", F.col("tk").alias("tk2"), F.size("d2").alias("n2"), F.explode("d2").alias("dt"))
-        met = mine.join(theirs, ["tk2", "dt"]).where((F.col("n2") >= F.col("need") * F.col("n1") - EPS)
-                                                     & (F.col("n2") * F.col("need") <= F.col("n1") + EPS))
-    else:
-        # one Jaccard alone may carry the level
-        side = lambda a, b: left.withColumn("x", F.explode(_prefix(F.col(a), F.lit(level - EPS)))).select("sid", "x") \
-            .join(right.select("oid", F.explode(b).alias("x")), "x")
-        met = side("t1", "t2").unionByName(side("d1", "d2"))
-    return met.select("sid", "oid").distinct().where(F.col("sid") != F.col("oid"))
+#: Mean Jaccards at which open repositories meet, from high to low; ``min_similarity`` is the last. Close together, as a
+#: level brings a row all partners down to it.
+REPO_LEVELS = [0.85, 0.8, 0.775, 0.75, 0.72, 0.7, 0.62, 0.55, 0.5, 0.3]
+#: Sets of at most so many tokens meet by 3 or 2 common tokens at once, larger ones by one.
+TUPLE_SIZES = {3: 7, 2: 11}
+
+
+def _tuple_size(size: Column, least: float) -> Column:
+    """How many common tokens make a key of sets that meet a set of ``size``; sets of Jaccard ``least`` share as many."""
+    by_size = F.lit(1)
+    for n in sorted(TUPLE_SIZES):
+        by_size = F.when(size <= TUPLE_SIZES[n], n).otherwise(by_size)
+    return F.greatest(F.least(by_size, F.ceil(F.lit(least) * size - EPS)), F.lit(1)).cast("int")
+
+
+def _tuples(tokens: Column, n: Column) -> Column:
+    """All tuples of ``n`` (1 to 3) tokens in the order of ``tokens``."""
+    later = lambda i: F.slice(tokens, i + 2, F.size(tokens))
+    two = lambda x, rest: F.transform(rest, lambda y: F.array(x, y))
+    pairs = F.flatten(F.transform(tokens, lambda x, i: two(x, later(i))))
+    triples = F.flatten(F.transform(tokens, lambda x, i: F.flatten(F.transform(
+        later(i), lambda y, j: F.transform(F.slice(tokens, i + j + 3, F.size(tokens)), lambda z: F.array(x, y, z))))))
+    return F.when(n == 1, F.transform(tokens, lambda x: F.array(x))).when(n == 2, pairs).otherwise(triples)
+
+
+def _both_pairs(left: DataFrame, right: DataFrame, topic_sets: DataFrame, level: float) -> DataFrame:
+    """(sid, oid, similarity, first_id, members) of all different sets of at least ``level`` > 0.5, where both Jaccards are positive.
+
+    The few topic sets that can still reach the level are found first; they leave the dependencies a least Jaccard and
+    that, by both sizes, a least number of common tokens. Tokens stand in one order, so the first of the common ones are
+    in a prefix of each side, and a tuple of them, with the topic set and the size, is the key by which sets meet. Only
+    the first common tuple counts, so a pair is found once, and only pairs of the level leave the join.
+    """
+    least = 2 * level - 1  # what equal topics leave to the dependencies
+    sigma = F.lit(least - EPS)
+    want = left.select("tk", "t1").dropDuplicates(["tk"])
+    other = topic_sets.select(F.col("tk").alias("tk2"), F.col("topics").alias("t2"), F.explode("topics").alias("tt"))
+    near = want.withColumn("tt", F.explode(_prefix(F.col("t1"), sigma))).join(other, "tt") \
+        .select("tk", "tk2", jaccard(F.col("t1"), F.col("t2")).alias("jt")).distinct().where(F.col("jt") >= sigma)
+    near = materialize(near)  # its size is known then, and the open sets are not taken for the smaller side
+    key = lambda topics, size, words: F.xxhash64(topics, size, words)  # noqa: E731  # equal for equal keys; others fail the test of the tuple
+    n, m, need = F.size("d1"), F.col("m"), F.col("need")
+    tuple_l = _tuple_size(m, least)
+    common = F.ceil(need / (need + 1) * (n + m) - EPS).cast("int")
+    mine = (left.select("sid", "tk", "d1").join(near, "tk").withColumn("need", F.lit(2 * level) - F.col("jt") - EPS).where(need <= 1)
+            .withColumn("m", F.explode(F.sequence(F.greatest(F.ceil(need * n - EPS), F.lit(1)).cast("int"), F.floor(n / need + EPS).cast("int"))))
+            .withColumn("common", F.greatest(common, tuple_l)).where((F.col("common") <= n) & (F.col("common") <= m))
+            .withColumn("prefix", F.slice("d1", 1, n - F.col("common") + tuple_l)).withColumn("words", F.explode(_tuples(F.col("prefix"), tuple_l)))
+            .select("sid", "d1", "jt", "words", key(F.col("tk2"), m, F.col("words")).alias("key")))
+    size = F.size("d2")
+    tuple_r = _tuple_size(size, least)
+    least_r = F.greatest(F.ceil(F.lit(least) * size - EPS).cast("int"), tuple_r)
+    theirs = (right.where(size > 0).withColumn("prefix", F.slice("d2", 1, size - least_r + tuple_r))
+              .withColumn("w2", F.explode(_tuples(F.col("prefix"), tuple_r)))
+              .select("oid", "d2", "first_id", "members", key(F.col("tk"), size, F.col("w2")).alias("key")))
+    shared = F.array_intersect("d1", "d2")
+    return (mine.join(theirs, "key").where((F.col("sid") != F.col("oid")) & (F.slice(shared, 1, F.size("words")) == F.col("words")))
+            .select("sid", "oid", _mean(F.col("jt"), jaccard(F.col("d1"), F.col("d2"))).alias("similarity"), "first_id", "members")
+            .where(F.col("similarity") >= level - EPS))
+
+
+def _mean(a: Column, b: Column) -> Column:
+    return F.round((a + b) / 2, 9)
+
+
+def _either_pairs(left: DataFrame, right: DataFrame, level: float) -> DataFrame:
+    """As ``_both_pairs``, at levels that one Jaccard alone may carry."""
+    side = lambda a, b: left.withColumn("x", F.explode(_prefix(F.col(a), F.lit(level - EPS)))).select("sid", "x") \
+        .join(right.select("oid", F.explode(b).alias("x")), "x")
+    met = side("t1", "t2").unionByName(side("d1", "d2")).select("sid", "oid").where(F.col("sid") != F.col("oid")).distinct()
+    return met.join(left.select("sid", "t1", "d1"), "sid").join(right.drop("tk"), "oid").select(
+        "sid", "oid", _mean(jaccard(F.col("t1"), F.col("t2")), jaccard(F.col("d1"), F.col("d2"))).alias("similarity"), "first_id", "members") \
+        .where(F.col("similarity") >= level - EPS)
 
 
 def similar_repos(repos: DataFrame, k: int = 5, min_similarity: float = 0.1) -> DataFrame:
@@ -196,22 +245,25 @@ def similar_repos(repos: DataFrame, k: int = 5, min_similarity: float = 0.1) ->
     base = repos.select("repo_id", F.array_sort(F.array_distinct("topics")).alias("topics"),
                         F.array_sort(F.array_distinct("deps")).alias("deps")) \
         .withColumn("sid", _digest(["topics", "deps"]))
+    base = materialize(base)  # what its deps cost is paid once
     sets = base.groupBy("sid").agg(F.first("topics").alias("topics"), F.first("deps").alias("deps"))
     sigs = _members(base, ["sid"], "repo_id", k + 1).join(sets, "sid")
     sigs = materialize(_rarest_first(_rarest_first(sigs, "topics"), "deps").withColumn("tk", F.md5(F.to_json(F.array_sort("topics")))))
     topic_sets = materialize(sigs.select("tk", "topics").dropDuplicates(["tk"]))
     left = sigs.select("sid", "tk", F.col("topics").alias("t1"), F.col("deps").alias("d1"))
-    right = sigs.select(F.col("sid").alias("oid"), "tk", F.col("topics").alias("t2"), F.col("deps").alias("d2"), "members")
-    sim = F.round((jaccard(F.col("t1"), F.col("t2")) + jaccard(F.col("d1"), F.col("d2"))) / 2, 9)
+    right = sigs.select(F.col("sid").alias("oid"), "tk", F.col("topics").alias("t2"), F.col("deps").alias("d2"),
+                        F.get("ids", F.lit(0)).alias("first_id"), "members")
     # copies: a set is as similar to itself as its sides are filled
     filled = (F.when(F.size("t1") > 0, 1.0).otherwise(0.0) + F.when(F.size("d1") > 0, 1.0).otherwise(0.0)) / 2
-    counts = sigs.select("sid", "members")
+    counts = sigs.select("sid", F.get("ids", F.lit(0)).alias("first_id"), "members")
+    # the k + 1 best members are members of the k + 1 best sets by similarity and first member
+    best = Window.partitionBy("sid").orderBy(F.desc("similarity"), "first_id")
 
     def meet(rows: DataFrame, level: float) -> DataFrame:
-        scored = _set_pairs(rows, right, topic_sets, level).join(rows.select("sid", "t1", "d1"), "sid") \
-            .join(right.drop("tk"), "oid").withColumn("similarity", sim).select("sid", "oid", "similarity", "members")
-        own = rows.join(counts, "sid").select("sid", F.col("sid").alias("oid"), filled.alias("similarity"), "members")
-        return scored.unionByName(own).where(F.col("similarity") >= level - EPS)
+        own = rows.join(counts, "sid").select("sid", F.col("sid").alias("oid"), filled.alias("similarity"), "first_id", "members") \
+            .where(F.col("similarity") >= level - EPS)
+        pairs = _both_pairs(rows, right, topic_sets, level) if level > 0.5 else _either_pairs(rows, right, level)
+        return pairs.unionByName(own).withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k + 1).drop("rn", "first_id")
 
     levels = [x for x in REPO_LEVELS if x > min_similarity] + [min_similarity]
     # one more than k, as a repository is its own best

@@ -97,6 +97,30 @@ def test_similar_repos_equal_brute_force(spark):
     assert got == want
 
 
+def test_similar_repos_meet_by_several_tokens(spark, monkeypatch):
+    """Sets over few, evenly common words equal brute force, and no level brings a set more than its best k + 1."""
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(24)]
+    data = [(i, rnd.sample(["ml", "web", "cli"], rnd.randint(1, 2)), rnd.sample(words, rnd.choice([1, 2, 4, 6, 7, 7, 7, 9, 13])))
+            for i in range(400)]
+    want = set()
+    for i, t, d in data:
+        best = sorted((-round((jac(set(t), set(t2)) + jac(set(d), set(d2))) / 2, 9), j) for j, t2, d2 in data if j != i)
+        want |= {(i, j, -s, n) for n, (s, j) in enumerate([b for b in best if -b[0] > 0.1][:5], 1)}
+    made, lowered = [], SIM.lowered
+
+    def counted(rows_, key, levels, k, meet):
+        def one(r, level):
+            out = meet(r, level)
+            made.append(out.groupBy(key).count().agg({"count": "max"}).first()[0] or 0)
+            return out
+        return lowered(rows_, key, levels, k, one)
+    monkeypatch.setattr(SIM, "lowered", counted)
+    df = spark.createDataFrame(data, "repo_id bigint, topics array<string>, deps array<string>")
+    assert set(rows(SIM.similar_repos(df).select("repo_id", "other_id", "similarity", "rank"))) == want
+    assert len(made) > 1 and max(made) <= 6
+
+
 def test_minhash_finds_copies(spark):
     df = spark.createDataFrame([(1, ["a"], ["x", "y"]), (2, ["a"], ["x", "y"]), (3, ["b"], ["z"])],
                                "repo_id bigint, topics array<string>, deps array<string>")
