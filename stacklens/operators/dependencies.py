@@ -8,7 +8,7 @@ import tomllib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stacklens.functions import scalars as S
@@ -187,33 +187,24 @@ def dedup_dependencies(deps: DataFrame) -> DataFrame:
     """One row per (repo, lower-case name), replacing in order of appearance (``ord``, of any type that sorts).
 
     A later row replaces the kept one if it brings a version the kept one lacks, or a GPU flag the
-    kept one lacks. That ordered rule has a closed form, so no group is ever collected: the first
-    row with both wins; otherwise the kept row is the first row of the last run of rows of one
-    kind (version only / GPU only); otherwise the first row. One aggregation with map-side combine
-    decides every package but those whose rows of both single kinds alternate and never have both;
-    only their last runs are looked up, in a second pass over their rows.
+    kept one lacks. So a row replaces if it has either, no earlier row had both, and the last earlier
+    row with either was of another kind; the last row that replaces (or the first row) is kept. Rows
+    are read, shuffled and sorted once, and the windows only look back or to the next row that
+    replaces, so a package of any number of rows is held by no one.
     """
-    key = ["repo_id", "dep_key"]
+    cols = [c for c in deps.columns if c != "repo_id"]
     v, g = S.has_version(F.col("version")), F.coalesce("gpu_required", F.lit(False))
     # kinds: 0 nothing, 1 version only, 2 GPU only, 3 both
     kind = F.when(v, 1).otherwise(0) + F.when(g, 2).otherwise(0)
-    rows = deps.withColumn("dep_key", F.lower("name")).withColumn("kind", kind)
-    cols = [c for c in deps.columns if c != "repo_id"]
-    row = F.struct(*cols)
-    at = lambda k: F.when(F.col("kind") == k, F.col("ord"))
-    better = F.when(F.col("kind") == 3, 0).when(F.col("kind") > 0, 1).otherwise(2)
-    marks = rows.groupBy(*key).agg(
-        F.min_by(row, F.struct(better, "ord")).alias("r"), F.min("ord").alias("first_ord"),
-        F.max(F.col("kind") == 3).alias("both"), F.max(at(1)).alias("version_ord"), F.max(at(2)).alias("gpu_ord"))
-    alternate = ~F.col("both") & F.col("version_ord").isNotNull() & F.col("gpu_ord").isNotNull()
-    ends = marks.where(alternate).select(
-        *key, "first_ord", F.when(F.col("version_ord") > F.col("gpu_ord"), 1).otherwise(2).alias("want"),
-        F.least("version_ord", "gpu_ord").alias("after_ord"))
-    # a difference, not an equality, keeps the kind out of the join key
-    last = (rows.join(ends, key).where((F.col("kind") - F.col("want") == 0) & (F.col("ord") > F.col("after_ord")))
-            .groupBy(*key).agg(F.min_by(row, "ord").alias("r"), F.min("first_ord").alias("first_ord")))
-    best = marks.where(~alternate).select(*key, "r", "first_ord").unionByName(last)
-    return best.select("repo_id", *[F.col("r")[c].alias(c) for c in cols], "first_ord")
+    order = Window.partitionBy("repo_id", "dep_key").orderBy("ord")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    marked = (deps.withColumn("dep_key", F.lower("name")).withColumn("kind", kind)
+              .withColumns({"place": F.row_number().over(order), "most": F.max("kind").over(earlier),
+                            "before": F.last(F.nullif("kind", F.lit(0)), ignorenulls=True).over(earlier),
+                            "first_ord": F.first("ord").over(order.rowsBetween(Window.unboundedPreceding, 0))}))
+    replaces = (F.col("kind") > 0) & (F.col("most") < 3) & (F.coalesce("before", F.lit(0)) != F.col("kind"))
+    kept = marked.where((F.col("place") == 1) | replaces).withColumn("next", F.lead("place").over(order))
+    return kept.where(F.col("next").isNull()).select("repo_id", *cols, "first_ord")
 
 
 def inconsistent_versions(deps: DataFrame) -> DataFrame:

@@ -371,7 +371,7 @@ query("q_validation_plan", " UNION ALL ".join(
        f"SELECT repo_id, {_vt(ST.VALIDATION_TENSORFLOW_GPU)} FROM {_FG} WHERE gpu AND tf",
        """SELECT repo_id, 'import_' || name, 'python -c ''import ' || name || '; print(f"' || name || ' imported successfully")''' FROM (
           SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY first_ord) AS rn FROM v_dedup) WHERE rn <= 5 AND name IN ('torch', 'tensorflow', 'jax')"""]))(
-    lambda c: ST.validation_plan(c.deps, first=5))
+    lambda c: ST.validation_plan(c.stored_deps, first=5))
 
 # -- systems ------------------------------------------------------------------------------------------------------
 _SCORE = "CAST(floor(least(least(cpu_cores * 2.0, 30) + least(memory_gb, 20) + gpu_count * least(gpu_memory * 2, 25), 100)) AS BIGINT)"

@@ -20,6 +20,11 @@ class Context(Bound):
     def deps(self) -> DataFrame:
         return D.dedup_dependencies(self.v_deps)
 
+    @cached_property
+    def stored_deps(self) -> DataFrame:
+        """The dependencies as a written table, for work that reads them more than once."""
+        return materialize(self.deps)
+
     @cached_property
     def systems(self) -> DataFrame:
         return self._with_gpus(self.v_systems)
@@ -39,13 +44,13 @@ class Context(Bound):
 
     @cached_property
     def issues(self) -> DataFrame:
-        return C.detect_issues(self.deps, self.v_deps, self.repo_systems, self.v_repos)
+        return C.detect_issues(self.stored_deps, self.v_deps, self.repo_systems, self.v_repos)
 
     @cached_property
     def core_features(self) -> DataFrame:
         """Repository features without issue counts."""
-        return FE.repository_features(self.repos, self.deps, None,
-                                      C.recommended_cuda(self.deps))
+        return FE.repository_features(self.repos, self.stored_deps, None,
+                                      C.recommended_cuda(self.stored_deps))
 
     @cached_property
     def stored_features(self) -> DataFrame:

@@ -34,7 +34,7 @@ SELECT f.repo_id, 0::BIGINT AS repo_size, f.language, f.has_dockerfile, false AS
   coalesce(i.p, 0) AS python_version_conflicts, f.python_version_required, f.cuda_version_required, 0.0::DOUBLE AS min_memory_gb, f.min_gpu_memory_gb,
   f.is_ml_repo, {_RESEARCH} AS is_research_repo, false AS has_tests, false AS has_ci
 FROM v_features f LEFT JOIN i ON f.repo_id = i.repo_id""")(
-    lambda c: FE.repository_features(c.repos, c.deps, c.issues, _recommended(c)).withColumns(r6("dependency_diversity")))
+    lambda c: FE.repository_features(c.repos, c.stored_deps, c.issues, _recommended(c)).withColumns(r6("dependency_diversity")))
 
 
 def _recommended(c):
@@ -64,7 +64,7 @@ SELECT o.outcome_id, o.repo_id, o.success, o.duration, {ERR8.format(m='o.error_m
   CASE WHEN f.ml_dependencies >= 3 AND f.gpu_dependencies >= 1 THEN 0.8 WHEN f.ml_dependencies >= 2 THEN 0.6 WHEN f.ml_dependencies >= 1 THEN 0.4 ELSE 0.2 END::DOUBLE AS similarity_to_known,
   round(least(least(f.total_dependencies / 50.0, 1.0) * 0.3 + least(coalesce(i.n, 0) / 20.0, 1.0) * 0.3 + CASE WHEN f.gpu_dependencies > 0 THEN 0.2 ELSE 0.0 END + least(f.version_constraints / 20.0, 1.0) * 0.2, 1.0)::DOUBLE, 6) AS complexity_score
 FROM v_outcomes o JOIN v_features f ON o.repo_id = f.repo_id LEFT JOIN i ON o.repo_id = i.repo_id""")(
-    lambda c: FE.learning_features(c.v_outcomes, FE.repository_features(c.repos, c.deps, c.issues)).withColumns(r6("complexity_score")))
+    lambda c: FE.learning_features(c.v_outcomes, FE.repository_features(c.repos, c.stored_deps, c.issues)).withColumns(r6("complexity_score")))
 query("q_dependency_model_features", f"""
 SELECT repo_id, count(*) AS dependency_count, count(*) FILTER (lower(name) IN ('torch', 'tensorflow', 'jax', 'keras')) AS ml_dependencies,
   count(*) FILTER (gpu_required) AS gpu_dependencies, count(*) FILTER (version IS NOT NULL) AS version_constraints, count(*) FILTER (version IS NOT NULL) AS pinned_versions,

@@ -212,3 +212,13 @@ def test_all_responses_of_a_repository_are_merged(spark):
                                  "repo_id bigint, turn int, json_answer string")
     got = {r.repo_id: (r.python_version, r.gpu_required, r.system_requirements) for r in RP.merge_response_findings(readme, said).collect()}
     assert got == {1: ("3.9", True, ["git", "gcc", "make"]), 2: ("3.8", False, [])}
+
+
+def test_dedup_reads_and_shuffles_its_rows_once(spark, tmp_path):
+    df = spark.createDataFrame([(1, 1, "torch", "1.0", False, "python", "s"), (1, 2, "torch", None, True, "python", "s"), (1, 3, "Torch", "2.0", False, "python", "s")],
+                               "repo_id bigint, ord bigint, name string, version string, gpu_required boolean, dep_type string, source string")
+    df.write.parquet(str(tmp_path / "deps"))
+    got = D.dedup_dependencies(spark.read.parquet(str(tmp_path / "deps")))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert [(r.ord, r.first_ord) for r in got.collect()] == [(3, 1)]
