@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stacklens.operators import features as FE
 from stacklens.plans.bindings import with_views
 from stacklens.plans.registry import query
+from stacklens.session import materialize
 from stacklens.streaming import jobs as J
 
 stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
@@ -55,7 +56,8 @@ SELECT agent, arg_max(status, (ts, run_id)) AS status, count(*) AS runs, count(*
 
 
 def _ingest(c):
-    stream = FE.training_records(_view(c, "v_outcomes"), c.core_features, c.system_features)
+    # every batch joins the features: they are computed once
+    stream = FE.training_records(_view(c, "v_outcomes"), c.stored_features, materialize(c.system_features))
     broken = F.when(F.col("record_id") % 17 != 0, F.col("system_features"))
     stored, held = J.stream_training_ingest(stream.withColumn("system_features", broken))
     none = F.lit(None).cast("string")

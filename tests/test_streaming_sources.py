@@ -135,3 +135,18 @@ def test_outcome_upsert_keeps_latest(spark):
     df = spark.createDataFrame([(1, 1, True, "docker", "u", T0), (2, 1, True, "docker", "u", T0 + timedelta(1)), (3, 1, False, "docker", "u", T0)],
                                "outcome_id bigint, repo_id bigint, success boolean, strategy string, url string, ts timestamp")
     assert sorted(rows(TB.current_outcomes(TB.with_solution_id(df)).select("outcome_id"))) == [(2,), (3,)]
+
+
+def test_ingest_computes_features_once(ctx, monkeypatch):
+    from stacklens.plans import stream_queries as SQ
+    seen = []
+
+    def caught(outcomes, features, systems):
+        seen.extend(f for df in (features, systems) for f in df.inputFiles())
+        raise StopIteration
+    monkeypatch.setattr(SQ.FE, "training_records", caught)
+    try:
+        SQ._ingest(ctx)
+    except StopIteration:
+        pass
+    assert seen and not any(t in f for f in seen for t in ("lineitem", "orders", "customer"))
