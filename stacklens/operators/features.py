@@ -113,7 +113,7 @@ def learning_features(outcomes: DataFrame, features: DataFrame) -> DataFrame:
 def training_records(outcomes: DataFrame, features: DataFrame, systems: DataFrame) -> DataFrame:
     """One nested record per outcome: repository, system and resolution features and the result.
 
-    ``systems`` are system features with a ``repo_id``.
+    ``systems`` are system features with a ``repo_id``. Both sides grow with the repositories, so neither is broadcast.
     """
     repo_cols = [c for c in features.columns if c != "repo_id"]
     sys_cols = [c for c in systems.columns if c not in ("repo_id", "system_id")]
@@ -121,7 +121,7 @@ def training_records(outcomes: DataFrame, features: DataFrame, systems: DataFram
     sf = systems.select("repo_id", F.struct(*sys_cols).alias("system_features"))
     err = S.categorize_error(F.col("error_message"))
     gpu_support = F.col("strategy").isin("docker") & (F.col("repository_features.gpu_dependencies") > 0)
-    return (outcomes.join(rf, "repo_id").join(sf, "repo_id").select(
+    return (outcomes.join(rf.hint("merge"), "repo_id").join(sf.hint("merge"), "repo_id").select(
         F.col("outcome_id").alias("record_id"), "repo_id", "ts", "repository_features",
         "system_features",
         F.struct(F.col("strategy").alias("strategy_type"), F.col("setup_time"),

@@ -115,11 +115,12 @@ def case_pairs(left: DataFrame, right: DataFrame, level: float) -> DataFrame:
 
 
 def similar_cases(queries: DataFrame, records: DataFrame, k: int = 10,
-                  min_similarity: float = 0.3) -> DataFrame:
+                  min_similarity: float = 0.3, carry: list[str] | None = None) -> DataFrame:
     """The ``k`` most similar records above ``min_similarity`` for each query.
 
     ``queries`` has query_id and the six case features; ``records`` has record_id and the same
-    features. Ties go to the smaller record_id. Returns query_id, record_id, similarity, rank.
+    features. Ties go to the smaller record_id. Returns query_id, record_id, similarity, rank and the columns
+    ``carry`` of the records, which join each profile's few cases, before its queries multiply them.
     """
     feats = CASE_FEATURES
     norm = lambda df, i: df.select(i, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in feats])
@@ -134,10 +135,14 @@ def similar_cases(queries: DataFrame, records: DataFrame, k: int = 10,
     rank = Window.partitionBy("qid").orderBy(F.desc("similarity"), "record_id")
     top = found.join(pr.select("rid", "ids"), "rid").select("qid", "similarity", F.explode("ids").alias("record_id")) \
         .withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+    carry = carry or []
+    if carry:
+        top = top.join(records.select("record_id", *carry).hint("merge"), "record_id")
     lists = top.groupBy("qid").agg(F.array_sort(F.collect_list(
-        F.struct("rank", "record_id", "similarity"))).alias("cases"))
-    return (q.select("query_id", "qid").join(lists, "qid").select("query_id", F.explode("cases").alias("c"))
-            .select("query_id", "c.record_id", "c.similarity", F.col("c.rank").cast("bigint").alias("rank")))
+        F.struct("rank", "record_id", "similarity", *carry))).alias("cases"))
+    # queries and records grow with the input, however small their files are: neither is broadcast
+    return (q.select("query_id", "qid").hint("merge").join(lists, "qid").select("query_id", F.explode("cases").alias("c"))
+            .select("query_id", "c.record_id", "c.similarity", F.col("c.rank").cast("bigint").alias("rank"), *(f"c.{x}" for x in carry)))
 
 
 # -- similar repositories ----------------------------------------------------------------------------

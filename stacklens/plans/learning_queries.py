@@ -406,8 +406,7 @@ def _records_flat(records, ok: bool):
 def _cases(c, ok: bool = True, k: int = 10, bound: float = 0.3):
     records = FE.training_records(c.v_outcomes, c.stored_features, c.system_features)
     rec = materialize(_records_flat(records, ok))
-    cases = SIM.similar_cases(c.stored_features.withColumnRenamed("repo_id", "query_id"), rec, k, bound)
-    return cases.join(rec.select("record_id", "strategy", "success"), "record_id")
+    return SIM.similar_cases(c.stored_features.withColumnRenamed("repo_id", "query_id"), rec, k, bound, ["strategy", "success"])
 
 
 query("q_similar_cases", f"WITH {_case_sql('success', 10, 0.3)} SELECT query_id, record_id, round(similarity, 6) AS similarity, rank, strategy FROM cases")(

@@ -1,6 +1,8 @@
 import random
+import re
 
 from conftest import rows
+from pyspark.sql import functions as F
 
 from stacklens.operators import similarity as SIM
 from stacklens.rules import fixed as R
@@ -34,6 +36,17 @@ def test_similar_cases_equal_brute_force(spark):
         assert got == want
 
 
+def test_cases_carry_columns_and_no_large_side_is_broadcast(spark):
+    """Few profiles, many copies: written small, they were taken for a small side and sent to the driver whole."""
+    feats = [F.lit(1.0).alias(f) if f != "total_dependencies" else (F.col("id") % 5).cast("double").alias(f) for f in R.CASE_WEIGHTS]
+    df = spark.range(2000).select(F.col("id").alias("record_id"), F.concat(F.lit("s"), F.col("id") % 7).alias("strategy"), *feats)
+    got = SIM.similar_cases(df.withColumnRenamed("record_id", "query_id"), df, 3, 0.3, ["strategy"])
+    assert {(q, r, s) for q, r, s in rows(got.select("query_id", "record_id", "strategy"))} \
+        == {(q, q % 5 + 5 * n, f"s{(q % 5 + 5 * n) % 7}") for q in range(2000) for n in range(3)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"\w+Join \[qid", plan).group() == "SortMergeJoin [qid"  # the first is that of the queries
+
+
 def test_scale_bounds_similarity():
     import math
     g = lambda v: math.copysign(abs(v) if abs(v) < 1 else 1 + math.log(abs(v)), v)
