@@ -263,7 +263,7 @@ def adaptive_recommendations(base: DataFrame, cases: DataFrame, trained: Trained
     from stacklens.operators.patterns import match_patterns
     from stacklens.operators.strategies import merge_recommendations
 
-    scores = score_strategies(cases, trained)
+    scores = materialize(score_strategies(cases, trained).drop("reasoning"))  # read twice: scored once
     merged = merge_recommendations(base, scores)
     ml = scores.where("rank <= 3").groupBy("repo_id").agg(F.avg("success_probability").alias("ml_confidence"))
     open_cases = cases if "resolution_features" in cases.columns else cases.withColumn(

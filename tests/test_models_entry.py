@@ -72,3 +72,14 @@ def test_only_metrics_train_the_folds(spark, monkeypatch):
     t = M.train_strategy_model(df, trees=3, folds=2)
     assert M.confusion_matrix(t).agg(F.sum("n")).first()[0] == 20 and len(fits) == 1
     assert 0 <= t.metrics["cv_mean"] <= 1 and t.metrics["test_accuracy"] > 0.9 and len(fits) == 3
+
+
+def test_records_and_cases_read_the_features_once_computed(ctx, monkeypatch):
+    from stacklens.operators import features as FE
+    from stacklens.plans.context import Context
+    from stacklens.plans.model_queries import _cases
+    made, make = [], FE.repository_features
+    monkeypatch.setattr(FE, "repository_features", lambda *a: made.append(1) or make(*a))
+    c = Context(ctx.spark, SF)
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (c.stored_records, _cases(c))]
+    assert len(made) == 1 and not any("lineitem" in p or "l_quantity" in p for p in plans)
