@@ -6,19 +6,16 @@ a restarted batch leaves no duplicates. Checkpoints and tables live in the share
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from stacklens.functions import scalars as S
 from stacklens.operators import quality as Q
-from stacklens.operators.outcomes import decayed, half_life_average
+from stacklens.operators.outcomes import cache_stores, decayed, half_life_average
 from stacklens.rules import fixed as R
-from stacklens.session import shared_dir
+from stacklens.session import materialize, shared_dir
 
 
 def file_batches(df: DataFrame, n: int, late_minutes: int, key: str) -> tuple[str, int]:
@@ -139,62 +136,47 @@ def stream_sessions(events: DataFrame, key: str, gap: str = "30 minutes", latene
 
 
 # -- cache -------------------------------------------------------------------------------------------------
-class TtlCache(StatefulProcessor):
-    """Marks each request of a key as fetch or hit, in event-time order.
+def stream_ttl_cache(requests: DataFrame, ttl_seconds: int = R.CACHE_TTL_SECONDS, lateness: str = "1 hour") -> DataFrame:
+    """Requests up to the final watermark with ``fetched``: true on a miss, false on a hit.
 
-    Rows wait in state until the watermark has passed them: batches need not arrive in order. The
-    store time, not the last hit, starts the time to live.
+    Batches need not arrive in order: the watermark is the latest time so far less ``lateness``; rows that come behind
+    it are dropped, and rows ahead of it wait. A batch marks the rows that its watermark has passed, all keys in one
+    join. The store time, not the last hit, starts the time to live. The state of a batch is a folder of waiting rows
+    and one of the stores that can still serve, which are those of the last time to live; a key's earlier stores go.
     """
+    spark, ttl = requests.sparkSession, ttl_seconds * 1_000_000
+    late_us = spark.range(1).select(F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"interval {lateness}"))).first()[0]
 
-    def __init__(self, ttl_us: int):
-        self.ttl_us = ttl_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.store = handle.getValueState("store", "store_us bigint")
-        self.waiting = handle.getListState("waiting", "t bigint, request_id bigint")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(t), int(i)) for pdf in rows for t, i in zip(pdf["t"], pdf["request_id"])]
-        if new:
-            self.waiting.appendList(new)
-            self.handle.registerTimer(min(t for t, _ in new) // 1000 + 1)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        limit = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(tuple(r) for r in self.waiting.get())
-        due, later = [r for r in rows if r[0] <= limit], [r for r in rows if r[0] > limit]
-        store = self.store.get()[0] if self.store.exists() else None
-        out = []
-        for t, i in due:
-            fetch = store is None or t - store >= self.ttl_us
-            store = t if fetch else store
-            out.append((key[0], i, t, fetch))
-        if store is not None:
-            self.store.update((store,))
-        self.waiting.clear()
-        if later:
-            self.waiting.put(later)
-            self.handle.registerTimer(later[0][0] // 1000 + 1)
-        if out:
-            yield pd.DataFrame(out, columns=["cache_key", "request_id", "t", "fetched"])
-
-    def close(self) -> None:
-        pass
-
+    def mark(batch: DataFrame, batch_id: int, table: str) -> None:
+        folder = lambda name, n: f"{table}_{name}/batch_id={n}"
+        waiting, stores, before = batch.withColumn("t", F.unix_micros("ts")), None, None
+        if batch_id > 0:
+            stores = spark.read.parquet(folder("stores", batch_id - 1))
+            before = spark.read.parquet(folder("limit", batch_id - 1)).first()[0]
+            if before is not None:
+                waiting = waiting.where(F.col("t") >= before)
+            waiting = waiting.unionByName(spark.read.parquet(folder("waiting", batch_id - 1)))
+        newest = batch.agg(F.max(F.unix_millis("ts"))).first()[0]
+        passed = [x for x in (before, None if newest is None else newest * 1000 - late_us) if x is not None]
+        limit = max(passed, default=None)
+        due = F.col("t") < limit if passed else F.lit(False)
+        now = waiting.where(due)
+        carried = now.select("cache_key", "ts") if stores is None else now.select("cache_key", "ts").unionByName(
+            stores.select("cache_key", F.timestamp_micros("t").alias("ts")))
+        # a carried store comes before all rows that are due: it is its key's first, and counts as stored already
+        found = materialize(cache_stores(carried, ttl_seconds))
+        at = found.select("cache_key", F.col("store_us").alias("t"), F.lit(True).alias("stored"))
+        first = now.groupBy("cache_key", "t").agg(F.min("request_id").alias("first_id"))
+        fetches = first.join(at, ["cache_key", "t"]).select("cache_key", "t", F.col("first_id").alias("request_id"), "stored")
+        now.join(fetches, ["cache_key", "t", "request_id"], "left").select(
+            "cache_key", "request_id", "t", F.coalesce("stored", F.lit(False)).alias("fetched")) \
+            .write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        waiting.where(~due).write.mode("overwrite").parquet(folder("waiting", batch_id))
+        found.where(F.col("store_us") > limit - ttl if passed else F.lit(False)).groupBy("cache_key").agg(F.max("store_us").alias("t")) \
+            .write.mode("overwrite").parquet(folder("stores", batch_id))
+        spark.range(1).select(F.lit(limit).cast("bigint").alias("limit_us")).write.mode("overwrite").parquet(folder("limit", batch_id))
 
-def stream_ttl_cache(requests: DataFrame, ttl_seconds: int = R.CACHE_TTL_SECONDS, lateness: str = "1 hour") -> DataFrame:
-    """Requests up to the final watermark with ``fetched``: true on a miss, false on a hit."""
-    rows = requests.withWatermark("ts", lateness).select("cache_key", "request_id", "ts", F.unix_micros("ts").alias("t"))
-    out = T.StructType([T.StructField("cache_key", T.StringType()), T.StructField("request_id", T.LongType()),
-                        T.StructField("t", T.LongType()), T.StructField("fetched", T.BooleanType())])
-    marked = rows.groupBy("cache_key").transformWithStateInPandas(
-        statefulProcessor=TtlCache(ttl_seconds * 1_000_000), outputStructType=out, outputMode="Append",
-        timeMode="EventTime")
-    return drain(marked, "append", settings={
-        "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}).drop("batch_id")
+    return drain(requests.select("cache_key", "request_id", "ts"), "append", mark).drop("batch_id")
 
 
 def ttl_fetches(marked: DataFrame) -> DataFrame:

@@ -95,6 +95,18 @@ def test_ttl_stream_is_right_for_out_of_order_files(spark, events):
     assert sorted(rows(got.select("cache_key", "t").distinct())) == sorted(rows(want))
 
 
+def test_ttl_stream_waits_at_the_watermark_and_carries_stores(spark):
+    """A row at the watermark itself still waits, as in SQL; a store of an earlier batch serves a later one."""
+    at = lambda i, key, minutes: (i, key, T0 + timedelta(minutes=minutes))
+    path, schema = shared_dir(spark), "request_id bigint, cache_key string, ts timestamp"
+    for n, data in enumerate([[at(1, "a", 0), at(2, "a", 10), at(3, "b", 70)], [at(4, "a", 65), at(5, "a", 12), at(6, "b", 75), at(7, "a", 5)], [at(8, "b", 135)]]):
+        spark.createDataFrame(data, schema).coalesce(1).write.parquet(f"{path}/{n}")
+        got = J.stream_ttl_cache(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path))
+        # 7 comes behind the watermark
+        assert sorted(rows(got.select("request_id", "fetched"))) == [
+            [(1, True)], [(1, True), (2, False), (5, False)], [(1, True), (2, False), (3, True), (4, True), (5, False)]][n]
+
+
 def test_ewma_stream_single_batch_equals_batch(spark, events):
     df = events[1].withColumnRenamed("request_id", "outcome_id")
     path = shared_dir(spark)
