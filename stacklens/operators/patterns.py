@@ -261,6 +261,7 @@ def frequent_sets(sets: DataFrame, min_support: float = 0.1) -> DataFrame:
     prefix and its later items are one row from then on, and prefixes that have become rare go. So a round works
     on (prefix, rest) rows with counts, whatever the number of baskets, and no set is a task of its own.
     """
+    sets = materialize(sets)  # read four times; what the baskets cost is paid once
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # baskets without items count as well
     sets = sets.where(F.size("items") > 0).select(F.array_sort(F.array_distinct("items")).alias("items"), "n") \
         .groupBy("items").agg(F.sum("n").alias("n"))

@@ -3,6 +3,7 @@ import random
 from itertools import combinations
 
 from conftest import rows
+from pyspark.sql import functions as F
 
 from stacklens.operators import patterns as P
 
@@ -21,6 +22,16 @@ def lattice(baskets, support):
     return {c: n for c, n in counts.items() if n >= least}, total
 
 
+def test_baskets_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def basket(i):
+        seen.add(1)
+        return ["abc"[i % 3], "xy"[i % 2]]
+    sets = spark.range(60).select(F.udf(basket, "array<string>")("id").alias("items"), F.lit(1).cast("bigint").alias("n"))
+    assert P.frequent_sets(sets, 0.1).count() == 11 and seen.value == 60
+
+
 def test_frequent_sets_of_random_baskets(spark):
     rnd = random.Random(11)
     words = [f"w{i}" for i in range(14)]
