@@ -104,7 +104,21 @@ def _evaluate(predictions: DataFrame) -> dict:
     return {"accuracy": ev("accuracy"), "f1": ev("f1")}
 
 
-def _train(data: DataFrame, columns: list[str], id_col: str, stage, folds: int = 0) -> Trained:
+def _fit_counted(train: DataFrame, columns: list[str], stage) -> PipelineModel:
+    """``stage`` fitted on each distinct row once, weighted by its copies; the scales are those of all rows.
+
+    A booster reads its rows once per round and level, so rows that many repositories share are read as one.
+    """
+    prepared = Pipeline(stages=_prepare(columns)).fit(train)
+    distinct = materialize(train.groupBy("label", *columns).agg(F.count("*").cast("double").alias("copies")))
+    return PipelineModel([*prepared.stages, stage.copy({stage.weightCol: "copies"}).fit(prepared.transform(distinct))])
+
+
+def _prepare(columns: list[str]) -> list:
+    return [VectorAssembler(inputCols=columns, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
+
+
+def _train(data: DataFrame, columns: list[str], id_col: str, stage, folds: int = 0, counted: bool = False) -> Trained:
     rows = data.limit(MIN_ROWS).count()
     if rows < MIN_ROWS:
         raise ValueError(f"insufficient training data: {rows} rows")
@@ -112,10 +126,10 @@ def _train(data: DataFrame, columns: list[str], id_col: str, stage, folds: int =
     marked = materialize(split(data, id_col, folds=max(folds, 1)))
     train, test = marked.where("train"), marked.where("NOT train")
     train = _balanced(train) if stage.hasParam("weightCol") and stage.isSet("weightCol") else train
-    pipeline = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="raw"),
-                                StandardScaler(inputCol="raw", outputCol="features", withMean=True), stage])
+    fit = (lambda rows: _fit_counted(rows, columns, stage)) if counted else Pipeline(stages=[*_prepare(columns), stage]).fit
+
     def score(fold: int) -> float:
-        fitted = pipeline.fit(train.where(F.col("fold") != fold))
+        fitted = fit(train.where(F.col("fold") != fold))
         return _evaluate(fitted.transform(train.where(F.col("fold") == fold)))["accuracy"]
 
     def measure(held: DataFrame) -> dict:
@@ -126,7 +140,7 @@ def _train(data: DataFrame, columns: list[str], id_col: str, stage, folds: int =
         cv = {"cv_mean": statistics.fmean(scores), "cv_std": statistics.pstdev(scores)} if scores else {}
         return {**cv, **{f"test_{k}": v for k, v in _evaluate(held).items()}, "feature_count": len(columns)}
 
-    return Trained(pipeline.fit(train), columns, measure, test.select(id_col, "label", *columns))
+    return Trained(fit(train), columns, measure, test.select(id_col, "label", *columns))
 
 
 # -- strategy success ------------------------------------------------------------------------------------
@@ -197,7 +211,7 @@ def conflict_training_data(deps: DataFrame, issues: DataFrame) -> DataFrame:
 
 def train_conflict_model(deps: DataFrame, issues: DataFrame, rounds: int = 100) -> Trained:
     gbt = GBTClassifier(maxIter=rounds, maxDepth=6, stepSize=0.1, seed=SEED, labelCol="label", featuresCol="features")
-    return _train(conflict_training_data(deps, issues), CONFLICT_FEATURES, "repo_id", gbt)
+    return _train(conflict_training_data(deps, issues), CONFLICT_FEATURES, "repo_id", gbt, counted=True)  # few counts, many copies
 
 
 def predict_conflicts(deps: DataFrame, trained: Trained) -> DataFrame:

@@ -83,3 +83,18 @@ def test_records_and_cases_read_the_features_once_computed(ctx, monkeypatch):
     c = Context(ctx.spark, SF)
     plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (c.stored_records, _cases(c))]
     assert len(made) == 1 and not any("lineitem" in p or "l_quantity" in p for p in plans)
+
+
+def test_conflict_model_reads_copies_as_one_row(spark, monkeypatch):
+    data = [(i, "torch" if i % 2 else "flask", None if i % 3 else "1.0", i % 4 == 1) for i in range(1200)]
+    deps = spark.createDataFrame(data, "repo_id bigint, name string, version string, gpu_required boolean")
+    issues = spark.createDataFrame([(i, "version") for i in range(1200) if i % 2 and i % 3 == 0], "repo_id bigint, type string")
+    seen, fit = [], M.GBTClassifier._fit
+    monkeypatch.setattr(M.GBTClassifier, "_fit", lambda self, df: seen.append(df.count()) or fit(self, df))
+    t = M.train_conflict_model(deps, issues, rounds=4)
+    stage = t.model.stages[-1]
+    rows_of = M.conflict_training_data(deps, issues)
+    plain = M.Pipeline(stages=[*M._prepare(M.CONFLICT_FEATURES), M.GBTClassifier(maxIter=4, maxDepth=6, stepSize=0.1, seed=M.SEED, labelCol="label")]).fit(
+        M.split(rows_of, "repo_id", folds=1).where("train"))
+    p = lambda model: {r["repo_id"]: round(r["probability"][1], 9) for r in model.transform(rows_of).collect()}
+    assert seen[0] <= 8 and seen[1] == 960 and stage.getNumTrees == 4 and p(t.model) == p(plain)
