@@ -5,11 +5,12 @@ unique. Each of ``SKETCHES`` hash functions picks the ``PICKED`` smallest, and t
 one bucket key. Texts with few edits between them share keys; the same words in another order do not.
 
 Candidates: texts that are equal are one entry. In a bucket all entries meet a leader (the smallest by a hash
-of its own); those that match it, and the leader, are done there. While two or more remain, they meet further
-leaders, 16 and then 64 at a time, until none remain: a group of n near copies costs n comparisons in a bucket
-and not n squared. Bucket keys of different hash functions have different leaders. Matching is not transitive, so
-at the end all entries of a bucket meet that these links leave in different classes and that have not met yet;
-entries of one class need not. So the classes are those of all matches between entries that share a bucket.
+of its own); those that match it, and the leader, are done there, and where two or more remain, these meet 16
+further leaders: a group of n near copies costs n comparisons in a bucket and not n squared. Bucket keys of different
+hash functions have different leaders. Matching is not transitive, so at the end all entries of a bucket are held
+against those that these links leave in different classes and that have not met yet; entries of one class need not.
+They are compared in blocks by how often words occur in them, in ``BAG`` hashed counts, which no match fails, and only
+those that pass are joined. So the classes are those of all matches between entries that share a bucket.
 
 Verification: the longest common subsequence of the two texts' words, within the band that a match can use,
 over the longer text's words, must be ``SIMILAR`` or more. It reads the whole texts. Classes are the connected
@@ -33,9 +34,11 @@ from stacklens.llm.common import materialize, texts, unused
 from stacklens.llm.words import chunks, count_of, hashed_counts, mix, words
 
 K, SKETCHES, PICKED, SIMILAR = 5, 24, 4, (4, 5)
-LEADERS = (1, 16, 64)
-#: Rows of a bucket that meet in one group when classes are compared.
+LEADERS = (1, 16)
+#: Rows of a bucket, on each side, that meet in one group when classes are compared.
 BUCKET_BLOCK = 1024
+#: Hashed counts of a text's words.
+BAG = 1024
 SLOTS = 1 << 22
 
 
@@ -173,28 +176,83 @@ def _close(n: str, m: str):
     return (F.col(n) * den >= F.col(m) * num) & (F.col(m) * den >= F.col(n) * num)
 
 
-def _across(rows: DataFrame, found: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs (copy, leader) of ``rows`` (key, copy, n) that share a key, are in different classes by the links
-    found and are not among those tried."""
-    labels = components(found, "copy", "leader").withColumnRenamed("node", "copy")
-    rows = materialize(rows.join(labels, "copy", "left").withColumn("label", F.coalesce("label", "copy")))
+def _bags(held: DataFrame) -> DataFrame:
+    """(copy, bag): how many words of each text fall into each of BAG slots, up to 255 a slot."""
+
+    def run(batches):
+        for b in batches:
+            for row0, last, data, starts in chunks(b.column(1)):
+                at, h = words(data, starts)
+                doc = np.searchsorted(starts, at, side="right") - 1
+                slot = (mix(h, 5) % np.uint64(BAG)).astype(np.int64)
+                for first in range(0, last - row0, 1024):
+                    few = min(1024, last - row0 - first)
+                    own = slice(*np.searchsorted(doc, [first, first + few]))
+                    n = np.bincount((doc[own] - first) * BAG + slot[own], minlength=few * BAG)
+                    bags = np.minimum(n, 255).astype(np.uint8).reshape(few, BAG)
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(row0 + first, few), pa.array([x.tobytes() for x in bags], pa.binary())],
+                                                     ["copy", "bag"])
+
+    return held.mapInArrow(run, "copy binary, bag binary")
+
+
+def _may_match(t: pa.Table) -> pa.Table:
+    """Pairs of a bucket's block, in different classes, whose lengths and words still allow a match: two texts have at
+    most as many words in common as the lesser of their counts in each slot, and of what the slots do not hold."""
+    num, den = SIMILAR
+    column = lambda c: t[c].combine_chunks()
+    n, few = column("n").to_numpy().astype(np.int64), column("few").to_numpy(zero_copy_only=False)
+    bags = np.frombuffer(b"".join(column("bag").to_pylist()), np.uint8).reshape(-1, BAG)
+    over = n - bags.sum(axis=1, dtype=np.int64)
+    both = column("label").to_pylist() + column("main").to_pylist()[:1]
+    ranks = np.unique(np.array(both, "S16"), return_inverse=True)[1]  # of 16 bytes each
+    label, main = ranks[:-1], ranks[-1]
+    every = np.flatnonzero(~few)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in np.flatnonzero(few):
+        other = label[every]
+        j = every[(other != label[i]) & ((other == main) | (label[i] < other)) & (n[i] * den >= n[every] * num) & (n[every] * den >= n[i] * num)]
+        most = np.minimum(bags[i], bags[j]).sum(axis=1, dtype=np.int64) + np.minimum(over[i], over[j])
+        j = j[most * den >= np.maximum(n[i], n[j]) * num]
+        left.append(np.full(len(j), i))
+        right.append(j)
+    take = lambda at: column("copy").take(pa.array(np.concatenate(at)))
+    return pa.table({"copy": take(left), "leader": take(right)})
+
+
+def _across(rows: DataFrame, labels: DataFrame, tried: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs (copy, leader) of ``rows`` (key, copy, n) that share a key, are in different classes by the labels,
+    may match and are not among those tried."""
+    rows = materialize(rows.join(labels.withColumnRenamed("node", "copy"), "copy", "left").withColumn("label", F.coalesce("label", "copy")))
     # in a bucket, the largest class meets the others and not itself
     mixed = (rows.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key")
              .agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels"), F.sum("c").alias("c"))
              .where("labels > 1").select("key", "main", F.ceil(F.col("c") / BUCKET_BLOCK).cast("int").alias("blocks")))
     rows = materialize(rows.join(mixed, "key"))
-    few = (rows.where(F.col("label") != F.col("main"))
-           .select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "main", "copy", "n", "label"))
-    every = rows.select("key", F.pmod(F.xxhash64("copy"), F.col("blocks")).cast("int").alias("block"),
-                        F.col("copy").alias("leader"), F.col("n").alias("m"), F.col("label").alias("other"))
-    met = few.join(every, ["key", "block"]).where(
-        _close("n", "m") & (F.col("label") != F.col("other")) & ((F.col("other") == F.col("main")) | (F.col("label") < F.col("other"))))
+    bags = _bags(held.join(rows.select("copy").distinct(), "copy", "left_semi"))
+    own = F.pmod(F.xxhash64("copy"), F.col("blocks")).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    few = rows.where(F.col("label") != F.col("main")).select("*", own.alias("a"), each.alias("b"), F.lit(True).alias("few"))
+    every = rows.select("*", each.alias("a"), own.alias("b"), F.lit(False).alias("few"))
+    met = (few.unionByName(every).join(bags, "copy").groupBy("key", "a", "b")
+           .applyInArrow(_may_match, "copy binary, leader binary"))
     one_way = [F.least("copy", "leader").alias("copy"), F.greatest("copy", "leader").alias("leader")]
     return met.select(*one_way).distinct().join(tried.select(*one_way).distinct(), ["copy", "leader"], "left_anti")
 
 
-def matches(docs: DataFrame) -> DataFrame:
-    """Pairs (copy, leader) of different texts that match, enough to connect every class; ``docs``: copy, text."""
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, label) of the labels' links and of these (copy, leader) together."""
+    of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
+    ends = (links.join(of("copy"), "copy", "left").join(of("leader"), "leader", "left")
+            .select(F.coalesce("copy_label", "copy").alias("u"), F.coalesce("leader_label", "leader").alias("v")))
+    more = components(ends, "u", "v")
+    new = more.select(F.col("node").alias("label"), F.col("label").alias("new"))
+    return (labels.join(new, "label", "left").select("node", F.coalesce("new", "label").alias("label"))
+            .unionByName(more.join(labels, "node", "left_anti")))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """(node, label) of the different texts that have a match: the text and the least of its class; ``docs``: copy, text."""
 
     def run(batches):
         for b in batches:
@@ -209,11 +267,12 @@ def matches(docs: DataFrame) -> DataFrame:
     rows = entries.select("copy", "n", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     in_buckets = left = materialize(rows.join(shared, "key", "left_semi"))
-    found, tried, turn = None, None, 0
+    found, tried = None, None
     held = _held(docs, left.select("copy").distinct())
-    while not left.isEmpty():
-        picked = [F.min(F.struct(F.xxhash64("key", "copy", F.lit(turn * 100 + j)).alias("h"), "copy", "n")).alias(f"l{j}")
-                  for j in range(LEADERS[min(turn, len(LEADERS) - 1)])]
+    for turn, leaders in enumerate(LEADERS):
+        if left.isEmpty():
+            break
+        picked = [F.min(F.struct(F.xxhash64("key", "copy", F.lit(turn * 100 + j)).alias("h"), "copy", "n")).alias(f"l{j}") for j in range(leaders)]
         lead = (left.groupBy("key").agg(F.count("*").alias("c"), *picked).where("c > 1")
                 .select("key", F.explode(F.array_distinct(F.transform(
                     F.array(*(f"l{j}" for j in range(len(picked)))), lambda x: F.struct(x["copy"].alias("leader"), x["n"].alias("m"))))).alias("l"))
@@ -223,14 +282,16 @@ def matches(docs: DataFrame) -> DataFrame:
         ok = materialize(_verified(held, pairs))
         found = ok if found is None else found.unionByName(ok)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        done = met.where("own").select("key", "copy").unionByName(met.join(ok, ["copy", "leader"]).select("key", "copy")).distinct()
-        # a bucket without leaders had one entry left; its rows are done as well
-        open_keys = lead.select("key").distinct()
-        left = materialize(left.join(open_keys, "key", "left_semi").join(done, ["key", "copy"], "left_anti"))
-        turn += 1
+        if turn + 1 < len(LEADERS):
+            done = met.where("own").select("key", "copy").unionByName(met.join(ok, ["copy", "leader"]).select("key", "copy")).distinct()
+            # a bucket without leaders had one entry left; its rows are done as well
+            open_keys = lead.select("key").distinct()
+            left = materialize(left.join(open_keys, "key", "left_semi").join(done, ["key", "copy"], "left_anti"))
     if found is None:
-        return entries.select("copy", F.col("copy").alias("leader")).limit(0)
-    return found.unionByName(_verified(held, _across(in_buckets, found, tried)))
+        return entries.select(F.col("copy").alias("node"), F.col("copy").alias("label")).limit(0)
+    labels = components(found, "copy", "leader")
+    late = materialize(_verified(held, _across(in_buckets, labels, tried, held)))
+    return labels if late.isEmpty() else _merged(labels, late)
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -258,7 +319,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, copy (a digest of the text), class_id (the smallest id of the class), class_size, and ``first``
     (whether id and text are those of the class's first row) of every row."""
     d = texts(docs, id_col, text_col).withColumn("copy", F.unhex(F.md5("text")))
-    links = components(matches(d), "copy", "leader").withColumnRenamed("node", "copy")
+    links = classes(d).withColumnRenamed("node", "copy")
     member = d.select("doc_id", "copy", F.col("text").rlike(HAS_WORD).alias("some")).join(links, "copy", "left")
     member = member.withColumn("label", F.coalesce("label", "copy"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "copy"))

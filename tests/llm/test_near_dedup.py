@@ -94,3 +94,28 @@ def test_odd_rows(spark, odd):
     kept = N.first_of_each(odd).collect()
     assert sorted(str(r.doc_id) for r in kept) == sorted(["None", "1", "2", "3", "4", "6", "7", "8", "9"]) and kept[0].__fields__ == odd.columns
     assert N.op6_near_dedup(odd.limit(0)).count() == 0 == N.first_of_each(odd.limit(0)).count()
+
+
+def test_classes_of_a_bucket_meet_only_where_their_words_allow_a_match(spark):
+    """Texts around one centre that are no copies of each other shared a bucket and all met; now none of them do."""
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    centre = [rng.choice(vocabulary) for _ in range(200)]
+    star = [centre + [rng.choice(vocabulary) for _ in range(90)] for _ in range(60)]
+    close = [_edited(rng, centre, rng.random() * 0.4, vocabulary) for _ in range(60)] + [["again"] * 700 + centre, ["again"] * 700 + centre[:150]]
+    texts = {f"{i:016d}".encode(): w for i, w in enumerate(star + close)}
+    copies = list(texts)
+    held = spark.createDataFrame([(bytearray(c), " ".join(w)) for c, w in texts.items()], "copy binary, text string")
+    rows = spark.createDataFrame([(1, bytearray(c), len(w)) for c, w in texts.items()], "key long, copy binary, n int")
+    labels = spark.createDataFrame([(bytearray(copies[60]), bytearray(copies[60])), (bytearray(copies[61]), bytearray(copies[60]))], "node binary, label binary")
+    tried = spark.createDataFrame([(bytearray(copies[70]), bytearray(copies[80]))], "copy binary, leader binary")
+    for block in (1024, 16):
+        whole, N.BUCKET_BLOCK = N.BUCKET_BLOCK, block
+        try:
+            met = {tuple(sorted((bytes(r.copy), bytes(r.leader)))) for r in N._across(rows, labels, tried, held).collect()}
+        finally:
+            N.BUCKET_BLOCK = whole
+        skipped = {(copies[60], copies[61]), (copies[70], copies[80])}
+        want = {(a, b) for i, a in enumerate(copies) for b in copies[i + 1:] if N.aligned(texts[a], texts[b])} - skipped
+        assert want <= met and not met & skipped and len(want) > 100
+        assert not any(a in copies[:60] and b in copies[:60] for a, b in met)
