@@ -119,3 +119,20 @@ def test_classes_of_a_bucket_meet_only_where_their_words_allow_a_match(spark):
         want = {(a, b) for i, a in enumerate(copies) for b in copies[i + 1:] if N.aligned(texts[a], texts[b])} - skipped
         assert want <= met and not met & skipped and len(want) > 100
         assert not any(a in copies[:60] and b in copies[:60] for a, b in met)
+
+
+def test_components_read_each_link_a_few_times_only(spark, monkeypatch):
+    """A long chain beside a dense group: all links were read in every turn until the chain was done."""
+    links = [(i, i + 1) for i in range(1000, 1200)] + [(i, j) for i in range(60) for j in range(i + 1, 60)] + [(7000, 7000), (7002, 7001)]
+    written = []
+
+    def count(df):
+        written.append(df := whole(df))
+        return df
+    whole = N.materialize
+    monkeypatch.setattr(N, "materialize", count)
+    got = {r.node: r.label for r in N.components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
+    want = {i: 1000 for i in range(1000, 1201)} | {i: 0 for i in range(60)} | {7000: 7000, 7001: 7001, 7002: 7001}
+    assert got == want
+    edges = [df.count() for df in written if df.columns == ["u", "v"]]
+    assert edges[0] == len(links) and sum(edges[1:]) < len(links)
