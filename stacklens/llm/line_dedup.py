@@ -9,9 +9,9 @@ one id by a hash of the text) has a Jaccard similarity of ``4 / 5`` or more with
    share one of (prefix filter). Tokens that occur once in all texts cannot be shared and are left out.
 3. Equal sets are one entry, at its first line. Entries with a prefix token in common meet if their sizes
    (length filter), the number and the places of the tokens shared (positional filter) and 64-bit signatures
-   of the whole sets still allow the threshold. Entries of a token with few of them meet at once. Where a token has many, all meet its earliest
-   entry first, which settles groups of near copies without pairs among them, and only entries that are not
-   settled then meet the earlier ones. Both ways are exact.
+   of the whole sets still allow the threshold. Entries of a token with few of them meet at once, sorted by token. Where
+   a token has many, or most of its pairs are left, all meet its earliest entry first, which settles groups of near copies
+   without pairs among them, and only entries that are not settled then meet the earlier ones. Both ways are exact.
 4. Token sets of the lines that met are read again from the texts, and Jaccard is computed exactly.
 
 Tokens are compared by 50-bit hashes. Defined results: null, empty and blank lines have no tokens and stay;
@@ -133,30 +133,121 @@ def _prefix(n: Column) -> Column:
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
-    """Pairs (x, y) that may reach the threshold, from a row (x, n, place, y, m, y_place) per shared prefix token.
+    """Pairs of places (x, y) that may reach the threshold, from a row (doc, at, size, and y's) per shared prefix token.
 
     What is shared up to the last shared prefix token is counted. Later tokens in common lie beyond the prefix
     of one of the two, so there are at most as many as either has left, or one has beyond its prefix.
     """
-    pairs = rows.groupBy("x", "n", "y", "m").agg(F.count("*").alias("c"), F.max("place").alias("p"), F.max("y_place").alias("q"))
-    n, m = F.col("n"), F.col("m")
-    rest = F.least(n - F.col("p") - 1, m - F.col("q") - 1, F.greatest(n - _prefix(n), m - _prefix(m)))
-    return pairs.where((F.col("c") + rest) * (NUM + DEN) >= (n + m) * NUM).select("x", "y")
+    pairs = rows.groupBy("doc", "at", "y_doc", "y_at").agg(F.count("*").alias("c"), F.max("size").alias("size"), F.max("y_size").alias("y_size"))
+    n, m = _upper("size"), _upper("y_size")
+    rest = F.least(n - _lower("size") - 1, m - _lower("y_size") - 1, F.greatest(n - _prefix(n), m - _prefix(m)))
+    of = lambda doc, at: F.struct(F.col(doc).alias("doc"), _upper(at).alias("tie"), _lower(at).alias("line"))
+    return (pairs.where((F.col("c") + rest) * (NUM + DEN) >= (n + m) * NUM)
+            .select(of("doc", "at").alias("x"), of("y_doc", "y_at").alias("y")))
 
 
-def _fits() -> Column:
+def _two(upper: str, lower: str) -> Column:
+    """Two ints in one long, ordered as the pair; the lower one is not negative."""
+    return F.shiftleft(F.col(upper).cast("long"), 32) + F.col(lower)
+
+
+def _upper(c: str) -> Column:
+    return F.shiftright(c, 32).cast("int")
+
+
+def _lower(c: str) -> Column:
+    return F.col(c).bitwiseAND(F.lit(2 ** 32 - 1)).cast("int")
+
+
+def _may(n, m, at, to, apart):
     """Length filter, and the positional filter of one shared token: as many tokens can be shared before it as
     either has there, and after it likewise. Signatures differ in no more bits than there are tokens in one set
-    only. No shared token of a matching pair fails."""
-    n, m, at, to = (F.col(c) for c in ("n", "m", "place", "y_place"))
-    most = F.least(at, to) + 1 + F.least(n - at - 1, m - to - 1)
-    apart = F.bit_count(F.col("sig").bitwiseXOR(F.col("y_sig")))
+    only. No shared token of a matching pair fails. ``least`` of columns or of arrays."""
+    least = F.least if isinstance(n, Column) else np.minimum
+    most = least(at, to) + 1 + least(n - at - 1, m - to - 1)
     return ((n * DEN >= m * NUM) & (m * DEN >= n * NUM) & (most * (NUM + DEN) >= (n + m) * NUM)
             & (apart * (NUM + DEN) <= (n + m) * (DEN - NUM)))
 
 
-#: Entries of a token that meet each other at once; those of more frequent tokens meet its first entry before.
-FEW = 48
+def _fits() -> Column:
+    return _may(_upper("size"), _upper("y_size"), _lower("size"), _lower("y_size"), F.bit_count(F.col("sig").bitwiseXOR(F.col("y_sig"))))
+
+
+#: Entries of a token that meet each other at once, if that leaves at most DENSE pairs for each; those of other tokens
+#: meet the token's first entry before. Rows that are handled at once.
+FEW, DENSE, ROWS = 256, 16, 1 << 17
+MEET = "token long, doc long, at long, size long, sig long, y_doc long, y_at long, y_size long"
+
+
+def _fit_arrays(size: np.ndarray, sig: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of the rows i and j (of one token) fit; the signatures leave few."""
+    n, m = size[i] >> 32, size[j] >> 32
+    apart = np.bitwise_count((sig[i] ^ sig[j]).view(np.uint64)).astype(np.int64)
+    out = apart * (NUM + DEN) <= (n + m) * (DEN - NUM)
+    at = np.flatnonzero(out)
+    mask = (1 << 32) - 1
+    out[at] = _may(n[at], m[at], size[i[at]] & mask, size[j[at]] & mask, apart[at])
+    return out
+
+
+def _meet(batches):
+    """From rows (token, doc, at, size, sig), sorted by token and place: the pairs (no token) of tokens with few, and the
+    rows of tokens with many, with the token's first entry where it fits."""
+    held: list[np.ndarray] = []
+    first = None  # of a token that goes on
+
+    def run(rows: np.ndarray, more: bool):
+        nonlocal first
+        token, doc, at, size, sig = rows
+        new = np.concatenate([[True], token[1:] != token[:-1]])
+        start = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        c = np.diff(np.append(start, len(token)))
+        pos = np.arange(len(token)) - start[group]
+        many = c > FEW
+        lead = rows[:, start]
+        if first is not None and first[0] == token[0]:
+            lead[:, 0], many[0] = first, True
+        if more:  # one token, of which more rows come
+            many[:] = True
+        first = lead[:, -1].copy()
+        left, right, met = [], [], np.zeros(len(c), np.int64)
+        i = np.flatnonzero(~many[group])
+        for lag in range(1, FEW):
+            i = i[(pos[i] >= lag) & (met[group[i]] <= DENSE * c[group[i]])]
+            if not len(i):
+                break
+            hit = i[_fit_arrays(size, sig, i, i - lag)]
+            if len(hit):
+                met += np.bincount(group[hit], minlength=len(c))
+                left.append(hit)
+                right.append(hit - lag)
+        many |= met > DENSE * c
+        x, y = (np.concatenate([*v, np.zeros(0, np.int64)]).astype(np.int64) for v in (left, right))
+        x, y = x[~many[group[x]]], y[~many[group[x]]]
+        z = np.flatnonzero(many[group])
+        of = lead[:, group[z]]
+        sizes, sigs = np.concatenate([size[z], of[3]]), np.concatenate([sig[z], of[4]])
+        k = np.arange(len(z))
+        no_lead = ~_fit_arrays(sizes, sigs, k, k + len(z)) | ((doc[z] == of[1]) & (at[z] == of[2]))
+        both = np.concatenate([x, z])
+        absent = np.arange(len(both)) < len(x)
+        values = [pa.array(v[both], mask=absent if k in (0, 4) else None) for k, v in enumerate(rows)]
+        values += [pa.array(np.concatenate([v[y], of[k + 1]]), mask=np.concatenate([np.zeros(len(x), bool), no_lead])) for k, v in enumerate((doc, at, size))]
+        for a in range(0, len(both), ROWS):
+            yield pa.RecordBatch.from_arrays([v.slice(a, ROWS) for v in values], ["token", "doc", "at", "size", "sig", "y_doc", "y_at", "y_size"])
+
+    for b in batches:
+        held.append(np.stack([c.to_numpy() for c in b.columns]))
+        if sum(h.shape[1] for h in held) >= ROWS:
+            rows = np.concatenate(held, axis=1)
+            cut = int(np.searchsorted(rows[0], rows[0, -1]))
+            held = [rows[:, cut:]] if cut else []
+            yield from run(rows[:, :cut] if cut else rows, not cut)
+    if held and (rows := np.concatenate(held, axis=1)).shape[1]:
+        yield from run(rows, False)
+
+
 PLACE = ("doc", "tie", "line")
 
 
@@ -180,22 +271,18 @@ def find_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     place = F.struct(*PLACE)
     # equal sets are one entry; each of its prefix tokens is a row, and the rows of a token are brought together once
     entry = lines.groupBy("hi", "lo").agg(F.min(F.struct(*PLACE, "n", "sig", "tokens", "places")).alias("f")).select("f.*")
-    pre = (entry.select(F.struct(*PLACE).alias("x"), "n", "sig", F.explode(F.arrays_zip("tokens", "places")).alias("t"))
-           .select(F.col("t.tokens").alias("token"), "x", "n", "sig", F.col("t.places").alias("place")))
-    each = Window.partitionBy("token")
-    mine = F.struct(F.col("x").alias("y"), F.col("n").alias("m"), F.col("sig").alias("y_sig"), F.col("place").alias("y_place"))
-    # only entries of a token with few of them are listed, at most FEW to a row
-    shared = (pre.withColumn("c", F.count("*").over(each)).where("c > 1").withColumn("earlier", F.collect_list(
-        F.when(F.col("c") <= FEW, mine)).over(each.orderBy("x").rowsBetween(-FEW, -1))))
-    both = materialize(shared.select("token", "x", "n", "sig", "place", "c", F.explode_outer("earlier").alias("e"))
-                       .select("token", "x", "n", "sig", "place", "c", "e.*").where((F.col("c") > FEW) | _fits()).drop("c", "y_sig"))
-    as_y = [F.col("x").alias("y"), F.col("n").alias("m"), F.col("sig").alias("y_sig"), F.col("place").alias("y_place")]
-    few, many = both.where("y IS NOT NULL").drop("token", "sig"), both.where("y IS NULL").select("token", "x", "n", "sig", "place")
-    other = many.select("token", *as_y)
-    lead = many.groupBy("token").agg(F.min(F.struct("x", "n", "sig", "place")).alias("l")).select("token", "l.*").select("token", *as_y)
-    met = materialize(_candidates(many.join(lead, "token").where((F.col("y") < F.col("x")) & _fits())))
+    pre = (entry.select("doc", _two("tie", "line").alias("at"), "n", "sig", F.explode(F.arrays_zip("tokens", "places")).alias("t"))
+           .select(F.col("t.tokens").alias("token"), "doc", "at", "n", F.col("t.places").alias("place"), "sig")
+           .select("token", "doc", "at", _two("n", "place").alias("size"), "sig"))
+    both = materialize(pre.repartition("token").sortWithinPartitions("token", "doc", "at").mapInArrow(_meet, MEET))
+    few, many = both.where("token IS NULL").drop("token", "sig"), both.where("token IS NOT NULL")
+    met = materialize(_candidates(many.where("y_at IS NOT NULL")))
     settled = materialize(_verified(d, met).distinct())
-    rest = many.join(settled.select("x"), "x", "left_anti").join(other, "token").where((F.col("y") < F.col("x")) & _fits())
+    entries = many.select("token", "doc", "at", "size", "sig")
+    other = entries.toDF("token", "y_doc", "y_at", "y_size", "y_sig")
+    gone = settled.select("x.*").select("doc", _two("tie", "line").alias("at"))
+    earlier = (F.col("y_doc") < F.col("doc")) | ((F.col("y_doc") == F.col("doc")) & (F.col("y_at") < F.col("at")))
+    rest = entries.join(gone, ["doc", "at"], "left_anti").join(other, "token").where(earlier & _fits())
     more = materialize(_candidates(few.unionByName(rest.select(*few.columns))))
     late = settled.unionByName(_verified(d, more)).select("hi", "lo", F.lit(True).alias("late"), F.lit(None).alias("at"))
     # only sets that an earlier entry matches, or that stand in more than one place, meet the lines again

@@ -1,6 +1,8 @@
 """Line deduplication against brute force over all pairs of lines."""
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from stacklens.llm import line_dedup
@@ -58,3 +60,34 @@ def test_odd_rows(spark, odd):
     assert line_dedup.op2_line_dedup(odd.limit(0)).count() == 0
     clash = odd.withColumn("tie", F.lit(1)).withColumn("n_lines", F.lit("x")).withColumn("line", F.lit(2))
     assert line_dedup.dedup_lines(clash).where("n_lines = 'x'").count() == odd.count()
+
+
+def _met(rows, size):
+    """What a step gives for rows in batches of some size: pairs, and rows of tokens with many with their first entry."""
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[k:k + size], strict=True)], ["token", "doc", "at", "size", "sig"])
+               for k in range(0, len(rows), size)]
+    out = [r for b in line_dedup._meet(iter(batches)) for r in b.to_pylist()]
+    return ({(r["doc"], r["y_doc"]) for r in out if r["token"] is None},
+            {(r["token"], r["doc"]): r["y_doc"] for r in out if r["token"] is not None})
+
+
+def test_tokens_with_few_and_with_many_entries(monkeypatch):
+    """One row a token and entry went through two windows, and rows of tokens with many were dealt out three times more."""
+    rng = random.Random(3)
+    rows, doc = [], 0
+    for token, c in enumerate([1, 2, 5, 300, 40, 3, 2000, 7, 1]):
+        for _ in range(c):
+            doc += 1
+            sig = -rng.getrandbits(63) if token == 4 else rng.choice([0, 1, 3, -1])
+            rows.append((token, doc, 0, (rng.choice([10, 11, 30]) << 32) + rng.randrange(2), sig))
+    monkeypatch.setattr(line_dedup, "ROWS", 500)
+    fits = lambda x, y: bool(line_dedup._fit_arrays(np.array([x[3], y[3]]), np.array([x[4], y[4]]), np.array([0]), np.array([1]))[0])
+    for size in (1, 64, 5000):
+        pairs, many = _met(rows, size)
+        by = {t: [r for r in rows if r[0] == t] for t in range(9)}
+        # all entries of a token with many are there, each with the first one if it fits
+        of_many = {t for t, _ in many}
+        assert {3, 6} <= of_many and 4 not in of_many
+        assert many == {(t, r[1]): by[t][0][1] if r is not by[t][0] and fits(r, by[t][0]) else None for t in of_many for r in by[t]}
+        assert pairs == {(x[1], y[1]) for t in range(9) if t not in of_many for k, x in enumerate(by[t]) for y in by[t][:k] if fits(x, y)}
+        assert len(pairs) <= sum(len(by[t]) for t in range(9) if t not in of_many) * (line_dedup.DENSE + line_dedup.FEW // 2)
