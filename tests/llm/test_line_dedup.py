@@ -1,11 +1,14 @@
 """Line deduplication against brute force over all pairs of lines."""
 import random
+import tracemalloc
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from stacklens.llm import line_dedup
+from stacklens.llm.words import hashed_counts, slot_of
 
 
 def _brute(rows):
@@ -91,3 +94,30 @@ def test_tokens_with_few_and_with_many_entries(monkeypatch):
         assert many == {(t, r[1]): by[t][0][1] if r is not by[t][0] and fits(r, by[t][0]) else None for t in of_many for r in by[t]}
         assert pairs == {(x[1], y[1]) for t in range(9) if t not in of_many for k, x in enumerate(by[t]) for y in by[t][:k] if fits(x, y)}
         assert len(pairs) <= sum(len(by[t]) for t in range(9) if t not in of_many) * (line_dedup.DENSE + line_dedup.FEW // 2)
+
+
+class _Local:
+    """As much of a table as counting uses."""
+
+    def __init__(self, batches):
+        self.batches = batches
+
+    def mapInArrow(self, run, _):  # noqa: N802
+        self.run = run
+        return self
+
+    groupBy = applyInArrow = lambda self, *_: self
+
+    def collect(self):
+        return [{"part": b.column(0)[0].as_py(), "n": zlib.decompress(b.column(1)[0].as_py())} for b in self.run(iter(self.batches))]
+
+
+def test_counting_takes_little_memory_beside_its_table():
+    rng = np.random.default_rng(1)
+    h = [rng.integers(0, 5000, 10_000).astype(np.uint64) for _ in range(80)]
+    tracemalloc.start()
+    got = hashed_counts(_Local(h), lambda b: [b], 1 << 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = np.bincount(slot_of(np.concatenate(h), 1 << 20), minlength=1 << 20)
+    assert (got[0] == want).all() and peak < 12 << 20
