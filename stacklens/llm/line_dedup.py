@@ -8,11 +8,13 @@ one id by a hash of the text) has a Jaccard similarity of ``4 / 5`` or more with
 2. Each line gives a 128-bit key of its token set, and the part of its rarest tokens that any match must
    share one of (prefix filter). Tokens that occur once in all texts cannot be shared and are left out.
 3. Equal sets are one entry, at its first line. Entries with a prefix token in common meet if their sizes
-   (length filter), the number and the places of the tokens shared (positional filter) and 64-bit signatures
-   of the whole sets still allow the threshold. Entries of a token with few of them meet at once, sorted by token. Where
-   a token has many, or most of its pairs are left, all meet its earliest entry first, which settles groups of near copies
-   without pairs among them, and only entries that are not settled then meet the earlier ones. Both ways are exact.
-4. Token sets of the lines that met are read again from the texts, and Jaccard is computed exactly.
+   (length filter), the number and the places of the tokens shared (positional filter) and 128-bit signatures
+   of the whole sets still allow the threshold. Entries of a token with few of them meet at once, sorted by token; the
+   token sets of those left are read again from the texts, and Jaccard is computed exactly.
+4. Where a token has many entries, or most of its pairs are left, their token sets are read again at once. All meet the
+   token's earliest entry first, which settles groups of near copies; entries that are not settled then meet the earlier
+   ones set by set, in cells of bounded size, and a row comes out for each that has a match, never a row for a pair.
+   Both ways are exact.
 
 Tokens are compared by 50-bit hashes. Defined results: null, empty and blank lines have no tokens and stay;
 repeated rows (same id and text) are one document and get the same result; null ids come first; an empty
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stacklens.llm.common import materialize, unused
@@ -31,6 +33,8 @@ from stacklens.llm.words import chunks, count_of, hashed_counts, mix, words
 
 #: Jaccard threshold as a fraction.
 NUM, DEN = 4, 5
+#: Numbers of 64 bits in a signature.
+SIGS = ("sig", "sig2")
 RARITY_SLOTS, RARITY_ROWS, MET_SLOTS = 1 << 22, 2, 1 << 22
 BITS = 50
 LINES_AT_ONCE = 1 << (64 - BITS)
@@ -65,13 +69,20 @@ def _keys(n: np.ndarray, tokens: np.ndarray) -> list[np.ndarray]:
     return [np.add.reduceat(mix(tokens, s), at).astype(np.int64) for s in (1, 2)]
 
 
+def _signatures(tokens: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
+    """Signatures of sets that start at some places: a bit tells whether an odd number of tokens falls there."""
+    slot = mix(tokens, 3) % np.uint64(64 * len(SIGS))
+    bit = np.uint64(1) << (slot & np.uint64(63))
+    return [np.bitwise_xor.reduceat(np.where(slot >> np.uint64(6) == k, bit, np.uint64(0)), start).view(np.int64) for k in range(len(SIGS))]
+
+
 def _take(column: pa.Array, rows: np.ndarray) -> pa.Array:
     return column.take(pa.array(rows))
 
 
 def _entries(docs: DataFrame, rarity) -> DataFrame:
-    """A row per line with tokens: doc, tie, line, key (hi, lo), n, the signature of its tokens (a bit tells
-    whether an odd number of them falls there), and its prefix tokens with their places."""
+    """A row per line with tokens: doc, tie, line, key (hi, lo), n, the signature of its tokens, and its prefix tokens
+    with their places."""
 
     def run(batches):
         for b in batches:
@@ -83,7 +94,6 @@ def _entries(docs: DataFrame, rarity) -> DataFrame:
                 where = (order & np.uint64((1 << 34) - 1)).astype(np.int64)
                 start = np.concatenate([[0], np.cumsum(n)[:-1]])
                 place = np.arange(len(tokens)) - start[local]
-                sig = np.bitwise_xor.reduceat(np.uint64(1) << (mix(tokens, 3) & np.uint64(63)), start).view(np.int64)
                 prefix = n - -(-n * NUM // DEN) + 1
                 # sets of three tokens or fewer match equal sets only
                 used = (place < prefix[local]) & (count[where] > 1) & (n[local] > 3)
@@ -91,11 +101,11 @@ def _entries(docs: DataFrame, rarity) -> DataFrame:
                 lists = lambda v, kind: pa.ListArray.from_arrays(pa.array(ends), pa.array(v, kind))  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
                     [_take(b.column(0), row), _take(b.column(1), row), pa.array(number, pa.int32()), pa.array(hi), pa.array(lo),
-                     pa.array(n, pa.int32()), pa.array(sig), lists(tokens[where][used].astype(np.int64), pa.int64()), lists(place[used], pa.int32())],
-                    ["doc", "tie", "line", "hi", "lo", "n", "sig", "tokens", "places"])
+                     pa.array(n, pa.int32()), *map(pa.array, _signatures(tokens, start)), lists(tokens[where][used].astype(np.int64), pa.int64()), lists(place[used], pa.int32())],
+                    ["doc", "tie", "line", "hi", "lo", "n", *SIGS, "tokens", "places"])
 
     return docs.select("doc", "tie", "text").mapInArrow(
-        run, "doc long, tie int, line int, hi long, lo long, n int, sig long, tokens array<long>, places array<int>")
+        run, "doc long, tie int, line int, hi long, lo long, n int, sig long, sig2 long, tokens array<long>, places array<int>")
 
 
 def _place_hash(doc: np.ndarray, tie: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -159,46 +169,44 @@ def _lower(c: str) -> Column:
     return F.col(c).bitwiseAND(F.lit(2 ** 32 - 1)).cast("int")
 
 
-def _may(n, m, at, to, apart):
+def _may(n, m, at, to):
     """Length filter, and the positional filter of one shared token: as many tokens can be shared before it as
-    either has there, and after it likewise. Signatures differ in no more bits than there are tokens in one set
-    only. No shared token of a matching pair fails. ``least`` of columns or of arrays."""
-    least = F.least if isinstance(n, Column) else np.minimum
-    most = least(at, to) + 1 + least(n - at - 1, m - to - 1)
-    return ((n * DEN >= m * NUM) & (m * DEN >= n * NUM) & (most * (NUM + DEN) >= (n + m) * NUM)
-            & (apart * (NUM + DEN) <= (n + m) * (DEN - NUM)))
+    either has there, and after it likewise. No shared token of a matching pair fails."""
+    most = np.minimum(at, to) + 1 + np.minimum(n - at - 1, m - to - 1)
+    return (n * DEN >= m * NUM) & (m * DEN >= n * NUM) & (most * (NUM + DEN) >= (n + m) * NUM)
 
 
-def _fits() -> Column:
-    return _may(_upper("size"), _upper("y_size"), _lower("size"), _lower("y_size"), F.bit_count(F.col("sig").bitwiseXOR(F.col("y_sig"))))
+def _near(n, m, sigs, i, j):
+    """Which signatures i and j of sets of n and m tokens differ in no more bits than a matching pair has tokens in one set only."""
+    apart = sum(np.bitwise_count((s[i] ^ s[j]).view(np.uint64)).astype(np.int64) for s in np.atleast_2d(sigs))
+    return apart * (NUM + DEN) <= (n + m) * (DEN - NUM)
 
 
 #: Entries of a token that meet each other at once, if that leaves at most DENSE pairs for each; those of other tokens
 #: meet the token's first entry before. Rows that are handled at once.
 FEW, DENSE, ROWS = 256, 16, 1 << 17
-MEET = "token long, doc long, at long, size long, sig long, y_doc long, y_at long, y_size long"
+MEET = "token long, doc long, at long, size long, y_doc long, y_at long, y_size long"
 
 
-def _fit_arrays(size: np.ndarray, sig: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def _fit_arrays(size: np.ndarray, sigs: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Which pairs of the rows i and j (of one token) fit; the signatures leave few."""
     n, m = size[i] >> 32, size[j] >> 32
-    apart = np.bitwise_count((sig[i] ^ sig[j]).view(np.uint64)).astype(np.int64)
-    out = apart * (NUM + DEN) <= (n + m) * (DEN - NUM)
+    out = _near(n, m, sigs, i, j)
     at = np.flatnonzero(out)
     mask = (1 << 32) - 1
-    out[at] = _may(n[at], m[at], size[i[at]] & mask, size[j[at]] & mask, apart[at])
+    out[at] = _may(n[at], m[at], size[i[at]] & mask, size[j[at]] & mask)
     return out
 
 
 def _meet(batches):
-    """From rows (token, doc, at, size, sig), sorted by token and place: the pairs (no token) of tokens with few, and the
-    rows of tokens with many, with the token's first entry where it fits."""
+    """From rows (token, doc, at, size, signatures), sorted by token and place: the pairs (no token) of tokens with few,
+    and the rows of tokens with many, with the token's first entry where it fits."""
     held: list[np.ndarray] = []
     first = None  # of a token that goes on
 
     def run(rows: np.ndarray, more: bool):
         nonlocal first
-        token, doc, at, size, sig = rows
+        (token, doc, at, size), sigs = rows[:4], rows[4:]
         new = np.concatenate([[True], token[1:] != token[:-1]])
         start = np.flatnonzero(new)
         group = np.cumsum(new) - 1
@@ -217,7 +225,7 @@ def _meet(batches):
             i = i[(pos[i] >= lag) & (met[group[i]] <= DENSE * c[group[i]])]
             if not len(i):
                 break
-            hit = i[_fit_arrays(size, sig, i, i - lag)]
+            hit = i[_fit_arrays(size, sigs, i, i - lag)]
             if len(hit):
                 met += np.bincount(group[hit], minlength=len(c))
                 left.append(hit)
@@ -227,15 +235,14 @@ def _meet(batches):
         x, y = x[~many[group[x]]], y[~many[group[x]]]
         z = np.flatnonzero(many[group])
         of = lead[:, group[z]]
-        sizes, sigs = np.concatenate([size[z], of[3]]), np.concatenate([sig[z], of[4]])
         k = np.arange(len(z))
-        no_lead = ~_fit_arrays(sizes, sigs, k, k + len(z)) | ((doc[z] == of[1]) & (at[z] == of[2]))
+        no_lead = ~_fit_arrays(np.concatenate([size[z], of[3]]), np.concatenate([sigs[:, z], of[4:]], axis=1), k, k + len(z)) | ((doc[z] == of[1]) & (at[z] == of[2]))
         both = np.concatenate([x, z])
         absent = np.arange(len(both)) < len(x)
-        values = [pa.array(v[both], mask=absent if k in (0, 4) else None) for k, v in enumerate(rows)]
+        values = [pa.array(v[both], mask=None if k else absent) for k, v in enumerate(rows[:4])]
         values += [pa.array(np.concatenate([v[y], of[k + 1]]), mask=np.concatenate([np.zeros(len(x), bool), no_lead])) for k, v in enumerate((doc, at, size))]
         for a in range(0, len(both), ROWS):
-            yield pa.RecordBatch.from_arrays([v.slice(a, ROWS) for v in values], ["token", "doc", "at", "size", "sig", "y_doc", "y_at", "y_size"])
+            yield pa.RecordBatch.from_arrays([v.slice(a, ROWS) for v in values], ["token", "doc", "at", "size", "y_doc", "y_at", "y_size"])
 
     for b in batches:
         held.append(np.stack([c.to_numpy() for c in b.columns]))
@@ -249,6 +256,56 @@ def _meet(batches):
 
 
 PLACE = ("doc", "tie", "line")
+#: Tokens of the sets of one side of a cell.
+CELL = 1 << 19
+MATCHED = "doc long, tie int, line int, hi long, lo long"
+
+
+def _matched(cell: pa.Table) -> pa.Table:
+    """Of a cell's rows (late, doc, tie, line, hi, lo, tokens) the late ones that an earlier one of the others reaches."""
+    place = [cell[c].to_numpy() for c in PLACE]
+    order = np.lexsort((~cell["late"].to_numpy(), *place[::-1]))
+    cell = cell.take(pa.array(order))
+    late = cell["late"].to_numpy()
+    sets = cell["tokens"].combine_chunks()
+    n = np.diff(sets.offsets.to_numpy()).astype(np.int64)
+    start = np.concatenate([[0], np.cumsum(n)])
+    tokens = sets.flatten().to_numpy()
+    sigs = np.stack(_signatures(tokens.view(np.uint64), start[:-1]))
+    ids = np.unique(tokens, return_inverse=True)[1]
+    own = np.zeros(int(ids.max()) + 1, np.int32)
+    found = []
+    for x in np.flatnonzero(late):
+        y = np.flatnonzero(~late[:x])
+        y = y[_near(n[x], n[y], sigs, np.full(len(y), x), y) & (n[x] * DEN >= n[y] * NUM) & (n[y] * DEN >= n[x] * NUM)]
+        if len(y):
+            own[ids[start[x]:start[x + 1]]] = 1
+            first, end = y[0], y[-1] + 1
+            shared = np.add.reduceat(own[ids[start[first]:start[end]]], start[first:end] - start[first])[y - first]
+            own[ids[start[x]:start[x + 1]]] = 0
+            if (shared * (NUM + DEN) >= (n[x] + n[y]) * NUM).any():
+                found.append(x)
+    return cell.take(pa.array(found, pa.int64())).select([*PLACE, "hi", "lo"])
+
+
+def _unsettled(many: DataFrame, sets: DataFrame, settled: DataFrame) -> DataFrame:
+    """(doc, tie, line, hi, lo) of the entries that are not settled and that an earlier one of a common token reaches.
+
+    The entries of a token that are not settled and all of its entries are dealt out to blocks, by the tokens of their
+    sets, and each block of the one meets each of the other in a cell.
+    """
+    rows = (many.select("token", "doc", _upper("at").alias("tie"), _lower("at").alias("line"), _upper("size").alias("n"))
+            .join(settled.select("x.*").distinct().withColumn("gone", F.lit(True)), list(PLACE), "left").withColumn("late", F.col("gone").isNull()))
+    blocks = lambda n: (F.floor(n / CELL) + 1).cast("int")
+    by_token = (rows.groupBy("token").agg(blocks(F.sum("n")).alias("all_blocks"), blocks(F.sum(F.when(F.col("late"), F.col("n")).otherwise(0))).alias("late_blocks"),
+                                          F.max("late").alias("any")).where("any").drop("any"))
+    own = lambda b: F.pmod(F.xxhash64(*PLACE), b).cast("int")
+    cells = lambda late, b, of: F.transform(F.sequence(F.lit(0), F.col(b) - 1), lambda k: of(k, F.lit(late).alias("late")))
+    among = cells(False, "late_blocks", lambda k, late: F.struct(late, k.alias("x"), own("all_blocks").alias("y")))
+    asks = cells(True, "all_blocks", lambda k, late: F.struct(late, own("late_blocks").alias("x"), k.alias("y")))
+    return (rows.join(by_token, "token").withColumn("cell", F.explode(F.when(F.col("late"), F.concat(among, asks)).otherwise(among)))
+            .select("token", "cell.x", "cell.y", "cell.late", *PLACE).join(sets, list(PLACE))
+            .groupBy("token", "x", "y").applyInArrow(lambda cell: _matched(cell), MATCHED).distinct())
 
 
 def _tie(text_col: str) -> Column:
@@ -270,21 +327,17 @@ def find_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lines = materialize(_entries(d, rarity))
     place = F.struct(*PLACE)
     # equal sets are one entry; each of its prefix tokens is a row, and the rows of a token are brought together once
-    entry = lines.groupBy("hi", "lo").agg(F.min(F.struct(*PLACE, "n", "sig", "tokens", "places")).alias("f")).select("f.*")
-    pre = (entry.select("doc", _two("tie", "line").alias("at"), "n", "sig", F.explode(F.arrays_zip("tokens", "places")).alias("t"))
-           .select(F.col("t.tokens").alias("token"), "doc", "at", "n", F.col("t.places").alias("place"), "sig")
-           .select("token", "doc", "at", _two("n", "place").alias("size"), "sig"))
+    entry = lines.groupBy("hi", "lo").agg(F.min(F.struct(*PLACE, "n", *SIGS, "tokens", "places")).alias("f")).select("f.*")
+    pre = (entry.select("doc", _two("tie", "line").alias("at"), "n", *SIGS, F.explode(F.arrays_zip("tokens", "places")).alias("t"))
+           .select(F.col("t.tokens").alias("token"), "doc", "at", "n", F.col("t.places").alias("place"), *SIGS)
+           .select("token", "doc", "at", _two("n", "place").alias("size"), *SIGS))
     both = materialize(pre.repartition("token").sortWithinPartitions("token", "doc", "at").mapInArrow(_meet, MEET))
-    few, many = both.where("token IS NULL").drop("token", "sig"), both.where("token IS NOT NULL")
-    met = materialize(_candidates(many.where("y_at IS NOT NULL")))
-    settled = materialize(_verified(d, met).distinct())
-    entries = many.select("token", "doc", "at", "size", "sig")
-    other = entries.toDF("token", "y_doc", "y_at", "y_size", "y_sig")
-    gone = settled.select("x.*").select("doc", _two("tie", "line").alias("at"))
-    earlier = (F.col("y_doc") < F.col("doc")) | ((F.col("y_doc") == F.col("doc")) & (F.col("y_at") < F.col("at")))
-    rest = entries.join(gone, ["doc", "at"], "left_anti").join(other, "token").where(earlier & _fits())
-    more = materialize(_candidates(few.unionByName(rest.select(*few.columns))))
-    late = settled.unionByName(_verified(d, more)).select("hi", "lo", F.lit(True).alias("late"), F.lit(None).alias("at"))
+    few, many = both.where("token IS NULL").drop("token"), both.where("token IS NOT NULL")
+    sets = _sets_at(d, many.select("doc", _upper("at").alias("tie"), _lower("at").alias("line")))
+    settled = materialize(_verified(_candidates(many.where("y_at IS NOT NULL")), sets))
+    pairs = materialize(_candidates(few))
+    late = (settled.unionByName(_verified(pairs, _sets_at(d, pairs.select("x.*").unionByName(pairs.select("y.*"))))).select("hi", "lo")
+            .unionByName(_unsettled(many, sets, settled).select("hi", "lo")).select("hi", "lo", F.lit(True).alias("late"), F.lit(None).alias("at")))
     # only sets that an earlier entry matches, or that stand in more than one place, meet the lines again
     marks = (lines.select("hi", "lo", F.lit(None).cast("boolean").alias("late"), place.alias("at")).unionByName(late)
              .groupBy("hi", "lo").agg(F.max("late").alias("late"), F.min("at").alias("first"), F.count("at").alias("c"))
@@ -293,12 +346,16 @@ def find_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             .groupBy("doc", "tie").agg(F.sort_array(F.collect_set("line")).alias("removed")))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(x, hi, lo): places and keys of x in those of the pairs of places (x, y) whose token sets reach the threshold."""
-    keys = materialize(pairs.select("x.*").unionByName(pairs.select("y.*")).distinct())
+def _sets_at(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(doc, tie, line, hi, lo, tokens) of the lines at some places."""
+    keys = materialize(places.distinct())
     met = docs.sparkSession.sparkContext.broadcast(hashed_counts(  # of fixed size
         keys, lambda b: [_place_hash(*(c.to_numpy() for c in b.columns)), _text_hash(*(c.to_numpy() for c in b.columns[:2]))], MET_SLOTS))
-    sets = materialize(_sets(docs, met).join(keys, list(PLACE), "left_semi").dropDuplicates(PLACE))
+    return materialize(_sets(docs, met).join(keys, list(PLACE), "left_semi").dropDuplicates(PLACE))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(x, hi, lo): places and keys of x in those of the pairs of places (x, y) whose token sets reach the threshold."""
     side = lambda s, *more: sets.select(F.struct(*PLACE).alias(s), F.col("tokens").alias(f"{s}_tokens"), *more)
     both = pairs.join(side("x", "hi", "lo"), "x").join(side("y"), "y")
     same = F.size(F.array_intersect("x_tokens", "y_tokens"))

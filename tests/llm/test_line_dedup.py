@@ -96,6 +96,58 @@ def test_tokens_with_few_and_with_many_entries(monkeypatch):
         assert len(pairs) <= sum(len(by[t]) for t in range(9) if t not in of_many) * (line_dedup.DENSE + line_dedup.FEW // 2)
 
 
+def test_long_lines_that_share_a_word_do_not_meet():
+    """64 bits let every pair of lines of 150 words or more through."""
+    rng = np.random.default_rng(5)
+    sets = [np.unique(np.append(rng.integers(0, 1 << 50, 150), 7)) for _ in range(60)]
+    start = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
+    sigs = np.stack(line_dedup._signatures(np.concatenate(sets).astype(np.uint64), start))
+    i, j = np.triu_indices(60, 1)
+    size = np.array([(len(s) << 32) for s in sets])
+    assert line_dedup._fit_arrays(size, sigs, i, j).mean() < 0.01
+    assert line_dedup._fit_arrays(size, sigs, i, i).all()
+
+
+def test_entries_of_a_frequent_word_meet_set_by_set(spark, monkeypatch):
+    """All unsettled entries of a token came out paired with all earlier ones that the signatures let through."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(60)]
+    base = [rng.sample(vocabulary, 24) for _ in range(8)]
+    rows = [(0, " ".join(vocabulary * 700))]
+    for d in range(1, 601):
+        line = list(base[d % 8])
+        for _ in range(rng.randrange(0, 5)):
+            line[rng.randrange(24)] = rng.choice(vocabulary)
+        rows.append((d, " ".join([*line, "rare"])))
+    made = []
+    plain = line_dedup._unsettled
+
+    def counted(many, *more):
+        out = plain(many, *more)
+        made.append((many.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(line_dedup, "_unsettled", counted)
+    monkeypatch.setattr(line_dedup, "CELL", 1 << 12)  # several blocks on both sides
+    want = _brute(rows)
+    assert _got(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == want and 300 < len(want) < 600
+    (many, out), = made
+    assert 400 < many and 50 < out <= many
+
+
+def test_matched_equals_brute_force():
+    rng = random.Random(4)
+    sets = [sorted(rng.sample(range(14), rng.randrange(5, 12))) for _ in range(120)]
+    rows = [(late, d, -1 if d % 2 else 1, d % 3, d, 0, s) for d, s in enumerate(sets) for late in ((False, True) if d % 4 else (False,))]
+    rng.shuffle(rows)
+    kinds = [pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    cell = pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["late", "doc", "tie", "line", "hi", "lo", "tokens"])
+    near = lambda a, b: len({*a} & {*b}) * 9 >= 4 * (len(a) + len(b))
+    got = line_dedup._matched(cell)
+    assert sorted(got["doc"].to_pylist()) == [d for d in range(120) if d % 4 and any(near(sets[d], sets[e]) for e in range(d))]
+    assert line_dedup._matched(cell.filter(cell["late"])).num_rows == 0
+
+
 class _Local:
     """As much of a table as counting uses."""
 
