@@ -33,8 +33,8 @@ from stacklens.llm.words import chunks, count_of, hashed_counts, mix, words
 
 #: Jaccard threshold as a fraction.
 NUM, DEN = 4, 5
-#: Numbers of 64 bits in a signature.
-SIGS = ("sig", "sig2")
+#: Numbers of 64 bits in a signature; sets of up to SHORT tokens have them folded into the first.
+SIGS, SHORT = ("sig", "sig2"), 64
 RARITY_SLOTS, RARITY_ROWS, MET_SLOTS = 1 << 22, 2, 1 << 22
 BITS = 50
 LINES_AT_ONCE = 1 << (64 - BITS)
@@ -69,11 +69,14 @@ def _keys(n: np.ndarray, tokens: np.ndarray) -> list[np.ndarray]:
     return [np.add.reduceat(mix(tokens, s), at).astype(np.int64) for s in (1, 2)]
 
 
-def _signatures(tokens: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
-    """Signatures of sets that start at some places: a bit tells whether an odd number of tokens falls there."""
-    slot = mix(tokens, 3) % np.uint64(64 * len(SIGS))
+def _signatures(tokens: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Signatures of sets of n tokens each: a bit tells whether an odd number of tokens falls there."""
+    start = np.concatenate([[0], np.cumsum(n)[:-1]])
+    slot = mix(tokens, 3) % np.uint64(128)
     bit = np.uint64(1) << (slot & np.uint64(63))
-    return [np.bitwise_xor.reduceat(np.where(slot >> np.uint64(6) == k, bit, np.uint64(0)), start).view(np.int64) for k in range(len(SIGS))]
+    low, high = (np.bitwise_xor.reduceat(np.where(slot >> np.uint64(6) == k, bit, np.uint64(0)), start) for k in (0, 1))
+    short = n <= SHORT
+    return [np.where(short, low ^ high, low).view(np.int64), np.where(short, np.uint64(0), high).view(np.int64)]
 
 
 def _take(column: pa.Array, rows: np.ndarray) -> pa.Array:
@@ -82,7 +85,7 @@ def _take(column: pa.Array, rows: np.ndarray) -> pa.Array:
 
 def _entries(docs: DataFrame, rarity) -> DataFrame:
     """A row per line with tokens: doc, tie, line, key (hi, lo), n, the signature of its tokens, and its prefix tokens
-    with their places."""
+    but for those that occur once; these stand first, so the others have the last places of the prefix."""
 
     def run(batches):
         for b in batches:
@@ -98,14 +101,14 @@ def _entries(docs: DataFrame, rarity) -> DataFrame:
                 # sets of three tokens or fewer match equal sets only
                 used = (place < prefix[local]) & (count[where] > 1) & (n[local] > 3)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(local[used], minlength=len(n)))]).astype(np.int32)
-                lists = lambda v, kind: pa.ListArray.from_arrays(pa.array(ends), pa.array(v, kind))  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
                     [_take(b.column(0), row), _take(b.column(1), row), pa.array(number, pa.int32()), pa.array(hi), pa.array(lo),
-                     pa.array(n, pa.int32()), *map(pa.array, _signatures(tokens, start)), lists(tokens[where][used].astype(np.int64), pa.int64()), lists(place[used], pa.int32())],
-                    ["doc", "tie", "line", "hi", "lo", "n", *SIGS, "tokens", "places"])
+                     pa.array(n, pa.int32()), *map(pa.array, _signatures(tokens, n)),
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens[where][used].astype(np.int64)))],
+                    ["doc", "tie", "line", "hi", "lo", "n", *SIGS, "tokens"])
 
     return docs.select("doc", "tie", "text").mapInArrow(
-        run, "doc long, tie int, line int, hi long, lo long, n int, sig long, sig2 long, tokens array<long>, places array<int>")
+        run, "doc long, tie int, line int, hi long, lo long, n int, sig long, sig2 long, tokens array<long>")
 
 
 def _place_hash(doc: np.ndarray, tie: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -117,7 +120,7 @@ def _text_hash(doc: np.ndarray, tie: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, met) -> DataFrame:
-    """(doc, tie, line, key, tokens) of lines whose place may be among those that met; other texts are not split."""
+    """(doc, tie, line, tokens) of lines whose place may be among those that met; other texts are not split."""
 
     def run(batches):
         for b in batches:
@@ -128,13 +131,12 @@ def _sets(docs: DataFrame, met) -> DataFrame:
                 keep = count_of(met.value, _place_hash(doc[row], tie[row], number)) > 0
                 if keep.any():
                     used = tokens[keep[local]]
-                    hi, lo = _keys(n[keep], used)
                     ends = np.concatenate([[0], np.cumsum(n[keep])]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(doc[row][keep]), pa.array(tie[row][keep]), pa.array(number[keep], pa.int32()), pa.array(hi), pa.array(lo),
-                         pa.ListArray.from_arrays(pa.array(ends), pa.array(used.astype(np.int64)))], ["doc", "tie", "line", "hi", "lo", "tokens"])
+                        [pa.array(doc[row][keep]), pa.array(tie[row][keep]), pa.array(number[keep], pa.int32()),
+                         pa.ListArray.from_arrays(pa.array(ends), pa.array(used.astype(np.int64)))], ["doc", "tie", "line", "tokens"])
 
-    return docs.select("doc", "tie", "text").mapInArrow(run, "doc long, tie int, line int, hi long, lo long, tokens array<long>")
+    return docs.select("doc", "tie", "text").mapInArrow(run, "doc long, tie int, line int, tokens array<long>")
 
 
 def _prefix(n: Column) -> Column:
@@ -178,7 +180,11 @@ def _may(n, m, at, to):
 
 def _near(n, m, sigs, i, j):
     """Which signatures i and j of sets of n and m tokens differ in no more bits than a matching pair has tokens in one set only."""
-    apart = sum(np.bitwise_count((s[i] ^ s[j]).view(np.uint64)).astype(np.int64) for s in np.atleast_2d(sigs))
+    differ = [s[i] ^ s[j] for s in np.atleast_2d(sigs)]
+    if len(differ) > 1:
+        one = np.minimum(n, m) <= SHORT  # of a longer one the halves are folded as well
+        differ = [np.where(one, differ[0] ^ differ[1], differ[0]), np.where(one, 0, differ[1])]
+    apart = sum(np.bitwise_count(d.view(np.uint64)).astype(np.int64) for d in differ)
     return apart * (NUM + DEN) <= (n + m) * (DEN - NUM)
 
 
@@ -199,13 +205,15 @@ def _fit_arrays(size: np.ndarray, sigs: np.ndarray, i: np.ndarray, j: np.ndarray
 
 
 def _meet(batches):
-    """From rows (token, doc, at, size, signatures), sorted by token and place: the pairs (no token) of tokens with few,
-    and the rows of tokens with many, with the token's first entry where it fits."""
+    """From rows (token, doc, at, size, signatures), sorted by token: the pairs (no token) of tokens with few, and the rows
+    of tokens with many, with the token's first entry where it fits (of a token with more than ROWS, the first of those
+    that are handled first)."""
     held: list[np.ndarray] = []
     first = None  # of a token that goes on
 
     def run(rows: np.ndarray, more: bool):
         nonlocal first
+        rows = rows[:, np.lexsort(rows[2::-1])]  # by place within a token; Spark sorts by one long faster than by three
         (token, doc, at, size), sigs = rows[:4], rows[4:]
         new = np.concatenate([[True], token[1:] != token[:-1]])
         start = np.flatnonzero(new)
@@ -236,7 +244,7 @@ def _meet(batches):
         z = np.flatnonzero(many[group])
         of = lead[:, group[z]]
         k = np.arange(len(z))
-        no_lead = ~_fit_arrays(np.concatenate([size[z], of[3]]), np.concatenate([sigs[:, z], of[4:]], axis=1), k, k + len(z)) | ((doc[z] == of[1]) & (at[z] == of[2]))
+        no_lead = ~_fit_arrays(np.concatenate([size[z], of[3]]), np.concatenate([sigs[:, z], of[4:]], axis=1), k, k + len(z)) | (doc[z] < of[1]) | ((doc[z] == of[1]) & (at[z] <= of[2]))
         both = np.concatenate([x, z])
         absent = np.arange(len(both)) < len(x)
         values = [pa.array(v[both], mask=None if k else absent) for k, v in enumerate(rows[:4])]
@@ -258,11 +266,11 @@ def _meet(batches):
 PLACE = ("doc", "tie", "line")
 #: Tokens of the sets of one side of a cell.
 CELL = 1 << 19
-MATCHED = "doc long, tie int, line int, hi long, lo long"
+MATCHED = "doc long, tie int, line int"
 
 
 def _matched(cell: pa.Table) -> pa.Table:
-    """Of a cell's rows (late, doc, tie, line, hi, lo, tokens) the late ones that an earlier one of the others reaches."""
+    """Of a cell's rows (late, doc, tie, line, tokens) the late ones that an earlier one of the others reaches."""
     place = [cell[c].to_numpy() for c in PLACE]
     order = np.lexsort((~cell["late"].to_numpy(), *place[::-1]))
     cell = cell.take(pa.array(order))
@@ -271,7 +279,7 @@ def _matched(cell: pa.Table) -> pa.Table:
     n = np.diff(sets.offsets.to_numpy()).astype(np.int64)
     start = np.concatenate([[0], np.cumsum(n)])
     tokens = sets.flatten().to_numpy()
-    sigs = np.stack(_signatures(tokens.view(np.uint64), start[:-1]))
+    sigs = np.stack(_signatures(tokens.view(np.uint64), n))
     ids = np.unique(tokens, return_inverse=True)[1]
     own = np.zeros(int(ids.max()) + 1, np.int32)
     found = []
@@ -285,11 +293,11 @@ def _matched(cell: pa.Table) -> pa.Table:
             own[ids[start[x]:start[x + 1]]] = 0
             if (shared * (NUM + DEN) >= (n[x] + n[y]) * NUM).any():
                 found.append(x)
-    return cell.take(pa.array(found, pa.int64())).select([*PLACE, "hi", "lo"])
+    return cell.take(pa.array(found, pa.int64())).select(list(PLACE))
 
 
 def _unsettled(many: DataFrame, sets: DataFrame, settled: DataFrame) -> DataFrame:
-    """(doc, tie, line, hi, lo) of the entries that are not settled and that an earlier one of a common token reaches.
+    """(doc, tie, line) of the entries that are not settled and that an earlier one of a common token reaches.
 
     The entries of a token that are not settled and all of its entries are dealt out to blocks, by the tokens of their
     sets, and each block of the one meets each of the other in a cell.
@@ -325,29 +333,28 @@ def find_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     rarity = spark.sparkContext.broadcast(hashed_counts(d.select("text"), all_words, RARITY_SLOTS, RARITY_ROWS))  # of fixed size
     lines = materialize(_entries(d, rarity))
-    place = F.struct(*PLACE)
     # equal sets are one entry; each of its prefix tokens is a row, and the rows of a token are brought together once
-    entry = lines.groupBy("hi", "lo").agg(F.min(F.struct(*PLACE, "n", *SIGS, "tokens", "places")).alias("f")).select("f.*")
-    pre = (entry.select("doc", _two("tie", "line").alias("at"), "n", *SIGS, F.explode(F.arrays_zip("tokens", "places")).alias("t"))
-           .select(F.col("t.tokens").alias("token"), "doc", "at", "n", F.col("t.places").alias("place"), *SIGS)
+    entry = lines.groupBy("hi", "lo").agg(F.min(F.struct(*PLACE, "n", *SIGS, "tokens")).alias("f")).select("f.*")
+    pre = (entry.select("doc", _two("tie", "line").alias("at"), "n", *SIGS, F.size("tokens").alias("c"), F.posexplode("tokens").alias("k", "token"))
+           .withColumn("place", _prefix(F.col("n")) - F.col("c") + F.col("k"))
            .select("token", "doc", "at", _two("n", "place").alias("size"), *SIGS))
-    both = materialize(pre.repartition("token").sortWithinPartitions("token", "doc", "at").mapInArrow(_meet, MEET))
+    both = materialize(pre.repartition("token").sortWithinPartitions("token").mapInArrow(_meet, MEET))
     few, many = both.where("token IS NULL").drop("token"), both.where("token IS NOT NULL")
     sets = _sets_at(d, many.select("doc", _upper("at").alias("tie"), _lower("at").alias("line")))
     settled = materialize(_verified(_candidates(many.where("y_at IS NOT NULL")), sets))
     pairs = materialize(_candidates(few))
-    late = (settled.unionByName(_verified(pairs, _sets_at(d, pairs.select("x.*").unionByName(pairs.select("y.*"))))).select("hi", "lo")
-            .unionByName(_unsettled(many, sets, settled).select("hi", "lo")).select("hi", "lo", F.lit(True).alias("late"), F.lit(None).alias("at")))
-    # only sets that an earlier entry matches, or that stand in more than one place, meet the lines again
-    marks = (lines.select("hi", "lo", F.lit(None).cast("boolean").alias("late"), place.alias("at")).unionByName(late)
-             .groupBy("hi", "lo").agg(F.max("late").alias("late"), F.min("at").alias("first"), F.count("at").alias("c"))
-             .where("late OR c > 1").drop("c"))
-    return (lines.select("hi", "lo", *PLACE).join(marks, ["hi", "lo"]).where(F.col("late") | (place > F.col("first")))
-            .groupBy("doc", "tie").agg(F.sort_array(F.collect_set("line")).alias("removed")))
+    late = (settled.unionByName(_verified(pairs, _sets_at(d, pairs.select("x.*").unionByName(pairs.select("y.*"))))).select("x.*")
+            .unionByName(_unsettled(many, sets, settled)))
+    # a line stays if it is its set's first place and no earlier entry matches
+    first = lines.groupBy("hi", "lo").agg(F.min(F.struct(*PLACE)).alias("f")).select("f.*")
+    marks = [df.select(*PLACE, F.lit(kind).alias("kind")) for kind, df in enumerate((lines, first, late))]
+    return (marks[0].unionByName(marks[1]).unionByName(marks[2]).repartition("doc", "tie")
+            .groupBy(*PLACE).agg(F.max("kind").alias("kind")).where("kind <> 1")
+            .groupBy("doc", "tie").agg(F.sort_array(F.collect_list("line")).alias("removed")))
 
 
 def _sets_at(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(doc, tie, line, hi, lo, tokens) of the lines at some places."""
+    """(doc, tie, line, tokens) of the lines at some places."""
     keys = materialize(places.distinct())
     met = docs.sparkSession.sparkContext.broadcast(hashed_counts(  # of fixed size
         keys, lambda b: [_place_hash(*(c.to_numpy() for c in b.columns)), _text_hash(*(c.to_numpy() for c in b.columns[:2]))], MET_SLOTS))
@@ -355,11 +362,11 @@ def _sets_at(docs: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(x, hi, lo): places and keys of x in those of the pairs of places (x, y) whose token sets reach the threshold."""
-    side = lambda s, *more: sets.select(F.struct(*PLACE).alias(s), F.col("tokens").alias(f"{s}_tokens"), *more)
-    both = pairs.join(side("x", "hi", "lo"), "x").join(side("y"), "y")
+    """(x): places of x in those of the pairs of places (x, y) whose token sets reach the threshold."""
+    side = lambda s: sets.select(F.struct(*PLACE).alias(s), F.col("tokens").alias(f"{s}_tokens"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
     same = F.size(F.array_intersect("x_tokens", "y_tokens"))
-    return both.where(same * (NUM + DEN) >= (F.size("x_tokens") + F.size("y_tokens")) * NUM).select("x", "hi", "lo")
+    return both.where(same * (NUM + DEN) >= (F.size("x_tokens") + F.size("y_tokens")) * NUM).select("x")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -96,18 +96,40 @@ def test_tokens_with_few_and_with_many_entries(monkeypatch):
         assert len(pairs) <= sum(len(by[t]) for t in range(9) if t not in of_many) * (line_dedup.DENSE + line_dedup.FEW // 2)
 
 
+def test_rows_of_a_token_in_any_order(monkeypatch):
+    rng = random.Random(9)
+    rows = [(t, rng.randrange(-50, 50) if t else d, d, (10 << 32) + 1, 0) for t, c in enumerate([700, 12, 90, 5]) for d in range(c)]
+    want = _met(sorted(rows), 64)
+    mixed = sorted(rows, key=lambda r: (r[0], rng.random()))
+    assert _met(mixed, 64) == want
+    monkeypatch.setattr(line_dedup, "ROWS", 100)
+    _, many = _met(mixed, 20)
+    assert len([1 for t, _ in many if t == 0]) == 700 and all(y is None or y < d for (t, d), y in many.items() if t == 0)
+
+
 def test_long_lines_that_share_a_word_do_not_meet():
     """64 bits let every pair of lines of 150 words or more through."""
     rng = np.random.default_rng(5)
     sets = [np.unique(np.append(rng.integers(0, 1 << 50, 150), 7)) for _ in range(60)]
-    start = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    sigs = np.stack(line_dedup._signatures(np.concatenate(sets).astype(np.uint64), start))
+    sigs = np.stack(line_dedup._signatures(np.concatenate(sets).astype(np.uint64), np.array([len(s) for s in sets])))
     i, j = np.triu_indices(60, 1)
     size = np.array([(len(s) << 32) for s in sets])
     assert line_dedup._fit_arrays(size, sigs, i, j).mean() < 0.01
     assert line_dedup._fit_arrays(size, sigs, i, i).all()
 
 
+def test_folded_signatures_lose_no_match():
+    """Sets on both sides of the length up to which signatures are folded."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 50, 90)
+    sets = [np.unique(base[:n] if k else np.append(base[:n - 3], rng.integers(0, 1 << 50, 3))) for n in range(55, 75) for k in (0, 1)]
+    n = np.array([len(s) for s in sets])
+    sigs = np.stack(line_dedup._signatures(np.concatenate(sets).astype(np.uint64), n))
+    i, j = np.triu_indices(len(sets), 1)
+    match = np.array([len(np.intersect1d(sets[a], sets[b])) * 9 >= 4 * (n[a] + n[b]) for a, b in zip(i, j, strict=True)])
+    assert line_dedup._near(n[i], n[j], sigs, i, j)[match].all() and match.any() and (sigs[1] == 0).sum() == (n <= line_dedup.SHORT).sum()
+
+
 def test_entries_of_a_frequent_word_meet_set_by_set(spark, monkeypatch):
     """All unsettled entries of a token came out paired with all earlier ones that the signatures let through."""
     rng = random.Random(8)
@@ -138,10 +160,10 @@ def test_entries_of_a_frequent_word_meet_set_by_set(spark, monkeypatch):
 def test_matched_equals_brute_force():
     rng = random.Random(4)
     sets = [sorted(rng.sample(range(14), rng.randrange(5, 12))) for _ in range(120)]
-    rows = [(late, d, -1 if d % 2 else 1, d % 3, d, 0, s) for d, s in enumerate(sets) for late in ((False, True) if d % 4 else (False,))]
+    rows = [(late, d, -1 if d % 2 else 1, d % 3, s) for d, s in enumerate(sets) for late in ((False, True) if d % 4 else (False,))]
     rng.shuffle(rows)
-    kinds = [pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-    cell = pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["late", "doc", "tie", "line", "hi", "lo", "tokens"])
+    kinds = [pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+    cell = pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["late", "doc", "tie", "line", "tokens"])
     near = lambda a, b: len({*a} & {*b}) * 9 >= 4 * (len(a) + len(b))
     got = line_dedup._matched(cell)
     assert sorted(got["doc"].to_pylist()) == [d for d in range(120) if d % 4 and any(near(sets[d], sets[e]) for e in range(d))]
