@@ -7,11 +7,11 @@ one id by a hash of the text) has a Jaccard similarity of ``4 / 5`` or more with
    (ties by hash). Any such order keeps the join exact; a slot shared by words only blurs rarity.
 2. Each line gives a 128-bit key of its token set, and the part of its rarest tokens that any match must
    share one of (prefix filter). Tokens that occur once in all texts cannot be shared and are left out.
-3. Equal sets are one entry, at its first line. Entries with a prefix token in common meet if their sizes
+3. Equal sets are one entry, at its first line; of those that a task reads together only the first is sent. Entries with a prefix token in common meet if their sizes
    (length filter), the number and the places of the tokens shared (positional filter) and 128-bit signatures
-   of the whole sets still allow the threshold. Entries of a token with few of them meet at once, sorted by token; the
-   token sets of those left are read again from the texts, and Jaccard is computed exactly.
-4. Where a token has many entries, or most of its pairs are left, their token sets are read again at once. All meet the
+   of the whole sets still allow the threshold. Entries of a token meet in arrays, sorted by token, and by length where
+   they are many; the token sets of those left are read again from the texts, and Jaccard is computed exactly.
+4. Where most pairs of a token are left, or its entries are too many for an array, their token sets are read again at once. All meet the
    token's earliest entry first, which settles groups of near copies; entries that are not settled then meet the earlier
    ones set by set, in cells of bounded size, and a row comes out for each that has a match, never a row for a pair.
    Both ways are exact.
@@ -25,17 +25,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stacklens.llm.common import materialize, unused
-from stacklens.llm.words import chunks, count_of, hashed_counts, mix, words
+from stacklens.llm.words import chunks, count_of, hashed_bits, hashed_counts, in_bits, mix, words
+from stacklens.session import shuffles_removed
 
 #: Jaccard threshold as a fraction.
 NUM, DEN = 4, 5
 #: Numbers of 64 bits in a signature; sets of up to SHORT tokens have them folded into the first.
 SIGS, SHORT = ("sig", "sig2"), 64
-RARITY_SLOTS, RARITY_ROWS, MET_SLOTS = 1 << 22, 2, 1 << 22
+RARITY_SLOTS, RARITY_ROWS, MET_SLOTS = 1 << 22, 2, 1 << 26
 BITS = 50
 LINES_AT_ONCE = 1 << (64 - BITS)
 
@@ -79,18 +80,29 @@ def _signatures(tokens: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
     return [np.where(short, low ^ high, low).view(np.int64), np.where(short, np.uint64(0), high).view(np.int64)]
 
 
-def _take(column: pa.Array, rows: np.ndarray) -> pa.Array:
-    return column.take(pa.array(rows))
+def _repeats(doc: np.ndarray, tie: np.ndarray, line: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines have the key of one at an earlier place, and which are the first one itself once more."""
+    order = np.lexsort((line, tie, doc, lo, hi))
+    new = np.concatenate([[True], (hi[order][1:] != hi[order][:-1]) | (lo[order][1:] != lo[order][:-1])])
+    of = order[np.flatnonzero(new)][np.cumsum(new) - 1]  # the first line of its key
+    here = (doc[order] == doc[of]) & (tie[order] == tie[of]) & (line[order] == line[of])
+    again, double = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    again[order], double[order] = ~here, here & ~new
+    return again, double
 
 
 def _entries(docs: DataFrame, rarity) -> DataFrame:
     """A row per line with tokens: doc, tie, line, key (hi, lo), n, the signature of its tokens, and its prefix tokens
-    but for those that occur once; these stand first, so the others have the last places of the prefix."""
+    but for those that occur once; these stand first, so the others have the last places of the prefix. Lines that repeat
+    an earlier one read with them (``again``) have no tokens and a key of their own, and rows that stand twice are one."""
 
     def run(batches):
         for b in batches:
             for row, number, n, local, tokens in _lines(b.column(2)):
                 hi, lo = _keys(n, tokens)
+                doc, tie = b.column(0).to_numpy()[row], b.column(1).to_numpy()[row]
+                again, double = _repeats(doc, tie, number, hi, lo)
+                hi = np.where(again, _place_hash(doc, tie, number).view(np.int64), hi)
                 count = count_of(rarity.value, tokens).astype(np.uint64)
                 # line, then rarity, then the token, which the place in the sorted tokens stands for
                 order = np.sort((local.astype(np.uint64) << np.uint64(50)) | (count << np.uint64(34)) | np.arange(len(tokens), dtype=np.uint64))
@@ -99,16 +111,17 @@ def _entries(docs: DataFrame, rarity) -> DataFrame:
                 place = np.arange(len(tokens)) - start[local]
                 prefix = n - -(-n * NUM // DEN) + 1
                 # sets of three tokens or fewer match equal sets only
-                used = (place < prefix[local]) & (count[where] > 1) & (n[local] > 3)
+                used = (place < prefix[local]) & (count[where] > 1) & (n[local] > 3) & ~again[local]
                 ends = np.concatenate([[0], np.cumsum(np.bincount(local[used], minlength=len(n)))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [_take(b.column(0), row), _take(b.column(1), row), pa.array(number, pa.int32()), pa.array(hi), pa.array(lo),
-                     pa.array(n, pa.int32()), *map(pa.array, _signatures(tokens, n)),
+                out = pa.RecordBatch.from_arrays(
+                    [pa.array(doc), pa.array(tie), pa.array(number, pa.int32()), pa.array(hi), pa.array(lo), pa.array(again),
+                     pa.array(n, pa.int32()), *(pa.array(np.where(again, 0, s)) for s in _signatures(tokens, n)),
                      pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens[where][used].astype(np.int64)))],
-                    ["doc", "tie", "line", "hi", "lo", "n", *SIGS, "tokens"])
+                    ["doc", "tie", "line", "hi", "lo", "again", "n", *SIGS, "tokens"])
+                yield out.filter(pa.array(~double)) if double.any() else out
 
     return docs.select("doc", "tie", "text").mapInArrow(
-        run, "doc long, tie int, line int, hi long, lo long, n int, sig long, sig2 long, tokens array<long>")
+        run, "doc long, tie int, line int, hi long, lo long, again boolean, n int, sig long, sig2 long, tokens array<long>")
 
 
 def _place_hash(doc: np.ndarray, tie: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -124,11 +137,11 @@ def _sets(docs: DataFrame, met) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            own = count_of(met.value, _text_hash(b.column(0).to_numpy(), b.column(1).to_numpy())) > 0
+            own = in_bits(met.value, _text_hash(b.column(0).to_numpy(), b.column(1).to_numpy()))
             b = b.filter(pa.array(own))
             doc, tie = b.column(0).to_numpy(), b.column(1).to_numpy()
             for row, number, n, local, tokens in _lines(b.column(2)):
-                keep = count_of(met.value, _place_hash(doc[row], tie[row], number)) > 0
+                keep = in_bits(met.value, _place_hash(doc[row], tie[row], number))
                 if keep.any():
                     used = tokens[keep[local]]
                     ends = np.concatenate([[0], np.cumsum(n[keep])]).astype(np.int32)
@@ -188,9 +201,11 @@ def _near(n, m, sigs, i, j):
     return apart * (NUM + DEN) <= (n + m) * (DEN - NUM)
 
 
-#: Entries of a token that meet each other at once, if that leaves at most DENSE pairs for each; those of other tokens
-#: meet the token's first entry before. Rows that are handled at once.
-FEW, DENSE, ROWS = 256, 16, 1 << 17
+#: Entries of a token meet each other in arrays, those of tokens with up to FEW at once, if that leaves at most DENSE pairs
+#: for each. Those of other tokens meet the token's first entry before. Rows that are handled at once.
+FEW, DENSE, ROWS = 96, 16, 1 << 17
+#: More entries than FEW meet in blocks of so many rows and pairs, if that leaves at most BLOCK_DENSE pairs for each.
+BLOCK_ROWS, BLOCK, BLOCK_DENSE = 256, 1 << 18, 4
 MEET = "token long, doc long, at long, size long, y_doc long, y_at long, y_size long"
 
 
@@ -204,10 +219,46 @@ def _fit_arrays(size: np.ndarray, sigs: np.ndarray, i: np.ndarray, j: np.ndarray
     return out
 
 
+def _fit_blocks(size: np.ndarray, sigs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Pairs (i, j < i) of the rows of one token that fit; nothing if there are more than ``most``.
+
+    Rows stand by length here, so a block meets only the shorter ones that the length filter allows. All lengths up to
+    SHORT have one number as their signature, and longer ones meet them by both of theirs folded, as in ``_near``.
+    """
+    order = np.argsort(size >> 32, kind="stable")
+    n, low, high = size[order] >> 32, sigs[0][order], sigs[1][order] if len(sigs) > 1 else np.zeros(len(order), np.int64)
+    least, short = np.searchsorted(n, -(-n * NUM // DEN)), int(np.searchsorted(n, SHORT, side="right"))
+    left, right, found, a = [], [], 0, 0
+    while a < len(n):
+        first = int(least[a])
+        z = min(len(n), a + max(1, min(BLOCK_ROWS, BLOCK // (a - first + BLOCK_ROWS))))
+        for k, end in ((first, min(short, z)), (max(first, short), z)):
+            if k >= end:
+                continue
+            if end <= short:
+                apart = np.bitwise_count(((low ^ high)[a:z, None] ^ low[None, k:end]).view(np.uint64))
+            else:
+                apart = sum(np.bitwise_count((s[a:z, None] ^ s[None, k:end]).view(np.uint64)) for s in (low, high))
+            allowed = np.minimum((n[a:z, None] + n[None, k:end]) * (DEN - NUM) // (NUM + DEN), 255).astype(np.uint8)
+            x, y = np.nonzero(apart <= allowed)
+            x, y = x + a, y + k
+            x, y = order[x[y < x]], order[y[y < x]]
+            i, j = np.maximum(x, y), np.minimum(x, y)
+            mask = (1 << 32) - 1
+            fit = _may(size[i] >> 32, size[j] >> 32, size[i] & mask, size[j] & mask)
+            left.append(i[fit])
+            right.append(j[fit])
+            found += len(left[-1])
+            if found > most:
+                return None
+        a = z
+    return np.concatenate(left), np.concatenate(right)
+
+
 def _meet(batches):
-    """From rows (token, doc, at, size, signatures), sorted by token: the pairs (no token) of tokens with few, and the rows
-    of tokens with many, with the token's first entry where it fits (of a token with more than ROWS, the first of those
-    that are handled first)."""
+    """From rows (token, doc, at, size, signatures), sorted by token: the pairs (no token) of tokens, and the rows of those
+    of which too many pairs fit, with the token's first entry where it fits (of a token with more than ROWS, which never
+    meets in pairs, the first of those that are handled first)."""
     held: list[np.ndarray] = []
     first = None  # of a token that goes on
 
@@ -220,7 +271,7 @@ def _meet(batches):
         group = np.cumsum(new) - 1
         c = np.diff(np.append(start, len(token)))
         pos = np.arange(len(token)) - start[group]
-        many = c > FEW
+        many = np.zeros(len(c), bool)
         lead = rows[:, start]
         if first is not None and first[0] == token[0]:
             lead[:, 0], many[0] = first, True
@@ -228,7 +279,14 @@ def _meet(batches):
             many[:] = True
         first = lead[:, -1].copy()
         left, right, met = [], [], np.zeros(len(c), np.int64)
-        i = np.flatnonzero(~many[group])
+        for g in np.flatnonzero(~many & (c > FEW)):
+            of = slice(start[g], start[g] + c[g])
+            if (hits := _fit_blocks(size[of], sigs[:, of], BLOCK_DENSE * int(c[g]))) is None:
+                many[g] = True
+            else:
+                left.append(hits[0] + start[g])
+                right.append(hits[1] + start[g])
+        i = np.flatnonzero((~many & (c <= FEW))[group])
         for lag in range(1, FEW):
             i = i[(pos[i] >= lag) & (met[group[i]] <= DENSE * c[group[i]])]
             if not len(i):
@@ -331,11 +389,16 @@ def find_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for _, _, data, starts in chunks(b.column(0)):
             yield words(data, starts)[1] >> np.uint64(64 - BITS)
 
-    rarity = spark.sparkContext.broadcast(hashed_counts(d.select("text"), all_words, RARITY_SLOTS, RARITY_ROWS))  # of fixed size
-    lines = materialize(_entries(d, rarity))
-    # equal sets are one entry; each of its prefix tokens is a row, and the rows of a token are brought together once
-    entry = lines.groupBy("hi", "lo").agg(F.min(F.struct(*PLACE, "n", *SIGS, "tokens")).alias("f")).select("f.*")
-    pre = (entry.select("doc", _two("tie", "line").alias("at"), "n", *SIGS, F.size("tokens").alias("c"), F.posexplode("tokens").alias("k", "token"))
+    with shuffles_removed(spark):
+        counts = hashed_counts(d.select("text"), all_words, RARITY_SLOTS, RARITY_ROWS)
+    rarity = spark.sparkContext.broadcast(counts)  # of fixed size
+    # equal sets are one entry, at their first place; lines at other places go, and a place that stands twice is one
+    place = Window.partitionBy("hi", "lo").orderBy("again", *PLACE)
+    lines = materialize(_entries(d, rarity).withColumns({"_rank": F.rank().over(place), "_row": F.row_number().over(place)})
+                        .withColumn("again", F.col("again") | (F.col("_rank") > 1)).where("again OR _row = 1")
+                        .select(*PLACE, "again", "n", *SIGS, F.when(~F.col("again"), F.col("tokens")).alias("tokens")))
+    # each of an entry's prefix tokens is a row, and the rows of a token are brought together once
+    pre = (lines.where("NOT again").select("doc", _two("tie", "line").alias("at"), "n", *SIGS, F.size("tokens").alias("c"), F.posexplode("tokens").alias("k", "token"))
            .withColumn("place", _prefix(F.col("n")) - F.col("c") + F.col("k"))
            .select("token", "doc", "at", _two("n", "place").alias("size"), *SIGS))
     both = materialize(pre.repartition("token").sortWithinPartitions("token").mapInArrow(_meet, MEET))
@@ -346,18 +409,16 @@ def find_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     late = (settled.unionByName(_verified(pairs, _sets_at(d, pairs.select("x.*").unionByName(pairs.select("y.*"))))).select("x.*")
             .unionByName(_unsettled(many, sets, settled)))
     # a line stays if it is its set's first place and no earlier entry matches
-    first = lines.groupBy("hi", "lo").agg(F.min(F.struct(*PLACE)).alias("f")).select("f.*")
-    marks = [df.select(*PLACE, F.lit(kind).alias("kind")) for kind, df in enumerate((lines, first, late))]
-    return (marks[0].unionByName(marks[1]).unionByName(marks[2]).repartition("doc", "tie")
-            .groupBy(*PLACE).agg(F.max("kind").alias("kind")).where("kind <> 1")
-            .groupBy("doc", "tie").agg(F.sort_array(F.collect_list("line")).alias("removed")))
+    return (lines.where("again").select(*PLACE).unionByName(late)
+            .groupBy("doc", "tie").agg(F.sort_array(F.collect_set("line")).alias("removed")))
 
 
 def _sets_at(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(doc, tie, line, tokens) of the lines at some places."""
     keys = materialize(places.distinct())
-    met = docs.sparkSession.sparkContext.broadcast(hashed_counts(  # of fixed size
-        keys, lambda b: [_place_hash(*(c.to_numpy() for c in b.columns)), _text_hash(*(c.to_numpy() for c in b.columns[:2]))], MET_SLOTS))
+    with shuffles_removed(docs.sparkSession):
+        bits = hashed_bits(keys, lambda b: [_place_hash(*(c.to_numpy() for c in b.columns)), _text_hash(*(c.to_numpy() for c in b.columns[:2]))], MET_SLOTS)
+    met = docs.sparkSession.sparkContext.broadcast(bits)  # of fixed size
     return materialize(_sets(docs, met).join(keys, list(PLACE), "left_semi").dropDuplicates(PLACE))
 
 

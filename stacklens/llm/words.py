@@ -101,6 +101,38 @@ def hashed_counts(df: DataFrame, hashes, slots: int, rows: int = 1) -> np.ndarra
     return out.reshape(rows, slots)
 
 
+def hashed_bits(df: DataFrame, hashes, slots: int) -> np.ndarray:
+    """Into which of ``slots`` slots any hash falls, a bit each; of fixed size on the driver, as ``hashed_counts``."""
+    size = min(slots // 8, 1 << 16)
+
+    def run(batches):
+        bits = np.zeros(slots // 8, np.uint8)
+        for b in batches:
+            for h in hashes(b):
+                at = slot_of(h, slots)
+                np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        for i, part in enumerate(bits.reshape(-1, size)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["part", "n"])
+
+    def add(key, table):
+        total = np.zeros(size, np.uint8)
+        for x in table["n"].to_pylist():
+            total |= np.frombuffer(zlib.decompress(x), np.uint8)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros((slots // 8 // size, size), np.uint8)
+    for r in df.mapInArrow(run, "part int, n binary").groupBy("part").applyInArrow(add, "part int, n binary").collect():
+        out[r["part"]] = np.frombuffer(r["n"], np.uint8)
+    return out.reshape(-1)
+
+
+def in_bits(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes fall into a slot that has its bit: all that were counted, and few others."""
+    at = slot_of(h, len(bits) * 8)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
 def slot_of(h: np.ndarray, slots: int, row: int = 0) -> np.ndarray:
     return (mix(h, 90 + row) % np.uint64(slots)).astype(np.int64)
 

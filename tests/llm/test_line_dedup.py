@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from stacklens.llm import line_dedup
-from stacklens.llm.words import hashed_counts, slot_of
+from stacklens.llm.words import hashed_bits, hashed_counts, in_bits, slot_of
 
 
 def _brute(rows):
@@ -195,3 +195,69 @@ def test_counting_takes_little_memory_beside_its_table():
     tracemalloc.stop()
     want = np.bincount(slot_of(np.concatenate(h), 1 << 20), minlength=1 << 20)
     assert (got[0] == want).all() and peak < 12 << 20
+
+
+def test_many_sparse_entries_of_a_token_come_out_as_pairs():
+    """Rows of every token with more than 256 entries came out, to be dealt out with their sets once more."""
+    rng = random.Random(12)
+    rows = []
+    for d in range(900):
+        n = rng.choice([20, 22, 40, 60, 63, 66, 70, 75, 150])
+        sigs = [rng.getrandbits(63), 0] if n <= line_dedup.SHORT else [rng.getrandbits(63), rng.getrandbits(63)]
+        rows.append((7, d, 0, (n << 32) + rng.randrange(3), *sigs))
+        if d % 9 == 0:  # a near one, some beyond the length up to which signatures are folded
+            m = n + rng.randrange(-2, 4)
+            if m <= line_dedup.SHORT:
+                near = [sigs[0] ^ sigs[1] ^ 3, 0]
+            else:
+                near = [sigs[0] ^ 3, sigs[1]] if n > line_dedup.SHORT else [sigs[0] ^ 5, 0]
+            rows.append((7, d, 1, (m << 32) + rng.randrange(3), *near))
+    names = ["token", "doc", "at", "size", *line_dedup.SIGS]
+    shuffled = rng.sample(rows, len(rows))
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*shuffled, strict=True)], names)
+    out = [r for b in line_dedup._meet(iter([batch])) for r in b.to_pylist()]
+    table = np.array(sorted(rows), np.int64).T
+    i, j = np.tril_indices(len(rows), -1)
+    fit = line_dedup._fit_arrays(table[3], table[4:], i, j)
+    assert all(r["token"] is None for r in out) and 90 < fit.sum() < 400
+    at = [(int(d), int(a)) for d, a in table[1:3].T]
+    assert sorted(((r["doc"], r["at"]), (r["y_doc"], r["y_at"])) for r in out) == sorted((at[x], at[y]) for x, y in zip(i[fit], j[fit], strict=True))
+
+
+def test_repeated_lines_are_sent_without_tokens(spark):
+    """Every copy of a line was sent and stored with its tokens; rows that stand twice must not lose their lines."""
+    same = "one common line of some seven words"
+    rows = [(d, f"{same}\nown words of text number {d} x{d} y{d}\n{same}") for d in range(60)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counted = spark.sparkContext.broadcast(np.full((1, 64), 9, "<u2"))
+    docs = df.select(F.col("doc_id").alias("doc"), F.lit(0).alias("tie"), "text")
+    sent = line_dedup._entries(docs, counted).where("size(tokens) > 0 AND n = 7").count()
+    assert 0 < sent <= 3
+    assert _got(df) == {d: [0, 2] if d else [2] for d in range(60)}
+
+
+def test_bits_of_met_places_hold_few_others():
+    """4 million slots were half full with the places of 6 GB, and half of all lines' tokens were sent."""
+    rng = np.random.default_rng(2)
+    h = rng.integers(0, 1 << 63, 200_000).astype(np.uint64)
+    bits = hashed_bits(_Local([h[:50_000], h[50_000:]]), lambda b: [b], 1 << 22)
+    assert in_bits(bits, h).all() and in_bits(bits, rng.integers(0, 1 << 63, 100_000).astype(np.uint64)).mean() < 0.06
+    assert bits.nbytes == (1 << 22) // 8 and line_dedup.MET_SLOTS // 8 <= 8 << 20
+
+
+def test_written_intermediates_leave_no_shuffle_files(spark, tmp_path):
+    """All shuffles of a query stayed on disk until its end."""
+    from stacklens.session import CLEANUP, materialize
+
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager()
+    spark.sparkContext._jvm.System.gc()
+    held = lambda: sum(b.toString().startswith("shuffle_") for b in _all(tracker))
+    before = held()
+    out = materialize(spark.range(1000).repartition(4, "id"))
+    assert held() <= before and out.count() == 1000 and spark.conf.get(CLEANUP) == "false"
+
+
+def _all(manager):
+    disk = manager.diskBlockManager().getAllBlocks().iterator()
+    while disk.hasNext():
+        yield disk.next()
