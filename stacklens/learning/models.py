@@ -151,9 +151,15 @@ def strategy_training_data(records: DataFrame) -> tuple[DataFrame, list[str]]:
 
 def train_strategy_model(records: DataFrame, trees: int = 100, folds: int = 5) -> Trained:
     data, cols = strategy_training_data(records)
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=10, minInstancesPerNode=2, seed=SEED, maxMemoryInMB=1024,
-                                    labelCol="label", featuresCol="features", weightCol="weight")
-    return _train(data, cols, "record_id", forest, folds)
+    return _train(data, cols, "record_id", strategy_forest(trees), folds)
+
+
+def strategy_forest(trees: int) -> RandomForestClassifier:
+    """The estimator of strategy success. Each row's nodes are kept from level to level instead of being sought from the
+    roots of all trees again, which gives the same forest; lineage is as short as the depth, so they are not checkpointed."""
+    return RandomForestClassifier(numTrees=trees, maxDepth=10, minInstancesPerNode=2, seed=SEED, maxMemoryInMB=1024,
+                                  cacheNodeIds=True, checkpointInterval=-1,
+                                  labelCol="label", featuresCol="features", weightCol="weight")
 
 
 def _reasoning(strategy: Column, p: Column) -> Column:

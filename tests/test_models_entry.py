@@ -98,3 +98,17 @@ def test_conflict_model_reads_copies_as_one_row(spark, monkeypatch):
         M.split(rows_of, "repo_id", folds=1).where("train"))
     p = lambda model: {r["repo_id"]: round(r["probability"][1], 9) for r in model.transform(rows_of).collect()}
     assert seen[0] <= 8 and seen[1] == 960 and stage.getNumTrees == 4 and p(t.model) == p(plain)
+
+
+def test_forest_keeps_the_nodes_of_its_rows(spark):
+    """Every level sought each row's node from the root of every tree; the forest must stay the same without that."""
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = spark.range(3000).selectExpr("double(id % 17) a", "double(id * 7 % 23) b", "double(id * id % 29) c", "1.0 weight",
+                                        "double((id % 17 > 8) != (id * 7 % 23 > 11) or id % 29 = 3) label")
+    data = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(rows)
+    forest = M.strategy_forest(5)
+    kept = forest.fit(data)
+    sought = forest.copy({forest.cacheNodeIds: False}).fit(data)
+    parts = lambda m: m.toDebugString.split("\n", 1)[1]
+    assert forest.getCacheNodeIds() and parts(kept) == parts(sought) and kept.totalNumNodes > 50
